@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, source_mix
+from . import decontamination, exact_dedup, html_extract, language_id, license_scan, quality, source_mix
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": source_mix.op1_source_mix,
+    "op2_html_extract": html_extract.op2_html_extract,
+    "op4_quality": quality.op4_quality,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_language_id": language_id.op8_language_id,
+    "op9_license_scan": license_scan.op9_license_scan,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE}
