@@ -57,45 +57,58 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
     )
 
 
+def _let(value: Column, body) -> Column:
+    """body(value) with value evaluated once: keeps expressions, and so plans, from growing with each use."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
     """Draw of how many of `draws` taken from `total` things are among the `good` ones (longs); u in [0, 1).
 
     Inversion from the mode outwards: weights follow from the ratio of neighbouring terms, so only about
     ten standard deviations are walked and no factorial is taken.
     """
-    low = F.greatest(F.lit(0).cast("long"), draws - (total - good))
-    high = F.least(good, draws)
-    mode = F.greatest(low, F.least(high, F.floor((draws + 1).cast("double") * (good + 1) / (total + 2)).cast("long")))
-    spread = F.sqrt(draws.cast("double") * good / F.greatest(total, F.lit(1)) + 1) * 10 + 10
-    steps_up = F.least(high - mode, spread.cast("long"))
-    steps_down = F.least(mode - low, spread.cast("long"))
-
-    def up(k):  # weight(k) / weight(k - 1)
-        return (good - k + 1).cast("double") * (draws - k + 1) / (k.cast("double") * (total - good - draws + k))
-
-    def down(k):  # weight(k) / weight(k + 1)
-        return (k + 1).cast("double") * (total - good - draws + k + 1) / ((good - k).cast("double") * (draws - k))
-
-    def walk(steps, ratio, sign):
-        return lambda stop, base: F.aggregate(
-            F.sequence(F.lit(0).cast("long"), steps),
-            F.struct(F.lit(1.0).alias("w"), base.alias("sum"), F.lit(None).cast("long").alias("k")),
-            lambda s, i: F.when(i == 0, s).otherwise(
-                F.struct(
-                    (s["w"] * ratio(mode + sign * i)).alias("w"),
-                    (s["sum"] + s["w"] * ratio(mode + sign * i)).alias("sum"),
-                    F.coalesce(s["k"], F.when(s["sum"] + s["w"] * ratio(mode + sign * i) > stop, mode + sign * i)).alias("k"),
-                )
-            ),
+
+    def bounds(a):
+        return F.struct(
+            a["g"].alias("g"), a["t"].alias("t"), a["d"].alias("d"), a["u"].alias("u"),
+            F.greatest(F.lit(0).cast("long"), a["d"] - (a["t"] - a["g"])).alias("low"), F.least(a["g"], a["d"]).alias("high"),
+            F.floor((a["d"] + 1).cast("double") * (a["g"] + 1) / (a["t"] + 2)).cast("long").alias("peak"),
+            (F.sqrt(a["d"].cast("double") * a["g"] / F.greatest(a["t"], F.lit(1)) + 1) * 10 + 10).cast("long").alias("far"),
         )
 
-    none = F.lit(float("inf"))
-    above = walk(steps_up, up, 1)(none, F.lit(0.0))["sum"]
-    below = walk(steps_down, down, -1)(none, F.lit(0.0))["sum"]
-    stop = u * (above + below + 1)
-    to_up = walk(steps_up, up, 1)(stop, F.lit(1.0))["k"]
-    to_down = walk(steps_down, down, -1)(stop, above + 1)["k"]
-    return F.when((high <= low) | (stop < 1), mode).otherwise(F.coalesce(to_up, to_down, mode))
+    def draw(b):
+        return _let(F.greatest(b["low"], F.least(b["high"], b["peak"])), lambda mode: _let(_walks(b, mode), lambda w: F.when((b["high"] <= b["low"]) | (w["stop"] < 1), mode).otherwise(
+            F.coalesce(_walk(b, mode, 1, w["stop"], F.lit(1.0))["k"], _walk(b, mode, -1, w["stop"], w["above"] + 1)["k"], mode)
+        )))
+
+    return _let(F.struct(good.alias("g"), total.alias("t"), draws.alias("d"), u.alias("u")), lambda a: _let(bounds(a), draw))
+
+
+def _walk(b: Column, mode: Column, sign: int, stop: Column, base: Column) -> Column:
+    """Steps from the mode up (1) or down (-1): the sum of weights, and the first value at which it passes `stop`."""
+    steps = F.least(b["high"] - mode if sign > 0 else mode - b["low"], b["far"])
+
+    def ratio(k):
+        if sign > 0:  # weight(k) / weight(k - 1)
+            return (b["g"] - k + 1).cast("double") * (b["d"] - k + 1) / (k.cast("double") * (b["t"] - b["g"] - b["d"] + k))
+        return (k + 1).cast("double") * (b["t"] - b["g"] - b["d"] + k + 1) / ((b["g"] - k).cast("double") * (b["d"] - k))
+
+    return F.aggregate(
+        F.sequence(F.lit(0).cast("long"), steps),
+        F.struct(F.lit(1.0).alias("w"), base.alias("sum"), F.lit(None).cast("long").alias("k")),
+        lambda s, i: F.when(i == 0, s).otherwise(_let(s["w"] * ratio(mode + sign * i), lambda w: F.struct(
+            w.alias("w"), (s["sum"] + w).alias("sum"), F.coalesce(s["k"], F.when(s["sum"] + w > stop, mode + sign * i)).alias("k")
+        ))),
+    )
+
+
+def _walks(b: Column, mode: Column) -> Column:
+    never = F.lit(float("inf"))
+    above, below = (_walk(b, mode, sign, never, F.lit(0.0))["sum"] for sign in (1, -1))
+    return _let(F.struct(above.alias("above"), below.alias("below")), lambda w: F.struct(
+        w["above"].alias("above"), (b["u"] * (w["above"] + w["below"] + 1)).alias("stop")
+    ))
 
 
 def split_tree(quotas: DataFrame, shards: int) -> DataFrame:
@@ -130,18 +143,9 @@ def split_tree(quotas: DataFrame, shards: int) -> DataFrame:
 
 def _give(state: Column, quota: Column, u: Column) -> Column:
     """The next source's share of a node's left child, and what is left to draw from."""
-    # bound once through a one-element transform: the expression is used several times
-    got = F.transform(F.array(hypergeometric(quota, state["total"], state["draws"], u)), lambda x: x)
-    return F.element_at(
-        F.transform(
-            got,
-            lambda x: F.struct(
-                (state["total"] - quota).alias("total"), (state["draws"] - x).alias("draws"),
-                F.concat(state["out"], F.array(x)).alias("out"),
-            ),
-        ),
-        1,
-    )
+    return _let(hypergeometric(quota, state["total"], state["draws"], u), lambda x: F.struct(
+        (state["total"] - quota).alias("total"), (state["draws"] - x).alias("draws"), F.concat(state["out"], F.array(x)).alias("out")
+    ))
 
 
 def plan(docs: DataFrame, weights=(5, 2, 1), total_share=1.5, most=2.0, block_words=50_000, most_blocks=100_000) -> dict[str, DataFrame]:
