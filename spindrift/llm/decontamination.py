@@ -154,9 +154,9 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that share no window with the benchmark, all columns."""
+    """The rows of docs that share no window with the benchmark, all columns; rows without an id all go if one of them is hit."""
     hit = contamination(docs, benchmark, **settings).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id") == F.col("hit_id"), "left_anti")
+    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -111,14 +111,17 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, all columns.
+    """The rows of docs that stay, all columns; without an index of its own, copies within docs alone are dropped.
 
-    Copies alone are looked up: rows to drop are those of groups of two and more that are not the one kept.
+    Rows to drop are looked up by id and digest, so rows without an id are told apart by their text. Rows that
+    repeat with one doc_id and text stay or go together.
     """
     own = index or DigestIndex(docs.sparkSession)
-    drop = ingest(docs, own).filter("NOT kept").select(F.col("doc_id").alias("dropped_id"))
-    kept = docs.join(drop, F.col("doc_id") == F.col("dropped_id"), "left_anti")
-    return kept
+    drop = ingest(docs, own).filter("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_digest"))
+    if index is None:
+        own.drop()
+    same = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (text_digest(F.col("text")) == F.col("dropped_digest"))
+    return docs.join(drop, same, "left_anti")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

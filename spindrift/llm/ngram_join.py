@@ -300,7 +300,10 @@ def _texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with its least doc_id stays; all columns."""
+    """The rows of docs without near copies: of each component the row with its least doc_id stays; all columns.
+
+    Rows without an id stay, as do rows that repeat with the id that stays.
+    """
     drop = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
     return docs.join(drop, F.col("doc_id") == F.col("dropped_id"), "left_anti")
 
