@@ -217,13 +217,16 @@ def exact_links(texts: DataFrame) -> DataFrame:
     # columns of one component come first in a node's order, so they only shift the places of the others
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "gram"))
     least = F.ceil(F.col("n") * SHARE / 100)
-    posts = staged(shared.withColumn("from_last", rank).filter(F.col("from_last") >= least).select("gram", "node", "component", "n"), "join-posts")
+    posts = staged(shared.withColumn("from_last", rank).filter(F.col("from_last") >= least).select("gram", "node", "component", "n", "from_last"), "join-posts")
     main = posts.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(
         F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     ).filter("kinds > 1")
-    left = posts.join(main, "gram").filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"))
-    right = posts.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"))
+    left = posts.join(main, "gram").filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
+    right = posts.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
+    # the rarest column that both hold has all others they share behind it, on both sides
+    needed = (F.col("nx") + F.col("ny")) * SHARE
+    sized &= (F.col("rx") * (100 + SHARE) >= needed) & (F.col("ry") * (100 + SHARE) >= needed)
     pairs = left.join(right, "gram").filter((F.col("cx") != F.col("cy")) & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     own = sets.select("node", "grams", "n")
     both = pairs.join(own.toDF("a", "ga", "na"), "a").join(own.toDF("b", "gb", "nb"), "b")
