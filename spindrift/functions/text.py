@@ -245,3 +245,52 @@ def ids_named(text: Column) -> Column:
 def user_key(user: Column) -> Column:
     """A user id that is safe as a folder name; blank ids are "anonymous"."""
     return F.coalesce(or_null(F.substring(F.regexp_replace(cleaned(user), r"[^A-Za-z0-9._-]", "_"), 1, 128)), F.lit("anonymous"))
+
+
+def unfenced(raw: Column) -> Column:
+    """A model's reply without the code fence around it."""
+    return cleaned(F.regexp_replace(F.regexp_replace(cleaned(raw), r"^```[^\n]*\n", ""), r"\n?```\s*$", ""))
+
+
+def refined_reply(raw: Column) -> tuple[Column, Column, Column]:
+    """(JSON text, changed fields, note) of a reply that ends in CHANGES: and NOTE: lines; the last of each counts."""
+    text = unfenced(raw)
+    head = F.regexp_replace(text, r"(?s)\nNOTE:(?!.*\nNOTE:).*$", "")
+    note = cleaned(F.regexp_extract(text, r"(?s)^.*\nNOTE:(.*)$", 1))
+    body = F.regexp_replace(head, r"(?s)\nCHANGES:(?!.*\nCHANGES:).*$", "")
+    changes = F.regexp_extract(head, r"(?s)^.*\nCHANGES:(.*)$", 1)
+    return cleaned(body), F.filter(F.transform(F.split(changes, ","), cleaned), lambda c: c != ""), note
+
+
+def choices(text: Column) -> tuple[Column, Column]:
+    """(text without the block, choices) of a message with a [CHOICES] block of "- " lines."""
+    tag = r"(?is)\[CHOICES\]\s*(.*?)\s*\[/CHOICES\]"
+    lines = F.transform(F.split(F.regexp_extract(text, tag, 1), "\n"), cleaned)
+    named = F.transform(F.filter(lines, lambda x: x.startswith("- ")), lambda x: cleaned(F.substring(x, 3, 1_000_000)))
+    return cleaned(F.regexp_replace(text, tag, "")), F.filter(named, lambda c: c != "")
+
+
+def apply_directive(text: Column) -> tuple[Column, Column]:
+    """(text without the tag, what to apply or null) of a message."""
+    tag = r"(?i)\[APPLY_PROTOCOL_CHANGES\]\s*apply:\s*([^\n\[]+?)\s*\[/APPLY_PROTOCOL_CHANGES\]"
+    found = F.regexp_like(text, F.lit(tag))
+    return cleaned(F.regexp_replace(text, tag, "")), F.when(found, F.coalesce(or_null(cleaned(F.regexp_extract(text, tag, 1))), F.lit("all")))
+
+
+def markup_escaped(text: Column) -> Column:
+    for plain, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&#39;")):
+        text = F.replace(text, F.lit(plain), F.lit(code))
+    return text
+
+
+def field_label(name: Column) -> Column:
+    return F.initcap(F.replace(name, F.lit("_"), F.lit(" ")))
+
+
+def change_class(this: Column, last: Column) -> Column:
+    return F.when(this > last, "up").when(this < last, "down").otherwise("flat")
+
+
+def kept_ids(ids: Column, most: int = 25) -> Column:
+    """First `most` trimmed ids that are not empty."""
+    return F.slice(F.filter(F.transform(ids, cleaned), lambda i: i != ""), 1, most)
