@@ -24,6 +24,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +32,7 @@ from . import _substrings as S
 from . import _words as W
 from ._common import map_arrow, staged
 
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 6 << 20
 NO_ID = np.int64(2**63 - 1)
 BLOCK = "block int, docs binary, refs binary, keys binary, contents binary"
 
@@ -49,6 +50,27 @@ def _contents(data: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarr
     return W.mix((sums[last + S.LENGTH] - sums[start]) * W._power("down", W._BASE_INVERSE, n)[start] + (last - start).astype(np.uint64))
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """doc_id, text compressed: half of what a shuffle's own compression leaves of prose, and texts are shuffled twice."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        squeeze = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            texts = [t.as_buffer() if t.is_valid else None for t in batch.column("text").cast(pa.large_string())]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else squeeze.compress(t) for t in texts], pa.binary())], names=["doc_id", "text"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return map_arrow(docs.select("doc_id", "text"), of, f"doc_id {kind}, text binary")
+
+
+def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    column = batch.column("text")
+    if pa.types.is_binary(column.type):
+        grow = zstandard.ZstdDecompressor()
+        column = pa.array([grow.decompress(t.as_buffer()) if t.is_valid else b"" for t in column], pa.large_binary())
+    return W.text_bytes(column)
+
+
 def _dealt(entries: Callable, blocks: int) -> Callable:
     """A mapInArrow function that packs entries(batch, i, j, data, offsets) -> (row, key, content) into blocks by key."""
 
@@ -72,7 +94,7 @@ def _dealt(entries: Callable, blocks: int) -> Callable:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, rows = [], 0, 0
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
+            data, offsets = _texts(batch)
             for i, j in W.chunks(offsets):
                 for a in range(i, j, 30_000):  # references are 16 bits wide
                     z = min(a + 30_000, j)
@@ -174,13 +196,13 @@ def _window_entries(batch, i, j, data, offsets):
 def matches(docs: DataFrame) -> DataFrame:
     """doc, runs, windows: for each document with matches, hashes of its matched runs and of single matched windows."""
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
-    blocks = max(64, math.ceil(n_bytes / 16_000_000))
+    blocks = max(64, math.ceil(n_bytes / 8_000_000))
     texts = docs.select("doc_id", "text")
     found = map_arrow(texts, _dealt(_run_entries, blocks), BLOCK).groupBy("block").applyInArrow(_run_owners, "doc bigint, runs array<bigint>, opened array<bigint>")
     found = staged(found, "dedup-runs")
     # octets of a list are bounded by the document's own length
     opened = found.filter("size(opened) > 0").groupBy("doc").agg(F.flatten(F.collect_list("opened")).alias("opened"))
-    rows = texts.withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(opened, F.col("key") == F.col("doc")).select("doc_id", "text", "opened")
+    rows = packed(docs).withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(opened, F.col("key") == F.col("doc")).select("doc_id", "text", "opened")
     windows = map_arrow(rows, _dealt(_window_entries, blocks), BLOCK).groupBy("block").applyInArrow(_window_owners, "doc bigint, windows array<bigint>")
     none = F.array().cast("array<bigint>")
     both = found.filter("size(runs) > 0").select("doc", "runs", none.alias("windows")).unionByName(windows.select("doc", none.alias("runs"), "windows"))
@@ -211,11 +233,11 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     all others, and null ids don't match each other. Empty tables give no rows.
     """
     found = matches(docs)
-    rows = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(int(NO_ID))).alias("key")).join(found, F.col("key") == F.col("doc"), "left")
+    rows = packed(docs).withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(found, F.col("key") == F.col("doc"), "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
+            data, offsets = _texts(batch)
             runs, windows = batch.column("runs"), batch.column("windows")
             out = []
             for i in range(batch.num_rows):
