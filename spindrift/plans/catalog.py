@@ -567,3 +567,95 @@ SELECT protocol_id, version_a, version_b, 'phase' AS field, pa AS value_a, pb AS
 UNION ALL SELECT protocol_id, version_a, version_b, 'title', ta, tb FROM p WHERE version_a IS NOT NULL AND ta <> tb""")
 def version_diff(spark, sf_dir):
     return versions.diff(_versions(spark, sf_dir), ["protocol_id"], ["phase", "title"])
+
+
+# Evaluation, reports and rendering beyond the above.
+
+
+@query("""
+WITH k AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), 1, 5) AS words FROM benchmark),
+s AS (SELECT doc_id, item_id, len(list_filter(words, lambda w: contains(lower(text), w))) AS n, len(words) AS m FROM documents JOIN k ON doc_id % 40 = item_id)
+SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_keywords, n >= greatest(1, m // 2) AS relevant FROM s
+""")
+def keyword_relevance(spark, sf_dir):
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(retrieval.tokens(F.col("text")), 1, 5).alias("keywords"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % 40).join(words, "item_id")
+    return evaluation.keyword_relevance(rows, F.col("text")).select("doc_id", "item_id", "n_keywords", "relevant")
+
+
+@query("""
+SELECT round(avg(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id % 5 + 1 END), 6) AS faithfulness, round(avg(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE doc_id % 3 + 1 END), 6) AS relevance,
+  round(avg(0), 6) AS completeness, round(avg(CASE WHEN doc_id % 11 = 0 THEN 0 ELSE (doc_id % 5 + doc_id % 3 + 2) / 3.0 END), 6) AS overall FROM labels
+""")
+def judge_means(spark, sf_dir):
+    k = F.col("doc_id")
+    verdict = F.when(k % 11 == 0, "no verdict").otherwise(F.format_string('{"faithfulness": %d, "relevance": %d}', k % 5 + 1, k % 3 + 1))
+    return evaluation.judged(table(spark, sf_dir, "labels").select(verdict.alias("verdict")))
+
+
+@query("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':' || text), 1, 15) AS BIGINT)) AS digest FROM documents")
+def corpus_fingerprint(spark, sf_dir):
+    head = F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")), 256), 1, 15)
+    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(head, 16, 10).cast("bigint")).alias("digest"))
+
+
+@query(f"""
+WITH {_EVENTS_SQL}, w AS (SELECT event_type, count(*) FILTER (ts >= now - INTERVAL 7 DAY) AS this, count(*) FILTER (ts < now - INTERVAL 7 DAY AND ts >= now - INTERVAL 14 DAY) AS prev FROM e GROUP BY 1)
+SELECT event_type, CASE WHEN this = 0 AND prev = 0 THEN '—' WHEN prev = 0 THEN '(new)' ELSE (CASE WHEN this >= prev THEN '+' ELSE '−' END) || printf('%.1f%%', abs(this - prev) * 100.0 / prev) END AS change,
+  CASE WHEN this > prev THEN 'up' WHEN this < prev THEN 'down' ELSE 'flat' END AS direction FROM w
+""")
+def week_changes(spark, sf_dir):
+    ts, now = F.col("timestamp"), _now()
+    week, two = now - F.expr("INTERVAL 7 DAYS"), now - F.expr("INTERVAL 14 DAYS")
+    counts = _events(spark, sf_dir).groupBy("event_type").agg(F.count_if(ts >= week).alias("this"), F.count_if((ts < week) & (ts >= two)).alias("prev"))
+    return counts.select("event_type", X.week_change(F.col("this"), F.col("prev")).alias("change"), X.change_class(F.col("this"), F.col("prev")).alias("direction"))
+
+
+@query("""
+SELECT o_orderkey, concat_ws(' — ', CASE o_orderstatus WHEN 'P' THEN 'RWE' WHEN 'O' THEN 'Phase II' END, CASE WHEN o_orderkey % 3 = 0 THEN 'TNBC' END,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'Drug ' || CAST(o_orderkey % 7 AS VARCHAR) END) AS built,
+  CASE WHEN concat_ws('', CASE WHEN o_orderstatus IN ('P', 'O') THEN 'x' END, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 2 = 0 THEN 'x' END) = '' THEN 'Untitled protocol' END AS fallback FROM orders
+""")
+def protocol_titles(spark, sf_dir):
+    k = F.col("o_orderkey")
+    phase = F.when(F.col("o_orderstatus") == "P", "N/A").when(F.col("o_orderstatus") == "O", "Phase II")
+    title = X.protocol_title(phase, F.when(k % 3 == 0, "Triple-negative disease"), F.when(k % 2 == 0, F.concat(F.lit("Drug "), (k % 7).cast("string"), F.lit(" (also known)"))), F.lit(None).cast("string"))
+    untitled = title == "Untitled protocol"
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(untitled, "").otherwise(title).alias("built"), F.when(untitled, title).alias("fallback"))
+
+
+@query(f"""
+WITH {_VERSIONS_SQL} SELECT protocol_id, version, CASE WHEN version > 1 AND version % 2 = 0 THEN 'change ' || CAST(version AS VARCHAR) ELSE '' END AS user_request FROM v
+""")
+def versions_with_notes(spark, sf_dir):
+    store = _versions(spark, sf_dir).select("protocol_id", "version")
+    log = store.filter("version > 1 AND version % 2 = 0").select("protocol_id", "version", F.concat(F.lit("change "), F.col("version").cast("string")).alias("user_request"), F.lit("ok").alias("assistant_note"))
+    return versions.with_notes(store, log, ["protocol_id"]).select("protocol_id", "version", "user_request")
+
+
+@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'Finished' WHEN 'O' THEN 'Open' ELSE o_orderstatus END AS label FROM orders")
+def display_labels(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.label_of(F.col("o_orderstatus"), {"F": "Finished", "O": "Open"}).alias("label"))
+
+
+@query("SELECT c_custkey, '{\"k\": ' || CAST(c_custkey AS VARCHAR) || '}' AS body, ['name', 'size'] AS changed, 'note ' || CAST(c_custkey AS VARCHAR) AS note FROM customer")
+def refined_replies(spark, sf_dir):
+    k = F.col("c_custkey").cast("string")
+    raw = F.concat(F.lit('```json\n{"k": '), k, F.lit("}\nCHANGES: name, size,\nNOTE: note "), k, F.lit("\n```"))
+    body, changed, note = X.refined_reply(F.col("raw"))
+    return table(spark, sf_dir, "customer").withColumn("raw", raw).select("c_custkey", body.alias("body"), changed.alias("changed"), note.alias("note"))
+
+
+@query("""
+WITH g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
+SELECT user_id, min(ts) AS started_at, count(*) AS event_count FROM s GROUP BY user_id, n
+""")
+def session_windows(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("event_count"))
+    return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started_at"), "event_count")
+
+
+@query("SELECT coalesce(lang, 'all') AS corpus, count(*) AS trial_count FROM documents GROUP BY ROLLUP (lang)")
+def ingest_summary(spark, sf_dir):
+    return table(spark, sf_dir, "documents").rollup("lang").agg(F.count(F.lit(1)).alias("trial_count")).select(F.coalesce("lang", F.lit("all")).alias("corpus"), "trial_count")
