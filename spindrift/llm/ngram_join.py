@@ -5,12 +5,13 @@ the n-gram, packed as arrays (4 bytes an n-gram, 2 a node reference), and each b
 
 1. For each node, the columns it shares are counted over all blocks. A partner of similarity t must hold t of
    a node's columns, so nodes that share fewer are discarded; most of a corpus goes here.
-2. In an eighth of the columns each node is paired with the column's first node only, and overlaps are added
-   up over the blocks; every node is verified with its best such partner. This joins groups of near copies
-   without their pairs.
-3. Nodes are discarded again by the columns they share with other components. What is left is joined in
-   full: columns from rare to frequent, each node posts the prefix that a partner's size bound leaves, pairs
-   of different components that meet there are verified. So no link between components is lost.
+2. Twice, each node is paired in an eighth of the columns with the column's leader only, the node whose columns
+   are the most common ones (the text that copies were made from), and overlaps are added up over the blocks;
+   every node is verified with its best such partner. This joins groups of near copies without their pairs.
+   Then nodes are discarded again by the columns they share with other components.
+3. What is left is joined in full: columns from rare to frequent, each node posts the prefix that a partner's
+   size bound leaves, pairs of different components that meet there are verified. So no link between
+   components is lost.
 
 Step 2 only saves work for step 3; step 3 alone would find all components.
 """
@@ -32,6 +33,7 @@ from .components import components
 
 K = 5
 SHARE = 75  # per cent
+ROUNDS = 2
 BATCH_BYTES = 8 << 20
 
 
@@ -74,11 +76,10 @@ def sketched(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def incidence(texts: DataFrame, blocks: int, seed: int, with_component: bool) -> DataFrame:
-    """The matrix in packed column blocks: block, nodes, groups (components, or the nodes again), refs, grams."""
+    """The matrix in packed column blocks: block, nodes, groups (components) and scores if asked for, refs, grams."""
 
-    def pack(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        grams = np.concatenate([p[0] for p in parts])
-        sizes, nodes, groups = (np.concatenate([p[i] for p in parts]) for i in (1, 2, 3))
+    def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        grams, sizes, nodes, groups, scores = (np.concatenate([p[i] for p in parts]) for i in range(5))
         ref = np.repeat(np.arange(len(nodes)), sizes)
         block = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
@@ -89,11 +90,12 @@ def incidence(texts: DataFrame, blocks: int, seed: int, with_component: bool) ->
             if len(own):
                 used, refs = np.unique(ref[own], return_inverse=True)
                 # low bits, as the block itself tells the high ones
-                rows.append((b, nodes[used].tobytes(), groups[used].tobytes() if with_component else None, refs.astype(np.uint16).tobytes(), grams[own].astype(np.uint32).tobytes()))
+                more = (groups[used].tobytes(), scores[used].tobytes()) if with_component else (None, None)
+                rows.append((b, nodes[used].tobytes(), *more, refs.astype(np.uint16).tobytes(), grams[own].astype(np.uint32).tobytes()))
         if rows:
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))],
-                names=["block", "nodes", "groups", "refs", "grams"],
+                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))],
+                names=["block", "nodes", "groups", "scores", "refs", "grams"],
             )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -103,63 +105,63 @@ def incidence(texts: DataFrame, blocks: int, seed: int, with_component: bool) ->
             for i, j in W.chunks(offsets):
                 grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 nodes = _nodes(grams, bounds, seed)
-                groups = batch.column("component").slice(i, j - i).to_numpy() if with_component else nodes
+                groups, scores = (batch.column(c).slice(i, j - i).to_numpy() for c in ("component", "score")) if with_component else (nodes, nodes)
                 for a in range(0, j - i, 30_000):  # references are 16 bits wide
                     z = min(a + 30_000, j - i)
                     if rows + z - a > 60_000 or held > BATCH_BYTES:
                         yield from pack(parts)
                         parts, held, rows = [], 0, 0
-                    parts.append((grams[bounds[a] : bounds[z]], np.diff(bounds[a : z + 1]), nodes[a:z], groups[a:z]))
+                    parts.append((grams[bounds[a] : bounds[z]], np.diff(bounds[a : z + 1]), nodes[a:z], groups[a:z], scores[a:z].astype(np.float32)))
                     rows += z - a
                 held += int(offsets[j] - offsets[i])
         if parts:
             yield from pack(parts)
 
     return map_arrow(
-        texts.select("text", *(["component"] if with_component else [])), of, "block int, nodes binary, groups binary, refs binary, grams binary"
+        texts.select("text", *(["component", "score"] if with_component else [])), of, "block int, nodes binary, groups binary, scores binary, refs binary, grams binary"
     )
 
 
 def _product(table: pa.Table) -> pa.Table:
-    """One column block: rows (node, null, columns it shares with another group) and (first node, node, sampled columns they share)."""
-    nodes, groups, grams = [], [], []
-    for n, g, r, x in zip(*(table.column(c) for c in ("nodes", "groups", "refs", "grams")), strict=True):
+    """One column block: rows (node, null, columns it shares with another group, sum of their log sizes) and (leader, node, sampled columns they share, 0)."""
+    nodes, groups, scores, grams = [], [], [], []
+    for n, g, s, r, x in zip(*(table.column(c) for c in ("nodes", "groups", "scores", "refs", "grams")), strict=True):
         ref, own = np.frombuffer(r.as_py(), np.uint16), np.frombuffer(n.as_py(), np.int64)
         nodes.append(own[ref])
         groups.append(np.frombuffer(g.as_py(), np.int64)[ref] if g.is_valid else nodes[-1])
+        scores.append(np.frombuffer(s.as_py(), np.float32)[ref] if s.is_valid else np.zeros(len(ref), np.float32))
         grams.append(np.frombuffer(x.as_py(), np.uint32))
-    node, group, gram = np.concatenate(nodes), np.concatenate(groups), np.concatenate(grams)
-    order = np.lexsort((node, group, gram))
+    node, group, score, gram = map(np.concatenate, (nodes, groups, scores, grams))
+    order = np.lexsort((node, -score, gram))
     node, group, gram = node[order], group[order], gram[order]
     new = np.ones(len(node), bool)
     new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
     node, group, gram = node[new], group[new], gram[new]  # copies are one node
     start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    column = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(gram))))
-    several = np.zeros(len(start), bool)
-    np.logical_or.at(several, column[1:], (column[1:] == column[:-1]) & (group[1:] != group[:-1]))
-    shared = several[column]
-    a, counts = np.unique(node[shared], return_counts=True)
-    first = start[column]
-    star = np.flatnonzero(shared & (gram % 8 == 0) & (group != group[first]))
-    pairs = np.stack([node[first[star]], node[star]], 1)
+    size = np.diff(np.append(start, len(gram)))
+    several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+    shared = np.repeat(several, size)
+    a, place, counts = np.unique(node[shared], return_inverse=True, return_counts=True)
+    weight = np.bincount(place, np.log2(np.repeat(size, size)[shared]), minlength=len(a))
+    leader = np.repeat(start, size)
+    star = np.flatnonzero(shared & (gram % 8 == 0) & (group != group[leader])) if table.column("groups").null_count == 0 else np.zeros(0, np.int64)
+    pairs = np.stack([node[leader[star]], node[star]], 1)
     order = np.lexsort((pairs[:, 1], pairs[:, 0]))
     pairs = pairs[order]
     cut = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.zeros(0, np.int64)
     sums = np.diff(np.append(cut, len(pairs)))
     return pa.table(
         {
-            "a": pa.array(np.concatenate([a, pairs[cut, 0]])),
-            "b": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(pairs[cut, 1])]),
-            "n": pa.array(np.concatenate([counts, sums]).astype(np.int64)),
+            "a": pa.array(np.concatenate([a, pairs[cut, 0]])), "b": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(pairs[cut, 1])]),
+            "n": pa.array(np.concatenate([counts, sums]).astype(np.int64)), "w": pa.array(np.concatenate([weight, np.zeros(len(cut))])),
         }
-    )
+    )
 
 
 def multiplied(texts: DataFrame, blocks: int, seed: int, with_component: bool = False) -> DataFrame:
-    """a, b, n summed over the blocks: see _product."""
-    parts = incidence(texts, blocks, seed, with_component).groupBy("block").applyInArrow(_product, "a bigint, b bigint, n bigint")
-    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"))
+    """a, b, n, w summed over the blocks: see _product."""
+    parts = incidence(texts, blocks, seed, with_component).groupBy("block").applyInArrow(_product, "a bigint, b bigint, n bigint, w double")
+    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 
 def verified_stars(texts: DataFrame, best: DataFrame, members_per_part: int = 500) -> DataFrame:
@@ -241,7 +243,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     shingles and are linked with nothing. Rows with a null id take part; their component is null only if it
     holds no id. Equal texts are one node, however many; nothing is capped. Empty tables give no rows.
     """
-    shipped(docs.sparkSession)
+    spark = docs.sparkSession
+    shipped(spark)
     for seed in range(8):
         light = staged(sketched(docs, seed), "join-light")
         nodes = staged(
@@ -256,26 +259,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     blocks = max(64, math.ceil(total / 2_000_000))
     product = staged(multiplied(docs, blocks, seed), "join-product")
     enough = F.col("shared") * 100 >= F.col("n") * SHARE
-    alive = staged(
-        product.filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared")).join(nodes.select("node", "doc_id", "n"), "node").filter(enough),
-        "join-alive",
-    )
+    counted = lambda df: df.filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared"), F.col("w"))
+    alive = staged(counted(product).join(nodes.select("node", "doc_id", "n"), "node").filter(enough).withColumn("score", F.col("w") / F.col("n")), "join-alive")
     texts = staged(_texts(docs, alive, seed), "join-texts")
-    key = alive.select("node", "n")
-    best = (
-        product.filter("b IS NOT NULL").withColumnRenamed("n", "m")
-        .join(key.toDF("a", "na"), "a").join(key.toDF("b", "nb"), "b")
-        .filter((F.col("na") * 100 >= F.col("nb") * SHARE) & (F.col("nb") * 100 >= F.col("na") * SHARE))
-        .groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
-    )
-    stars = staged(verified_stars(texts, staged(best, "join-best")), "join-stars")
-    label = components(stars)
-    texts = texts.join(label, "node", "left").select("node", "text", "n", F.coalesce("label", "node").alias("component"))
-    texts = staged(texts, "join-texts-2")
-    again = multiplied(texts, blocks, seed, with_component=True).filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared"))
-    left = texts.join(again, "node").filter(enough)
-    links = stars.unionByName(exact_links(left)) if left.head(1) else stars
-    label = components(links) if links is not stars else label
+    links, label = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, label bigint")
+    for i in range(ROUNDS):
+        product = staged(multiplied(_with_component(texts, label), blocks, seed, with_component=True), f"join-product-{i}")
+        live = staged(counted(product).join(alive.select("node", "n"), "node").filter(enough).select("node", "n"), f"join-live-{i}")
+        best = (
+            product.filter("b IS NOT NULL").withColumnRenamed("n", "m")
+            .join(live.toDF("a", "na"), "a").join(live.toDF("b", "nb"), "b")
+            .filter((F.col("na") * 100 >= F.col("nb") * SHARE) & (F.col("nb") * 100 >= F.col("na") * SHARE))
+            .groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
+        )
+        links = staged(links.unionByName(verified_stars(texts, staged(best, f"join-best-{i}"))), f"join-links-{i}")
+        label = components(links)
+        texts = texts.join(live.select("node"), "node", "left_semi")
+    links = links.unionByName(exact_links(_with_component(texts, label)))
+    label = components(links)
     member = nodes.select("node", "doc_id").join(label, "node")
     low = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = nodes.select("node", F.col("doc_id").alias("own_id")).join(member.drop("doc_id").join(low, "label").select("node", "component_id"), "node", "left")
@@ -284,8 +285,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _with_component(texts: DataFrame, label: DataFrame) -> DataFrame:
+    return texts.join(label, "node", "left").select("node", "n", "score", "text", F.coalesce("label", "node").alias("component"))
+
+
 def _texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """node, n, text of the given nodes: the text of the row that stands for each."""
+    """node, n, score, text of the given nodes: the text of the row that stands for each."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -297,9 +302,8 @@ def _texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 keep[i:j] = _nodes(grams, bounds, seed) == wanted[i:j]
             yield batch.filter(pa.array(keep))
 
-    rows = docs.select(F.col("doc_id").alias("its"), "text").join(nodes.select("node", "doc_id", "n"), F.col("its").eqNullSafe(F.col("doc_id")))
-    rows = map_arrow(rows.select("node", "n", "text"), of, "node bigint, n bigint, text string")
-    return rows  # an id that repeats gives equal rows, which later steps count once
+    rows = docs.select(F.col("doc_id").alias("its"), "text").join(nodes.select("node", "doc_id", "n", "score"), F.col("its").eqNullSafe(F.col("doc_id")))
+    return map_arrow(rows.select("node", "n", "score", "text"), of, "node bigint, n bigint, score double, text string")  # an id that repeats gives equal rows, which later steps count once
 
 
 def keep_one(docs: DataFrame) -> DataFrame:

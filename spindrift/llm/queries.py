@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extract, language_id, license_scan, ngram_join, quality, source_mix, substring_dedup
+from . import decontamination, exact_dedup, html_extract, language_id, license_scan, ngram_join, quality, source_mix, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": source_mix.op1_source_mix,
     "op2_html_extract": html_extract.op2_html_extract,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_quality": quality.op4_quality,
+    "op5_token_counts": token_counts.op5_token_counts,
     "op6_substring_dedup": substring_dedup.op6_substring_dedup,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
     "op8_language_id": language_id.op8_language_id,

@@ -178,6 +178,7 @@ def _of_rows(values: pa.Array, rows: np.ndarray, found: np.ndarray, first: int)
 
 def _run_entries(batch, i, j, data, offsets):
     row, start, last, sample = S.runs(data, offsets)
+    sample = W.mix(sample)  # least hashes crowd near zero; mixed again they are even over the blocks
     return row, sample, _contents(data, start, last) if len(start) else sample
 
 
