@@ -71,7 +71,7 @@ class Automaton:
         bad, live = np.zeros(n, bool), np.arange(n)
         while len(live):
             done = at[live] > ends[live]
-            symbol = np.where(at[live] < ends[live], data[np.minimum(at[live], len(data) - 1)], END)
+            symbol = np.where(at[live] < ends[live], data[np.minimum(at[live], len(data) - 1)].astype(np.int64), END)
             after = np.where(done, -1, self.step(node[live], symbol))
             moved = after >= 0
             node[live[moved]] = after[moved]
