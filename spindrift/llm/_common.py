@@ -47,6 +47,17 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that staged() wrote and nothing reads any more; shuffle files without readers go as well."""
+    for df in tables:
+        jvm, hadoop = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(hadoop).delete(path, True)
+    for session in {df.sparkSession for df in tables}:
+        session._jvm.System.gc()  # the cleaner drops shuffles whose references the driver has collected
+
+
 def ascii_words(text: Column) -> Column:
     """Number of words `[^\\x20\\x09-\\x0D]+`; null counts 0.
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import discard, staged
 
 
 def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
@@ -22,10 +22,12 @@ def components(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
         own = state.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("label"))
         jump = state.select(F.col("node").alias("label"), F.col("label").alias("next"))
         own = own.join(jump, "label", "left").select("node", "was", F.least(F.col("label"), F.col("next")).alias("label"))
-        state = staged(own, f"cc-{i}")
+        before, state = state, staged(own, f"cc-{i}")
+        discard(before)
         if not state.filter("label <> was").head(1):
             break
         state = state.drop("was")
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    discard(both)
     return state.select("node", "label")

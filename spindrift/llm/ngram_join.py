@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import map_arrow, shipped, staged
+from ._common import discard, map_arrow, shipped, staged
 from .components import components
 
 K = 5
@@ -261,7 +261,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     enough = F.col("shared") * 100 >= F.col("n") * SHARE
     counted = lambda df: df.filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared"), F.col("w"))
     alive = staged(counted(product).join(nodes.select("node", "doc_id", "n"), "node").filter(enough).withColumn("score", F.col("w") / F.col("n")), "join-alive")
-    texts = staged(_texts(docs, alive, seed), "join-texts")
+    texts = whole = staged(_texts(docs, alive, seed), "join-texts")
+    discard(product)
     links, label = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, label bigint")
     for i in range(ROUNDS):
         product = staged(multiplied(_with_component(texts, label), blocks, seed, with_component=True), f"join-product-{i}")
@@ -272,10 +273,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
             .filter((F.col("na") * 100 >= F.col("nb") * SHARE) & (F.col("nb") * 100 >= F.col("na") * SHARE))
             .groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
         )
-        links = staged(links.unionByName(verified_stars(texts, staged(best, f"join-best-{i}"))), f"join-links-{i}")
+        best = staged(best, f"join-best-{i}")
+        discard(product)
+        links = staged(links.unionByName(verified_stars(texts, best)), f"join-links-{i}")
+        discard(best)
         label = components(links)
         texts = texts.join(live.select("node"), "node", "left_semi")
     links = links.unionByName(exact_links(_with_component(texts, label)))
+    discard(whole)  # exact_links has written the sets it needs
     label = components(links)
     member = nodes.select("node", "doc_id").join(label, "node")
     low = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
