@@ -343,7 +343,7 @@ WITH {_VOTES_SQL} SELECT CAST(p_partkey AS VARCHAR) AS doc_id, round(p_retailpri
 FROM part LEFT JOIN net ON net.doc_id = CAST(p_partkey AS VARCHAR) WHERE p_partkey < 200
 """)
 def feedback_rerank(spark, sf_dir):
-    ranked = table(spark, sf_dir, "part").filter("p_partkey < 200").select(F.col("p_partkey").cast("string").alias("doc_id"), (F.col("p_retailprice") / 100000).alias("score"), F.col("p_partkey").alias("rank"))
+    ranked = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), (F.col("p_retailprice") / 100000).alias("score"), F.col("p_partkey").alias("rank"))
     net = feedback.source_scores(_votes(spark, sf_dir), F.lit(NOW).cast("timestamp"))
     return feedback.reranked(ranked, net).select("doc_id", F.round("score", 6).alias("score"))
 
