@@ -21,6 +21,18 @@ def keyword_relevance(results: DataFrame, text: Column) -> DataFrame:
     return results.withColumn("n_keywords", found).withColumn("relevant", F.col("n_keywords") >= F.greatest(F.lit(1), F.floor(F.size("keywords") / 2)))
 
 
+def keyword_by_query(results: DataFrame, text: Column, keys: list[str]) -> DataFrame:
+    """keys, hit (at least half of the keywords, and one, stand in any of the results), rr of the first result with a keyword, precision: results with one."""
+    low = F.lower(text)
+    rows = results.withColumn("_found", F.filter("keywords", lambda k: low.contains(F.lower(k))))
+    some = F.size("_found") > 0
+    found = F.size(F.array_distinct(F.flatten(F.collect_list("_found"))))
+    return rows.groupBy(*keys).agg(
+        (found >= F.greatest(F.lit(1), F.floor(F.max(F.size("keywords")) / 2))).cast("int").alias("hit"),
+        F.coalesce(F.try_divide(F.lit(1.0), F.min(F.when(some, F.col("rank")))), F.lit(0.0)).alias("rr"), F.avg(some.cast("double")).alias("precision"),
+    )
+
+
 def macro(scored: DataFrame, category: str = "category") -> DataFrame:
     """Means by category and, with a null category, overall."""
     return scored.rollup(category).agg(

@@ -572,15 +572,27 @@ def version_diff(spark, sf_dir):
 # Evaluation, reports and rendering beyond the above.
 
 
+def _found_by_item(spark, sf_dir):
+    """The documents found for each benchmark item, whole, with its first five words as keywords; and those of all items."""
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(retrieval.tokens(F.col("text")), 1, 5).alias("keywords"))
+    top = tfidf_topk_benchmark(spark, sf_dir).withColumnRenamed("qid", "item_id")
+    return top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(words, "item_id"), words
+
+
 @query("""
 WITH k AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), 1, 5) AS words FROM benchmark),
 s AS (SELECT doc_id, item_id, len(list_filter(words, lambda w: contains(lower(text), w))) AS n, len(words) AS m FROM documents JOIN k ON doc_id % 40 = item_id)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_keywords, n >= greatest(1, m // 2) AS relevant FROM s
 """)
 def keyword_relevance(spark, sf_dir):
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(retrieval.tokens(F.col("text")), 1, 5).alias("keywords"))
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("item_id", F.col("doc_id") % 40).join(words, "item_id")
-    return evaluation.keyword_relevance(rows, F.col("text")).select("doc_id", "item_id", "n_keywords", "relevant")
+    return evaluation.keyword_relevance(_found_by_item(spark, sf_dir)[0], F.col("text")).select("doc_id", "item_id", "n_keywords", "relevant")
+
+
+@query()
+def keyword_eval_hit_mrr_p(spark, sf_dir):
+    found, words = _found_by_item(spark, sf_dir)
+    scored = words.select("item_id").join(evaluation.keyword_by_query(found, F.col("text"), ["item_id"]), "item_id", "left").fillna(0, ["hit", "rr", "precision"])
+    return evaluation.macro(scored.withColumn("category", F.lit("benchmark")))
 
 
 @query("""

@@ -1,7 +1,9 @@
 """Registered queries over whole tables: no rows of theirs are left out."""
 
+import pytest
 from comparing import of_sql, rows
 
+from spindrift.operators import evaluation
 from spindrift.plans import catalog
 
 SF01 = "/root/testdata/sf0.01"
@@ -14,3 +16,32 @@ def test_rerank_of_every_part(spark):
     )
     assert len(want) > 200
     assert rows(catalog.feedback_rerank(spark, SF01).toPandas()) == rows(want)
+
+
+@pytest.fixture
+def searched(spark, tmp_path):
+    """45 items, each with a word of its own that one document holds; the last item finds nothing."""
+    items = [(i, f"word{i} common other{i}") for i in range(44)] + [(44, "nowhere")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = [(1000 + i, f"Word{i} and OTHER{i}") for i in range(44)] + [(2000, "common")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_every_item_is_judged_on_what_it_finds(spark, searched):
+    got = {(r["item_id"], r["doc_id"]): (r["n_keywords"], r["relevant"]) for r in catalog.keyword_relevance(spark, searched).collect()}
+    assert got == {(i, 1000 + i): (2, True) for i in range(44)} | {(i, 2000): (1, True) for i in range(44)}
+    total = next(r for r in catalog.keyword_eval_hit_mrr_p(spark, searched).collect() if r["category"] is None)
+    assert (total["n"], total["hit_rate"], total["mrr"]) == (45, round(44 / 45, 6), round(44 / 45, 6))
+
+
+def test_judged_pairs_are_the_search_results(spark):
+    got = {(r["item_id"], r["doc_id"]) for r in catalog.keyword_relevance(spark, SF01).collect()}
+    found = {(q, d) for q, d in of_sql(catalog.ORACLES["tfidf_topk_benchmark"], SF01)[["qid", "doc_id"]].itertuples(index=False)}
+    assert got == found
+
+
+def test_keywords_of_a_query_count_over_its_results(spark):
+    rows = [(1, 1, "none", ["a1", "b1", "c1", "d1"]), (1, 2, "A1", ["a1", "b1", "c1", "d1"]), (1, 3, "b1 x", ["a1", "b1", "c1", "d1"]), (2, 1, "x", ["a1"])]
+    got = evaluation.keyword_by_query(spark.createDataFrame(rows, "q long, rank int, text string, keywords array<string>"), catalog.F.col("text"), ["q"])
+    assert {r["q"]: (r["hit"], r["rr"], round(r["precision"], 6)) for r in got.collect()} == {1: (1, 0.5, 0.666667), 2: (0, 0.0, 0.0)}
