@@ -292,7 +292,7 @@ SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS pla
 """)
 def filter_pool_then_filter(spark, sf_dir):
     k = 5
-    top, _, _ = _ranked(spark, sf_dir, retrieval.pool_size(k, attribute_filters=True, other_filters=False, with_feedback=False) // 2)
+    top, _, _ = _ranked(spark, sf_dir, retrieval.pool_size(k, attribute_filters=True, other_filters=False, with_feedback=False))
     wanted = F.col("doc_id") % 7 == 0
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
     return retrieval.filter_ladder(top, wanted, wanted, "qid").withColumn("place", place).filter(F.col("place") <= k).select("qid", "doc_id", "rank", "place")

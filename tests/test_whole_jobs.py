@@ -1,5 +1,7 @@
 """Registered queries over whole tables: no rows of theirs are left out."""
 
+import math
+
 import pytest
 from comparing import of_sql, rows
 
@@ -45,3 +47,13 @@ def test_keywords_of_a_query_count_over_its_results(spark):
     rows = [(1, 1, "none", ["a1", "b1", "c1", "d1"]), (1, 2, "A1", ["a1", "b1", "c1", "d1"]), (1, 3, "b1 x", ["a1", "b1", "c1", "d1"]), (2, 1, "x", ["a1"])]
     got = evaluation.keyword_by_query(spark.createDataFrame(rows, "q long, rank int, text string, keywords array<string>"), catalog.F.col("text"), ["q"])
     assert {r["q"]: (r["hit"], r["rr"], round(r["precision"], 6)) for r in got.collect()} == {1: (1, 0.5, 0.666667), 2: (0, 0.0, 0.0)}
+
+
+def test_pool_reaches_rank_200(spark, tmp_path):
+    """Vectors turn away from query 0 by their place; multiples of 7, which match, stand at ranks 150 and 160 only."""
+    others = [i for i in range(1, 400) if i % 7 and i % 50][:230]
+    order = [0, *others[:149], 7, *others[149:158], 14, *others[158:]]
+    data = [(i, [math.cos(n / 200), math.sin(n / 200)], 0) for n, i in enumerate(order)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = [(r["doc_id"], r["rank"], r["place"]) for r in catalog.filter_pool_then_filter(spark, str(tmp_path)).orderBy("place").collect()]
+    assert got == [(7, 150, 1), (14, 160, 2)]
