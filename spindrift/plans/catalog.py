@@ -363,12 +363,12 @@ SELECT qid, doc_id, score FROM r WHERE rank <= 2 AND score >= 0.15
 """)
 def fewshot_pick(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    good = docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").filter(F.length("text") >= 200)
-    own = retrieval.term_counts(good.withColumn("query", F.trim(F.substring("text", 1, 60))), "doc_id", "query")
+    good = docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").filter((F.length("text") >= 200) & (X.cleaned(F.col("text")) != ""))
+    own = retrieval.term_counts(good, "doc_id", "text")
     asked = retrieval.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    even = lambda c: c.join(c.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")), "doc_id").select("doc_id", "term", (1 / F.sqrt("n")).alias("w"))
-    scores = retrieval.sparse_scores(even(asked), even(own)).withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scores, 2).filter("score >= 0.15").select("qid", "doc_id", "score")
+    terms = retrieval.vocabulary(own, good.count(), most=4096)
+    scores = retrieval.sparse_scores(retrieval.weighted(asked, terms, sublinear=False), retrieval.weighted(own, terms, sublinear=False))
+    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 2).filter("score >= 0.15").select("qid", "doc_id", "score")
 
 
 # Conversations.

@@ -1,6 +1,8 @@
 """Registered queries over whole tables: no rows of theirs are left out."""
 
 import math
+import re
+from collections import Counter
 
 import pytest
 from comparing import of_sql, rows
@@ -57,3 +59,45 @@ def test_pool_reaches_rank_200(spark, tmp_path):
     spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = [(r["doc_id"], r["rank"], r["place"]) for r in catalog.filter_pool_then_filter(spark, str(tmp_path)).orderBy("place").collect()]
     assert got == [(7, 150, 1), (14, 160, 2)]
+
+
+def brute_picks(examples, asked):
+    """(query, example, score): the two nearest by cosine of tf * idf over the 4,096 most frequent words, from 0.15 on."""
+    words = lambda t: re.findall(r"\w{2,}", (t or "").lower())
+    counts = {d: Counter(words(t)) for d, t in examples}
+    cf, df = Counter(), Counter()
+    for c in counts.values():
+        cf.update(c)
+        df.update(c.keys())
+    kept = sorted(cf, key=lambda t: (-cf[t], t))[:4096]
+    idf = {t: math.log((1 + len(counts)) / (1 + df[t])) + 1 for t in kept}
+
+    def unit(c):
+        w = {t: n * idf[t] for t, n in c.items() if t in idf}
+        norm = math.sqrt(sum(x * x for x in w.values()))
+        return {t: x / norm for t, x in w.items()}
+
+    own, out = {d: unit(c) for d, c in counts.items()}, []
+    for q, text in asked:
+        w = unit(Counter(words(text)))
+        best = sorted((-round(sum(x * own[d].get(t, 0.0) for t, x in w.items()), 6), d) for d in own)[:2]
+        out += [(q, d, -s) for s, d in best if -s >= 0.15]
+    return sorted(out)
+
+
+def test_examples_match_on_late_words(spark, tmp_path):
+    docs = [(1, "filler " * 40 + "palbociclib"), (2, "other words " * 30), (3, "palbociclib " + "bad " * 60)]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(1, 1, 0), (2, 1, 0), (3, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    asked = [(5, "palbociclib filler"), (6, "unknown")]
+    spark.createDataFrame(asked, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = sorted(tuple(r) for r in catalog.fewshot_pick(spark, str(tmp_path)).collect())
+    assert got == brute_picks(docs[:2], asked) and [r[:2] for r in got] == [(5, 1)]
+
+
+def test_examples_equal_brute_force(spark):
+    of = lambda sql: [tuple(r) for r in of_sql(sql, SF01).itertuples(index=False)]
+    examples = of("SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND length(text) >= 200")
+    want = brute_picks(examples, of("SELECT item_id, text FROM benchmark"))
+    got = sorted(tuple(r) for r in catalog.fewshot_pick(spark, SF01).collect())
+    assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
