@@ -30,8 +30,10 @@ NOISE = re.compile(
     r"navigation|newsletter|notices?|notification|pager|pagination|popup|privacy|promo|promotion|promoted|recommended|related|replies|reply|"
     r"respond|search|share|sharing|shoutbox|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget)(?![a-z])"
 )
+#: Names of an article that is a reader's comment; a word within another name (comments-open) doesn't make one.
+COMMENT = re.compile(r"(?:^|\s)(?:(?:div-)?comments?(?:-(?:area|body|content|item|list|wrapper|\d+))?|commentlist|replies|reply)(?:\s|$)")
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|name|href)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 FEATURES = ("place", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
 
 #: Labelled blocks: place (1 in article or main, -1 in a part that its tag or class names as boilerplate, 0 elsewhere), words and
@@ -104,7 +106,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
     facts: list[tuple[int, int, float]] = []  # place, words, link density
     pieces: list[str] = []
     linked = in_link = 0
-    stack: list[tuple[str, int]] = []  # open elements with their place
+    stack: list[tuple[str, int, bool]] = []  # open elements with their place and whether they are links
     place = 0
 
     def flush() -> None:
@@ -145,30 +147,36 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         if tag[1]:
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i][0] == name:
-                    if name == "a":
-                        in_link = max(0, in_link - 1)
                     del stack[i:]
+                    in_link = sum(e[2] for e in stack)
                     place = stack[-1][1] if stack else 0
                     break
-        elif name == "a":
-            in_link += 1
-            stack.append((name, place))
+        elif name == "a":  # closes an open one; a name without an address marks a place and is no link
+            stack = [e for e in stack if e[0] != "a"]
+            named = {m[1].lower() for m in ATTRIBUTE.finditer(tag[3])}
+            stack.append((name, place, "href" in named or "name" not in named))
+            in_link = int(stack[-1][2])
         elif name not in VOID:
             if name in ("p", "li", "option", "dt", "dd", "tr"):  # these close the one before them
                 if stack and stack[-1][0] == name:
                     stack.pop()
                     place = stack[-1][1] if stack else 0
             named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(tag[3])}
+            role, own_names = named.get("role", ""), " ".join(named.get(k, "") for k in ("class", "id")).replace("_", "-")
+            if name in CONTENT:  # words of their class or id don't make them boilerplate, but for comments
+                noise = NOISE.search(role) or name == "article" and COMMENT.search(own_names)
+            else:
+                noise = name not in ("html", "body") and NOISE.search(f"{own_names} {role}".replace("_", "-"))
             noisy = (
                 name in SKIPPED or name == "header" and place < 1 or "hidden" in named or named.get("aria-hidden") == "true"
                 or "display:none" in named.get("style", "").replace(" ", "")
-                or name not in ("html", "body") and bool(NOISE.search(" ".join(named.get(k, "") for k in ("class", "id", "role")).replace("_", "-")))
+                or bool(noise)
             )
             if noisy:
                 place = -1
-            elif name in CONTENT and not any(p < 0 and n in ("section", "article", "ol", "ul", "aside") for n, p in stack):
+            elif name in CONTENT and not any(p < 0 and n in ("section", "article", "ol", "ul", "aside") for n, p, _ in stack):
                 place = 1
-            stack.append((name, place))
+            stack.append((name, place, False))
     flush()
     own = np.array(facts, float).reshape(-1, 3)
     near = np.zeros((len(own) + 2, 2))
