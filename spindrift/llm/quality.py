@@ -18,13 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import crc_bucket, map_arrow
+from ._common import crc_bucket, map_arrow, staged
 
 _b = np.arange(256)
 _CLASSES = {
     "upper": (_b >= 65) & (_b <= 90), "lower": (_b >= 97) & (_b <= 122), "digit": (_b >= 48) & (_b <= 57), "high": _b >= 128,
     "blank": W.BLANKS, "line": _b == 10, "stop": np.isin(_b, [ord(c) for c in ".,;:"]), "mark": np.isin(_b, [ord(c) for c in "!?"]),
-    "symbol": W.NON_ALNUM & ~W.BLANKS & ~np.isin(_b, [ord(c) for c in ".,;:!?'\"()-"]),
+    "symbol": W.NON_ALNUM & ~((_b >= 65) & (_b <= 90)) & ~W.BLANKS & ~np.isin(_b, [ord(c) for c in ".,;:!?'\"()-"]),
 }
 STATISTICS = (
     "upper", "digit", "high", "blank", "line", "stop", "mark", "symbol", "word_length", "distinct", "same_next", "same_third", "same_fifth",
@@ -76,10 +76,24 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return out
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, np.ndarray]]:
-    data, offsets = W.text_bytes(batch.column("text"))
-    for i, j in W.chunks(offsets):
-        yield i, j, statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+def described(docs: DataFrame) -> DataFrame:
+    """All columns of docs but text, + statistics (see statistics()); an own column of that name is replaced. Texts are read here only, so no later step shuffles them."""
+    kept = [c for c in docs.columns if c not in ("text", "statistics")]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = W.text_bytes(batch.column("text"))
+            for i, j in W.chunks(offsets):
+                x = statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                lists = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in kept), lists], names=[*kept, "statistics"])
+
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in kept)
+    return map_arrow(docs.select(*kept, "text"), of, f"{kinds}statistics array<double>")
+
+
+def _matrix(batch: pa.RecordBatch) -> np.ndarray:
+    return batch.column("statistics").flatten().to_numpy().reshape(batch.num_rows, len(STATISTICS) + 1)
 
 
 @dataclass
@@ -122,27 +136,26 @@ def discriminant(n: np.ndarray, sums: np.ndarray, products: np.ndarray, to_poole
 
 
 def fit(labelled: DataFrame) -> Model | None:
-    """From all rows (text, quality) with quality 0 or 1. None unless both classes have rows.
+    """From all rows (statistics, quality) with quality 0 or 1. None unless both classes have rows.
 
-    Each task sends one row of sums per class and Arrow batch, the driver gets two rows.
+    Each task sends one row of sums per class, the driver gets two rows.
     """
     d = len(STATISTICS) + 1
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, sums = np.zeros(2), np.zeros((2, d + d * d))
         for batch in batches:
-            label = np.asarray(batch.column("quality").to_numpy(zero_copy_only=False)).astype(int)
-            for i, j, x in _chunks(batch):
-                for k in (0, 1):
-                    own = x[label[i:j] == k]
-                    n[k] += len(own)
-                    sums[k] += np.concatenate([own.sum(0), (own.T @ own).ravel()])
+            label, x = batch.column("quality").to_numpy(), _matrix(batch)
+            for k in (0, 1):
+                own = x[label == k]
+                n[k] += len(own)
+                sums[k] += np.concatenate([own.sum(0), (own.T @ own).ravel()])
         for k in np.flatnonzero(n):
             yield pa.RecordBatch.from_arrays(
                 [pa.array([int(k)], pa.int32()), pa.array([float(n[k])]), pa.array([sums[k].tolist()], pa.list_(pa.float64()))], names=["quality", "n", "sums"]
             )
 
-    rows = labelled.filter("quality IN (0, 1)").select("text", F.col("quality").cast("int").alias("quality"))
+    rows = labelled.filter("quality IN (0, 1)").select("statistics", F.col("quality").cast("int").alias("quality"))
     parts = map_arrow(rows, of, "quality int, n double, sums array<double>")
     wide = parts.groupBy("quality").agg(F.sum("n").alias("n"), *[F.sum(F.col("sums")[i]).alias(f"s{i}") for i in range(d + d * d)])
     got = {r["quality"]: np.array(r[1:], float) for r in wide.collect()}
@@ -152,34 +165,40 @@ def fit(labelled: DataFrame) -> Model | None:
     return discriminant(both[:, 0], both[:, 1 : d + 1], both[:, d + 1 :].reshape(2, d, d))
 
 
-def score(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, + quality_score (an own column of this name is replaced); null texts count as empty. Without a model all score 0.5."""
-    kept = [c for c in docs.columns if c != "quality_score"]
+def score(rows: DataFrame, model: Model | None) -> DataFrame:
+    """All columns of rows (of described()) but statistics, + quality_score (an own column of this name is replaced).
+
+    Null and empty texts have statistics like all others: they score as typical ones. Without a model all score 0.5.
+    Each row is scored alone, so rows may repeat and have any id; a text counts whole, however long; equal texts have
+    equal scores; an empty table gives no rows.
+    """
+    kept = [c for c in rows.columns if c not in ("statistics", "quality_score")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = np.full(batch.num_rows, 0.5)
-            if model is not None:
-                for i, j, x in _chunks(batch):
-                    scores[i:j] = model.score(x)
+            scores = np.full(batch.num_rows, 0.5) if model is None else model.score(_matrix(batch))
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(scores)], names=[*kept, "quality_score"])
 
-    kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), of, f"{kinds}, quality_score double")
+    kinds = "".join(f"`{c}` {rows.schema[c].dataType.simpleString()}, " for c in kept)
+    return map_arrow(rows.select(*kept, "statistics"), of, f"{kinds}quality_score double")
 
 
-def learn(docs: DataFrame, labels: DataFrame) -> Model | None:
-    """The model of the labelled rows that are not held out; repeated labels of an id count once, the lowest."""
+def learn(rows: DataFrame, labels: DataFrame) -> Model | None:
+    """The model of the labelled rows (doc_id and statistics of described()) that are not held out.
+
+    Repeated labels of an id count once, the lowest; labels without an id or a quality don't count. The join is told to
+    be a sort-merge join, so its plan is the same at every size: it shuffles fourteen numbers a row.
+    """
     own = labels.filter(F.col("quality").isNotNull() & (crc_bucket(F.col("doc_id")) != 0)).groupBy(F.col("doc_id").alias("label_id")).agg(F.min("quality").alias("quality"))
-    rows = docs.select("doc_id", "text").join(own, F.col("doc_id") == F.col("label_id")).select("text", "quality")
-    return fit(rows)
+    found = rows.select("doc_id", "statistics").join(own.hint("merge"), F.col("doc_id") == F.col("label_id"))
+    return fit(found.select("statistics", "quality"))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str, threshold: float = 0.3) -> DataFrame:
     """doc_id, held_out, score, predicted; one row per row of documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs.select("doc_id", "text"), model).select(
+    rows = staged(described(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")), "quality-statistics")
+    model = learn(rows, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score(rows, model).select(
         "doc_id", (crc_bucket(F.col("doc_id")) == 0).alias("held_out"), F.col("quality_score").alias("score"),
         (F.col("quality_score") >= threshold).cast("int").alias("predicted"),
     )

@@ -41,13 +41,60 @@ def test_quality_held_out(spark):
 
 
 def test_quality_odd_rows(spark, frame, rows, odd_rows):
-    labels = spark.createDataFrame([(r[0], r[0] % 2, 0) for r in rows] + [(None, 1, 0), (1, None, 0)], "doc_id long, quality int, toxic int")
-    model = Q.learn(frame(rows), labels)
-    got = Q.score(frame(odd_rows, clashing=True), model).collect()
+    labels = spark.createDataFrame([(r[0], r[0] % 2, 0) for r in rows] + [(None, 1, 0), (1, None, 0), (2, 0, 0), (2, 1, 0)], "doc_id long, quality int, toxic int")
+    own = Q.described(frame(rows, clashing=True))
+    model = Q.learn(own, labels)
+    got = Q.score(Q.described(frame(odd_rows, clashing=True)), model).collect()
     assert len(got) == len(odd_rows) and all(0 <= r["quality_score"] <= 1 for r in got)
-    assert Q.learn(frame(rows), labels.limit(0)) is None
-    assert Q.score(frame(rows[:2]), None).head()["quality_score"] == 0.5
-    assert Q.score(frame([]), model).count() == 0
+    assert Q.learn(own, labels.limit(0)) is None and Q.learn(Q.described(frame([])), labels) is None
+    assert Q.score(Q.described(frame(rows[:2])), None).head()["quality_score"] == 0.5
+    assert Q.score(Q.described(frame([])), model).count() == 0
+
+
+def plain_statistics(text):
+    """One text's statistics and the weight they lack, byte by byte and word by word."""
+    raw = (text or "").encode()
+    if not raw:
+        return np.zeros(len(Q.STATISTICS)), 0.0
+    share = lambda test: sum(map(test, raw)) / len(raw)
+    upper, lower = share(lambda b: 65 <= b <= 90), share(lambda b: 97 <= b <= 122)
+    high, digit = share(lambda b: b >= 128), share(lambda b: 48 <= b <= 57)
+    blank, marks = b" \t\n\x0b\x0c\r", b".,;:!?'\"()-"
+    plain = lambda b: 48 <= b <= 57 or 65 <= b <= 90 or 97 <= b <= 122 or b >= 128
+    words = bytes(b + 32 if 65 <= b <= 90 else b for b in raw).split()
+    n = max(len(words), 1)
+    same = lambda k: sum(words[i] == words[i - k] for i in range(k, len(words))) / n
+    shares = [digit, high, share(lambda b: b in blank), share(lambda b: b == 10), share(lambda b: b in b".,;:"), share(lambda b: b in b"!?"), share(lambda b: not plain(b) and b not in blank + marks)]
+    x = [np.sqrt(upper / max(upper + lower + high, 1e-9)), *np.sqrt(shares), np.log1p(len(raw) / n), np.log1p(len(set(words))) / np.log1p(n), *(np.sqrt(same(k)) for k in (1, 3, 5))]
+    return np.array(x), len(raw) / (len(raw) + Q.PULL)
+
+
+def test_quality_against_plain_discriminant(spark, sf_dir):
+    """Scores against densities of shrunk covariances, with solved systems in place of cached factors."""
+    import zlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
+    labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    made = {d: plain_statistics(t) for d, t in docs}
+    learnt = [d for d in made if d in labels and zlib.crc32(str(d).encode()) % 5]
+    good = [d for d in learnt if labels[d] == 1]
+    typical = sum(w * x for x, w in map(made.get, good)) / sum(w for _, w in map(made.get, good))
+    full = {d: w * x + (1 - w) * typical for d, (x, w) in made.items()}
+    rows = np.stack([full[d] for d in learnt])
+    shift, scale = rows.mean(0), np.sqrt(np.maximum(rows.var(0), 1e-6))
+    z = {d: (x - shift) / scale for d, x in full.items()}
+    parts = [np.stack([z[d] for d in learnt if labels[d] == k]) for k in (0, 1)]
+    pooled = sum(np.cov(p.T, bias=True) * len(p) for p in parts) / len(learnt)
+    logs = []
+    for p in parts:
+        cov = 0.9 * np.cov(p.T, bias=True) + 0.1 * pooled
+        cov = 0.9 * cov + 0.1 * np.diag(np.diag(cov)) + 1e-3 * np.eye(len(cov))
+        gap = np.stack([z[d] for d, _ in docs]) - p.mean(0)
+        logs.append(np.log(len(p) / len(learnt)) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * (gap * np.linalg.solve(cov, gap.T).T).sum(1))
+    want = dict(zip([d for d, _ in docs], 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -60, 60))), strict=True))
+    got = Q.op4_quality(spark, sf_dir).collect()
+    assert len(got) == len(docs) and all(abs(r["score"] - want[r["doc_id"]]) < 1e-6 for r in got)
+    assert all(r["predicted"] == (r["score"] >= 0.3) and r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
 
 
 def test_held_out_rule(spark):
