@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -12,9 +13,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: spark.checkpoint.dir, or one of our own where that is unset."""
+    """Folder that driver and executors share: spark.checkpoint.dir. A local session may go without one and gets its own; a cluster may not."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="spindrift-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -48,14 +51,28 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Delete tables that staged() wrote and nothing reads any more; shuffle files without readers go as well."""
+    """Delete the folders of tables that staged() wrote and nothing reads any more."""
     for df in tables:
-        jvm, hadoop = df.sparkSession._jvm, df.sparkSession.sparkContext._jsc.hadoopConfiguration()
+        spark = df.sparkSession
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
         for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(hadoop).delete(path, True)
-    for session in {df.sparkSession for df in tables}:
-        session._jvm.System.gc()  # the cleaner drops shuffles whose references the driver has collected
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def without_ids(docs: DataFrame, ids: DataFrame, null_too: bool = False) -> DataFrame:
+    """The rows of docs whose doc_id is not in the one column of ids; null_too: a null there means the rows without an id."""
+    name = fresh(docs, "dropped_id")
+    own, its = F.col("doc_id"), F.col(name)
+    return docs.join(ids.toDF(name), own.eqNullSafe(its) if null_too else own == its, "left_anti")
 
 
 def ascii_words(text: Column) -> Column:

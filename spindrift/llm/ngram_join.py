@@ -1,19 +1,24 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-Documents with equal shingle sets are one node. The incidence matrix is dealt into column blocks by a hash of
-the n-gram, packed as arrays (4 bytes an n-gram, 2 a node reference), and each block is multiplied on its own:
-
-1. For each node, the columns it shares are counted over all blocks. A partner of similarity t must hold t of
-   a node's columns, so nodes that share fewer are discarded; most of a corpus goes here.
-2. Twice, each node is paired in an eighth of the columns with the column's leader only, the node whose columns
-   are the most common ones (the text that copies were made from), and overlaps are added up over the blocks;
-   every node is verified with its best such partner. This joins groups of near copies without their pairs.
-   Then nodes are discarded again by the columns they share with other components.
-3. What is left is joined in full: columns from rare to frequent, each node posts the prefix that a partner's
-   size bound leaves, pairs of different components that meet there are verified. So no link between
-   components is lost.
-
-Step 2 only saves work for step 3; step 3 alone would find all components.
+Documents with equal shingle sets are one node. The incidence matrix is dealt into column blocks by a hash of the
+n-gram and packed as arrays. Each block is multiplied on its own, and the counts of all blocks are added up:
+
+1. For each node, the columns it shares are counted. A partner of similarity t must hold t of a node's columns, so
+   nodes that share fewer are discarded; most of a corpus goes here. Only the texts of the others are read on.
+2. Twice, each node is multiplied with the leader of each of its columns: of the nodes of other components and of a
+   size that allows a link, the one whose columns are the most common ones (the text that copies were made from).
+   Overlaps of a pair are added up over the blocks. What is counted is part of the pair's overlap, so a pair whose count
+   reaches the bound is a link. This joins groups of near copies without their pairs. Then nodes are discarded again
+   by the columns they share with other components.
+3. What is left is multiplied in full: columns from rare to frequent, each node posts the prefix that a partner's size
+   bound leaves; the pairs of different components that meet there are counted, and discarded where the count and
+   all columns that are not posted stay below the bound; the exact overlaps of the rest are added up over the
+   blocks of a last product. So no link between components is lost.
+
+Step 2 only saves work for step 3; step 3 alone would find all components. A column that many nodes of one Arrow batch
+hold is folded before the shuffle: its cells are multiplied there and one entry is sent for them, so no n-gram, however
+common, sends more than a few cells of a batch to its block. Cells hold 48 bits of a n-gram's hash besides those
+that choose the block.
 """
 
 from __future__ import annotations
@@ -24,17 +29,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import discard, map_arrow, shipped, staged
+from ._common import discard, map_arrow, shipped, staged, without_ids
+from ._packing import packed, text_bytes
 from .components import components
 
 K = 5
 SHARE = 75  # per cent
 ROUNDS = 2
+FOLDED = 16  # nodes of a batch that share a column before it is folded
 BATCH_BYTES = 8 << 20
+BLOCK_CELLS = 2_000_000
+_LOW = np.uint64((1 << 48) - 1)
 
 
 def shingles(data: np.ndarray, offsets: np.ndarray, k: int = K) -> tuple[np.ndarray, np.ndarray]:
@@ -59,7 +68,7 @@ def _nodes(grams: np.ndarray, bounds: np.ndarray, seed: int) -> np.ndarray:
 
 
 def sketched(docs: DataFrame, seed: int) -> DataFrame:
-    """doc_id, n_shingles, node (hash of the set), check (another)."""
+    """doc_id, other (see _other), n_shingles, node (hash of the set), check (another)."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,173 +76,338 @@ def sketched(docs: DataFrame, seed: int) -> DataFrame:
             for i, j in W.chunks(offsets):
                 grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(bounds)), pa.array(_nodes(grams, bounds, seed)), pa.array(_nodes(grams, bounds, seed + 1000))],
-                    names=["doc_id", "n_shingles", "node", "check"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "other")), pa.array(np.diff(bounds)), pa.array(_nodes(grams, bounds, seed)), pa.array(_nodes(grams, bounds, seed + 1000))],
+                    names=["doc_id", "other", "n_shingles", "node", "check"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), of, f"doc_id {kind}, n_shingles bigint, node bigint, check bigint")
+    return map_arrow(docs.select("doc_id", _other(), "text"), of, f"doc_id {kind}, other bigint, n_shingles bigint, node bigint, check bigint")
 
 
-def incidence(texts: DataFrame, blocks: int, seed: int, with_component: bool) -> DataFrame:
-    """The matrix in packed column blocks: block, nodes, groups (components) and scores if asked for, refs, grams."""
+def _other() -> Column:
+    """What tells rows without an id apart: a hash of the text; 0 for all rows with one."""
+    return F.when(F.col("doc_id").isNull(), F.xxhash64("text")).otherwise(F.lit(0).cast("bigint")).alias("other")
 
-    def pack(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
-        grams, sizes, nodes, groups, scores = (np.concatenate([p[i] for p in parts]) for i in range(5))
+
+# Packed column blocks. A row holds the cells of one batch in one block: nodes with their numbers of cells and their facts
+# (component, score, size, partners), then the cells' grams, node after node; marks stand for folded columns; sums are
+# counts that the batch has settled by itself.
+BLOCK = "block int, nodes binary, cells binary, facts binary, low binary, high binary, marks binary, sums binary"
+FACT = np.dtype([("group", np.int64), ("score", np.float32), ("size", np.int32)])
+MARK = np.dtype([("gram", np.uint64), ("node", np.int64), ("count", np.int64), ("mixed", np.bool_), *FACT.descr])
+SUM = np.dtype([("a", np.int64), ("b", np.int64), ("n", np.int64), ("w", np.float64), ("na", np.int64), ("nb", np.int64)])
+SUMS = "a bigint, b bigint, n bigint, w double, na bigint, nb bigint"
+ALONE = np.int64(-(2**63))  # stands for b in sums of one node
+
+
+def _added(sums: np.ndarray) -> np.ndarray:
+    """SUM rows with n and w added up by a and b."""
+    if not len(sums):
+        return sums
+    sums = sums[np.lexsort((sums["b"], sums["a"]))]
+    first = np.flatnonzero(np.concatenate([[True], (sums["a"][1:] != sums["a"][:-1]) | (sums["b"][1:] != sums["b"][:-1])]))
+    out = sums[first]
+    out["n"], out["w"] = np.add.reduceat(sums["n"], first), np.add.reduceat(sums["w"], first)
+    return out
+
+
+def _single(node: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """SUM rows of nodes that share a column, with the log of how many share it."""
+    out = np.zeros(len(node), SUM)
+    out["a"], out["b"], out["n"], out["w"] = node, ALONE, 1, weight
+    return out
+
+
+def _size_class(size: np.ndarray, shift: float) -> np.ndarray:
+    """Sizes of one class allow a link; each round shifts the bounds of the classes."""
+    return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / SHARE) + shift).astype(np.int64)
+
+
+def _led(gram: np.ndarray, node: np.ndarray, fact: np.ndarray, kind: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+    """SUM rows (leader, node) of entries sorted by gram, size class and rank: one for each node whose column is led by another component's node.
+
+    mixed: whether the entry's column holds several components.
+    """
+    start = np.concatenate([[True], (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])])
+    leader = np.flatnonzero(start)[np.cumsum(start) - 1]
+    small, large = np.minimum(fact["size"], fact["size"][leader]).astype(np.int64), np.maximum(fact["size"], fact["size"][leader]).astype(np.int64)
+    led = np.flatnonzero(mixed & (fact["group"] != fact["group"][leader]) & (100 * small >= SHARE * large))
+    out = np.zeros(len(led), SUM)
+    out["a"], out["b"], out["n"] = node[leader[led]], node[led], 1
+    out["na"], out["nb"] = fact["size"][leader[led]], fact["size"][led]
+    return _added(out)
+
+
+def _columns(gram: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each entry, sorted by gram: how many entries its column has, and whether these are of several components."""
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    size = np.diff(np.append(start, len(gram)))
+    mixed = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
+    return np.repeat(size, size), np.repeat(mixed, size)
+
+
+def _folded(grams: np.ndarray, ref: np.ndarray, nodes: np.ndarray, facts: np.ndarray, star: bool, shift: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(which cells stay, marks, sums) of a batch: columns that FOLDED of its nodes hold are multiplied here and one mark is sent for each.
+
+    Nodes of a folded column count it as shared; where the batch holds one component of it alone, this may be too
+    much, so they are kept on, never lost. Its weight goes by the share of the batch's nodes that hold it.
+    """
+    order = np.argsort(grams, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(order)))
+    hot = np.repeat(size >= FOLDED, size)
+    stay = np.ones(len(grams), bool)
+    own = order[hot]
+    if not len(own):
+        return stay, np.zeros(0, MARK), np.zeros(0, SUM)
+    stay[own] = False
+    count = np.repeat(size, size)[hot]
+    gram, node, fact = grams[own], nodes[ref[own]], facts[ref[own]]
+    sums = [_added(_single(node, np.log2(count * max(1.0, total / len(nodes)))))]
+    kind = _size_class(fact["size"], shift) if star else np.zeros(len(gram), np.int64)
+    if star:
+        order = np.lexsort((node, -fact["score"], kind, gram))
+        gram, node, fact, kind, count = gram[order], node[order], fact[order], kind[order], count[order]
+        _, mixed = _columns(gram, fact["group"])
+        sums.append(_led(gram, node, fact, kind, mixed))
+    else:
+        mixed = np.ones(len(gram), bool)
+    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])]))
+    marks = np.zeros(len(first), MARK)
+    marks["gram"], marks["node"], marks["count"], marks["mixed"] = gram[first] & _LOW, node[first], np.diff(np.append(first, len(gram))), mixed[first]
+    for name in FACT.names:
+        marks[name] = fact[name][first]
+    return stay, _with_block(marks, gram[first]), np.concatenate(sums)
+
+
+def _with_block(marks: np.ndarray, gram: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(marks), np.dtype([("own", MARK), ("whole", np.uint64)]))
+    out["own"], out["whole"] = marks, gram
+    return out
+
+
+def _block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
+    return ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+
+
+def incidence(texts: DataFrame, blocks: int, seed: int, how: str, shift: float = 0.0, total: int = 1) -> DataFrame:
+    """The matrix in packed column blocks (see BLOCK).
+
+    how: "count" (all of docs: text), "star" (text, node, component, score, n), or "pairs" (text, node, partners).
+    """
+
+    def pack(parts: list[tuple]) -> Iterator[pa.RecordBatch]:
+        grams, sizes, nodes, facts = (np.concatenate([p[i] for p in parts]) for i in range(4))
+        partners = [x for p in parts for x in p[4]]
         ref = np.repeat(np.arange(len(nodes)), sizes)
-        block = ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
+        _, first, place = np.unique(nodes, return_index=True, return_inverse=True)
+        keep = (first[place] == np.arange(len(nodes)))[ref]  # copies in a batch are one
+        grams, ref = grams[keep], ref[keep]
+        marks, sums = np.zeros(0, [("own", MARK), ("whole", np.uint64)]), np.zeros(0, SUM)
+        if how != "pairs":
+            stay, found, sums = _folded(grams, ref, nodes, facts, how == "star", shift, total)
+            marks = found if len(found) else marks
+            grams, ref = grams[stay], ref[stay]
+        block = _block_of(grams, blocks)
         order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
-        cuts = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
+        grams, ref = grams[order], ref[order]
+        edges = np.arange(blocks + 1, dtype=np.uint64)
+        cuts = np.searchsorted(block[order], edges)
+        of_mark = _block_of(marks["whole"], blocks)
+        mark_cuts = np.searchsorted(of_mark, edges)
         rows = []
         for b in range(blocks):
-            own = order[cuts[b] : cuts[b + 1]]
-            if len(own):
-                used, refs = np.unique(ref[own], return_inverse=True)
-                # low bits, as the block itself tells the high ones
-                more = (groups[used].tobytes(), scores[used].tobytes()) if with_component else (None, None)
-                rows.append((b, nodes[used].tobytes(), *more, refs.astype(np.uint16).tobytes(), grams[own].astype(np.uint32).tobytes()))
+            own = slice(cuts[b], cuts[b + 1])
+            held = marks["own"][mark_cuts[b] : mark_cuts[b + 1]]
+            if own.start == own.stop and not len(held):
+                continue
+            used, counts = np.unique(ref[own], return_counts=True)
+            if how == "star":
+                more = facts[used].tobytes()
+            elif how == "pairs":
+                lists = [partners[r] for r in used]
+                more = np.array([len(x) for x in lists], np.int64).tobytes() + b"".join(x.tobytes() for x in lists)
+            else:
+                more = None
+            low = grams[own] & _LOW
+            rows.append([b, nodes[used].tobytes(), counts.astype(np.uint32).tobytes(), more, low.astype(np.uint32).tobytes(), (low >> np.uint64(32)).astype(np.uint16).tobytes(), held.tobytes(), None])
         if rows:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))],
-                names=["block", "nodes", "groups", "scores", "refs", "grams"],
-            )
+            if len(sums):  # any block may carry these
+                rows[int(nodes[0]) % len(rows)][-1] = sums.tobytes()
+            kinds = [pa.int32(), *[pa.binary()] * 7]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names=["block", "nodes", "cells", "facts", "low", "high", "marks", "sums"])
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, rows = [], 0, 0
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
+            data, offsets = text_bytes(batch.column("text"))
             for i, j in W.chunks(offsets):
+                if held > BATCH_BYTES or rows + j - i > 60_000:
+                    yield from pack(parts)
+                    parts, held, rows = [], 0, 0
                 grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                nodes = _nodes(grams, bounds, seed)
-                groups, scores = (batch.column(c).slice(i, j - i).to_numpy() for c in ("component", "score")) if with_component else (nodes, nodes)
-                for a in range(0, j - i, 30_000):  # references are 16 bits wide
-                    z = min(a + 30_000, j - i)
-                    if rows + z - a > 60_000 or held > BATCH_BYTES:
-                        yield from pack(parts)
-                        parts, held, rows = [], 0, 0
-                    parts.append((grams[bounds[a] : bounds[z]], np.diff(bounds[a : z + 1]), nodes[a:z], groups[a:z], scores[a:z].astype(np.float32)))
-                    rows += z - a
-                held += int(offsets[j] - offsets[i])
+                nodes = _nodes(grams, bounds, seed) if how == "count" else batch.column("node").slice(i, j - i).to_numpy()
+                facts, partners = np.zeros(j - i, FACT), []
+                if how == "star":
+                    for name, column in (("group", "component"), ("score", "score"), ("size", "n")):
+                        facts[name] = batch.column(column).slice(i, j - i).to_numpy()
+                if how == "pairs":
+                    lists = batch.column("partners").slice(i, j - i)
+                    partners = [x.values.to_numpy() if x.is_valid else np.zeros(0, np.int64) for x in lists]
+                parts.append((grams, np.diff(bounds), nodes, facts, partners))
+                held, rows = held + int(offsets[j] - offsets[i]), rows + j - i
         if parts:
             yield from pack(parts)
 
-    return map_arrow(
-        texts.select("text", *(["component", "score"] if with_component else [])), of, "block int, nodes binary, groups binary, scores binary, refs binary, grams binary"
-    )
-
-
-def _product(table: pa.Table) -> pa.Table:
-    """One column block: rows (node, null, columns it shares with another group, sum of their log sizes) and (leader, node, sampled columns they share, 0)."""
-    nodes, groups, scores, grams = [], [], [], []
-    for n, g, s, r, x in zip(*(table.column(c) for c in ("nodes", "groups", "scores", "refs", "grams")), strict=True):
-        ref, own = np.frombuffer(r.as_py(), np.uint16), np.frombuffer(n.as_py(), np.int64)
-        nodes.append(own[ref])
-        groups.append(np.frombuffer(g.as_py(), np.int64)[ref] if g.is_valid else nodes[-1])
-        scores.append(np.frombuffer(s.as_py(), np.float32)[ref] if s.is_valid else np.zeros(len(ref), np.float32))
-        grams.append(np.frombuffer(x.as_py(), np.uint32))
-    node, group, score, gram = map(np.concatenate, (nodes, groups, scores, grams))
-    order = np.lexsort((node, -score, gram))
-    node, group, gram = node[order], group[order], gram[order]
-    new = np.ones(len(node), bool)
-    new[1:] = (gram[1:] != gram[:-1]) | (node[1:] != node[:-1])
-    node, group, gram = node[new], group[new], gram[new]  # copies are one node
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    size = np.diff(np.append(start, len(gram)))
-    several = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
-    shared = np.repeat(several, size)
-    a, place, counts = np.unique(node[shared], return_inverse=True, return_counts=True)
-    weight = np.bincount(place, np.log2(np.repeat(size, size)[shared]), minlength=len(a))
-    leader = np.repeat(start, size)
-    star = np.flatnonzero(shared & (gram % 8 == 0) & (group != group[leader])) if table.column("groups").null_count == 0 else np.zeros(0, np.int64)
-    pairs = np.stack([node[leader[star]], node[star]], 1)
-    order = np.lexsort((pairs[:, 1], pairs[:, 0]))
-    pairs = pairs[order]
-    cut = np.flatnonzero(np.concatenate([[True], (pairs[1:] != pairs[:-1]).any(1)])) if len(pairs) else np.zeros(0, np.int64)
-    sums = np.diff(np.append(cut, len(pairs)))
-    return pa.table(
-        {
-            "a": pa.array(np.concatenate([a, pairs[cut, 0]])), "b": pa.concat_arrays([pa.nulls(len(a), pa.int64()), pa.array(pairs[cut, 1])]),
-            "n": pa.array(np.concatenate([counts, sums]).astype(np.int64)), "w": pa.array(np.concatenate([weight, np.zeros(len(cut))])),
-        }
-    )
-
-
-def multiplied(texts: DataFrame, blocks: int, seed: int, with_component: bool = False) -> DataFrame:
-    """a, b, n, w summed over the blocks: see _product."""
-    parts = incidence(texts, blocks, seed, with_component).groupBy("block").applyInArrow(_product, "a bigint, b bigint, n bigint, w double")
-    return parts.groupBy("a", "b").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
-
-
-def verified_stars(texts: DataFrame, best: DataFrame, members_per_part: int = 500) -> DataFrame:
-    """Links (a, b) among the pairs best (a, b): texts of a partner and of its nodes meet in parts of bounded size.
-
-    A partner's text is sent to each of its parts, so a partner that a third of all nodes chose is no hot key.
+    needed = {"count": [], "star": ["node", "component", "score", "n"], "pairs": ["node", "partners"]}[how]
+    return map_arrow(texts.select("text", *needed), of, BLOCK)
+
+
+def _read(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
+    return [np.frombuffer(x.as_py(), dtype) if x.is_valid else np.zeros(0, dtype) for x in table.column(name)]
+
+
+def _cells(table: pa.Table) -> tuple[np.ndarray, np.ndarray, list[np.ndarray], list[np.ndarray]]:
+    """(gram, place of its node in the list of all rows' nodes, nodes of the rows, cells of the rows' nodes)."""
+    nodes, cells = _read(table, "nodes", np.int64), _read(table, "cells", np.uint32)
+    gram = np.concatenate(_read(table, "low", np.uint32)).astype(np.uint64)
+    gram |= np.concatenate(_read(table, "high", np.uint16)).astype(np.uint64) << np.uint64(32)
+    return gram, np.repeat(np.arange(sum(map(len, nodes))), np.concatenate(cells)), nodes, cells
+
+
+def _out(sums: np.ndarray) -> pa.Table:
+    b = pa.array(sums["b"], mask=sums["b"] == ALONE)
+    return pa.table({"a": pa.array(sums["a"]), "b": b, **{c: pa.array(sums[c]) for c in ("n", "w", "na", "nb")}})
+
+
+def _product(shift: float | None):
+    """Multiplies one column block: SUM rows of nodes (b null; columns they share, sum of their log sizes) and, with a shift, of (leader, node)."""
+
+    def of(table: pa.Table) -> pa.Table:
+        gram, ref, nodes, _ = _cells(table)
+        nodes = np.concatenate(nodes)
+        facts = np.concatenate(_read(table, "facts", FACT)) if shift is not None else np.zeros(len(nodes), FACT)
+        if shift is None:
+            facts["group"] = nodes
+        marks = np.concatenate(_read(table, "marks", MARK))
+        node, fact = np.concatenate([nodes[ref], marks["node"]]), np.concatenate([facts[ref], np.zeros(len(marks), FACT)])
+        for name in FACT.names:
+            fact[name][len(ref) :] = marks[name]
+        if shift is None:
+            fact["group"][len(ref) :] = marks["node"]
+        count = np.concatenate([np.ones(len(ref), np.int64), marks["count"]])
+        gram = np.concatenate([gram, marks["gram"]])
+        mark = np.arange(len(gram)) >= len(ref)
+        known = np.concatenate([np.zeros(len(ref), bool), marks["mixed"]])
+        kind = _size_class(fact["size"], shift) if shift is not None else np.zeros(len(gram), np.int64)
+        order = np.lexsort((mark, node, -fact["score"], kind, gram)) if shift is not None else np.lexsort((mark, node, gram))
+        gram, node, fact, kind, count, mark, known = (x[order] for x in (gram, node, fact, kind, count, mark, known))
+        # copies of a node are one; a mark besides its node's own cell, or another batch's mark of it, only adds its count
+        again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])
+        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+        size = np.diff(np.append(start, len(gram)))
+        df = np.repeat(np.add.reduceat(np.where(again & ~mark, 0, count), start), size)
+        known = np.repeat(np.maximum.reduceat(known, start), size)
+        _, mixed = _columns(gram, fact["group"])
+        mixed = mixed | known
+        single = mixed & ~mark & ~again
+        sums = [*_read(table, "sums", SUM), _added(_single(node[single], np.log2(df[single])))]
+        if shift is not None:
+            one = ~again
+            sums.append(_led(gram[one], node[one], fact[one], kind[one], mixed[one]))
+        return _out(_added(np.concatenate(sums)))
+
+    return of
+
+
+def multiplied(texts: DataFrame, blocks: int, seed: int, total: int, shift: float | None = None) -> DataFrame:
+    """a, b, n, w, na, nb summed over the blocks: see _product."""
+    matrix = incidence(texts, blocks, seed, "count" if shift is None else "star", shift or 0.0, total)
+    parts = matrix.groupBy("block").applyInArrow(_product(shift), SUMS)
+    return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nw"], *[F.max(c).alias(c) for c in ("na", "nb")])
+
+
+def _pair_product(table: pa.Table) -> pa.Table:
+    """One column block: SUM rows (node, partner) with the columns they both hold."""
+    gram, ref, nodes, _ = _cells(table)
+    lists = []
+    for own, raw in zip(nodes, table.column("facts"), strict=True):
+        flat = np.frombuffer(raw.as_py(), np.int64)
+        lists += np.split(flat[len(own) :], np.cumsum(flat[: len(own)])[:-1])
+    nodes = np.concatenate(nodes)
+    ids, place = np.unique(np.concatenate([nodes, *lists]), return_inverse=True)
+    _, column = np.unique(gram, return_inverse=True)
+    cells, first = np.unique((column.astype(np.uint64) << np.uint64(32)) | place[ref].astype(np.uint64), return_index=True)  # copies of a node are one
+    sizes = np.array([len(x) for x in lists])
+    starts = len(nodes) + np.cumsum(sizes) - sizes
+    column, ref = column[first], ref[first]
+    many = sizes[ref]
+    asked = np.repeat(starts[ref], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+    own, other = np.repeat(place[ref], many), place[asked]
+    key = (np.repeat(column, many).astype(np.uint64) << np.uint64(32)) | other.astype(np.uint64)
+    hit = cells[np.minimum(np.searchsorted(cells, key), len(cells) - 1)] == key if len(cells) else np.zeros(0, bool)
+    out = np.zeros(int(hit.sum()), SUM)
+    out["a"], out["b"], out["n"] = ids[own[hit]], ids[other[hit]], 1
+    return _out(_added(out))
+
+
+def overlaps(texts: DataFrame, pairs: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """a, b, n: how many columns the nodes of each pair (a, b) share, 0 left out; texts has node, text.
+
+    A pair is asked for by the node that stands in fewer pairs, so a hub's list stays short. Cells of the nodes that pairs
+    name go to the blocks once, whatever number of pairs they stand in.
     """
-    size = best.groupBy("a").agg(F.count(F.lit(1)).alias("members")).withColumn("parts", F.ceil(F.col("members") / members_per_part).cast("int"))
-    lead = size.select("a", F.col("a").alias("node"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(True).alias("leads"))
-    part = F.pmod(F.xxhash64("b"), F.col("parts")).cast("int")
-    rest = best.join(size.select("a", "parts"), "a").select("a", F.col("b").alias("node"), part.alias("part"), F.lit(False).alias("leads"))
-    rows = texts.select("node", "text").join(lead.unionByName(rest), "node")
-    rows = rows.repartition("a", "part").sortWithinPartitions("a", "part", F.desc("leads"))
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
-        for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
-            a_column, part_column = batch.column("a").to_pylist(), batch.column("part").to_pylist()
-            leads, nodes = batch.column("leads").to_pylist(), batch.column("node").to_pylist()
-            links = []
-            for i, j in W.chunks(offsets):
-                grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
-                for r in range(i, j):
-                    own = grams[bounds[r - i] : bounds[r - i + 1]]
-                    if leads[r]:
-                        key, held = (a_column[r], part_column[r]), own.copy()
-                    elif key == (a_column[r], part_column[r]):
-                        both = np.intersect1d(held, own, assume_unique=True).size
-                        if 100 * both >= SHARE * (len(held) + len(own) - both):
-                            links.append((a_column[r], nodes[r]))
-            if links:
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in links]), pa.array([x[1] for x in links])], names=["a", "b"])
-
-    return map_arrow(rows.select("a", "part", "leads", "node", "text"), of, "a bigint, b bigint")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("degree"))
+    both = pairs.join(ends.toDF("a", "da"), "a").join(ends.toDF("b", "db"), "b")
+    by_a = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("a") < F.col("b")))
+    asks = both.select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("partner"))
+    lists = ends.select("node").join(asks.groupBy("node").agg(F.collect_list("partner").alias("partners")), "node", "left")
+    rows = texts.select("node", "text").join(lists.hint("merge"), "node")
+    parts = incidence(rows, blocks, seed, "pairs").groupBy("block").applyInArrow(_pair_product, SUMS)
+    return parts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def exact_links(texts: DataFrame) -> DataFrame:
-    """Links (a, b) between nodes of different components, all of them; texts has node, component, text."""
+def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame | None, blocks: int, seed: int) -> DataFrame:
+    """Links (a, b) between live nodes of different components, all of them; texts has node, n, text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
+            data, offsets = text_bytes(batch.column("text"))
             for i, j in W.chunks(offsets):
                 grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("node").slice(i, j - i), batch.column("component").slice(i, j - i), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64)))],
-                    names=["node", "component", "grams"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("node", "component", "n")), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64)))],
+                    names=["node", "component", "n", "grams"],
                 )
 
-    sets = staged(map_arrow(texts.select("node", "component", "text"), of, "node bigint, component bigint, grams array<bigint>").withColumn("n", F.size("grams")), "join-sets")
+    sets = map_arrow(_with_component(texts, live, label).select("node", "component", "n", "text"), of, "node bigint, component bigint, n bigint, grams array<bigint>")
     cells = sets.select("node", "component", "n", F.explode("grams").alias("gram"))
     columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     shared = cells.join(columns.filter("low <> high").select("gram", "df"), "gram")
     # columns of one component come first in a node's order, so they only shift the places of the others
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "gram"))
     least = F.ceil(F.col("n") * SHARE / 100)
-    posts = staged(shared.withColumn("from_last", rank).filter(F.col("from_last") >= least).select("gram", "node", "component", "n", "from_last"), "join-posts")
+    posts = shared.withColumn("from_last", rank).filter(F.col("from_last") >= least)
+    posts = staged(posts.groupBy("gram", "node", "component", "n").agg(F.max("from_last").alias("from_last")), "join-posts")
     main = posts.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(
         F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     ).filter("kinds > 1")
-    left = posts.join(main, "gram").filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
-    right = posts.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"))
+    known = posts.join(main.select("gram", "main"), "gram")
+    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
+    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), (F.col("component") == F.col("main")).alias("of_main"))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
-    # the rarest column that both hold has all others they share behind it, on both sides
-    needed = (F.col("nx") + F.col("ny")) * SHARE
-    sized &= (F.col("rx") * (100 + SHARE) >= needed) & (F.col("ry") * (100 + SHARE) >= needed)
-    pairs = left.join(right, "gram").filter((F.col("cx") != F.col("cy")) & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    own = sets.select("node", "grams", "n")
-    both = pairs.join(own.toDF("a", "ga", "na"), "a").join(own.toDF("b", "gb", "nb"), "b")
-    same = F.size(F.array_intersect("ga", "gb"))
-    return both.withColumn("same", same).filter(F.col("same") * 100 >= (F.col("na") + F.col("nb") - F.col("same")) * SHARE).select("a", "b")
+    once = (F.col("cx") != F.col("cy")) & (F.col("of_main") | (F.col("x") < F.col("y")))
+    met = left.join(right, "gram").filter(once & sized).select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.greatest("nx", "ny").alias("most"), F.least("rx", "ry").alias("behind")
+    )
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("behind").alias("behind"), F.first("sum").alias("sum"), F.first("most").alias("most"))
+    # a link's overlap is SHARE / (100 + SHARE) of both sizes together; it can't pass the columns behind the rarest shared
+    # one, nor what the posted columns count and those not posted of the larger node together
+    unposted = F.ceil(F.col("most") * SHARE / 100) - 1
+    needed = F.col("sum") * SHARE
+    pairs = staged(counted.filter((F.col("behind") * (100 + SHARE) >= needed) & ((F.col("m") + unposted) * (100 + SHARE) >= needed)).select("a", "b", "sum"), "join-pairs")
+    found = overlaps(texts, pairs.select("a", "b"), blocks, seed).join(pairs, ["a", "b"])
+    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -241,7 +415,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     component_id is the least doc_id reachable by links, itself included. Null and empty texts have no
     shingles and are linked with nothing. Rows with a null id take part; their component is null only if it
-    holds no id. Equal texts are one node, however many; nothing is capped. Empty tables give no rows.
+    holds no id. Texts count whole, however long. Equal texts and repeated rows are one node, however many; nothing is
+    capped. Other columns of docs are ignored, whatever their names. Empty tables give no rows.
     """
     spark = docs.sparkSession
     shipped(spark)
@@ -249,39 +424,38 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         light = staged(sketched(docs, seed), "join-light")
         nodes = staged(
             light.filter("n_shingles > 0").groupBy("node").agg(
-                F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.min("check").alias("low"), F.max("check").alias("high")
+                F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "other"))["other"].alias("other"), F.first("n_shingles").alias("n"),
+                F.min("check").alias("low"), F.max("check").alias("high"),
             ),
             "join-nodes",
         )
         if not nodes.filter("low <> high").head(1):  # else two sets share a hash of 64 bits
             break
-    total = nodes.agg(F.sum("n")).head()[0] or 0
-    blocks = max(64, math.ceil(total / 2_000_000))
-    product = staged(multiplied(docs, blocks, seed), "join-product")
+        discard(light, nodes)
+    cells, total = nodes.agg(F.sum("n"), F.count(F.lit(1))).head()
+    blocks = max(64, math.ceil((cells or 0) / BLOCK_CELLS))
     enough = F.col("shared") * 100 >= F.col("n") * SHARE
     counted = lambda df: df.filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared"), F.col("w"))
-    alive = staged(counted(product).join(nodes.select("node", "doc_id", "n"), "node").filter(enough).withColumn("score", F.col("w") / F.col("n")), "join-alive")
-    texts = whole = staged(_texts(docs, alive, seed), "join-texts")
-    discard(product)
-    links, label = spark.createDataFrame([], "a bigint, b bigint"), spark.createDataFrame([], "node bigint, label bigint")
+    alive = counted(multiplied(docs, blocks, seed, total)).join(nodes.select("node", "doc_id", "other", "n"), "node").filter(enough)
+    alive = staged(alive.withColumn("score", F.col("w") / F.col("shared") * F.least(F.lit(1.0), F.col("shared") / F.col("n"))).select("node", "doc_id", "other", "n", "score"), "join-alive")
+    texts = staged(_texts(docs, alive, seed), "join-texts", "uncompressed")
+    cells, n_alive = alive.agg(F.sum("n"), F.count(F.lit(1))).head()
+    if texts.count() > n_alive:  # rows that repeat with their id
+        texts = staged(texts.dropDuplicates(["node"]), "join-texts", "uncompressed")
+    blocks = max(64, math.ceil((cells or 0) / BLOCK_CELLS))
+    links, label, live = None, None, None
     for i in range(ROUNDS):
-        product = staged(multiplied(_with_component(texts, label), blocks, seed, with_component=True), f"join-product-{i}")
-        live = staged(counted(product).join(alive.select("node", "n"), "node").filter(enough).select("node", "n"), f"join-live-{i}")
-        best = (
-            product.filter("b IS NOT NULL").withColumnRenamed("n", "m")
-            .join(live.toDF("a", "na"), "a").join(live.toDF("b", "nb"), "b")
-            .filter((F.col("na") * 100 >= F.col("nb") * SHARE) & (F.col("nb") * 100 >= F.col("na") * SHARE))
-            .groupBy("b").agg(F.max_by("a", F.struct("m", "a")).alias("a")).select("a", "b")
-        )
-        best = staged(best, f"join-best-{i}")
+        own = texts.withColumn("component", F.col("node")) if label is None else _with_component(texts, live, label)
+        product = staged(multiplied(own, blocks, seed, n_alive, shift=i / ROUNDS), f"join-product-{i}")
+        live = staged(counted(product).join(alive.select("node", "n"), "node").filter(enough).select("node"), f"join-live-{i}")
+        # the part of the overlap that is counted is enough for a link
+        found = product.filter(F.col("b").isNotNull() & (F.col("n") * (100 + SHARE) >= (F.col("na") + F.col("nb")) * SHARE)).select("a", "b")
+        links = staged(found if links is None else links.unionByName(found), f"join-links-{i}")
         discard(product)
-        links = staged(links.unionByName(verified_stars(texts, best)), f"join-links-{i}")
-        discard(best)
         label = components(links)
-        texts = texts.join(live.select("node"), "node", "left_semi")
-    links = links.unionByName(exact_links(_with_component(texts, label)))
-    discard(whole)  # exact_links has written the sets it needs
-    label = components(links)
+    last = staged(exact_links(texts, live, label, blocks, seed), "join-links")
+    discard(texts)
+    label = components(links.unionByName(last))
     member = nodes.select("node", "doc_id").join(label, "node")
     low = member.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     by_node = nodes.select("node", F.col("doc_id").alias("own_id")).join(member.drop("doc_id").join(low, "label").select("node", "component_id"), "node", "left")
@@ -290,16 +464,18 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
-def _with_component(texts: DataFrame, label: DataFrame) -> DataFrame:
-    return texts.join(label, "node", "left").select("node", "n", "score", "text", F.coalesce("label", "node").alias("component"))
+def _with_component(texts: DataFrame, live: DataFrame, label: DataFrame) -> DataFrame:
+    """The texts of live nodes with their component; sort-merge at every size, so the shuffle follows the input."""
+    facts = live.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    return texts.join(facts.hint("merge"), "node")
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
-    """node, n, score, text of the given nodes: the text of the row that stands for each."""
+    """node, n, score, text (compressed) of the given nodes: the text of the row that stands for each."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = W.text_bytes(batch.column("text"))
+            data, offsets = text_bytes(batch.column("text"))
             keep = np.zeros(batch.num_rows, bool)
             wanted = batch.column("node").to_numpy()
             for i, j in W.chunks(offsets):
@@ -307,17 +483,20 @@ def _texts(docs: DataFrame, nodes: DataFrame, seed: int) -> DataFrame:
                 keep[i:j] = _nodes(grams, bounds, seed) == wanted[i:j]
             yield batch.filter(pa.array(keep))
 
-    rows = docs.select(F.col("doc_id").alias("its"), "text").join(nodes.select("node", "doc_id", "n", "score"), F.col("its").eqNullSafe(F.col("doc_id")))
-    return map_arrow(rows.select("node", "n", "score", "text"), of, "node bigint, n bigint, score double, text string")  # an id that repeats gives equal rows, which later steps count once
+    own = packed(docs.select("doc_id", _other(), "text"), "doc_id", "other").withColumnsRenamed({"doc_id": "its", "other": "its_other"})
+    same = F.col("its").eqNullSafe(F.col("doc_id")) & (F.col("its_other") == F.col("other"))
+    rows = own.join(nodes.hint("merge"), same).select("node", "n", "score", "text")
+    return map_arrow(rows, of, "node bigint, n bigint, score double, text binary")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The rows of docs without near copies: of each component the row with its least doc_id stays; all columns.
+    """The rows of docs without near copies: of each component the row with its least doc_id stays; all columns, whatever their names.
 
-    Rows without an id stay, as do rows that repeat with the id that stays.
+    Rows without an id stay, as do rows that repeat with the id that stays. Null and empty texts stay. An empty table
+    gives no rows.
     """
-    drop = near_duplicates(docs).filter("doc_id <> component_id").select(F.col("doc_id").alias("dropped_id")).distinct()
-    return docs.join(drop, F.col("doc_id") == F.col("dropped_id"), "left_anti")
+    drop = near_duplicates(docs).filter("doc_id <> component_id").select("doc_id").distinct()
+    return without_ids(docs, drop)
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@ import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Columns whose names operators use inside.
-CLASHES = ["s", "block", "key", "node", "its", "digest", "words", "size", "text_key", "lang_pred", "quality_score", "label", "component_id", "keep_id", "part"]
+CLASHES = ["s", "block", "key", "node", "its", "digest", "words", "size", "text_key", "lang_pred", "quality_score", "label", "component_id", "keep_id", "part", "dropped_id", "hit_id", "mix_doc_id", "mix_words", "dropped_digest", "other", "statistics"]
 
 
 @pytest.fixture(scope="session")

@@ -65,3 +65,36 @@ def test_a_passage_that_all_share(frame, rows, common):
 def test_filter_and_empty(frame, rows):
     assert J.keep_one(frame(rows)).count() == len({c for _, _, c in brute(rows)})
     assert got(frame, []) == []
+
+
+def test_grams_that_agree_in_32_bits():
+    """A column block tells grams apart whose hashes differ above their low 32 bits alone."""
+    import numpy as np
+    import pyarrow as pa
+
+    gram = np.array([7, 7 | 1 << 33, 7 | 1 << 47], np.uint64)
+    both = np.concatenate([gram, gram])
+    row = {"block": [0], "nodes": [np.array([11, 22], np.int64).tobytes()], "cells": [np.array([3, 3], np.uint32).tobytes()], "low": [both.astype(np.uint32).tobytes()], "high": [(both >> np.uint64(32)).astype(np.uint16).tobytes()]}
+    empty = pa.array([b""])
+    table = pa.table({**row, "facts": pa.array([None], pa.binary()), "marks": empty, "sums": pa.array([None], pa.binary())})
+    assert {(r["a"], r["b"], r["n"]) for r in J._product(None)(table).to_pylist()} == {(11, None, 3), (22, None, 3)}
+    asks = np.array([1, 0, 22], np.int64).tobytes()  # numbers of partners, then partners
+    assert [(r["a"], r["b"], r["n"]) for r in J._pair_product(pa.table({**row, "facts": [asks], "marks": empty, "sums": empty})).to_pylist()] == [(11, 22, 3)]
+
+
+def test_a_hot_group_is_folded(frame, rows):
+    """Many near copies in one batch: their columns are folded, also those that other batches hold."""
+    base = rows[9][1].split()[:120]
+    data = [(i, " ".join(f"v{i}" if j in (i % 110, i % 110 + 8) else w for j, w in enumerate(base)), "en", "a", 0) for i in range(400)]
+    data += [(1000 + i, " ".join(base[: 30 + 2 * i] + [f"z{i}"] * 3), "en", "a", 0) for i in range(40)]
+    data += data[5:9] * 3
+    assert got(frame, data) == brute(data)
+    assert sorted(map(tuple, J.near_duplicates(frame(data).repartition(7)).collect()), key=str) == brute(data)
+
+
+def test_keep_one_with_clashing_names(frame, odd_rows):
+    df = frame(odd_rows, clashing=True)
+    out = J.keep_one(df)
+    assert out.columns == df.columns
+    low = {(d, n): c for d, n, c in brute(odd_rows)}
+    assert {r["doc_id"] for r in out.collect() if r["doc_id"] is not None} == {d for (d, _), c in low.items() if d is not None and d == c}
