@@ -1,8 +1,10 @@
 """Exact dedup against a persistent digest index (DataFrame operations only).
 
-The index is a table bucketed and sorted by digest, one row per distinct normalised text. New rows are
-first folded to one row per digest (map-side, so a digest that a third of the rows share shuffles one row
-per task), then a sort-merge anti-join against the index tells the new digests, which are appended.
+The index is a table bucketed and sorted by digest, one row per distinct normalised text, with the row that stays. New
+rows are ingested in two appends, long texts first. Each is folded to one row per digest (map-side, so a digest that a
+third of the rows share shuffles one row per task), a sort-merge anti-join against the index tells the new digests, and
+these are appended. As the longest text of a group stays, a group whose rows fall into both appends is settled by the
+first one, and the anti-join keeps its shorter rows out.
 """
 
 from __future__ import annotations
@@ -12,7 +14,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import staged
+from ._common import discard, staged
+from ._common import fresh as fresh_name
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 INDEX_SCHEMA = "digest binary, keep_id long, keep_chars long, copies long"
@@ -33,13 +36,10 @@ def digested(docs: DataFrame) -> DataFrame:
 
 
 def groups(digests: DataFrame) -> DataFrame:
-    """One row per digest: the row that stays (longest original, then smallest id, null ids last) and the group's size.
-
-    max over a struct of longs is a hash aggregate with partial sums, so copies are folded before the shuffle.
-    """
-    best = F.max(F.struct("n_chars", F.col("doc_id").isNotNull().alias("has_id"), (-F.col("doc_id")).alias("neg_id")))
+    """One row per digest: the row that stays (longest original, then smallest id, null ids last) and the group's size; partial minima fold copies before the shuffle."""
+    best = F.min(F.struct((-F.col("n_chars")).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
     return digests.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("copies")).select(
-        "digest", (-F.col("best.neg_id")).alias("keep_id"), F.col("best.n_chars").alias("keep_chars"), "copies"
+        "digest", F.col("best.doc_id").alias("keep_id"), (-F.col("best.less")).alias("keep_chars"), "copies"
     )
 
 
@@ -58,20 +58,20 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.table)
 
     def read(self) -> DataFrame:
-        return self.spark.table(self.table) if self.exists() else self.spark.createDataFrame([], INDEX_SCHEMA)
+        """digest, keep_id, keep_chars, copies; the table is made where there is none."""
+        if not self.exists():
+            self._write(self.spark.createDataFrame([], INDEX_SCHEMA))
+        return self.spark.table(self.table)
 
     def unseen(self, new: DataFrame) -> DataFrame:
         """Rows of `new` (one per digest) whose digest the index lacks; the index side needs no exchange."""
-        if not self.exists():
-            return new
         return new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
     def append(self, new: DataFrame) -> None:
-        (
-            new.select("digest", "keep_id", "keep_chars", "copies")
-            .repartition(self.buckets, "digest")
-            .write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
-        )
+        self._write(new.select("digest", "keep_id", "keep_chars", "copies").repartition(self.buckets, "digest"))
+
+    def _write(self, rows: DataFrame) -> None:
+        rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:
         self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
@@ -81,46 +81,47 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     """Append the digests of `docs` that are new to `index`; returns one row per row of docs.
 
     doc_id, keep_id (of its group within docs), group_size, kept, text_sha256. `kept` is true for the row
-    that stays of a digest the index did not have before. Rows that repeat with the same doc_id are all
-    counted, and all are kept when their id is the one that stays. Null texts count as empty; an empty
-    table gives an empty result. Other columns of docs are ignored.
+    that stays of a digest the index did not have before: the rows that the anti-join let through. Rows that repeat with
+    the same doc_id are all counted, and all are kept when their id is the one that stays. Null texts count as empty,
+    texts count whole, however long; of equally long ones the smallest id stays, null ids last; an empty
+    table gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     light = staged(digested(docs), "digests")
-    folded = staged(groups(light), "digest-groups")
-    fresh = index.unseen(folded)
-    if index.exists():
-        fresh = staged(fresh, "digests-new")
-    index.append(fresh)
-    many = folded.filter("copies > 1").withColumnRenamed("digest", "its")
+    middle = light.agg(F.percentile_approx("n_chars", 0.5)).head()[0] or 0  # any number gives the same rows
+    folded, fresh = [], []
+    for part in (light.filter(F.col("n_chars") >= middle), light.filter(F.col("n_chars") < middle)):
+        folded.append(staged(groups(part), "digest-groups"))
+        fresh.append(staged(index.unseen(folded[-1]), "digests-new"))
+        index.append(fresh[-1])
+    # the first append has the longer texts, so its row of a digest is the one that stays
+    in_order = folded[0].withColumn("turn", F.lit(0)).unionByName(folded[1].withColumn("turn", F.lit(1)))
+    whole = in_order.groupBy("digest").agg(F.min_by("keep_id", "turn").alias("keep_id"), F.sum("copies").alias("copies"))
+    new = fresh[0].unionByName(fresh[1]).select(F.col("digest").alias("fresh_digest"), F.col("keep_id").alias("fresh_id"))
+    settled = whole.join(new.hint("merge"), F.col("digest") == F.col("fresh_digest"), "left")
+    # rows without a copy whose digest is new stay, they need no join
+    many = staged(settled.filter("copies > 1 OR fresh_digest IS NULL").withColumnRenamed("digest", "its"), "digest-many")
+    discard(*folded, *fresh)
     known = light.join(many, F.col("digest") == F.col("its"), "left")  # both sides are shuffled: AQE splits a hot digest
-    keep = F.when(F.col("its").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    out = known.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-        "digest",
+    alone = F.col("its").isNull()
+    return known.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("group_size"),
+        (alone | F.col("fresh_digest").isNotNull() & F.col("doc_id").eqNullSafe(F.col("fresh_id"))).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"),
     )
-    if fresh is not folded:
-        new = fresh.select(F.col("digest").alias("fresh_digest"))
-        out = out.join(new, F.col("digest") == F.col("fresh_digest"), "left").withColumn(
-            "kept", F.col("kept") & F.col("fresh_digest").isNotNull()
-        )
-    return out.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
 def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The rows of docs that stay, all columns; without an index of its own, copies within docs alone are dropped.
+    """The rows of docs that stay, all columns, whatever their names; without an index of its own, copies within docs alone are dropped.
 
     Rows to drop are looked up by id and digest, so rows without an id are told apart by their text. Rows that
-    repeat with one doc_id and text stay or go together.
+    repeat with one doc_id and text stay or go together. One of all null, empty and blank texts stays. An empty table
+    gives no rows.
     """
     own = index or DigestIndex(docs.sparkSession)
-    drop = ingest(docs, own).filter("NOT kept").select(F.col("doc_id").alias("dropped_id"), F.unhex("text_sha256").alias("dropped_digest"))
+    gone, digest = fresh_name(docs, "dropped_id"), fresh_name(docs, "dropped_digest")
+    drop = ingest(docs, own).filter("NOT kept").select(F.col("doc_id").alias(gone), F.unhex("text_sha256").alias(digest))
     if index is None:
         own.drop()
-    same = F.col("doc_id").eqNullSafe(F.col("dropped_id")) & (text_digest(F.col("text")) == F.col("dropped_digest"))
+    same = F.col("doc_id").eqNullSafe(F.col(gone)) & (text_digest(F.col("text")) == F.col(digest))
     return docs.join(drop, same, "left_anti")
 
 

@@ -45,5 +45,26 @@ def odd_rows_as_dicts(data):
     return [{"text": t} for _, t, *_ in data]
 
 
+def test_clashing_names_and_extreme_ids(frame, odd_rows):
+    data = [*odd_rows, (-(2**63), odd_rows[3][1], None, None, 0), (2**63 - 1, odd_rows[4][1], None, None, 0), (-5, "a b", None, None, 0), (-4, "a  b", None, None, 0), (-6, "ab", None, None, 0)]
+    df = frame(data, clashing=True)
+    out = E.deduplicate(df)
+    assert out.columns == df.columns
+    want = [d for d, _, _, kept, _ in brute(data) if kept]
+    assert sorted((r["doc_id"] for r in out.collect()), key=str) == sorted(want, key=str)
+
+
+def test_the_anti_join_decides(frame, monkeypatch):
+    """Without it a group whose rows fall into both appends would be new twice."""
+    data = [(i, " " * (i % 2) * 9 + f"text {i // 2}", None, None, 0) for i in range(40)]
+    index = E.DigestIndex(frame([]).sparkSession, buckets=4)
+    assert sorted(map(tuple, E.ingest(frame(data), index).collect())) == sorted(brute(data))
+    assert index.read().count() == 20
+    index.drop()
+    monkeypatch.setattr(E.DigestIndex, "unseen", lambda self, new: new)
+    assert sorted(map(tuple, E.ingest(frame(data), index).collect())) != sorted(brute(data))
+    index.drop()
+
+
 def test_sql(spark, sf_dir):
     assert shown(E.op7_exact_dedup(spark, sf_dir).toPandas()) == shown(of_sql(E.ORACLE, sf_dir))
