@@ -1,9 +1,10 @@
 """Benchmark decontamination by winnowing.
 
-The k-gram with the smallest hash in every window of `span` words is kept, on both sides, so any `span`
-consecutive words that document and benchmark share carry one common fingerprint. Fingerprints are joined,
-and hits are extended: each fingerprint keeps the hashes of the windows that chose it, and those that are
-equal on both sides are shared windows. Items of fewer than `span` words are one window of their own length.
+In every window of `span` words the k-gram with the smallest hash is selected (the first of equal ones), on both sides,
+so any `span` consecutive words that document and benchmark share carry one common fingerprint at the same place.
+Each selected k-gram is sent once, with the words on both sides of it that its windows hold. Fingerprints are joined by
+their hash alone, and each hit is extended to the left and to the right by comparing words; an extended hit of `span`
+words or more is a shared span. Items of fewer words are one window of their own length.
 
 While benchmark fingerprints are few (counted, at most `most_broadcast`) documents drop fingerprints that no
 item has while they are read; beyond that the join does it. Either way the same rows result.
@@ -15,43 +16,73 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import _words as W
-from ._common import map_arrow, staged
+from ._common import map_arrow, staged, without_ids
 
 SPAN, K = 10, 5
-FINGERPRINTS = "array<struct<print:bigint,at:int,win:bigint,len:int>>"
+SIDE = SPAN - K  # words that a window may hold on one side of its fingerprint
+PRINTS = "array<struct<print:bigint,at:int,len:int,left:array<bigint>,right:array<bigint>>>"
+CONTEXT = ["print", "len", "left", "right"]
 
 
-def winnow(found: W.Words, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first word of each window of `span` words, its fingerprint, its hash): the fingerprint is the least k-gram hash in it."""
+def winnow(found: W.Words, span: int = SPAN, k: int = K) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the selected k-grams in order, their hashes): the least k-gram of each window of `span` words, the first of equal ones."""
     grams, _ = found.grams(k)
-    wins, ok = found.grams(span)
+    _, ok = found.grams(span)
     at = np.flatnonzero(ok)
     if not len(at):
-        return at, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
-    n = len(grams) - (span - k)
-    least = grams[:n].copy()
+        return at, np.zeros(0, np.uint64)
+    least, place = grams[at].copy(), at.copy()
     for j in range(1, span - k + 1):
-        np.minimum(least, grams[j : n + j], out=least)
-    return at, least[at], wins[at]
-
-
-def _rows(found: W.Words, keep: np.ndarray | None, short: dict[int, np.ndarray | None]) -> tuple[np.ndarray, ...]:
-    """(print, at, win, len) of the windows that may be shared, sorted by word."""
-    at, prints, wins = winnow(found)
-    if keep is not None and len(at):
-        hit = keep[np.minimum(np.searchsorted(keep, prints), len(keep) - 1)] == prints if len(keep) else np.zeros(len(at), bool)
-        at, prints, wins = at[hit], prints[hit], wins[hit]
-    parts = [(prints, at, wins, np.full(len(at), SPAN, np.int32))]
+        lower = grams[at + j] < least
+        least[lower], place[lower] = grams[at + j][lower], (at + j)[lower]
+    place = np.unique(place)
+    return place, grams[place]
+
+
+def _sides(found: W.Words, at: np.ndarray, doc: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Word hashes to the left of each fingerprint, outwards, and to the right; fewer at the ends of a text."""
+    steps = np.arange(SIDE)
+    out = []
+    for index, inside in (
+        (at[:, None] - 1 - steps, lambda i: i >= found.bounds[doc][:, None]),
+        (at[:, None] + K + steps, lambda i: i < found.bounds[doc + 1][:, None]),
+    ):
+        mask = inside(index)
+        out.append(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(mask.sum(1))]).astype(np.int32), pa.array(found.hashes[index[mask]].view(np.int64))))
+    return out[0], out[1]
+
+
+def _known(values: np.ndarray, keep: np.ndarray) -> np.ndarray:
+    return keep[np.minimum(np.searchsorted(keep, values), len(keep) - 1)] == values if len(keep) else np.zeros(len(values), bool)
+
+
+def _rows(found: W.Words, keep: np.ndarray | None, short: dict[int, np.ndarray | None]) -> tuple[np.ndarray, pa.StructArray]:
+    """(text of each fingerprint, in order; fingerprints): the winnowed ones with len 0, and windows of the lengths in `short`."""
+    at, prints = winnow(found)
+    if keep is not None:
+        hit = _known(prints, keep)
+        at, prints = at[hit], prints[hit]
+    parts = [(prints, at, np.zeros(len(at), np.int32))]
     for length, known in short.items():
         grams, ok = found.grams(length)
-        hit = np.flatnonzero(ok if known is None else ok & np.isin(grams, known))
-        parts.append((grams[hit], hit, grams[hit], np.full(len(hit), length, np.int32)))
-    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+        hit = np.flatnonzero(ok if known is None else ok & _known(grams, known))
+        parts.append((grams[hit], hit, np.full(len(hit), length, np.int32)))
+    prints, at, lens = (np.concatenate(x) for x in zip(*parts, strict=True))
+    doc = np.searchsorted(found.bounds, at, "right") - 1
+    order = np.argsort(doc, kind="stable")
+    prints, at, lens, doc = prints[order], at[order], lens[order], doc[order]
+    left, right = _sides(found, at, doc)
+    none = pa.ListArray.from_arrays(np.zeros(len(at) + 1, np.int32), pa.array([], pa.int64()))
+    whole = pa.array(lens > 0)
+    left, right = (pc.if_else(whole, none, x) for x in (left, right))
+    kinds = [pa.array(prints.view(np.int64)), pa.array((at - found.bounds[doc]).astype(np.int32)), pa.array(lens), left, right]
+    return doc, pa.StructArray.from_arrays(kinds, names=["print", "at", "len", "left", "right"])
 
 
 def fingerprinted(texts: DataFrame, key: str, keep: np.ndarray | None, short: dict[int, np.ndarray | None], own_length: bool = False) -> DataFrame:
@@ -64,28 +95,13 @@ def fingerprinted(texts: DataFrame, key: str, keep: np.ndarray | None, short: di
                 part = data[offsets[i] : offsets[j]]
                 found = W.words(part, offsets[i : j + 1], W.NON_ALNUM)
                 n_words = np.diff(found.bounds)
+                doc, prints = _rows(found, keep, short)
                 if own_length:
-                    rows = [
-                        _rows(W.Words(found.hashes[a:b], np.array([0, b - a]), found.starts, found.ends), None, {})
-                        if b - a >= SPAN else _whole(found.hashes[a:b])
-                        for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True)
-                    ]
-                    prints, at, wins, lens = (np.concatenate(x) for x in zip(*rows, strict=True))
-                    sizes = np.array([len(r[0]) for r in rows])
-                else:
-                    prints, at, wins, lens = _rows(found, keep, short)
-                    doc = np.searchsorted(found.bounds, at, "right") - 1
-                    order = np.argsort(doc, kind="stable")
-                    prints, at, wins, lens, doc = prints[order], at[order], wins[order], lens[order], doc[order]
-                    at = at - found.bounds[doc]
-                    sizes = np.bincount(doc, minlength=j - i)
-                lists = pa.ListArray.from_arrays(
-                    np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32),
-                    pa.StructArray.from_arrays(
-                        [pa.array(prints.view(np.int64)), pa.array(at.astype(np.int32)), pa.array(wins.view(np.int64)), pa.array(lens.astype(np.int32))],
-                        names=["print", "at", "win", "len"],
-                    ),
-                )
+                    lengths = n_words[doc]
+                    fits = np.asarray(prints.field("len").to_numpy())
+                    take = np.flatnonzero(np.where(fits > 0, lengths == fits, True))
+                    doc, prints = doc[take], prints.take(pa.array(take))
+                lists = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=j - i))]).astype(np.int32), prints)
                 raw = part.tobytes()
                 keys = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(offsets[i:j] - offsets[i], offsets[i + 1 : j + 1] - offsets[i], strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -94,59 +110,69 @@ def fingerprinted(texts: DataFrame, key: str, keep: np.ndarray | None, short: di
                 )
 
     kind = texts.schema[key].dataType.simpleString()
-    return map_arrow(texts.select(key, "text"), of, f"`{key}` {kind}, text_key binary, n_words bigint, prints {FINGERPRINTS}")
+    return map_arrow(texts.select(key, "text"), of, f"`{key}` {kind}, text_key binary, n_words bigint, prints {PRINTS}")
 
 
-def _whole(hashes: np.ndarray) -> tuple[np.ndarray, ...]:
-    if not len(hashes):
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int32)
-    one = np.array([W.gram_of(hashes)], np.int64).view(np.uint64)
-    return one, np.zeros(1, np.int64), one, np.array([len(hashes)], np.int32)
+def _extent(own: Column, its: Column) -> Column:
+    """How many words are equal from the fingerprint outwards."""
+    equal = F.zip_with(own, its, lambda a, b: F.coalesce(a == b, F.lit(False)))
+    other = F.array_position(equal, F.lit(False))
+    return F.when(other > 0, other - 1).otherwise(F.size(equal)).cast("int")
 
 
-def shared_windows(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
-    """(documents: doc_id, text_key, n_words; hits: text_key, at, len, item_id): every place of a document where an item's window occurs."""
-    items = staged(
-        fingerprinted(benchmark, "item_id", None, {}, own_length=True)
-        .select("item_id", F.explode("prints").alias("p")).select("item_id", "p.print", "p.win", "p.len").distinct(),
-        "bench-prints",
-    )
-    n, lengths = items.count(), [r["len"] for r in items.filter(f"len < {SPAN}").select("len").distinct().collect()]
-    keep, short = None, {}
-    few = n <= most_broadcast
-    if few:
-        known = items.select("len", "print").distinct().toPandas()
+def extended(prints: DataFrame, contexts: DataFrame) -> DataFrame:
+    """text_key, at, len, items: fingerprints of texts joined by their hash with those of items, extended; what stays below SPAN words is no hit.
+
+    prints: text_key, print, at, len, left, right; contexts: print, len, left, right, items (one row for each surrounding of a
+    fingerprint, with all items that have it, so a passage of many items is joined once).
+    """
+    its = contexts.select("print", F.col("len").alias("its_len"), F.col("left").alias("its_left"), F.col("right").alias("its_right"), "items")
+    met = prints.join(its, "print").filter("len = its_len")
+    met = met.withColumn("l", _extent(F.col("left"), F.col("its_left"))).withColumn("r", _extent(F.col("right"), F.col("its_right")))
+    whole = F.col("len") > 0
+    size = F.when(whole, F.col("len")).otherwise(F.col("l") + K + F.col("r"))
+    return met.select("text_key", (F.col("at") - F.when(whole, 0).otherwise(F.col("l"))).alias("at"), size.alias("size"), whole.alias("whole"), "items").filter(
+        f"whole OR size >= {SPAN}"
+    ).select("text_key", "at", F.col("size").alias("len"), "items")
+
+
+def shared_spans(docs: DataFrame, benchmark: DataFrame, most_broadcast: int = 2_000_000) -> tuple[DataFrame, DataFrame]:
+    """(documents: doc_id, text_key, n_words; hits: text_key, at, len, items): every span of a document that an item shares."""
+    lengths = list(range(1, SPAN))
+    made = fingerprinted(benchmark, "item_id", None, dict.fromkeys(lengths), own_length=True).select(F.col("item_id").cast("string").alias("item"), F.explode("prints").alias("p"))
+    contexts = staged(made.select("item", "p.*").groupBy(*CONTEXT).agg(F.collect_set("item").alias("items")), "bench-prints")
+    n, used = contexts.count(), [r["len"] for r in contexts.filter("len > 0").select("len").distinct().collect()]
+    keep, short = None, dict.fromkeys(used)  # else every gram of the few short lengths goes to the join
+    if n <= most_broadcast:
+        known = contexts.select("len", "print").distinct().toPandas()
         values = known["print"].to_numpy(np.int64).view(np.uint64)
-        keep = np.unique(values[(known["len"] == SPAN).to_numpy()])
-        short = {length: np.unique(values[(known["len"] == length).to_numpy()]) for length in lengths}
-    else:  # every gram of the few short lengths goes to the join
-        short = dict.fromkeys(lengths)
+        of_length = lambda k: np.unique(values[(known["len"] == k).to_numpy()])
+        keep, short = of_length(0), {k: of_length(k) for k in used}
     found = staged(fingerprinted(docs, "doc_id", keep, short), "doc-prints")
-    prints = found.filter("size(prints) > 0").select("text_key", F.explode("prints").alias("p")).select("text_key", "p.*")
-    if few:
-        items = F.broadcast(items)
-    hits = prints.join(items, ["print", "win", "len"]).select("text_key", "at", "len", "item_id").distinct()
-    return found.drop("prints"), hits
+    prints = found.filter("size(prints) > 0").select("text_key", F.explode("prints").alias("p")).select("text_key", "p.*").distinct()
+    return found.drop("prints"), extended(prints, contexts)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated; one row per row of docs.
 
     Null or empty texts have no words and no hits; a null item_id marks words but is no item in n_items;
-    repeated rows of either table change nothing; an empty benchmark marks nothing.
+    repeated rows of either table change nothing; an empty benchmark marks nothing, empty docs give no rows. Texts count
+    whole, however long; other columns of either table are ignored, whatever their names.
     """
-    found, hits = shared_windows(docs, benchmark, **settings)
+    found, hits = shared_spans(docs, benchmark, **settings)
+    hits = staged(hits, "shared-spans")
     places = hits.groupBy("text_key", "at").agg(F.max("len").alias("len"))
     before = Window.partitionBy("text_key").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
     fresh = F.greatest(F.lit(0), F.col("at") + F.col("len") - F.greatest(F.col("at"), F.coalesce(F.max(F.col("at") + F.col("len")).over(before), F.lit(0))))
     covered = places.withColumn("fresh", fresh).groupBy("text_key").agg(F.sum("fresh").alias("n_hit"))
     items = (
-        hits.select("text_key", F.col("item_id").cast("string").alias("item")).distinct()
+        hits.select("text_key", F.explode("items").alias("item")).distinct()
         .groupBy("text_key").agg(F.array_sort(F.collect_list("item")).alias("items"))
     )
-    per_text = covered.join(items, "text_key").withColumnRenamed("text_key", "its")
-    none = F.array().cast("array<string>")
-    listed = F.coalesce("items", none)
+    # a table of its own: the join below then shuffles both sides anew, and a hot text is split
+    per_text = staged(covered.join(items, "text_key", "left").withColumnRenamed("text_key", "its"), "contaminated-texts")
+    listed = F.coalesce("items", F.array().cast("array<string>"))
     return found.join(per_text, F.col("text_key") == F.col("its"), "left").select(
         "doc_id", "n_words", F.coalesce("n_hit", F.lit(0)).cast("long").alias("n_hit"), F.size(listed).cast("long").alias("n_items"),
         F.sha2(F.array_join(listed, ","), 256).alias("items_sha256"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
@@ -154,9 +180,11 @@ def contamination(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFram
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **settings) -> DataFrame:
-    """The rows of docs that share no window with the benchmark, all columns; rows without an id all go if one of them is hit."""
-    hit = contamination(docs, benchmark, **settings).filter("contaminated").select(F.col("doc_id").alias("hit_id")).distinct()
-    return docs.join(hit, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left_anti")
+    """The rows of docs that share no window with the benchmark, all columns, whatever their names.
+
+    Rows without an id all go if one of them is hit, as do rows that repeat with an id of a hit one. Null and empty texts stay.
+    """
+    return without_ids(docs, contamination(docs, benchmark, **settings).filter("contaminated").select("doc_id").distinct(), null_too=True)
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

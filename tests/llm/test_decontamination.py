@@ -45,3 +45,44 @@ def test_filter_and_empty(spark, sf_dir, frame, rows):
     assert {r["doc_id"] for r in D.decontaminate(frame(rows), bench).collect()} == clean
     assert D.contamination(frame([]), bench).count() == 0
     assert D.contamination(frame(rows), bench.limit(0)).filter("contaminated").count() == 0
+
+
+def test_filter_with_clashing_names(spark, sf_dir, frame, odd_rows):
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    df = frame(odd_rows, clashing=True)
+    out = D.decontaminate(df, bench)
+    hit = {r[0] for r in brute(odd_rows, [tuple(r) for r in bench.select("item_id", "text").collect()]) if r[5]}
+    assert out.columns == df.columns and out.count() == sum(r[0] not in hit for r in odd_rows)
+
+
+def test_fingerprints_decide(spark, sf_dir, frame, rows, monkeypatch):
+    """Without winnowed fingerprints, or without their extension, no span is found."""
+    bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    data = rows + [(8000 + i, f"x {t} y", "en", "a", 0) for i, t in bench.limit(5).collect()]
+    assert D.contamination(frame(data), bench).filter("contaminated").count() >= 5
+    made = D.shared_spans(frame(data), bench)[1]
+    assert made.filter("len >= 10").count() == made.count() > 0
+    monkeypatch.setattr(D, "_extent", lambda own, its: D.F.lit(0))
+    assert D.contamination(frame(data), bench).filter("contaminated").count() == 0
+
+
+def test_winnowing_covers_every_window():
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = [" ".join(f"w{x}" for x in rng.integers(0, 6, n)) for n in (0, 3, 9, 10, 11, 60, 200)]
+    data, offsets = D.W.text_bytes(pa.array(texts))
+    found = D.W.words(data, offsets, D.W.NON_ALNUM)
+    place, _ = D.winnow(found)
+    for a, b in zip(found.bounds[:-1], found.bounds[1:], strict=True):
+        own = place[(place >= a) & (place < b)]
+        assert not len(own) if b - a < 10 else all(((own >= i) & (own <= i + 5)).any() for i in range(a, b - 9))
+
+
+def test_a_window_that_many_items_share(spark, frame, rows):
+    passage = " ".join(rows[9][1].split()[:14])
+    items = [(i, f"{passage} end{i}") for i in range(30)] + [(100, "one two three")]
+    data = [(i, f"begin{i} {passage} go", "en", "a", 0) for i in range(20)] + [(50, "zero one two three four", None, None, 0)]
+    out = D.contamination(frame(data), spark.createDataFrame(items, "item_id long, text string"))
+    assert sorted(map(tuple, out.collect()), key=str) == sorted(brute(data, items), key=str)
