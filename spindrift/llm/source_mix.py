@@ -10,7 +10,8 @@
    hash as their place, which shuffles them locally.
 
 All that is gathered per block is bounded: the number of blocks never exceeds `most_blocks` plus one per
-source, whatever the corpus holds, because block size grows with it.
+source, whatever the corpus holds, because block size grows with it. Tables of sources and blocks are broadcast only
+while they have few rows, which are counted; beyond that the joins shuffle. A node of the tree holds one number a source.
 """
 
 from __future__ import annotations
@@ -20,11 +21,19 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._common import ascii_words, staged
+from ._common import ascii_words, fresh, staged
 
 SEED = 17
 
 
+FEW_ROWS = 200_000
+
+
+def _few(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if it has few rows."""
+    return F.broadcast(df) if df.count() <= FEW_ROWS else df
+
+
 def _uniform(*cols) -> Column:
     """A number in [0, 1) from a hash of the columns."""
     return F.pmod(F.xxhash64(F.lit(SEED), *cols), F.lit(1 << 52)).cast("double") / float(1 << 52)
@@ -152,11 +161,12 @@ def plan(docs: DataFrame, weights=(5, 2, 1), total_share=1.5, most=2.0, block_wo
     """Tables of the mix: `sizes` (doc_id, source, size, block, place), `sources`, `draws` (source, block, pass, part, shard).
 
     A draw with `part` null takes its block whole; else it takes the block's first `part` words in the order of `place`.
+    Null texts have no words, null sources are a source of their own, the last; rows without an id are placed by their
+    text; rows that repeat have one place and count each. Texts count whole; an empty table gives empty tables; other
+    columns of docs are ignored, whatever their names.
     """
-    sized = staged(
-        docs.select("doc_id", "source", ascii_words(F.col("text")).alias("size"), F.xxhash64(F.lit(SEED), "doc_id").alias("place")),
-        "mix-sizes",
-    )
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(SEED), "text")).otherwise(F.xxhash64(F.lit(SEED), "doc_id"))
+    sized = staged(docs.select("doc_id", "source", ascii_words(F.col("text")).alias("size"), own.alias("place")), "mix-sizes")
     sums = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sums, weights, total_share, most).withColumn("all", F.sum("source_size").over(Window.partitionBy()))
     per_block = F.greatest(F.lit(float(block_words)), F.col("all") / float(most_blocks))
@@ -167,14 +177,15 @@ def plan(docs: DataFrame, weights=(5, 2, 1), total_share=1.5, most=2.0, block_wo
         "mix-sources",
     )
     small = sources.select(F.col("source").alias("its"), "s", "n_blocks")
-    blocked = sized.join(F.broadcast(small), F.col("source").eqNullSafe(F.col("its"))).withColumn(
+    small = F.broadcast(small) if sources.count() <= FEW_ROWS else small
+    blocked = sized.join(small, F.col("source").eqNullSafe(F.col("its"))).withColumn(
         "block", F.pmod("place", "n_blocks")
     ).drop("its", "n_blocks")
     blocks = staged(blocked.groupBy("s", "block").agg(F.sum("size").alias("words")), "mix-blocks")
 
     order = Window.partitionBy("s").orderBy("key", "block").rowsBetween(Window.unboundedPreceding, -1)
     ranked = (
-        blocks.join(F.broadcast(sources.select("s", "source_size", "target")), "s")
+        blocks.join(sources.select("s", "source_size", "target"), "s")
         .withColumn("words_wanted", F.round("target").cast("long"))
         .withColumn("passes", F.when(F.col("source_size") > 0, F.floor(F.col("words_wanted") / F.col("source_size"))).otherwise(0).cast("int"))
         .withColumn("rest", F.col("words_wanted") - F.col("passes") * F.col("source_size"))
@@ -196,14 +207,14 @@ def shard_draws(plan_: dict[str, DataFrame], shards: int) -> DataFrame:
     """draws + shard: the splitting tree's counts are laid along each source's permuted draws."""
     draws = staged(plan_["draws"].withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("pass", "key", "block"))), "mix-draws")
     counts = draws.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    all_of = plan_["sources"].select("s").join(F.broadcast(counts), "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
+    all_of = plan_["sources"].select("s").join(counts, "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
     quotas = all_of.agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("q")).select(F.expr("transform(q, x -> x.n)").alias("quotas"))
     shares = split_tree(quotas, shards).select("shard", F.posexplode("quotas").alias("s0", "n")).filter("n > 0")
     run = Window.partitionBy("s0").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     places = shares.withColumn("end", F.sum("n").over(run)).select(
         (F.col("s0") + 1).cast("int").alias("s"), "shard", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("i")
     )
-    return draws.join(places, ["s", "i"], "left").drop("i")
+    return staged(draws.join(places, ["s", "i"]).drop("i"), "mix-shards")
 
 
 def _cut(rows: DataFrame, *keys: str) -> DataFrame:
@@ -219,36 +230,48 @@ def default_shards(plan_: dict[str, DataFrame], draws_per_shard: int = 32) -> in
     return max(1, math.ceil(plan_["draws"].count() / draws_per_shard))
 
 
+MIX_COLUMNS = ("mix_pass", "mix_words", "mix_shard", "mix_place")
+
+
 def mix(docs: DataFrame, shards: int | None = None, **settings) -> DataFrame:
     """The mix itself: all columns of docs, and mix_pass, mix_words (its first words that count), mix_shard, mix_place.
 
     A row stands once for each time it is drawn. Documents without words are never drawn (there is nothing
-    to take). Rows that repeat with one doc_id are drawn as one. Null sources form a source of their own,
-    empty tables give an empty mix.
+    to take). Rows that repeat with one doc_id are drawn as one, as are rows without an id. Null sources form a source
+    of their own, empty tables give an empty mix. Own columns with the names of those four are replaced.
     """
+    docs = docs.drop(*MIX_COLUMNS)
     made = plan(docs, **settings)
     draws = shard_draws(made, shards or default_shards(made))
-    drawn = made["sizes"].join(F.broadcast(draws), ["s", "block"])
+    drawn = made["sizes"].join(_few(draws), ["s", "block"])
     words = drawn.filter("part IS NULL").withColumn("words", F.col("size")).unionByName(_cut(drawn.filter("part IS NOT NULL"), "pass"))
+    name = fresh(docs, "mix_doc_id")
     rows = words.filter("words > 0").select(
-        F.col("doc_id").alias("mix_doc_id"), F.col("pass").alias("mix_pass"), F.col("words").alias("mix_words"),
+        F.col("doc_id").alias(name), F.col("pass").alias("mix_pass"), F.col("words").alias("mix_words"),
         F.col("shard").alias("mix_shard"), F.xxhash64(F.lit(SEED), "place", "pass").alias("mix_place"),
-    ).dropDuplicates(["mix_doc_id", "mix_pass"])
-    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col("mix_doc_id"))).drop("mix_doc_id")
+    ).dropDuplicates([name, "mix_pass"])
+    return docs.join(rows, F.col("doc_id").eqNullSafe(F.col(name))).drop(name)
 
 
 def taken(plan_: dict[str, DataFrame], draws: DataFrame) -> DataFrame:
-    """The rows of sizes with `taken`: whole passes over their block, and their words of a cut block. Only cut blocks are shuffled."""
-    per_block = draws.groupBy("s", "block").agg(F.count_if(F.col("part").isNull()).alias("whole"), F.max("part").alias("part"))
-    rows = plan_["sizes"].join(F.broadcast(per_block), ["s", "block"], "left").withColumn("whole", F.coalesce("whole", F.lit(0)))
+    """The rows of sizes with `shares` (shard, pass, words: what each output shard takes of the row) and `taken`, their sum.
+
+    draws: of shard_draws(); a draw counts in the shard that the splitting tree gave it to. Only cut blocks are shuffled.
+    """
+    per_block = draws.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part"))).alias("drawn"), F.max("part").alias("part"))
+    rows = plan_["sizes"].join(_few(staged(per_block, "mix-drawn")), ["s", "block"], "left")
     even = rows.filter("part IS NULL").withColumn("words", F.lit(0).cast("long"))
-    return even.unionByName(_cut(rows.filter("part IS NOT NULL"))).withColumn("taken", F.col("size") * F.col("whole") + F.col("words"))
+    both = even.unionByName(_cut(rows.filter("part IS NOT NULL")))
+    words = lambda d: F.when(d["part"].isNull(), F.col("size")).otherwise(F.col("words"))
+    shares = F.transform("drawn", lambda d: F.struct(d["shard"].alias("shard"), d["pass"].alias("pass"), words(d).alias("words")))
+    own = both.withColumn("shares", F.filter(F.coalesce(shares, F.array().cast("array<struct<shard:int,pass:int,words:bigint>>")), lambda x: x["words"] > 0))
+    return own.withColumn("taken", F.aggregate("shares", F.lit(0).cast("long"), lambda n, x: n + x["words"])).drop("drawn", "part", "words")
 
 
 def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken; one row per row of documents."""
+    """doc_id, source, size, source_size, target, taken, shares; one row per row of documents."""
     made = plan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     draws = shard_draws(made, default_shards(made))
-    return taken(made, draws).join(F.broadcast(made["sources"].select("s", "source_size", "target")), "s").select(
-        "doc_id", "source", "size", "source_size", "target", "taken"
+    return taken(made, draws).join(_few(made["sources"].select("s", "source_size", "target")), "s").select(
+        "doc_id", "source", "size", "source_size", "target", "taken", "shares"
     )

@@ -31,7 +31,7 @@ def test_digest(frame, rows, odd_rows, odd):
     data = odd_rows if odd else rows
     made = M.plan(frame(data), block_words=300)
     draws = M.shard_draws(made, 5).cache()
-    got = M.taken(made, draws).join(made["sources"].select("s", "source_size", "target"), "s").select("doc_id", "source", "size", "source_size", "target", "taken").collect()
+    got = M.taken(made, draws).join(made["sources"].select("s", "source_size", "target"), "s").select("doc_id", "source", "size", "source_size", "target", "taken", "shares").collect()
     assert len(got) == len(data)
     size = lambda t: len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
     sizes = {}
@@ -43,11 +43,36 @@ def test_digest(frame, rows, odd_rows, odd):
         assert r["source_size"] == sizes[r["source"]] and r["target"] == pytest.approx(target[r["source"]])
         assert 0 <= r["taken"] <= 2 * r["size"]
         taken[r["source"]] += r["taken"]
+        assert r["taken"] == sum(x["words"] for x in r["shares"])
     assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
     again = M.taken(made, draws).agg(F.sum(F.hash("doc_id", "taken").cast("long"))).head()[0]
     assert again == M.taken(M.plan(frame(data[::-1]), block_words=300), M.shard_draws(M.plan(frame(data[::-1]), block_words=300), 5)).agg(F.sum(F.hash("doc_id", "taken").cast("long"))).head()[0]
 
 
+def test_the_tree_decides(frame, rows):
+    """Each shard takes of each source what its node of the tree was dealt; a draw that no node holds is not taken."""
+    made = M.plan(frame(rows), block_words=300)
+    draws = M.shard_draws(made, 5)
+    counts = {r["s"]: r["count"] for r in made["draws"].groupBy("s").count().collect()}
+    n = made["sources"].count()
+    quotas = frame([]).sparkSession.createDataFrame([([counts.get(s, 0) for s in range(1, n + 1)],)], "quotas array<bigint>")
+    dealt = {(r["shard"], s + 1): k for r in M.split_tree(quotas, 5).collect() for s, k in enumerate(r["quotas"]) if k}
+    got = M.taken(made, draws).select("s", "block", F.explode("shares").alias("x")).select("s", "block", "x.*").groupBy("shard", "s").agg(F.count_distinct("block", "pass").alias("n"))
+    assert {(r["shard"], r["s"]): r["n"] for r in got.collect()} == dealt
+    fewer = draws.filter("shard <> 2")
+    lost = sum(x["words"] for r in M.taken(made, draws).collect() for x in r["shares"] if x["shard"] == 2)
+    assert lost > 0 and M.taken(made, draws).agg(F.sum("taken")).head()[0] - M.taken(made, fewer).agg(F.sum("taken")).head()[0] == lost
+
+
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_joins_without_a_broadcast(frame, rows, monkeypatch, few):
+    monkeypatch.setattr(M, "FEW_ROWS", few)
+    made = M.plan(frame(rows), block_words=300)
+    got = M.taken(made, M.shard_draws(made, 5)).agg(F.count("*"), F.sum("taken")).head()
+    total = sum(len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or "")) for r in rows)
+    assert got[0] == len(rows) and abs(got[1] - 1.5 * total) <= 30
+
+
 def test_mix(frame, rows):
     df = frame(rows)
     out = M.mix(df, shards=4, block_words=300).collect()
@@ -58,7 +83,8 @@ def test_mix(frame, rows):
 
 
 def test_clashing_names_and_empty_table(frame, odd_rows):
-    assert M.mix(frame(odd_rows, clashing=True)).count() > 0
+    out = M.mix(frame(odd_rows, clashing=True))
+    assert len(set(out.columns)) == len(out.columns) and len(out.collect()) > 0
     assert M.mix(frame([])).count() == 0
 
 
