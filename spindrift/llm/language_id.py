@@ -103,10 +103,23 @@ def _softmax(margins: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
+def described(rows: DataFrame) -> DataFrame:
+    """doc_id, lang and the text's vector, as half floats: a few KB a row, however long the text."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = W.text_bytes(batch.column("text"))
+            for i, j in W.chunks(offsets):
+                x = vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in ("doc_id", "lang")), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "lang", "vector"])
+
+    return map_arrow(rows.select("doc_id", "lang", "text"), of, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang string, vector binary")
+
+
 def fit(labelled: DataFrame, per_language: int = 500) -> Model | None:
-    """Fit on a sample of the rows with text and lang: about `per_language` rows of each language, chosen by a hash of the id.
+    """Fit on a sample of the rows with text and lang: about `per_language` rows of each language, chosen by a hash of the id and text.
 
-    That bound, times the number of languages, is all the driver gets. None if no language is given.
+    That bound, times the number of languages, is how many vectors the driver gets. None if no language is given.
     """
     rows = labelled.select("doc_id", "text", "lang").filter("text IS NOT NULL AND lang IS NOT NULL")
     counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -115,19 +128,16 @@ def fit(labelled: DataFrame, per_language: int = 500) -> Model | None:
     share = F.lit(0.0)
     for name, n in sorted(counts.items()):
         share = F.when(F.col("lang") == name, F.lit(min(1.0, per_language / n))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    sample = rows.filter(draw < share).select("doc_id", "text", "lang").toPandas().sort_values(["doc_id", "text"])
-    if sample.empty:
-        sample = rows.limit(per_language).toPandas()
-    return train(sample)
+    draw = F.pmod(F.xxhash64(F.lit(3), F.coalesce(F.xxhash64("doc_id"), F.xxhash64("text"))), F.lit(1 << 30)) / float(1 << 30)
+    sample = described(rows.filter(draw < share)).toPandas()
+    if sample.empty:  # few rows, none of them drawn
+        sample = described(rows.orderBy("doc_id", "text").limit(per_language)).toPandas()
+    return train(sample.sort_values(["doc_id", "vector"]))
 
 
 def train(sample: pd.DataFrame) -> Model:
-    x = []
-    data, offsets = W.text_bytes(pa.array(sample["text"], pa.string()))
-    for i, j in W.chunks(offsets):
-        x.append(vectors(data[offsets[i] : offsets[j]], offsets[i : j + 1]))
-    x, lang = np.vstack(x), sample["lang"].to_numpy(object)
+    x = np.frombuffer(b"".join(sample["vector"]), np.float16).reshape(len(sample), DIM).astype(np.float32)
+    lang = sample["lang"].to_numpy(object)
     names = sorted(set(lang))
     family_of = {n: _FAMILY_OF.get(n, n) for n in names}
     families = sorted(set(family_of.values()))
@@ -147,7 +157,9 @@ def train(sample: pd.DataFrame) -> Model:
 def identify(docs: DataFrame, model: Model | None) -> DataFrame:
     """All columns of docs, + lang_pred and lang_score (own columns of these names are replaced).
 
-    `und` with score 0 for null texts and texts without a letter, and for all if there is no model.
+    `und` with score 0 for null texts and texts without a letter, and for all if there is no model. Each row is handled
+    alone: rows may repeat and have any id or none, equal texts have equal results, texts count whole, however long, and an
+    empty table gives no rows.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
 

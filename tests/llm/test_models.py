@@ -122,6 +122,49 @@ def test_license_base(frame, rows, odd_rows):
     assert S.scan(frame([])).count() == 0
 
 
+def test_license_labels_against_plain_voting(frame, rows):
+    """Labels and scores against diagonals that are voted and merged in plain Python."""
+    import re
+
+    word = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    rng = np.random.default_rng(5)
+    extra = []
+    for i, (_, text) in enumerate(S.TEMPLATES):
+        w = text.split()
+        kept = [x for x in w if rng.random() > 0.08]
+        extra += [(7100 + i, " ".join(["so"] * (i % 5) + kept + ["it", "is"]), "en", "a", 0), (7200 + i, " ".join(w[: len(w) * 2 // 3]) + " and " + " ".join(w), "en", "a", 0)]
+        extra.append((7300 + i, " ".join([*w[: len(w) // 2], "new", "words", "here", *w[len(w) // 2 :]]), "en", "a", 0))
+
+    def plain(t):
+        w, found = word(t), []
+        for phrase, label in BASE.items():
+            if any(w[i : i + len(phrase.split())] == phrase.split() for i in range(len(w))):
+                found.append((label, 1.0))
+        for label, text in S.TEMPLATES:
+            g = text.split()
+            votes = {}
+            for p in range(len(g) - S.K + 1):
+                for a in range(len(w) - S.K + 1):
+                    if w[a : a + S.K] == g[p : p + S.K]:
+                        votes.setdefault(a - p, set()).add(p)
+            held, before = set(), None
+            for d in [*sorted(votes), None]:
+                if d is None or before is not None and d - before > 2:
+                    if len(held) >= 0.6 * (len(g) - S.K + 1):
+                        found.append((label, len(held) / (len(g) - S.K + 1)))
+                    held = set()
+                if d is not None:
+                    held |= votes[d]
+                before = d
+        return ",".join(sorted({x for x, _ in found})), max((s for _, s in found), default=0.0)
+
+    data = rows[:60] + extra
+    got = {r["doc_id"]: r for r in S.scan(frame(data, clashing=True)).collect()}
+    for d, t, *_ in data:
+        labels, score = plain(t)
+        assert got[d]["labels"] == labels and got[d]["score"] == pytest.approx(score)
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var t="</p>";</script></head><body><header class="site-header"><h1>Site</h1><p>a tagline of the site</p></header>
 <div id="cookie-notice">We use cookies on this site for you.<button>OK</button></div><nav><ul><li><a href=/>Home</a></ul></nav>
 <main><div class="post"><h2>Title &amp; more</h2><p>Real&nbsp;text <b>one
