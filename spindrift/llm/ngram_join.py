@@ -5,20 +5,21 @@ n-gram and packed as arrays. Each block is multiplied on its own, and the counts
 
 1. For each node, the columns it shares are counted. A partner of similarity t must hold t of a node's columns, so
    nodes that share fewer are discarded; most of a corpus goes here. Only the texts of the others are read on.
-2. Twice, each node is multiplied with the leader of each of its columns: of the nodes of other components and of a
-   size that allows a link, the one whose columns are the most common ones (the text that copies were made from).
-   Overlaps of a pair are added up over the blocks. What is counted is part of the pair's overlap, so a pair whose count
-   reaches the bound is a link. This joins groups of near copies without their pairs. Then nodes are discarded again
-   by the columns they share with other components.
-3. What is left is multiplied in full: columns from rare to frequent, each node posts the prefix that a partner's size
-   bound leaves; the pairs of different components that meet there are counted, and discarded where the count and
+2. Twice, each node is multiplied with the leader of each of its columns: of the nodes of a size that allows a link, the
+   one whose columns are the most common ones (the text that copies were made from). Overlaps of a pair are added up
+   over the blocks. What is counted is part of the pair's overlap, so a pair whose count reaches the bound is a link; of
+   a node without such a pair the best pair's whole overlap is added up. This joins groups of near copies without their
+   pairs. Then nodes are discarded again, by the columns they share with nodes of other components and fitting sizes;
+   the least of these sizes bounds a link's overlap from below.
+3. What is left is multiplied in full: columns from rare to frequent, each node posts the prefix that this bound
+   leaves; the pairs of different components that meet there are counted, and discarded where the count and
    all columns that are not posted stay below the bound; the exact overlaps of the rest are added up over the
    blocks of a last product. So no link between components is lost.
 
-Step 2 only saves work for step 3; step 3 alone would find all components. A column that many nodes of one Arrow batch
-hold is folded before the shuffle: its cells are multiplied there and one entry is sent for them, so no n-gram, however
-common, sends more than a few cells of a batch to its block. Cells hold 48 bits of a n-gram's hash besides those
-that choose the block.
+Step 2 only saves work for step 3; step 3 alone would find all components. In step 1 a column that many nodes of one
+Arrow batch hold is folded before the shuffle: its cells are counted there and one entry is sent for them. In step 2 a
+column that more than `split` nodes hold is dealt over several blocks by its nodes. Cells hold 48 bits of a n-gram's
+hash besides those that choose the block.
 """
 
 from __future__ import annotations
@@ -41,8 +42,9 @@ K = 5
 SHARE = 75  # per cent
 ROUNDS = 2
 FOLDED = 16  # nodes of a batch that share a column before it is folded
-BATCH_BYTES = 8 << 20
-BLOCK_CELLS = 2_000_000
+BATCH_BYTES = 6 << 20
+BLOCK_CELLS = 1_000_000
+SPLIT = 200_000  # nodes of a column in one block
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -94,7 +96,7 @@ def _other() -> Column:
 # counts that the batch has settled by itself.
 BLOCK = "block int, nodes binary, cells binary, facts binary, low binary, high binary, marks binary, sums binary"
 FACT = np.dtype([("group", np.int64), ("score", np.float32), ("size", np.int32)])
-MARK = np.dtype([("gram", np.uint64), ("node", np.int64), ("count", np.int64), ("mixed", np.bool_), *FACT.descr])
+MARK = np.dtype([("gram", np.uint64), ("node", np.int64), ("count", np.int64)])
 SUM = np.dtype([("a", np.int64), ("b", np.int64), ("n", np.int64), ("w", np.float64), ("na", np.int64), ("nb", np.int64)])
 SUMS = "a bigint, b bigint, n bigint, w double, na bigint, nb bigint"
 ALONE = np.int64(-(2**63))  # stands for b in sums of one node
@@ -107,14 +109,14 @@ def _added(sums: np.ndarray) -> np.ndarray:
     sums = sums[np.lexsort((sums["b"], sums["a"]))]
     first = np.flatnonzero(np.concatenate([[True], (sums["a"][1:] != sums["a"][:-1]) | (sums["b"][1:] != sums["b"][:-1])]))
     out = sums[first]
-    out["n"], out["w"] = np.add.reduceat(sums["n"], first), np.add.reduceat(sums["w"], first)
+    out["n"], out["w"], out["na"] = np.add.reduceat(sums["n"], first), np.add.reduceat(sums["w"], first), np.maximum.reduceat(sums["na"], first)
     return out
 
 
-def _single(node: np.ndarray, weight: np.ndarray) -> np.ndarray:
-    """SUM rows of nodes that share a column, with the log of how many share it."""
+def _single(node: np.ndarray, weight: np.ndarray, partner: np.ndarray | int = 0) -> np.ndarray:
+    """SUM rows of nodes that share a column: the log of how many share it, and in na the partner's least size, negated, so that the largest na stands for the least size."""
     out = np.zeros(len(node), SUM)
-    out["a"], out["b"], out["n"], out["w"] = node, ALONE, 1, weight
+    out["a"], out["b"], out["n"], out["w"], out["na"] = node, ALONE, 1, weight, -np.asarray(partner)
     return out
 
 
@@ -123,75 +125,62 @@ def _size_class(size: np.ndarray, shift: float) -> np.ndarray:
     return np.floor(np.log(np.maximum(size, 1)) / np.log(100 / SHARE) + shift).astype(np.int64)
 
 
-def _led(gram: np.ndarray, node: np.ndarray, fact: np.ndarray, kind: np.ndarray, mixed: np.ndarray) -> np.ndarray:
-    """SUM rows (leader, node) of entries sorted by gram, size class and rank: one for each node whose column is led by another component's node.
-
-    mixed: whether the entry's column holds several components.
-    """
+def _led(gram: np.ndarray, node: np.ndarray, fact: np.ndarray, kind: np.ndarray) -> np.ndarray:
+    """SUM rows (leader, node) of cells sorted by gram, size class and rank: one for each node whose column is led by another component's node."""
     start = np.concatenate([[True], (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])])
     leader = np.flatnonzero(start)[np.cumsum(start) - 1]
     small, large = np.minimum(fact["size"], fact["size"][leader]).astype(np.int64), np.maximum(fact["size"], fact["size"][leader]).astype(np.int64)
-    led = np.flatnonzero(mixed & (fact["group"] != fact["group"][leader]) & (100 * small >= SHARE * large))
+    led = np.flatnonzero((fact["group"] != fact["group"][leader]) & (100 * small >= SHARE * large))
     out = np.zeros(len(led), SUM)
     out["a"], out["b"], out["n"] = node[leader[led]], node[led], 1
     out["na"], out["nb"] = fact["size"][leader[led]], fact["size"][led]
     return _added(out)
 
 
-def _columns(gram: np.ndarray, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For each entry, sorted by gram: how many entries its column has, and whether these are of several components."""
-    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-    size = np.diff(np.append(start, len(gram)))
-    mixed = np.minimum.reduceat(group, start) != np.maximum.reduceat(group, start)
-    return np.repeat(size, size), np.repeat(mixed, size)
-
-
-def _folded(grams: np.ndarray, ref: np.ndarray, nodes: np.ndarray, facts: np.ndarray, star: bool, shift: float, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(which cells stay, marks, sums) of a batch: columns that FOLDED of its nodes hold are multiplied here and one mark is sent for each.
-
-    Nodes of a folded column count it as shared; where the batch holds one component of it alone, this may be too
-    much, so they are kept on, never lost. Its weight goes by the share of the batch's nodes that hold it.
-    """
-    order = np.argsort(grams, kind="stable")
-    start = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]])) if len(order) else np.zeros(0, np.int64)
-    size = np.diff(np.append(start, len(order)))
-    hot = np.repeat(size >= FOLDED, size)
+def _partners(gram: np.ndarray, fact: np.ndarray) -> np.ndarray:
+    """For each cell the least size, of those that allow a link with it, of its column's nodes of other components; 0 where there is none."""
+    size = fact["size"].astype(np.uint64)
+    _, column = np.unique(gram, return_inverse=True)
+    key = (column.astype(np.uint64) << np.uint64(32)) | size
+    order = np.lexsort((fact["group"], key))
+    sorted_key, group = key[order], fact["group"][order]
+    least = (size * np.uint64(SHARE) + np.uint64(99)) // np.uint64(100)
+    at = np.searchsorted(sorted_key, (column.astype(np.uint64) << np.uint64(32)) | least)  # never beyond the cell itself
+    change = np.append(np.flatnonzero((group[1:] != group[:-1]) | (sorted_key[1:] >> np.uint64(32) != sorted_key[:-1] >> np.uint64(32))) + 1, len(order))
+    other = change[np.searchsorted(change, at, "right")]
+    at = np.where(group[at] == fact["group"], np.minimum(other, len(order) - 1), at)
+    found = sorted_key[at]
+    fits = (found >> np.uint64(32) == column.astype(np.uint64)) & (group[at] != fact["group"]) & ((found & np.uint64(0xFFFFFFFF)) * np.uint64(SHARE) <= size * np.uint64(100))
+    return np.where(fits, found & np.uint64(0xFFFFFFFF), np.uint64(0)).astype(np.int64)
+
+
+def _folded(grams: np.ndarray, ref: np.ndarray, nodes: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(which cells stay, marks, their whole grams, sums) of a batch: columns that FOLDED of its nodes hold are counted here and one mark is sent for each. A column's weight goes by the share of the batch's nodes that hold it."""
     stay = np.ones(len(grams), bool)
-    own = order[hot]
-    if not len(own):
-        return stay, np.zeros(0, MARK), np.zeros(0, SUM)
+    own, count = _many(grams, FOLDED)
     stay[own] = False
-    count = np.repeat(size, size)[hot]
-    gram, node, fact = grams[own], nodes[ref[own]], facts[ref[own]]
-    sums = [_added(_single(node, np.log2(count * max(1.0, total / len(nodes)))))]
-    kind = _size_class(fact["size"], shift) if star else np.zeros(len(gram), np.int64)
-    if star:
-        order = np.lexsort((node, -fact["score"], kind, gram))
-        gram, node, fact, kind, count = gram[order], node[order], fact[order], kind[order], count[order]
-        _, mixed = _columns(gram, fact["group"])
-        sums.append(_led(gram, node, fact, kind, mixed))
-    else:
-        mixed = np.ones(len(gram), bool)
-    first = np.flatnonzero(np.concatenate([[True], (gram[1:] != gram[:-1]) | (kind[1:] != kind[:-1])]))
+    gram, node = grams[own], nodes[ref[own]]
+    first = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]])) if len(own) else own
     marks = np.zeros(len(first), MARK)
-    marks["gram"], marks["node"], marks["count"], marks["mixed"] = gram[first] & _LOW, node[first], np.diff(np.append(first, len(gram))), mixed[first]
-    for name in FACT.names:
-        marks[name] = fact[name][first]
-    return stay, _with_block(marks, gram[first]), np.concatenate(sums)
+    marks["gram"], marks["node"], marks["count"] = gram[first] & _LOW, node[first], count[first]
+    return stay, marks, gram[first], _added(_single(node, np.log2(count * max(1.0, total / len(nodes)))))
 
 
-def _with_block(marks: np.ndarray, gram: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(marks), np.dtype([("own", MARK), ("whole", np.uint64)]))
-    out["own"], out["whole"] = marks, gram
-    return out
+def _many(grams: np.ndarray, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(places of the cells, by gram, of columns with at least so many cells; how many each column has)."""
+    order = np.argsort(grams, kind="stable")
+    start = np.flatnonzero(np.concatenate([[True], grams[order][1:] != grams[order][:-1]])) if len(order) else np.zeros(0, np.int64)
+    size = np.diff(np.append(start, len(order)))
+    many = np.repeat(size >= least, size)
+    return order[many], np.repeat(size, size)[many]
 
 
 def _block_of(grams: np.ndarray, blocks: int) -> np.ndarray:
     return ((grams >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
 
 
-def incidence(texts: DataFrame, blocks: int, seed: int, how: str, shift: float = 0.0, total: int = 1) -> DataFrame:
-    """The matrix in packed column blocks (see BLOCK).
+def incidence(texts: DataFrame, blocks: int, seed: int, how: str, total: int = 1, split: int = SPLIT) -> DataFrame:
+    """The matrix in packed column blocks (see BLOCK); blocks from number `blocks` on hold parts of split columns.
 
     how: "count" (all of docs: text), "star" (text, node, component, score, n), or "pairs" (text, node, partners).
     """
@@ -203,24 +192,25 @@ def incidence(texts: DataFrame, blocks: int, seed: int, how: str, shift: float =
         _, first, place = np.unique(nodes, return_index=True, return_inverse=True)
         keep = (first[place] == np.arange(len(nodes)))[ref]  # copies in a batch are one
         grams, ref = grams[keep], ref[keep]
-        marks, sums = np.zeros(0, [("own", MARK), ("whole", np.uint64)]), np.zeros(0, SUM)
-        if how != "pairs":
-            stay, found, sums = _folded(grams, ref, nodes, facts, how == "star", shift, total)
-            marks = found if len(found) else marks
+        marks, whole, sums = np.zeros(0, MARK), np.zeros(0, np.uint64), np.zeros(0, SUM)
+        if how == "count":
+            stay, marks, whole, sums = _folded(grams, ref, nodes, total)
             grams, ref = grams[stay], ref[stay]
         block = _block_of(grams, blocks)
-        order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
+        if how == "star" and total > split:
+            own, count = _many(grams, max(2.0, split * len(nodes) / total))
+            salts = np.ceil(count * (total / len(nodes)) / split).astype(np.uint64)
+            salt = W.mix(nodes[ref[own]].view(np.uint64)) % salts
+            block[own] = np.uint64(blocks) + W.mix(grams[own] + salt) % np.uint64(blocks)
+        ids = 2 * blocks
+        order = np.argsort(block.astype(np.uint16 if ids < 65536 else np.int64), kind="stable")
         grams, ref = grams[order], ref[order]
-        edges = np.arange(blocks + 1, dtype=np.uint64)
+        edges = np.arange(ids + 1, dtype=np.uint64)
         cuts = np.searchsorted(block[order], edges)
-        of_mark = _block_of(marks["whole"], blocks)
-        mark_cuts = np.searchsorted(of_mark, edges)
+        mark_cuts = np.searchsorted(_block_of(whole, blocks), edges)
         rows = []
-        for b in range(blocks):
-            own = slice(cuts[b], cuts[b + 1])
-            held = marks["own"][mark_cuts[b] : mark_cuts[b + 1]]
-            if own.start == own.stop and not len(held):
-                continue
+        for b in np.flatnonzero(np.diff(cuts) + np.diff(mark_cuts)).tolist():
+            own, held = slice(cuts[b], cuts[b + 1]), marks[mark_cuts[b] : mark_cuts[b + 1]]
             used, counts = np.unique(ref[own], return_counts=True)
             if how == "star":
                 more = facts[used].tobytes()
@@ -280,50 +270,52 @@ def _out(sums: np.ndarray) -> pa.Table:
     return pa.table({"a": pa.array(sums["a"]), "b": b, **{c: pa.array(sums[c]) for c in ("n", "w", "na", "nb")}})
 
 
-def _product(shift: float | None):
-    """Multiplies one column block: SUM rows of nodes (b null; columns they share, sum of their log sizes) and, with a shift, of (leader, node)."""
+def _counted(table: pa.Table) -> pa.Table:
+    """Multiplies one column block of all nodes: SUM rows of the columns that a node shares, with the sum of their log sizes."""
+    gram, ref, nodes, _ = _cells(table)
+    marks = np.concatenate(_read(table, "marks", MARK))
+    node = np.concatenate([np.concatenate(nodes)[ref], marks["node"]])
+    count = np.concatenate([np.ones(len(ref), np.int64), marks["count"]])
+    gram = np.concatenate([gram, marks["gram"]])
+    mark = np.arange(len(gram)) >= len(ref)
+    order = np.lexsort((mark, node, gram))
+    gram, node, count, mark = gram[order], node[order], count[order], mark[order]
+    # copies of a node are one; nodes of a folded column are counted already
+    again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])
+    start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
+    size = np.diff(np.append(start, len(gram)))
+    df = np.repeat(np.add.reduceat(np.where(again & ~mark, 0, count), start), size)
+    single = (df > 1) & ~mark & ~again
+    return _out(_added(np.concatenate([*_read(table, "sums", SUM), _single(node[single], np.log2(df[single]))])))
+
+
+def _product(shift: float, blocks: int):
+    """Multiplies one column block: SUM rows of nodes (columns shared with another component's node of a fitting size) and of (leader, node).
+
+    A block of parts of split columns can't tell what its other parts hold, so all its columns count as shared with the
+    least size that may be: too much here keeps nodes on, it never loses one.
+    """
 
     def of(table: pa.Table) -> pa.Table:
         gram, ref, nodes, _ = _cells(table)
-        nodes = np.concatenate(nodes)
-        facts = np.concatenate(_read(table, "facts", FACT)) if shift is not None else np.zeros(len(nodes), FACT)
-        if shift is None:
-            facts["group"] = nodes
-        marks = np.concatenate(_read(table, "marks", MARK))
-        node, fact = np.concatenate([nodes[ref], marks["node"]]), np.concatenate([facts[ref], np.zeros(len(marks), FACT)])
-        for name in FACT.names:
-            fact[name][len(ref) :] = marks[name]
-        if shift is None:
-            fact["group"][len(ref) :] = marks["node"]
-        count = np.concatenate([np.ones(len(ref), np.int64), marks["count"]])
-        gram = np.concatenate([gram, marks["gram"]])
-        mark = np.arange(len(gram)) >= len(ref)
-        known = np.concatenate([np.zeros(len(ref), bool), marks["mixed"]])
-        kind = _size_class(fact["size"], shift) if shift is not None else np.zeros(len(gram), np.int64)
-        order = np.lexsort((mark, node, -fact["score"], kind, gram)) if shift is not None else np.lexsort((mark, node, gram))
-        gram, node, fact, kind, count, mark, known = (x[order] for x in (gram, node, fact, kind, count, mark, known))
-        # copies of a node are one; a mark besides its node's own cell, or another batch's mark of it, only adds its count
-        again = np.concatenate([[False], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])
-        start = np.flatnonzero(np.concatenate([[True], gram[1:] != gram[:-1]]))
-        size = np.diff(np.append(start, len(gram)))
-        df = np.repeat(np.add.reduceat(np.where(again & ~mark, 0, count), start), size)
-        known = np.repeat(np.maximum.reduceat(known, start), size)
-        _, mixed = _columns(gram, fact["group"])
-        mixed = mixed | known
-        single = mixed & ~mark & ~again
-        sums = [*_read(table, "sums", SUM), _added(_single(node[single], np.log2(df[single])))]
-        if shift is not None:
-            one = ~again
-            sums.append(_led(gram[one], node[one], fact[one], kind[one], mixed[one]))
-        return _out(_added(np.concatenate(sums)))
+        node, fact = np.concatenate(nodes)[ref], np.concatenate(_read(table, "facts", FACT))[ref]
+        kind = _size_class(fact["size"], shift)
+        order = np.lexsort((node, -fact["score"], kind, gram))
+        gram, node, fact, kind = gram[order], node[order], fact[order], kind[order]
+        one = ~np.concatenate([[False], (gram[1:] == gram[:-1]) & (node[1:] == node[:-1])])  # copies of a node are one
+        gram, node, fact, kind = gram[one], node[one], fact[one], kind[one]
+        split = table.column("block")[0].as_py() >= blocks
+        partner = (fact["size"].astype(np.int64) * SHARE + 99) // 100 if split else _partners(gram, fact)
+        single = partner > 0
+        return _out(_added(np.concatenate([_single(node[single], 0.0, partner[single]), _led(gram, node, fact, kind)])))
 
     return of
 
 
-def multiplied(texts: DataFrame, blocks: int, seed: int, total: int, shift: float | None = None) -> DataFrame:
-    """a, b, n, w, na, nb summed over the blocks: see _product."""
-    matrix = incidence(texts, blocks, seed, "count" if shift is None else "star", shift or 0.0, total)
-    parts = matrix.groupBy("block").applyInArrow(_product(shift), SUMS)
+def multiplied(texts: DataFrame, blocks: int, seed: int, total: int, shift: float | None = None, split: int = SPLIT) -> DataFrame:
+    """a, b, n, w, na, nb summed over the blocks: see _counted, and with a shift _product."""
+    matrix = incidence(texts, blocks, seed, "count" if shift is None else "star", total, split)
+    parts = matrix.groupBy("block").applyInArrow(_counted if shift is None else _product(shift, blocks), SUMS)
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nw"], *[F.max(c).alias(c) for c in ("na", "nb")])
 
 
@@ -367,8 +359,8 @@ def overlaps(texts: DataFrame, pairs: DataFrame, blocks: int, seed: int) -> Data
     return parts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
 
 
-def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame | None, blocks: int, seed: int) -> DataFrame:
-    """Links (a, b) between live nodes of different components, all of them; texts has node, n, text."""
+def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """Links (a, b) between live nodes (node, least: the least overlap of a link) of different components, all of them; texts has node, n, text."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,41 +368,40 @@ def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame | None, bloc
             for i, j in W.chunks(offsets):
                 grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(i, j - i) for c in ("node", "component", "n")), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64)))],
-                    names=["node", "component", "n", "grams"],
+                    [*(batch.column(c).slice(i, j - i) for c in ("node", "component", "n", "least")), pa.ListArray.from_arrays(bounds.astype(np.int32), pa.array(grams.view(np.int64)))],
+                    names=["node", "component", "n", "least", "grams"],
                 )
 
-    sets = map_arrow(_with_component(texts, live, label).select("node", "component", "n", "text"), of, "node bigint, component bigint, n bigint, grams array<bigint>")
-    cells = sets.select("node", "component", "n", F.explode("grams").alias("gram"))
+    sets = map_arrow(_with_component(texts, live, label).select("node", "component", "n", "least", "text"), of, "node bigint, component bigint, n bigint, least bigint, grams array<bigint>")
+    cells = sets.select("node", "component", "n", "least", F.explode("grams").alias("gram"))
     columns = cells.groupBy("gram").agg(F.count(F.lit(1)).alias("df"), F.min("component").alias("low"), F.max("component").alias("high"))
     shared = cells.join(columns.filter("low <> high").select("gram", "df"), "gram")
     # columns of one component come first in a node's order, so they only shift the places of the others
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "gram"))
-    least = F.ceil(F.col("n") * SHARE / 100)
-    posts = shared.withColumn("from_last", rank).filter(F.col("from_last") >= least)
-    posts = staged(posts.groupBy("gram", "node", "component", "n").agg(F.max("from_last").alias("from_last")), "join-posts")
+    posts = shared.withColumn("from_last", rank).filter("from_last >= least")
+    posts = staged(posts.groupBy("gram", "node", "component", "n", "least").agg(F.max("from_last").alias("from_last")), "join-posts")
     main = posts.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(
         F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     ).filter("kinds > 1")
     known = posts.join(main.select("gram", "main"), "gram")
-    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
-    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), (F.col("component") == F.col("main")).alias("of_main"))
+    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"), F.col("least").alias("lx"))
+    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), F.col("least").alias("ly"), (F.col("component") == F.col("main")).alias("of_main"))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
     once = (F.col("cx") != F.col("cy")) & (F.col("of_main") | (F.col("x") < F.col("y")))
     met = left.join(right, "gram").filter(once & sized).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.greatest("nx", "ny").alias("most"), F.least("rx", "ry").alias("behind")
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.greatest("lx", "ly").alias("most"), F.least("rx", "ry").alias("behind")
     )
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("behind").alias("behind"), F.first("sum").alias("sum"), F.first("most").alias("most"))
     # a link's overlap is SHARE / (100 + SHARE) of both sizes together; it can't pass the columns behind the rarest shared
-    # one, nor what the posted columns count and those not posted of the larger node together
-    unposted = F.ceil(F.col("most") * SHARE / 100) - 1
+    # one, nor what the posted columns count and those that one of the nodes doesn't post together
+    unposted = F.col("most") - 1
     needed = F.col("sum") * SHARE
     pairs = staged(counted.filter((F.col("behind") * (100 + SHARE) >= needed) & ((F.col("m") + unposted) * (100 + SHARE) >= needed)).select("a", "b", "sum"), "join-pairs")
     found = overlaps(texts, pairs.select("a", "b"), blocks, seed).join(pairs, ["a", "b"])
     return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     """doc_id, n_shingles, component_id; one row per row of docs.
 
     component_id is the least doc_id reachable by links, itself included. Null and empty texts have no
@@ -444,14 +435,21 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         texts = staged(texts.dropDuplicates(["node"]), "join-texts", "uncompressed")
     blocks = max(64, math.ceil((cells or 0) / BLOCK_CELLS))
     links, label, live = None, None, None
+    sure = F.col("n") * (100 + SHARE) >= (F.col("na") + F.col("nb")) * SHARE
     for i in range(ROUNDS):
         own = texts.withColumn("component", F.col("node")) if label is None else _with_component(texts, live, label)
-        product = staged(multiplied(own, blocks, seed, n_alive, shift=i / ROUNDS), f"join-product-{i}")
-        live = staged(counted(product).join(alive.select("node", "n"), "node").filter(enough).select("node"), f"join-live-{i}")
-        # the part of the overlap that is counted is enough for a link
-        found = product.filter(F.col("b").isNotNull() & (F.col("n") * (100 + SHARE) >= (F.col("na") + F.col("nb")) * SHARE)).select("a", "b")
+        product = staged(multiplied(own, blocks, seed, n_alive, i / ROUNDS, split), f"join-product-{i}")
+        least = F.greatest(F.ceil(F.col("n") * SHARE / 100), F.ceil((F.col("n") - F.col("na")) * SHARE / (100 + SHARE)))
+        facts = product.filter("b IS NULL").select(F.col("a").alias("node"), F.col("n").alias("shared"), "na").join(alive.select("node", "n"), "node")
+        live = staged(facts.withColumn("least", least).filter("shared >= least").select("node", "shared", "least"), f"join-live-{i}")
+        pairs = product.filter("b IS NOT NULL")
+        # the part of the overlap that is counted is enough for a link, or else the best pair's whole overlap may be
+        best = pairs.groupBy("b").agg(F.max_by(F.struct("a", "na", "nb"), F.struct("n", "a")).alias("p"), F.max(sure).alias("linked")).filter("NOT linked").select("p.a", "b", "p.na", "p.nb")
+        best = best.join(live.select(F.col("node").alias("b"), "shared"), "b").filter(F.col("shared") * (100 + SHARE) >= (F.col("na") + F.col("nb")) * SHARE)
+        best = staged(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "na", "nb").dropDuplicates(["a", "b"]), f"join-best-{i}")
+        found = pairs.filter(sure).select("a", "b").unionByName(overlaps(texts, best.select("a", "b"), blocks, seed).join(best, ["a", "b"]).filter(sure).select("a", "b"))
         links = staged(found if links is None else links.unionByName(found), f"join-links-{i}")
-        discard(product)
+        discard(product, best)
         label = components(links)
     last = staged(exact_links(texts, live, label, blocks, seed), "join-links")
     discard(texts)
@@ -466,7 +464,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _with_component(texts: DataFrame, live: DataFrame, label: DataFrame) -> DataFrame:
     """The texts of live nodes with their component; sort-merge at every size, so the shuffle follows the input."""
-    facts = live.join(label, "node", "left").select("node", F.coalesce("label", "node").alias("component"))
+    facts = live.join(label, "node", "left").select("node", "least", F.coalesce("label", "node").alias("component"))
     return texts.join(facts.hint("merge"), "node")
 
 

@@ -62,6 +62,28 @@ def test_a_passage_that_all_share(frame, rows, common):
     assert got(frame, data) == brute(data)
 
 
+@pytest.mark.parametrize("split", [5, 40])
+def test_split_columns(frame, rows, split):
+    """Columns of more nodes than one block takes are dealt over several."""
+    base = rows[9][1].split()[:120]
+    data = [(i, " ".join(f"v{i}" if j in (i % 110, i * 7 % 110) else w for j, w in enumerate(base)), "en", "a", 0) for i in range(90)] + rows[:40]
+    assert sorted(map(tuple, J.near_duplicates(frame(data), split=split).collect()), key=str) == brute(data)
+
+
+def test_partners_of_fitting_sizes():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    gram = np.sort(rng.integers(0, 12, 200)).astype(np.uint64)
+    fact = np.zeros(200, J.FACT)
+    fact["group"], fact["size"] = rng.integers(0, 3, 200), rng.integers(1, 40, 200)
+    want = [
+        min((int(fact["size"][j]) for j in range(200) if gram[j] == gram[i] and fact["group"][j] != fact["group"][i] and 100 * min(fact["size"][i], fact["size"][j]) >= 75 * max(fact["size"][i], fact["size"][j])), default=0)
+        for i in range(200)
+    ]
+    assert J._partners(gram, fact).tolist() == want
+
+
 def test_filter_and_empty(frame, rows):
     assert J.keep_one(frame(rows)).count() == len({c for _, _, c in brute(rows)})
     assert got(frame, []) == []
@@ -77,7 +99,7 @@ def test_grams_that_agree_in_32_bits():
     row = {"block": [0], "nodes": [np.array([11, 22], np.int64).tobytes()], "cells": [np.array([3, 3], np.uint32).tobytes()], "low": [both.astype(np.uint32).tobytes()], "high": [(both >> np.uint64(32)).astype(np.uint16).tobytes()]}
     empty = pa.array([b""])
     table = pa.table({**row, "facts": pa.array([None], pa.binary()), "marks": empty, "sums": pa.array([None], pa.binary())})
-    assert {(r["a"], r["b"], r["n"]) for r in J._product(None)(table).to_pylist()} == {(11, None, 3), (22, None, 3)}
+    assert {(r["a"], r["b"], r["n"]) for r in J._counted(table).to_pylist()} == {(11, None, 3), (22, None, 3)}
     asks = np.array([1, 0, 22], np.int64).tobytes()  # numbers of partners, then partners
     assert [(r["a"], r["b"], r["n"]) for r in J._pair_product(pa.table({**row, "facts": [asks], "marks": empty, "sums": empty})).to_pylist()] == [(11, 22, 3)]
 
