@@ -1,10 +1,17 @@
 """Main text of web pages: flat text blocks, described by word counts and link densities of themselves and
-their neighbours, classified by a decision tree that is trained here on a small labelled table."""
+their neighbours, classified by a decision tree that is trained here on the blocks of a few labelled pages.
+
+A page is cut into blocks by one scan, whose time is linear in its length whatever the markup. Besides its words and
+links a block knows what the tags around it mean: whether it stands in an article, and whether in a part that HTML sets
+apart. Words of class and id are a weak hint, but for readers' comments: nothing else tells their prose from the author's.
+"""
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,47 +23,94 @@ from ._common import map_arrow
 
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
-SKIPPED = {"nav", "footer", "aside", "form", "menu", "dialog", "select", "button", "svg", "head", "object", "canvas", "audio", "video", "map"}
+#: Elements whose text is set apart from the page's, by what HTML means them for.
+APART = {"nav", "footer", "aside", "menu", "dialog", "select", "button", "svg", "head", "object", "canvas", "audio", "video", "map"}
+ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
 BLOCKS = {
     "address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt",
     "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "head", "header", "hgroup", "hr", "html",
     "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "tfoot", "thead", "tr", "ul",
 }
 CONTENT = {"article", "main"}
-#: Words of class, id or role that name boilerplate.
-NOISE = re.compile(
-    r"(?<![a-z])(?:ads?|adverts?|advertisement|advertising|adsense|banner|breadcrumbs?|byline|captcha|combx|comments?|commentlist|complementary|"
-    r"consent|contentinfo|cookies?|copyright|disclaimer|disqus|feedback|foot|footer|gdpr|header|legal|login|masthead|menu|modal|nav|navbar|"
-    r"navigation|newsletter|notices?|notification|pager|pagination|popup|privacy|promo|promotion|promoted|recommended|related|replies|reply|"
-    r"respond|search|share|sharing|shoutbox|sidebar|signup|skip|social|sponsor|sponsored|subscribe|tags|toolbar|topbar|widget)(?![a-z])"
+CLOSES_ITSELF = {"p", "li", "option", "dt", "dd", "tr"}
+#: Containers whose names may hint at boilerplate; names of paragraphs, headings and articles tell nothing.
+NAMED = {"div", "section", "ul", "ol", "dl", "table", "tbody", "tr", "header", "span", "fieldset", "center", "details", "form", "figure", "address"}
+NOISE = set(
+    "ad ads advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline captcha consent cookie cookies copyright disclaimer "
+    "feedback foot footer gdpr header legal login masthead menu modal nav navbar navigation newsletter notice notices notification pager pagination popup "
+    "privacy promo promotion promoted recommended related search share sharing sidebar signup skip social sponsor sponsored subscribe tags toolbar topbar widget".split()
 )
-#: Names of an article that is a reader's comment; a word within another name (comments-open) doesn't make one.
-COMMENT = re.compile(r"(?:^|\s)(?:(?:div-)?comments?(?:-(?:area|body|content|item|list|wrapper|\d+))?|commentlist|replies|reply)(?:\s|$)")
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
-ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style|name|href)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
-FEATURES = ("place", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
-
-#: Labelled blocks: place (1 in article or main, -1 in a part that its tag or class names as boilerplate, 0 elsewhere), words and
-#: link density of the block, of the one before and of the one after; last, whether it is main text.
-LABELLED = np.array([
-    # articles keep all, headings and single words too
-    [1, 9, 0.0, 6, 1.0, 60, 0.0, 1], [1, 80, 0.0, 9, 0.0, 70, 0.02, 1], [1, 1, 0.0, 80, 0.0, 90, 0.0, 1], [1, 45, 0.1, 1, 0.0, 3, 0.0, 1],
-    [1, 3, 0.0, 45, 0.0, 120, 0.0, 1], [1, 200, 0.05, 3, 0.0, 2, 0.0, 1], [1, 2, 0.0, 200, 0.0, 8, 0.4, 1], [1, 14, 0.3, 60, 0.0, 9, 1.0, 1],
-    [1, 6, 0.5, 30, 0.0, 40, 0.0, 1], [1, 1, 0.0, 2, 1.0, 5, 0.2, 1], [1, 500, 0.0, 0, 0.0, 10, 0.3, 1], [1, 12, 0.0, 12, 0.0, 12, 0.0, 1],
-    [1, 5, 1.0, 40, 0.0, 35, 0.0, 1], [1, 2, 1.0, 30, 0.0, 20, 0.0, 1],
-    # named boilerplate loses all, long ones too
-    [-1, 1, 1.0, 0, 0.0, 1, 1.0, 0], [-1, 1, 1.0, 1, 1.0, 1, 1.0, 0], [-1, 12, 0.0, 1, 1.0, 9, 0.0, 0], [-1, 60, 0.0, 5, 0.0, 70, 0.0, 0],
-    [-1, 150, 0.02, 90, 0.0, 80, 0.0, 0], [-1, 8, 0.2, 100, 0.0, 0, 0.0, 0], [-1, 3, 0.0, 120, 0.0, 2, 0.5, 0], [-1, 25, 0.5, 14, 0.2, 30, 0.4, 0],
-    [-1, 40, 0.0, 2, 1.0, 200, 0.0, 0], [-1, 2, 0.0, 20, 0.0, 30, 0.0, 0],
-    # elsewhere words and links decide
-    [0, 60, 0.0, 10, 0.0, 70, 0.0, 1], [0, 35, 0.1, 60, 0.0, 50, 0.0, 1], [0, 120, 0.05, 4, 1.0, 3, 1.0, 1], [0, 22, 0.0, 40, 0.0, 30, 0.0, 1],
-    [0, 18, 0.1, 3, 0.0, 50, 0.0, 1], [0, 7, 0.0, 3, 0.0, 80, 0.0, 1], [0, 5, 0.0, 70, 0.0, 60, 0.0, 1], [0, 9, 0.1, 45, 0.0, 33, 0.0, 1],
-    [0, 2, 0.0, 50, 0.0, 40, 0.0, 1], [0, 16, 0.0, 28, 0.0, 0, 0.0, 1], [0, 30, 0.2, 5, 0.0, 5, 0.0, 1], [0, 11, 0.2, 64, 0.0, 22, 0.1, 1],
-    [0, 1, 1.0, 1, 1.0, 1, 1.0, 0], [0, 2, 1.0, 0, 0.0, 2, 1.0, 0], [0, 3, 1.0, 2, 1.0, 40, 0.0, 0], [0, 8, 0.7, 3, 1.0, 4, 1.0, 0],
-    [0, 15, 0.6, 6, 0.8, 9, 0.7, 0], [0, 40, 0.8, 2, 1.0, 3, 1.0, 0], [0, 4, 0.0, 5, 1.0, 3, 1.0, 0], [0, 6, 0.0, 2, 0.5, 4, 0.6, 0],
-    [0, 10, 0.0, 50, 0.0, 0, 0.0, 0], [0, 5, 0.4, 90, 0.0, 2, 1.0, 0], [0, 7, 0.5, 60, 0.0, 0, 0.0, 0], [0, 25, 0.5, 10, 0.6, 12, 0.5, 0],
-    [0, 3, 0.0, 4, 0.0, 5, 0.0, 0], [0, 1, 0.0, 2, 0.0, 3, 0.2, 0], [0, 6, 1.0, 70, 0.0, 65, 0.0, 0], [0, 9, 0.5, 3, 0.3, 80, 0.0, 0],
-])
+#: Words that may stand beside those in a name (ad-slot, site-footer, sidebar-right).
+BESIDE = set("area bar block body bottom box col column container content first global group holder inner item items last left links list main outer page panel primary right secondary section site slot small text top unit wrap wrapper".split())
+COMMENT = re.compile(r"(?:div-)?comments?(?:-(?:area|body|content|item|list|section|thread|wrapper|\d+))?|commentlist|disqus-thread|replies|reply|respond")
+OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
+NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+END = re.compile(r">|=\s*([\"'])")
+ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style|name|href|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?=[\s/>]|$))", re.I)
+#: apart: 2 in a part that is set apart, 1 in a form; region: 2 in an article or main, 1 on a page without one, 0 beside one.
+FEATURES = ("apart", "region", "named", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
+
+_WORDS = "most of what pages of this kind have to say stands in paragraphs like this one which go on for some lines have a few commas and hardly ever a link".split()
+_LENGTHS = {"LONG": (31, 52, 24, 75, 40, 110, 28, 60, 22, 36, 160), "MID": (12, 8, 17, 6, 14, 10, 20, 9, 13)}
+#: Pages as they are written, with places for paragraphs of several lengths; data-main marks their main text.
+_PAGES = [
+    """<body><nav><ul><li><a href=/>Home</a><li><a href=/a>About us</a><li><a href=/b>Contact</a></ul></nav><div class=ad>Buy more of this now.</div>
+    <article data-main><h1>A title</h1><p>LONG</p><p>Yes.</p><p>MID</p><ul><li>one</li><li>two of them</li></ul><p>LONG LONG</p></article>
+    <footer>All rights reserved, MID</footer></body>""",
+    """<body><header><h1>The site</h1><p>MID</p></header><div id=cookie-notice>We use cookies.<button>OK</button></div><main><div class=post data-main><h2>Title</h2><p>LONG</p>
+    <p>See <a href=/x>this other page</a></p></div><form><label>Name</label><p>MID</p></form><aside><p>LONG</p></aside><div class=ad-slot>Buy</div>
+    <p data-main>The end.</p><section id=comments><h3>Comments</h3><article class=comment><p>LONG</p></article></section></main><div class=sidebar><p>LONG</p></div><footer>x</footer></body>""",
+    """<body><div class=nav><a href=/>Home</a> <a href=/n>News</a> <a href=/s>Sports</a></div><div id=content data-main><h1>What happened in town</h1><p>LONG</p><p>MID</p><p>LONG</p>
+    <p>MID</p></div><div class=sidebar><h3>More</h3><p>MID</p></div><div class=footer><a href=/t>Terms</a> <a href=/p>Privacy</a></div><div>copyright of the site</div></body>""",
+    """<body><table><tr><td><a href=/1>one</a><td><a href=/2>two</a><td><a href=/3>three</a></tr><tr><td data-main><p>LONG</p><p>LONG</p><h2>And then</h2><p>LONG</p></td></tr></table>
+    <p>written in the year</p></body>""",
+    """<p data-main>LONG</p><p data-main>LONG</p><p data-main>MID</p>""",
+    """<div data-main>LONG</div>""",
+    """<body><form action=/><div class=menu><a href=/>Start</a></div><div data-main><p>LONG</p><p>LONG</p><p>LONG</p></div><div><label>Your name</label><input><p>Send us a line.</p></div></form></body>""",
+    """<body><main><article data-main><h1>News</h1><p>MID</p><p>LONG</p><p><a href=/ref>a source that is named here</a></p></article><div class=share><a href=/f>Share</a></div>
+    <ul class=related><li><a href=/r>one more page about it</a><li><a href=/q>the next page on that</a></ul><div class=tags>Tags: this, that</div></main></body>""",
+    """<body><div class=notice>MID</div><div class=newsletter><p>LONG</p></div><div data-main><h1>Title</h1><p>LONG</p><p>LONG</p><p>MID</p><p>LONG</p></div><div class=ads>Buy now, MID</div></body>""",
+    """<body><div><a href=/1>one of the many other pages that may be read on this site</a></div><div><a href=/2>and the next one of those pages that may be read here</a></div><div data-main><p>LONG</p><p>LONG</p></div>
+    <div><a href=/3>yet another one of these pages that can be read</a> now</div><div><a href=/4>last one of those pages</a></div></body>""",
+    """<body><p>MID</p><nav><p>LONG</p></nav><main data-main><ul><li><a href=/1>first source of this text</a><li><a href=/2>second one</a></ul><p>word</p></main><p>LONG</p><p>x</p></body>""",
+    """<body><article data-main>word</article></body>""",
+    """<body><article data-main><p>a few words only</p></article></body>""",
+    """<body><main data-main>Two sentences. They stand alone.</main></body>""",
+    """<body><article><p data-main>LONG</p><form><p>LONG</p><label>Your mail</label><p>LONG MID</p></form><p data-main>LONG</p><form><fieldset>LONG LONG</fieldset></form></article></body>""",
+    """<body><div><a href=/>Home</a></div><div data-main><h1>What links say</h1><p>LONG <a href=/r>one link</a> LONG</p><p>MID <a href=/s>some words of a link</a> LONG</p><p>LONG <a href=/t>three words more</a></p><p>LONG</p></div><div>see <a href=/n>next page</a></div></body>""",
+    """<body><p data-main>LONG <a href=/r>a link of five words</a> MID</p><p data-main>LONG</p><p data-main>MID LONG <a href=/s>it</a></p><div>or <a href=/u>another page of ours</a></div></body>""",
+    """<body><article><p data-main>LONG</p><nav><a href=/1>one</a> <a href=/2>two</a></nav><p data-main>LONG</p><aside><h3>More</h3><ul><li><a href=/3>third page on it</a><li><a href=/4>fourth</a></ul></aside><p data-main>MID</p><p data-main><a href=/5>source</a></p><footer><a href=/6>author</a></footer></article></body>""",
+    """<body><main><nav><ul><li><a href=/1>part one</a><li><a href=/2>part two</a></ul></nav><h1 data-main>Parts</h1><p data-main>LONG <a href=/r>link</a></p><form><a href=/f>Forgot it</a></form><aside><p>MID <a href=/4>so</a></p></aside><ul data-main><li><a href=/k>kept</a></ul></main></body>""",
+    """<body><article><p data-main>LONG</p><div class=ad>Buy this</div><p data-main>LONG LONG</p><div class=promo-box><p>MID</p></div><p data-main>LONG</p><div class=ad-slot>LONG</div><p data-main>LONG MID</p></article></body>""",
+    """<body><main><h1 data-main>Top</h1><div class=share>Share it</div><p data-main>LONG LONG</p><div class=newsletter-box>MID</div><p data-main>LONG</p><div class=related>MID</div><p data-main>LONG MID LONG</p></main></body>""",
+    """<body><div><a href=/a>Home</a> <a href=/b>News</a></div><table><tr><td data-main>LONG LONG</td></tr></table></body>""",
+    """<body><p><a href=/a>Back to the start</a></p><p data-main>LONG</p></body>""",
+    """<body><p><a href=/a>Home</a></p><div data-main>LONG MID</div><p><a href=/b>Next</a></p></body>""",
+    """<body><article data-main><p>LONG</p><p>Yes.</p></article></body>""",
+    """<body><nav><a href=/>Home</a></nav><main data-main><h1>One</h1><p>MID</p><p>No more</p></main></body>""",
+    """<body><article data-main><p>MID</p><p>x</p></article><footer><p>LONG</p></footer></body>""",
+    """<body><article data-main><h1>Up</h1></article></body>""",
+    """<body><div><article data-main>all of it</article></div></body>""",
+    """<body><div class=head><a href=/>Start</a></div><article data-main><h2>Short news</h2></article><div>end</div></body>""",
+    """<body><article data-main><p>MID</p></article></body>""",
+    """<body><p><a href=/>Home</a><div data-main><p>LONG</p></div><div data-main><p>LONG</p></div></body>""",
+    """<body><h1 data-main>What it says</h1><p data-main>LONG MID</p><p data-main>LONG LONG</p></body>""",
+    """<body><ul><li><a href=/a>a</a><li><a href=/b>b and more</a></ul><div><p data-main>MID, MID</p><p data-main>LONG LONG</p><p data-main>LONG</p><p data-main>MID MID</p></div></body>""",
+    """<body><div><a href=/1>first</a> | <a href=/2>second</a></div><h2 data-main>Heading of a part</h2><p data-main>LONG</p><blockquote data-main>LONG LONG</blockquote><p data-main>LONG</p><div>page of the site</div></body>""",
+    """<body><div data-main>LONG LONG LONG<br>LONG</div><div><a href=/>top</a></div></body>""",
+    """<body><article><p data-main>LONG</p><div class=ad>LONG</div><p data-main>MID</p><div class=related-links>MID</div><ul class=share-links><li><a href=/f>On this site</a><li>or that</ul></article></body>""",
+    """<body><div class=banner data-main><p>LONG</p><p>LONG LONG</p><p>LONG</p></div><p data-main>LONG</p><div class=widget>MID</div><div class=legal>LONG</div><p><a href=/>back</a></p></body>""",
+]
+
+
+def written(pages: list[str] = _PAGES, times: int = 4) -> list[str]:
+    """Each page `times` times, with paragraphs of other lengths each time."""
+    used = {k: itertools.cycle(v) for k, v in _LENGTHS.items()}
+    say = lambda n: " ".join(itertools.islice(itertools.cycle(_WORDS), n))
+    return [re.sub(r"LONG|MID", lambda m: say(next(used[m[0]])), page) for _ in range(times) for page in pages]
+
+
+LABELLED = written()
 
 
 @dataclass
@@ -78,8 +132,8 @@ class Tree:
         return out
 
 
-def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
-    """CART with the Gini measure; among equal splits the first feature and the lowest threshold win."""
+def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, leaf: int = 3) -> Tree:
+    """CART with the Gini measure, at least `leaf` rows on both sides of a split; among equal splits the first feature and the lowest threshold win."""
     if depth == 0 or y.all() or not y.any():
         return Tree(label=bool(2 * y.sum() >= len(y)))
 
@@ -92,22 +146,43 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 6) -> Tree:
         values = np.unique(x[:, f])
         for t in (values[1:] + values[:-1]) / 2:
             low = x[:, f] <= t
-            if (cost := gini(y[low]) + gini(y[~low])) < best[0] - 1e-12:
+            if min(low.sum(), (~low).sum()) >= leaf and (cost := gini(y[low]) + gini(y[~low])) < best[0] - 1e-12:
                 best = (cost, f, float(t))
     if best[1] < 0:
         return Tree(label=bool(2 * y.sum() >= len(y)))
     low = x[:, best[1]] <= best[2]
-    return Tree(best[1], best[2], grow(x[low], y[low], depth - 1), grow(x[~low], y[~low], depth - 1))
+    return Tree(best[1], best[2], grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf))
+
+
+def _hints(name: str, named: dict[str, str]) -> tuple[bool, bool]:
+    """(whether class or id names boilerplate, whether they name readers' comments)."""
+    words = f"{named.get('class', '')} {named.get('id', '')}".replace("_", "-").split()
+    comment = name not in ("html", "body", "main") and any(COMMENT.fullmatch(w) for w in words)
+    hint = name in NAMED and any((parts := set(w.split("-"))) & NOISE and parts <= NOISE | BESIDE for w in words)
+    return hint, comment
+
 
+def _tag_end(page: str, at: int) -> int:
+    """The end of a tag's text, which quoted values may hold `>` in; -1 without one."""
+    while found := END.search(page, at):
+        if not found[1]:
+            return found.start()
+        close = page.find(found[1], found.end())
+        at = close + 1 if close >= 0 else found.end()  # a quote without a partner is none
+    return -1
 
-def blocks(page: str) -> tuple[list[str], np.ndarray]:
-    """(texts of the page's blocks in order, their features): a block is what stands between two block-level tags."""
+
+def blocks(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
+    """(texts of the page's blocks in order, their features, whether data-main marks them): a block is what stands between two block-level tags."""
     texts: list[str] = []
-    facts: list[tuple[int, int, float]] = []  # place, words, link density
+    facts: list[tuple[int, bool, bool, bool, int, float]] = []
     pieces: list[str] = []
-    linked = in_link = 0
-    stack: list[tuple[str, int, bool]] = []  # open elements with their place and whether they are links
-    place = 0
+    # a frame holds what was so before its element: name, apart, inside, named, main
+    stack: list[tuple[str, int, bool, bool, bool]] = []
+    open_names: Counter[str] = Counter()
+    apart, inside, named, main = 0, False, False, False
+    linked = 0
+    link_depth = -1  # of the open link, -1 without one
 
     def flush() -> None:
         nonlocal linked
@@ -115,87 +190,105 @@ def blocks(page: str) -> tuple[list[str], np.ndarray]:
         pieces.clear()
         if words:
             texts.append(" ".join(words))
-            facts.append((place, len(words), min(1.0, linked / len(words))))
+            facts.append((apart, inside, named, main, len(words), min(1.0, linked / len(words))))
         linked = 0
 
     def text(part: str) -> None:
         nonlocal linked
         if part:
             pieces.append(part)
-            if in_link:
+            if link_depth >= 0:
                 linked += len(part.split())
 
+    def pop() -> None:
+        nonlocal apart, inside, named, main, link_depth
+        name, apart, inside, named, main = stack.pop()
+        open_names[name] -= 1
+        if link_depth > len(stack):
+            link_depth = -1
+
     at, end = 0, len(page)
     while at < end:
-        tag = TAG.search(page, at)
-        if not tag:
+        found = OPEN.search(page, at)
+        if not found:
             text(page[at:])
             break
-        text(page[at : tag.start()])
-        at = tag.end()
-        name = (tag[2] or "").lower()
-        if not name:
+        text(page[at : found.start()])
+        start = found.start()
+        if page.startswith("<!--", start):
+            close = page.find("-->", start + 2)
+            at = close + 3 if close >= 0 else end
+            continue
+        tag = NAME.match(page, start)
+        if not tag:
+            close = page.find(">", start)
+            at = close + 1 if close >= 0 else end
             continue
-        if name in RAW and not tag[1]:
-            close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(page, at)
+        close = _tag_end(page, tag.end())
+        if close < 0:  # a tag that never ends takes what follows with it
+            break
+        name, ends, at = tag[1].lower(), page[start + 1] == "/", close + 1
+        if name in RAW and not ends:
+            close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = close.end() if close else end
             continue
         if name in BLOCKS:
             flush()
         elif name in ("br", "td", "th"):
             pieces.append(" ")
-        if tag[1]:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    in_link = sum(e[2] for e in stack)
-                    place = stack[-1][1] if stack else 0
-                    break
-        elif name == "a":  # closes an open one; a name without an address marks a place and is no link
-            stack = [e for e in stack if e[0] != "a"]
-            named = {m[1].lower() for m in ATTRIBUTE.finditer(tag[3])}
-            stack.append((name, place, "href" in named or "name" not in named))
-            in_link = int(stack[-1][2])
+        if name == "a":
+            link_depth = -1
+            if not ends:  # a name without an address marks a place and is no link
+                own = {m[1].lower() for m in ATTRIBUTE.finditer(page, tag.end(), at - 1)}
+                link_depth = len(stack) if "href" in own or "name" not in own else -1
+        elif ends:
+            if open_names[name]:
+                while stack[-1][0] != name:
+                    pop()
+                pop()
         elif name not in VOID:
-            if name in ("p", "li", "option", "dt", "dd", "tr"):  # these close the one before them
-                if stack and stack[-1][0] == name:
-                    stack.pop()
-                    place = stack[-1][1] if stack else 0
-            named = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(tag[3])}
-            role, own_names = named.get("role", ""), " ".join(named.get(k, "") for k in ("class", "id")).replace("_", "-")
-            if name in CONTENT:  # words of their class or id don't make them boilerplate, but for comments
-                noise = NOISE.search(role) or name == "article" and COMMENT.search(own_names)
-            else:
-                noise = name not in ("html", "body") and NOISE.search(f"{own_names} {role}".replace("_", "-"))
-            noisy = (
-                name in SKIPPED or name == "header" and place < 1 or "hidden" in named or named.get("aria-hidden") == "true"
-                or "display:none" in named.get("style", "").replace(" ", "")
-                or bool(noise)
-            )
-            if noisy:
-                place = -1
-            elif name in CONTENT and not any(p < 0 and n in ("section", "article", "ol", "ul", "aside") for n, p, _ in stack):
-                place = 1
-            stack.append((name, place, False))
+            if name in CLOSES_ITSELF and stack and stack[-1][0] == name:
+                pop()
+            own = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(page, tag.end(), at - 1)}
+            stack.append((name, apart, inside, named, main))
+            open_names[name] += 1
+            hint, comment = _hints(name, own)
+            hidden = "hidden" in own or own.get("aria-hidden") == "true" or "display:none" in own.get("style", "").replace(" ", "")
+            if name in APART or hidden or comment or own.get("role") in ROLES - {"form"} or name == "header" and not inside:
+                apart = 2
+            elif name == "form" or own.get("role") == "form":
+                apart = max(apart, 1)
+            elif name in CONTENT and apart < 2:
+                apart, inside, named = 0, True, False
+            named, main = named or hint, main or "data-main" in own
     flush()
-    own = np.array(facts, float).reshape(-1, 3)
+    own = np.array([(f[0], 0, f[2], f[4], f[5]) for f in facts], float).reshape(-1, 5)
+    article = np.array([f[1] and f[0] == 0 for f in facts], bool)
+    own[:, 1] = np.where([f[1] for f in facts], 2, 0) if article.any() else 1
     near = np.zeros((len(own) + 2, 2))
-    near[1:-1] = own[:, 1:]
-    return texts, np.hstack([own, near[:-2], near[2:]])
+    near[1:-1] = own[:, 3:]
+    return texts, np.hstack([own, near[:-2], near[2:]]), [f[3] for f in facts]
+
+
+def trained(labelled: list[str] = LABELLED) -> Tree:
+    """The tree of the blocks of labelled pages."""
+    found = [blocks(page) for page in labelled]
+    return grow(np.vstack([x for _, x, _ in found]), np.concatenate([np.array(y, bool) for _, _, y in found]))
 
 
 def main_text(page: str, tree: Tree) -> str:
-    texts, features = blocks(page)
+    texts, features, _ = blocks(page)
     return "\n".join(t for t, keep in zip(texts, tree.predict(features), strict=True) if keep)
 
 
-def extract(pages: DataFrame, html_column: str = "html", labelled: np.ndarray = LABELLED) -> DataFrame:
+def extract(pages: DataFrame, html_column: str = "html", labelled: list[str] = LABELLED) -> DataFrame:
     """Columns of pages but the html, + text (empty if none) and n_chars.
 
-    Null and empty html give an empty text; own columns named text or n_chars are replaced. Each page is
-    handled alone, so rows may repeat and tables may be empty; a page is read whole, however long.
+    Null and empty html give an empty text; own columns named text or n_chars are replaced, others stay, whatever their
+    names. Each page is handled alone, so rows may repeat and have any id, and tables may be empty; a page is read
+    whole, however long, in time that is linear in its length.
     """
-    tree = grow(labelled[:, :-1], labelled[:, -1] > 0)
+    tree = trained(labelled)
     others = [c for c in pages.columns if c not in (html_column, "text", "n_chars")]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
