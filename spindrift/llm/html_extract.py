@@ -76,6 +76,7 @@ _PAGES = [
     """<body><article data-main>word</article></body>""",
     """<body><article data-main><p>a few words only</p></article></body>""",
     """<body><main data-main>Two sentences. They stand alone.</main></body>""",
+    """<body><nav><a href=/>Home</a></nav><article data-main><p>LONG</p><h2>Sources</h2><ul><li><a href=/1>First of them</a><li><a href=/2>Second</a><li><a href=/3>The third source of all</a></ul><p><a href=/4>One more</a></p></article></body>""",
     """<body><article><p data-main>LONG</p><form><p>LONG</p><label>Your mail</label><p>LONG MID</p></form><p data-main>LONG</p><form><fieldset>LONG LONG</fieldset></form></article></body>""",
     """<body><div><a href=/>Home</a></div><div data-main><h1>What links say</h1><p>LONG <a href=/r>one link</a> LONG</p><p>MID <a href=/s>some words of a link</a> LONG</p><p>LONG <a href=/t>three words more</a></p><p>LONG</p></div><div>see <a href=/n>next page</a></div></body>""",
     """<body><p data-main>LONG <a href=/r>a link of five words</a> MID</p><p data-main>LONG</p><p data-main>MID LONG <a href=/s>it</a></p><div>or <a href=/u>another page of ours</a></div></body>""",
