@@ -384,19 +384,18 @@ def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int
         F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     ).filter("kinds > 1")
     known = posts.join(main.select("gram", "main"), "gram")
-    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"), F.col("least").alias("lx"))
-    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), F.col("least").alias("ly"), (F.col("component") == F.col("main")).alias("of_main"))
+    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
+    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), (F.col("component") == F.col("main")).alias("of_main"))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
     once = (F.col("cx") != F.col("cy")) & (F.col("of_main") | (F.col("x") < F.col("y")))
-    met = left.join(right, "gram").filter(once & sized).select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.greatest("lx", "ly").alias("most"), F.least("rx", "ry").alias("behind")
-    )
-    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("behind").alias("behind"), F.first("sum").alias("sum"), F.first("most").alias("most"))
-    # a link's overlap is SHARE / (100 + SHARE) of both sizes together; it can't pass the columns behind the rarest shared
-    # one, nor what the posted columns count and those that one of the nodes doesn't post together
-    unposted = F.col("most") - 1
-    needed = F.col("sum") * SHARE
-    pairs = staged(counted.filter((F.col("behind") * (100 + SHARE) >= needed) & ((F.col("m") + unposted) * (100 + SHARE) >= needed)).select("a", "b", "sum"), "join-pairs")
+    # a link's overlap is SHARE / (100 + SHARE) of both sizes together. The rarest column that both hold has all others that
+    # they share behind it, on both sides; a column with fewer behind it can't be that one
+    needed = (F.col("nx") + F.col("ny")) * SHARE
+    sized &= (F.col("rx") * (100 + SHARE) >= needed) & (F.col("ry") * (100 + SHARE) >= needed)
+    met = left.join(right, "gram").filter(once & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.least("rx", "ry").alias("behind"))
+    counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("behind").alias("tail"), F.first("sum").alias("sum"))
+    # what they share is what is counted and, at most, all that stands behind the most frequent column counted
+    pairs = staged(counted.filter((F.col("m") + F.col("tail") - 1) * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b", "sum"), "join-pairs")
     found = overlaps(texts, pairs.select("a", "b"), blocks, seed).join(pairs, ["a", "b"])
     return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b")
 
