@@ -3,186 +3,231 @@
 from __future__ import annotations
 
 # Fixed values. Country names as they stand in the data, with the words that name them in a query.
-_COUNTRIES = """
-United States: united states | usa | u.s.a. | u.s. | us | america | american
-United Kingdom: united kingdom | uk | britain | england
-China: china | chinese
-Canada: canada | canadian
-France: france | french
-Germany: germany | german
-Japan: japan | japanese
-South Korea: south korea | korea | korean
-Australia: australia | australian
-Italy: italy | italian
-Spain: spain | spanish
-Netherlands: netherlands | dutch
-Belgium: belgium
-Switzerland: switzerland | swiss
-India: india | indian
-Brazil: brazil | brazilian
-Mexico: mexico | mexican
-Turkey (Türkiye): turkey | turkish
-"""
+COUNTRY_WORDS = {
+    "United States": ("united states", "usa", "u.s.a.", "u.s.", "us", "america", "american"),
+    "United Kingdom": ("united kingdom", "uk", "britain", "england"),
+    "China": ("china", "chinese"),
+    "Canada": ("canada", "canadian"),
+    "France": ("france", "french"),
+    "Germany": ("germany", "german"),
+    "Japan": ("japan", "japanese"),
+    "South Korea": ("south korea", "korea", "korean"),
+    "Australia": ("australia", "australian"),
+    "Italy": ("italy", "italian"),
+    "Spain": ("spain", "spanish"),
+    "Netherlands": ("netherlands", "dutch"),
+    "Belgium": ("belgium",),
+    "Switzerland": ("switzerland", "swiss"),
+    "India": ("india", "indian"),
+    "Brazil": ("brazil", "brazilian"),
+    "Mexico": ("mexico", "mexican"),
+    "Turkey (Türkiye)": ("turkey", "turkish"),
+}
 
-# Fixed values. States are named by their own names, the district by three.
-_STATES = """
-Alabama | Alaska | Arizona | Arkansas | California | Colorado | Connecticut | Delaware | Florida | Georgia | Hawaii | Idaho | Illinois
-Indiana | Iowa | Kansas | Kentucky | Louisiana | Maine | Maryland | Massachusetts | Michigan | Minnesota | Mississippi | Missouri | Montana
-Nebraska | Nevada | New Hampshire | New Jersey | New Mexico | New York | North Carolina | North Dakota | Ohio | Oklahoma | Oregon
-Pennsylvania | Rhode Island | South Carolina | South Dakota | Tennessee | Texas | Utah | Vermont | Virginia | Washington | West Virginia
-Wisconsin | Wyoming
-"""
-_DISTRICT = "District of Columbia: district of columbia | washington dc | washington, d.c."
+# Fixed values. States with the words that name them.
+STATE_WORDS = {
+    "Alabama": ("alabama",),
+    "Alaska": ("alaska",),
+    "Arizona": ("arizona",),
+    "Arkansas": ("arkansas",),
+    "California": ("california",),
+    "Colorado": ("colorado",),
+    "Connecticut": ("connecticut",),
+    "Delaware": ("delaware",),
+    "Florida": ("florida",),
+    "Georgia": ("georgia",),
+    "Hawaii": ("hawaii",),
+    "Idaho": ("idaho",),
+    "Illinois": ("illinois",),
+    "Indiana": ("indiana",),
+    "Iowa": ("iowa",),
+    "Kansas": ("kansas",),
+    "Kentucky": ("kentucky",),
+    "Louisiana": ("louisiana",),
+    "Maine": ("maine",),
+    "Maryland": ("maryland",),
+    "Massachusetts": ("massachusetts",),
+    "Michigan": ("michigan",),
+    "Minnesota": ("minnesota",),
+    "Mississippi": ("mississippi",),
+    "Missouri": ("missouri",),
+    "Montana": ("montana",),
+    "Nebraska": ("nebraska",),
+    "Nevada": ("nevada",),
+    "New Hampshire": ("new hampshire",),
+    "New Jersey": ("new jersey",),
+    "New Mexico": ("new mexico",),
+    "New York": ("new york",),
+    "North Carolina": ("north carolina",),
+    "North Dakota": ("north dakota",),
+    "Ohio": ("ohio",),
+    "Oklahoma": ("oklahoma",),
+    "Oregon": ("oregon",),
+    "Pennsylvania": ("pennsylvania",),
+    "Rhode Island": ("rhode island",),
+    "South Carolina": ("south carolina",),
+    "South Dakota": ("south dakota",),
+    "Tennessee": ("tennessee",),
+    "Texas": ("texas",),
+    "Utah": ("utah",),
+    "Vermont": ("vermont",),
+    "Virginia": ("virginia",),
+    "Washington": ("washington",),
+    "West Virginia": ("west virginia",),
+    "Wisconsin": ("wisconsin",),
+    "Wyoming": ("wyoming",),
+    "District of Columbia": ("district of columbia", "washington dc", "washington, d.c."),
+}
 
 # Fixed values. What a sponsor's name must hold, with the words that name the sponsor in a query.
-_SPONSORS = """
-astrazeneca: astrazeneca
-merck: merck | msd
-pfizer: pfizer
-roche: roche | hoffmann-la roche
-genentech: genentech
-novartis: novartis
-lilly: eli lilly | lilly
-janssen: janssen | johnson & johnson | j&j
-glaxosmithkline: gsk | glaxosmithkline
-gilead: gilead
-bristol: bristol-myers squibb | bristol myers squibb | bms
-daiichi sankyo: daiichi sankyo | daiichi
-sanofi: sanofi
-bayer: bayer
-takeda: takeda
-abbvie: abbvie
-amgen: amgen
-regeneron: regeneron
-seagen: seagen | seattle genetics
-incyte: incyte
-moderna: moderna
-biontech: biontech
-"""
+SPONSOR_WORDS = {
+    "astrazeneca": ("astrazeneca",),
+    "merck": ("merck", "msd"),
+    "pfizer": ("pfizer",),
+    "roche": ("roche", "hoffmann-la roche"),
+    "genentech": ("genentech",),
+    "novartis": ("novartis",),
+    "lilly": ("eli lilly", "lilly"),
+    "janssen": ("janssen", "johnson & johnson", "j&j"),
+    "glaxosmithkline": ("gsk", "glaxosmithkline"),
+    "gilead": ("gilead",),
+    "bristol": ("bristol-myers squibb", "bristol myers squibb", "bms"),
+    "daiichi sankyo": ("daiichi sankyo", "daiichi"),
+    "sanofi": ("sanofi",),
+    "bayer": ("bayer",),
+    "takeda": ("takeda",),
+    "abbvie": ("abbvie",),
+    "amgen": ("amgen",),
+    "regeneron": ("regeneron",),
+    "seagen": ("seagen", "seattle genetics"),
+    "incyte": ("incyte",),
+    "moderna": ("moderna",),
+    "biontech": ("biontech",),
+}
 
 # Fixed values. Drug classes with the words that name them in a query.
-_CLASS_WORDS = """
-ADC (antibody-drug conjugate): adc | adcs | antibody-drug conjugate | antibody drug conjugate | antibody-drug conjugates | antibody drug conjugates
-PD-(L)1 / immune checkpoint: checkpoint inhibitor | checkpoint inhibitors | immune checkpoint | immune checkpoint inhibitor | ici | pd-1 inhibitor | pd-l1 inhibitor | pd1 inhibitor | pdl1 inhibitor | pd-1 | pd-l1 | anti-pd-1 | anti-pd-l1
-PARP inhibitor: parp inhibitor | parp inhibitors | parpi
-CDK4/6 inhibitor: cdk4/6 inhibitor | cdk4/6 | cdk inhibitor
-HER2-targeted therapy: her2-targeted therapy | her2-targeted | her2 targeted | anti-her2
-AKT / PI3K / mTOR inhibitor: pi3k inhibitor | akt inhibitor | mtor inhibitor
-Endocrine / SERD / aromatase: serd | endocrine therapy | aromatase inhibitor
-AR-directed (LAR-TNBC): ar inhibitor | androgen receptor inhibitor
-VEGF / anti-angiogenic: vegf inhibitor | anti-angiogenic | anti angiogenic
-Taxane chemotherapy: taxane | taxanes
-Platinum chemotherapy: platinum | platinum chemotherapy
-Anthracycline chemotherapy: anthracycline | anthracyclines
-"""
+CLASS_NAMED_BY = {
+    "ADC (antibody-drug conjugate)": ("adc", "adcs", "antibody-drug conjugate", "antibody drug conjugate", "antibody-drug conjugates", "antibody drug conjugates"),
+    "PD-(L)1 / immune checkpoint": ("checkpoint inhibitor", "checkpoint inhibitors", "immune checkpoint", "immune checkpoint inhibitor", "ici", "pd-1 inhibitor", "pd-l1 inhibitor", "pd1 inhibitor", "pdl1 inhibitor", "pd-1", "pd-l1", "anti-pd-1", "anti-pd-l1"),
+    "PARP inhibitor": ("parp inhibitor", "parp inhibitors", "parpi"),
+    "CDK4/6 inhibitor": ("cdk4/6 inhibitor", "cdk4/6", "cdk inhibitor"),
+    "HER2-targeted therapy": ("her2-targeted therapy", "her2-targeted", "her2 targeted", "anti-her2"),
+    "AKT / PI3K / mTOR inhibitor": ("pi3k inhibitor", "akt inhibitor", "mtor inhibitor"),
+    "Endocrine / SERD / aromatase": ("serd", "endocrine therapy", "aromatase inhibitor"),
+    "AR-directed (LAR-TNBC)": ("ar inhibitor", "androgen receptor inhibitor"),
+    "VEGF / anti-angiogenic": ("vegf inhibitor", "anti-angiogenic", "anti angiogenic"),
+    "Taxane chemotherapy": ("taxane", "taxanes"),
+    "Platinum chemotherapy": ("platinum", "platinum chemotherapy"),
+    "Anthracycline chemotherapy": ("anthracycline", "anthracyclines"),
+}
 
 # Fixed values. Drugs that stand for a class in a widened query.
-_CLASS_DRUGS = """
-ADC (antibody-drug conjugate): Datopotamab deruxtecan | Trastuzumab deruxtecan | Sacituzumab govitecan | Dato-DXd | T-DXd
-PD-(L)1 / immune checkpoint: Pembrolizumab | Atezolizumab | Durvalumab | Nivolumab
-PARP inhibitor: Olaparib | Talazoparib | Niraparib
-CDK4/6 inhibitor: Palbociclib | Ribociclib | Abemaciclib
-HER2-targeted therapy: Trastuzumab | Pertuzumab | Tucatinib
-AKT / PI3K / mTOR inhibitor: Capivasertib | Alpelisib | Inavolisib
-Endocrine / SERD / aromatase: Fulvestrant | Elacestrant | Letrozole
-AR-directed (LAR-TNBC): Enzalutamide | Bicalutamide
-VEGF / anti-angiogenic: Bevacizumab | Apatinib | Anlotinib
-Taxane chemotherapy: Paclitaxel | Nab-paclitaxel | Docetaxel
-Platinum chemotherapy: Carboplatin | Cisplatin
-Anthracycline chemotherapy: Doxorubicin | Epirubicin
-"""
+CLASS_DRUGS = {
+    "ADC (antibody-drug conjugate)": ("Datopotamab deruxtecan", "Trastuzumab deruxtecan", "Sacituzumab govitecan", "Dato-DXd", "T-DXd"),
+    "PD-(L)1 / immune checkpoint": ("Pembrolizumab", "Atezolizumab", "Durvalumab", "Nivolumab"),
+    "PARP inhibitor": ("Olaparib", "Talazoparib", "Niraparib"),
+    "CDK4/6 inhibitor": ("Palbociclib", "Ribociclib", "Abemaciclib"),
+    "HER2-targeted therapy": ("Trastuzumab", "Pertuzumab", "Tucatinib"),
+    "AKT / PI3K / mTOR inhibitor": ("Capivasertib", "Alpelisib", "Inavolisib"),
+    "Endocrine / SERD / aromatase": ("Fulvestrant", "Elacestrant", "Letrozole"),
+    "AR-directed (LAR-TNBC)": ("Enzalutamide", "Bicalutamide"),
+    "VEGF / anti-angiogenic": ("Bevacizumab", "Apatinib", "Anlotinib"),
+    "Taxane chemotherapy": ("Paclitaxel", "Nab-paclitaxel", "Docetaxel"),
+    "Platinum chemotherapy": ("Carboplatin", "Cisplatin"),
+    "Anthracycline chemotherapy": ("Doxorubicin", "Epirubicin"),
+}
 
 # Fixed values. Drug classes with the pattern of their drugs' names, in the order in which equal counts are listed.
-_CLASS_PATTERNS = r"""
-PD-(L)1 / immune checkpoint := pembrolizumab|atezolizumab|nivolumab|durvalumab|avelumab|cemiplimab|tislelizumab|toripalimab|camrelizumab|sintilimab|ipilimumab|tremelimumab|relatlimab|tiragolumab|checkpoint|anti.?pd.?l?1
-PARP inhibitor := olaparib|talazoparib|niraparib|rucaparib|veliparib|fluzoparib|pamiparib|\bparp\b
-ADC (antibody-drug conjugate) := sacituzumab|trastuzumab\s+deruxtecan|trastuzumab\s+emtansine|trodelvy|enhertu|kadcyla|datopotamab|patritumab\s+deruxtecan|disitamab|ladiratuzumab|mirvetuximab|antibody.?drug\s+conjugate
-HER2-targeted therapy := trastuzumab|pertuzumab|tucatinib|lapatinib|neratinib|herceptin|perjeta|nerlynx|tukysa|margetuximab|zanidatamab
-CDK4/6 inhibitor := palbociclib|ribociclib|abemaciclib|ibrance|kisqali|verzenio
-AKT / PI3K / mTOR inhibitor := capivasertib|ipatasertib|alpelisib|inavolisib|everolimus|temsirolimus|truqap|piqray|afinitor|\bakt\b|\bpi3k\b|\bmtor\b
-Endocrine / SERD / aromatase := tamoxifen|fulvestrant|elacestrant|giredestrant|camizestrant|letrozole|anastrozole|exemestane|aromatase|orserdu
-AR-directed (LAR-TNBC) := enzalutamide|bicalutamide|abiraterone|apalutamide|darolutamide|androgen\s+receptor
-VEGF / anti-angiogenic := bevacizumab|ramucirumab|apatinib|anlotinib|sunitinib|sorafenib|cabozantinib|lenvatinib|axitinib|\bvegf\b|avastin
-Taxane chemotherapy := paclitaxel|nab.?paclitaxel|abraxane|docetaxel|cabazitaxel
-Platinum chemotherapy := carboplatin|cisplatin|oxaliplatin
-Anthracycline chemotherapy := doxorubicin|epirubicin|adriamycin
-Alkylating chemotherapy := cyclophosphamide|ifosfamide|temozolomide
-Capecitabine / 5-FU / gemcitabine := capecitabine|5-fu|fluorouracil|gemcitabine|xeloda
-Eribulin := eribulin|halaven
-Vaccine / cell therapy / TIL := \bvaccine\b|car.?t\b|\btils\b|tumor.?infiltrating|dendritic
-Radiation / radiotherapy := \bradiation\b|radiotherapy|sbrt|imrt|brachytherapy|proton\s+therapy
-"""
+CLASS_PATTERNS = [
+    ("PD-(L)1 / immune checkpoint", "pembrolizumab|atezolizumab|nivolumab|durvalumab|avelumab|cemiplimab|tislelizumab|toripalimab|camrelizumab|sintilimab|ipilimumab|tremelimumab|relatlimab|tiragolumab|checkpoint|anti.?pd.?l?1"),
+    ("PARP inhibitor", r"olaparib|talazoparib|niraparib|rucaparib|veliparib|fluzoparib|pamiparib|\bparp\b"),
+    ("ADC (antibody-drug conjugate)", r"sacituzumab|trastuzumab\s+deruxtecan|trastuzumab\s+emtansine|trodelvy|enhertu|kadcyla|datopotamab|patritumab\s+deruxtecan|disitamab|ladiratuzumab|mirvetuximab|antibody.?drug\s+conjugate"),
+    ("HER2-targeted therapy", "trastuzumab|pertuzumab|tucatinib|lapatinib|neratinib|herceptin|perjeta|nerlynx|tukysa|margetuximab|zanidatamab"),
+    ("CDK4/6 inhibitor", "palbociclib|ribociclib|abemaciclib|ibrance|kisqali|verzenio"),
+    ("AKT / PI3K / mTOR inhibitor", r"capivasertib|ipatasertib|alpelisib|inavolisib|everolimus|temsirolimus|truqap|piqray|afinitor|\bakt\b|\bpi3k\b|\bmtor\b"),
+    ("Endocrine / SERD / aromatase", "tamoxifen|fulvestrant|elacestrant|giredestrant|camizestrant|letrozole|anastrozole|exemestane|aromatase|orserdu"),
+    ("AR-directed (LAR-TNBC)", r"enzalutamide|bicalutamide|abiraterone|apalutamide|darolutamide|androgen\s+receptor"),
+    ("VEGF / anti-angiogenic", r"bevacizumab|ramucirumab|apatinib|anlotinib|sunitinib|sorafenib|cabozantinib|lenvatinib|axitinib|\bvegf\b|avastin"),
+    ("Taxane chemotherapy", "paclitaxel|nab.?paclitaxel|abraxane|docetaxel|cabazitaxel"),
+    ("Platinum chemotherapy", "carboplatin|cisplatin|oxaliplatin"),
+    ("Anthracycline chemotherapy", "doxorubicin|epirubicin|adriamycin"),
+    ("Alkylating chemotherapy", "cyclophosphamide|ifosfamide|temozolomide"),
+    ("Capecitabine / 5-FU / gemcitabine", "capecitabine|5-fu|fluorouracil|gemcitabine|xeloda"),
+    ("Eribulin", "eribulin|halaven"),
+    ("Vaccine / cell therapy / TIL", r"\bvaccine\b|car.?t\b|\btils\b|tumor.?infiltrating|dendritic"),
+    ("Radiation / radiotherapy", r"\bradiation\b|radiotherapy|sbrt|imrt|brachytherapy|proton\s+therapy"),
+]
 
 # Fixed values. Populations with their patterns; the first that matches counts.
-_DISEASES = r"""
-Triple-Negative Breast Cancer (TNBC) := triple[\s\-]*negative|\btnbc\b
-HR+ Breast Cancer := hr[\+\s\-]*positive|hormone[\s\-]*receptor[\s\-]*positive|\ber[\+\s\-]*positive\b|estrogen[\s\-]*receptor[\s\-]*positive
-HER2-Low Breast Cancer := her2[\s\-]*low\b
-HER2+ Breast Cancer := her2[\+\s\-]*positive|\bher2\+
-Inflammatory Breast Cancer := inflammatory[\s\-]*breast
-Ductal Carcinoma in Situ (DCIS) := \bdcis\b|ductal[\s\-]*carcinoma[\s\-]*in[\s\-]*situ
-Male Breast Cancer := male[\s\-]*breast
-Lobular Breast Cancer := lobular[\s\-]*(carcinoma|breast)
-Breast Cancer (general) := breast[\s\-]*(cancer|carcinoma|neoplasm|tumou?r)
-"""
+DISEASES = [
+    ("Triple-Negative Breast Cancer (TNBC)", r"triple[\s\-]*negative|\btnbc\b"),
+    ("HR+ Breast Cancer", r"hr[\+\s\-]*positive|hormone[\s\-]*receptor[\s\-]*positive|\ber[\+\s\-]*positive\b|estrogen[\s\-]*receptor[\s\-]*positive"),
+    ("HER2-Low Breast Cancer", r"her2[\s\-]*low\b"),
+    ("HER2+ Breast Cancer", r"her2[\+\s\-]*positive|\bher2\+"),
+    ("Inflammatory Breast Cancer", r"inflammatory[\s\-]*breast"),
+    ("Ductal Carcinoma in Situ (DCIS)", r"\bdcis\b|ductal[\s\-]*carcinoma[\s\-]*in[\s\-]*situ"),
+    ("Male Breast Cancer", r"male[\s\-]*breast"),
+    ("Lobular Breast Cancer", r"lobular[\s\-]*(carcinoma|breast)"),
+    ("Breast Cancer (general)", r"breast[\s\-]*(cancer|carcinoma|neoplasm|tumou?r)"),
+]
 
 # Fixed values. Statuses that a query may name, each match being used up before the next pattern.
-_STATUSES = r"""
-NOT_YET_RECRUITING := \bnot\s+yet\s+recruiting\b
-ACTIVE_NOT_RECRUITING := \bactive\s*,?\s*not\s+recruiting\b
-ENROLLING_BY_INVITATION := \benrolling\s+by\s+invitation\b
-RECRUITING := \b(currently\s+|actively\s+)?recruiting\b
-RECRUITING := \benrolling\b
-COMPLETED := \bcompleted\b
-TERMINATED := \bterminated\b
-WITHDRAWN := \bwithdrawn\b
-SUSPENDED := \bsuspended\b
-"""
+STATUSES = [
+    ("NOT_YET_RECRUITING", r"\bnot\s+yet\s+recruiting\b"),
+    ("ACTIVE_NOT_RECRUITING", r"\bactive\s*,?\s*not\s+recruiting\b"),
+    ("ENROLLING_BY_INVITATION", r"\benrolling\s+by\s+invitation\b"),
+    ("RECRUITING", r"\b(currently\s+|actively\s+)?recruiting\b"),
+    ("RECRUITING", r"\benrolling\b"),
+    ("COMPLETED", r"\bcompleted\b"),
+    ("TERMINATED", r"\bterminated\b"),
+    ("WITHDRAWN", r"\bwithdrawn\b"),
+    ("SUSPENDED", r"\bsuspended\b"),
+]
 
 # Fixed values. The one status of a conversation's filter; the first that matches counts.
-_ONE_STATUS = r"""
-NOT_YET_RECRUITING := not\s*yet\s*recruiting
-ACTIVE_NOT_RECRUITING := active[\s,]*not[\s\-]*recruiting
-RECRUITING := \b(recruiting|enrolling|actively\s+enrolling)\b
-COMPLETED := \bcompleted\b
-TERMINATED := \bterminated\b
-WITHDRAWN := \bwithdrawn\b
-"""
+ONE_STATUS = [
+    ("NOT_YET_RECRUITING", r"not\s*yet\s*recruiting"),
+    ("ACTIVE_NOT_RECRUITING", r"active[\s,]*not[\s\-]*recruiting"),
+    ("RECRUITING", r"\b(recruiting|enrolling|actively\s+enrolling)\b"),
+    ("COMPLETED", r"\bcompleted\b"),
+    ("TERMINATED", r"\bterminated\b"),
+    ("WITHDRAWN", r"\bwithdrawn\b"),
+]
 
 # Fixed values. Phases; the first that matches counts.
-_PHASES = r"""
-EARLY_PHASE1 := early[\s\-]*phase[\s\-]*1\b
-PHASE4 := \bphase[\s\-]*4\b
-PHASE3 := \bphase[\s\-]*3\b
-PHASE2 := \bphase[\s\-]*2\b
-PHASE1 := \bphase[\s\-]*1\b
-PHASE4 := \bphase[\s\-]*iv\b
-PHASE3 := \bphase[\s\-]*iii\b
-PHASE2 := \bphase[\s\-]*ii\b
-PHASE1 := \bphase[\s\-]*i\b
-"""
+PHASES = [
+    ("EARLY_PHASE1", r"early[\s\-]*phase[\s\-]*1\b"),
+    ("PHASE4", r"\bphase[\s\-]*4\b"),
+    ("PHASE3", r"\bphase[\s\-]*3\b"),
+    ("PHASE2", r"\bphase[\s\-]*2\b"),
+    ("PHASE1", r"\bphase[\s\-]*1\b"),
+    ("PHASE4", r"\bphase[\s\-]*iv\b"),
+    ("PHASE3", r"\bphase[\s\-]*iii\b"),
+    ("PHASE2", r"\bphase[\s\-]*ii\b"),
+    ("PHASE1", r"\bphase[\s\-]*i\b"),
+]
 
 # Fixed values. Study types; the first that matches counts.
-_STUDY_TYPES = r"""
-OBSERVATIONAL := \bobservational\b
-INTERVENTIONAL := \binterventional\b
-EXPANDED_ACCESS := \bexpanded[\s-]access\b
-"""
+STUDY_TYPES = [
+    ("OBSERVATIONAL", r"\bobservational\b"),
+    ("INTERVENTIONAL", r"\binterventional\b"),
+    ("EXPANDED_ACCESS", r"\bexpanded[\s-]access\b"),
+]
 
 # Fixed values. Short names of populations; the first that matches counts.
-_SHORT_POPULATIONS = r"""
-TNBC := \btriple[\s-]?negative\b
-HER2-low := \bher2[\s-]?low\b
-HER2+ := \bher2[\s-]?positive\b|\bher2\+\b
-HER2- := \bher2[\s-]?negative\b|\bher2\-\b
-HR+ := \bhr[\s-]?positive\b|\bhr\+\b
-ER+ := \ber[\s-]?positive\b|\ber\+\b
-BRCA := \bbrca\b
-metastatic := \bmetastatic\b
-early-stage := \bearly[\s-]?stage\b
-neoadjuvant := \bneoadjuvant\b
-adjuvant := (?<!neo)\badjuvant\b
-"""
+SHORT_POPULATIONS = [
+    ("TNBC", r"\btriple[\s-]?negative\b"),
+    ("HER2-low", r"\bher2[\s-]?low\b"),
+    ("HER2+", r"\bher2[\s-]?positive\b|\bher2\+\b"),
+    ("HER2-", r"\bher2[\s-]?negative\b|\bher2\-\b"),
+    ("HR+", r"\bhr[\s-]?positive\b|\bhr\+\b"),
+    ("ER+", r"\ber[\s-]?positive\b|\ber\+\b"),
+    ("BRCA", r"\bbrca\b"),
+    ("metastatic", r"\bmetastatic\b"),
+    ("early-stage", r"\bearly[\s-]?stage\b"),
+    ("neoadjuvant", r"\bneoadjuvant\b"),
+    ("adjuvant", r"(?<!neo)\badjuvant\b"),
+]
 
 # Fixed values. Treatment settings.
 METASTATIC = r"\b(metastatic|advanced|stage\s*iv|stage\s*4|mbc)\b"
@@ -198,6 +243,21 @@ EARLIER_PROTOCOL = [
     "modify the previous", "update my previous", "from earlier", "the one we did",
 ]
 
+# Fixed values. The forms of a confirmation.
+CONFIRMATIONS = [
+    r"(yes,?\s*)?(please\s+)?(apply|update|commit|incorporate|proceed|go ahead|do it|make (the|these|those)? ?changes?|approved?|confirmed?)( (it|them|all|now|please|the changes?|these changes?|those changes?|the feedback|the edits?|the protocol|the report|the draft))?",
+    r"yes,?\s*please",
+    r"yes,?\s*update",
+    r"(yes,?\s*)?(please\s+)?apply (item ?s? )?\d+([\s,]+(and\s+)?\d+)*",
+    r"(yes,?\s*)?(please\s+)?(update|commit) (item ?s? )?\d+([\s,]+(and\s+)?\d+)*",
+    r"(apply )?all except (item ?s? )?\d+([\s,]+(and\s+)?\d+)*",
+    r"skip (item ?s? )?\d+([\s,]+(and\s+)?\d+)*[, ]+(apply )?(the )?(rest|others?|remaining)",
+    r"(go ahead and|let'?s) (apply|update|commit|do it|proceed|make (the|these|those)? ?changes?)( (it|them|all|the changes?|these changes?|those changes?))?",
+    r"(sounds?|looks?) good,?\s*(apply|do it|proceed|go ahead|update|commit)",
+    r"(yep|yup|yeah)",
+    r"(ok|okay|sure),?\s*(apply|update|do it|proceed|go ahead|commit)",
+]
+
 # Fixed values. Display labels.
 PHASE_LABELS = {"EARLY_PHASE1": "Early Phase 1", "PHASE1": "Phase 1", "PHASE2": "Phase 2", "PHASE3": "Phase 3", "PHASE4": "Phase 4"}
 STATUS_LABELS = {
@@ -242,23 +302,9 @@ EXAMPLES_PICKED, EXAMPLE_LEAST_ANSWER, EXAMPLE_SHOWN, EXAMPLE_LEAST_SIMILARITY =
 CHAT_POOL, CHAT_BUDGET = 80, 12
 
 
-def _lines(table: str, by: str) -> list[tuple[str, str]]:
-    return [(a.strip(), b.strip()) for a, b in (line.split(by, 1) for line in table.strip().splitlines())]
-
-
-def _aliases(table: str) -> list[tuple[str, str]]:
-    return [(alias.strip(), name) for name, words in _lines(table, ": ") for alias in words.split(" | ")]
+def _words(names: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
+    """(word, name) pairs."""
+    return [(word, name) for name, words in names.items() for word in words]
 
 
-COUNTRIES = _aliases(_COUNTRIES)
-STATES = [(s.strip().lower(), s.strip()) for line in _STATES.strip().splitlines() for s in line.split("|")] + _aliases(_DISTRICT)
-SPONSORS = _aliases(_SPONSORS)
-CLASS_WORDS = _aliases(_CLASS_WORDS)
-CLASS_DRUGS = {name: drugs.split(" | ") for name, drugs in _lines(_CLASS_DRUGS, ": ")}
-CLASS_PATTERNS = _lines(_CLASS_PATTERNS, " := ")
-DISEASES = _lines(_DISEASES, " := ")
-STATUSES = _lines(_STATUSES, " := ")
-ONE_STATUS = _lines(_ONE_STATUS, " := ")
-PHASES = _lines(_PHASES, " := ")
-STUDY_TYPES = _lines(_STUDY_TYPES, " := ")
-SHORT_POPULATIONS = _lines(_SHORT_POPULATIONS, " := ")
+COUNTRIES, STATES, SPONSORS, CLASS_WORDS = map(_words, (COUNTRY_WORDS, STATE_WORDS, SPONSOR_WORDS, CLASS_NAMED_BY))

@@ -224,17 +224,7 @@ def age_text(ts: Column, now: Column) -> Column:
 def confirms(text: Column) -> Column:
     """Whether a message tells to apply the proposed changes."""
     norm = cleaned(F.regexp_replace(F.regexp_replace(F.lower(cleaned(text)), r"[.!?]+$", ""), r"\s+", " "))
-    act = r"(apply|update|commit|incorporate|proceed|go ahead|do it|make (the|these|those)? ?changes?|approved?|confirmed?)"
-    polite, number = r"(yes,?\s*)?(please\s+)?", r"(item ?s? )?\d+([\s,]+(and\s+)?\d+)*"
-    # The forms of a confirmation.
-    forms = [
-        rf"{polite}{act}( (it|them|all|now|please|the changes?|these changes?|those changes?|the feedback|the edits?|the protocol|the report|the draft))?",
-        r"yes,?\s*please", r"yes,?\s*update", rf"{polite}apply {number}", rf"{polite}(update|commit) {number}", rf"(apply )?all except {number}",
-        rf"skip {number}[, ]+(apply )?(the )?(rest|others?|remaining)",
-        r"(go ahead and|let'?s) (apply|update|commit|do it|proceed|make (the|these|those)? ?changes?)( (it|them|all|the changes?|these changes?|those changes?))?",
-        r"(sounds?|looks?) good,?\s*(apply|do it|proceed|go ahead|update|commit)", r"(yep|yup|yeah)", r"(ok|okay|sure),?\s*(apply|update|do it|proceed|go ahead|commit)",
-    ]
-    return F.regexp_like(norm, F.lit("^(" + "|".join(f"({f})" for f in forms) + ")$"))
+    return F.regexp_like(norm, F.lit("^(" + "|".join(f"({f})" for f in K.CONFIRMATIONS) + ")$"))
 
 
 def ids_named(text: Column) -> Column:
@@ -294,3 +284,23 @@ def change_class(this: Column, last: Column) -> Column:
 def kept_ids(ids: Column, most: int = 25) -> Column:
     """First `most` trimmed ids that are not empty."""
     return F.slice(F.filter(F.transform(ids, cleaned), lambda i: i != ""), 1, most)
+
+
+def file_name(title: Column) -> Column:
+    """A protocol's title as a file's name, "protocol" for a blank one."""
+    return F.coalesce(or_null(cleaned(title)), F.lit("protocol"))
+
+
+def with_population(text: Column, population: Column) -> Column:
+    """The query with the population known so far in front, unless it names one itself."""
+    return F.when(disease(text).isNull() & (cleaned(population) != ""), F.concat(cleaned(population), F.lit(" — "), text)).otherwise(text)
+
+
+def bulleted(items: Column) -> Column:
+    """A list of texts as lines with bullets, blank ones left out."""
+    return F.array_join(F.transform(F.filter(F.transform(items, cleaned), lambda x: x != ""), lambda x: F.concat(F.lit("• "), x)), "\n")
+
+
+def version_label(version: Column) -> Column:
+    """v1 (original), v2, …"""
+    return F.concat(F.lit("v"), version.cast("string"), F.when(version == 1, " (original)").otherwise(""))

@@ -19,6 +19,17 @@ METADATA = (
 ).split()
 
 
+# Fixed values. Fields of a result's card, in order, with the document columns that they show.
+CARD = {
+    "nct_id": "nctId", "title": "title", "score": "score", "phases": "phases", "status": "status", "study_type": "studyType", "allocation": "allocation",
+    "masking": "masking", "primary_purpose": "primaryPurpose", "conditions": "conditions", "keywords": "keywords", "intervention": "interventionName",
+    "intervention_type": "interventionType", "drug_aliases": "interventionOtherNames", "enrollment": "enrollmentCont", "enrollment_type": "enrollmentType", "sex": "sex",
+    "minimum_age": "minimumAge", "maximum_age": "maximumAge", "primary_outcomes": "primaryOutcomes", "sponsor": "sponsorName", "sponsor_class": "sponsorClass",
+    "pi_name": "piName", "pi_affiliation": "piAffiliation", "start_date": "startDate", "completion_date": "completionETA", "last_updated": "lastUpdateDate",
+    "location": "locationInfo", "location_countries": "locationCountries", "location_count": "locationCount", "contact": "contactInfo",
+}
+
+
 def labelled_text(pairs: list[tuple[str, str]]):
     """Lines "Label: value" of the columns that have a value."""
     return F.concat_ws("\n", *[F.when(X.cleaned(F.col(c)) != "", F.concat(F.lit(f"{label}: "), X.cleaned(F.col(c)))) for label, c in pairs])
@@ -47,6 +58,28 @@ def setting_text():
     return F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in ("title", "officialTitle", "conditions", "keywords")])
 
 
+def source_card(ranked: DataFrame) -> DataFrame:
+    """What a result's card shows of build_documents() with a score: texts are empty and counts 0 where there is no value."""
+    shown = {c: F.coalesce(F.col(m).cast("string"), F.lit("")) for c, m in CARD.items()} | {"score": F.col("score"), "location_count": F.coalesce("locationCount", F.lit(0))}
+    return ranked.select(*[shown[c].alias(c) for c in CARD])
+
+
+def protocol_meta(rows: DataFrame) -> DataFrame:
+    """protocol_id and a protocol's derived fields, trimmed and cut for a list."""
+    cut = lambda c, n: F.substring(X.cleaned(F.col(c)), 1, n).alias(c)
+    title = X.protocol_title(F.col("phase"), F.col("conditions"), F.col("intervention_name"), F.col("title"))
+    return rows.select(
+        "protocol_id", title.alias("title"), X.cleaned(F.col("phase")).alias("phase"), X.cleaned(F.col("conditions")).alias("conditions"), cut("study_design", 200), cut("intervention_name", 200),
+        F.substring(F.coalesce("summary_brief", F.lit("")), 1, 600).alias("summary_brief"), X.kept_ids(F.coalesce("source_ids", F.array().cast("array<string>"))).alias("source_ids"),
+    )
+
+
+def change_log_entry(rows: DataFrame) -> DataFrame:
+    """protocol_id, version, user_request, assistant_note, changed_fields, ts of a saved version; long texts are cut."""
+    cut = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n).alias(c)
+    return rows.select("protocol_id", "version", cut("user_request", 600), cut("assistant_note", 1500), F.coalesce("changed_fields", F.array().cast("array<string>")).alias("changed_fields"), "ts")
+
+
 def context(ranked: DataFrame, fields: dict[str, str], rank: str = "rank") -> DataFrame:
     """One row: the documents' fields as numbered blocks, in order; values "", "0" and "False" are left out. For the few rows of an answer."""
     kept = [F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "False"), F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))) for c, label in fields.items()]

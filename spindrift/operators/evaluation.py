@@ -21,15 +21,22 @@ def keyword_relevance(results: DataFrame, text: Column) -> DataFrame:
     return results.withColumn("n_keywords", found).withColumn("relevant", F.col("n_keywords") >= F.greatest(F.lit(1), F.floor(F.size("keywords") / 2)))
 
 
-def keyword_by_query(results: DataFrame, text: Column, keys: list[str]) -> DataFrame:
-    """keys, hit (at least half of the keywords, and one, stand in any of the results), rr of the first result with a keyword, precision: results with one."""
-    low = F.lower(text)
-    rows = results.withColumn("_found", F.filter("keywords", lambda k: low.contains(F.lower(k))))
-    some = F.size("_found") > 0
+def judged_by_query(results: DataFrame, keys: list[str], text: Column, metadata: Column | None = None) -> DataFrame:
+    """keys, hit, rr, precision of results (doc_id, rank, keywords, expected_ids) as a search is judged.
+
+    With expected ids a hit is one of them, else at least half of the keywords, and one, anywhere in the results; keywords
+    are looked for in text and metadata. rr goes by the first expected id, else by the first result with a keyword; precision
+    counts results with a keyword, else expected ids.
+    """
+    low = F.lower(F.concat_ws("\n", text, *([] if metadata is None else [metadata])))
+    rows = results.withColumn("_found", F.filter("keywords", lambda k: low.contains(F.lower(k)))).withColumn("_own", F.array_contains("expected_ids", F.col("doc_id")))
+    some, ids, words = F.size("_found") > 0, F.max(F.size("expected_ids")), F.max(F.size("keywords"))
     found = F.size(F.array_distinct(F.flatten(F.collect_list("_found"))))
+    first = lambda c: F.try_divide(F.lit(1.0), F.min(F.when(c, F.col("rank"))))
     return rows.groupBy(*keys).agg(
-        (found >= F.greatest(F.lit(1), F.floor(F.max(F.size("keywords")) / 2))).cast("int").alias("hit"),
-        F.coalesce(F.try_divide(F.lit(1.0), F.min(F.when(some, F.col("rank")))), F.lit(0.0)).alias("rr"), F.avg(some.cast("double")).alias("precision"),
+        F.when(ids > 0, F.max("_own")).otherwise(found >= F.greatest(F.lit(1), F.floor(words / 2))).cast("int").alias("hit"),
+        F.coalesce(first(F.col("_own")), first(some), F.lit(0.0)).alias("rr"),
+        F.when(words > 0, F.avg(some.cast("double"))).when(ids > 0, F.avg(F.col("_own").cast("double"))).otherwise(0.0).alias("precision"),
     )
 
 

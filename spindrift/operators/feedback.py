@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from . import retrieval
 
 
 def parsed_time(text: Column, otherwise: Column) -> Column:
@@ -44,15 +45,28 @@ def examples(feedback: DataFrame) -> DataFrame:
     """Upvoted answers that may serve as examples: query, answer."""
     query, answer = X.cleaned(F.col("context.query")), X.cleaned(F.col("context.assistant_message"))
     return feedback.filter((F.col("type") == "rating_up") & (query != "") & (F.length(answer) >= K.EXAMPLE_LEAST_ANSWER)).select(
-        query.alias("query"), F.substring(answer, 1, K.EXAMPLE_SHOWN).alias("answer")
+        query.alias("query"),
+        F.when(F.length(answer) > K.EXAMPLE_SHOWN, F.concat(F.rtrim(F.substring(answer, 1, K.EXAMPLE_SHOWN)), F.lit("…"))).otherwise(answer).alias("answer"),
     )
 
 
+def nearest_examples(examples: DataFrame, asked: DataFrame, k: int = K.EXAMPLES_PICKED, least: float = K.EXAMPLE_LEAST_SIMILARITY) -> DataFrame:
+    """qid, doc_id, score: for each asked (qid, text) the k nearest examples (doc_id, text) by cosine of tf * idf over the 4,096 most frequent words, from `least` on."""
+    own, queries = retrieval.term_counts(examples, "doc_id", "text"), retrieval.term_counts(asked, "qid", "text")
+    terms = retrieval.vocabulary(own, examples.count(), most=4096)
+    scores = retrieval.sparse_scores(retrieval.weighted(queries, terms, sublinear=False), retrieval.weighted(own, terms, sublinear=False))
+    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), k).filter(F.col("score") >= least).select("qid", "doc_id", "score")
+
+
 def grouped_aliases(aliases: DataFrame) -> DataFrame:
     """canonical, aliases: sorted, distinct, comma-joined."""
     return aliases.groupBy("canonical").agg(F.array_join(F.array_sort(F.collect_set("alias")), ", ").alias("aliases"))
 
 
+def listed_aliases(aliases: DataFrame) -> DataFrame:
+    return aliases.orderBy("alias")
+
+
 def upserted_alias(aliases: DataFrame, alias: str, canonical: str) -> DataFrame:
     alias, canonical = alias.strip().lower(), canonical.strip()
     if not alias or not canonical:

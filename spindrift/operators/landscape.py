@@ -27,6 +27,19 @@ def distribution(rows: DataFrame, label: Column, top: int | None = None, order:
     return (out.limit(top) if top else out).drop("_order")
 
 
+def sections(docs: DataFrame, labels: dict[str, Column], in_filter: Column, top: dict[str, int]) -> DataFrame:
+    """section, label, count: population_total and total (after the filter) and the distribution of each section's label, in one pass over docs; top: how many labels a section keeps."""
+    pair = lambda s, c: F.struct(F.lit(s).alias("section"), c.alias("label"))
+    heads = [F.lit("population_total"), F.when(in_filter, F.lit("total"))]
+    found = docs.select(F.explode(F.array(*[pair("totals", h) for h in heads], *[pair(s, c) for s, c in labels.items()])).alias("p")).select("p.*").filter("label IS NOT NULL")
+    counts = found.groupBy("section", "label").agg(F.count(F.lit(1)).alias("count"))
+    zeros = docs.sparkSession.createDataFrame([("totals", "population_total", 0), ("totals", "total", 0)], "section string, label string, count long")
+    rank = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("count"), "label"))
+    most = F.create_map(*[F.lit(x) for p in top.items() for x in p])
+    own = counts.withColumn("_rank", rank).filter(F.coalesce(F.col("_rank") <= most[F.col("section")], F.lit(True))).drop("_rank")
+    return own.unionByName(zeros).groupBy("section", "label").agg(F.sum("count").alias("count"))
+
+
 def parts(c: Column, by: str = ",") -> Column:
     """Trimmed, non-empty parts of a delimited text."""
     return F.filter(F.transform(F.split(F.coalesce(c, F.lit("")), by), X.cleaned), lambda p: p != "")

@@ -14,9 +14,21 @@ def changes(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
+def last_by_key(rows: DataFrame, key: str) -> DataFrame:
+    """The last row of each key, in the order in which rows are read."""
+    rest = [c for c in rows.columns if c != key]
+    last = rows.withColumn("_order", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*rest), "_order").alias("_last"))
+    return last.select(key, "_last.*").select(*rows.columns)
+
+
 def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
-    """Existing rows, those that incoming has too replaced, and its new ones; nothing is deleted. Only keys go to the anti-join's other side."""
-    return existing.join(incoming.select(key), key, "left_anti").unionByName(incoming.select(*existing.columns))
+    """Existing rows, those that incoming has too replaced, and its new ones; nothing is deleted.
+
+    Of incoming rows with one key the last counts. Incoming values take the stored types; what can't be one becomes null.
+    """
+    kinds = {f.name: f.dataType for f in existing.schema.fields}
+    last = last_by_key(incoming.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in existing.columns]), key)
+    return existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def change_counts(changed: DataFrame) -> DataFrame:
@@ -32,6 +44,16 @@ def hash_delta(now: DataFrame, stored: DataFrame) -> DataFrame:
     return now.join(stored.select("doc_id", "text_hash"), ["doc_id", "text_hash"], "left_anti")
 
 
+def without_stale(store: DataFrame, ids: DataFrame) -> DataFrame:
+    """Stored vectors whose document still exists."""
+    return store.join(ids.select("doc_id"), "doc_id", "left_semi")
+
+
+def refreshed(store: DataFrame, encoded: DataFrame, ids: DataFrame) -> DataFrame:
+    """The store after an update: newly encoded vectors replace those of their documents, those of deleted documents go."""
+    return upserted(without_stale(store, ids), encoded, "doc_id")
+
+
 def aligned(ids: DataFrame, store: DataFrame, dim: int) -> DataFrame:
     """Every id with its stored vector, or zeros."""
     return ids.join(store, "doc_id", "left").withColumn("embedding", F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), dim)))

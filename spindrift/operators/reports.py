@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -54,10 +54,12 @@ def latency(events: DataFrame, now: Column, event: str | None = "query_received"
     own = events.filter(F.col("latency_ms").isNotNull() & (F.col("timestamp") >= _days(now, 7)))
     if event:
         own = own.filter(F.col("event_type") == event)
-    return own.groupBy("endpoint").agg(
-        F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY latency_ms)").alias("p50_ms"), F.expr("percentile_disc(0.95) WITHIN GROUP (ORDER BY latency_ms)").alias("p95_ms"),
-        F.count(F.lit(1)).alias("calls"),
-    )
+    # counted by value first, so a task holds distinct latencies as rows, not all of an endpoint in one buffer
+    w = Window.partitionBy("endpoint")
+    values = own.groupBy("endpoint", "latency_ms").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = values.withColumn("_upto", F.sum("_n").over(w.orderBy("latency_ms").rowsBetween(Window.unboundedPreceding, 0))).withColumn("_all", F.sum("_n").over(w))
+    at = lambda p: F.min(F.when(F.col("_upto") >= F.lit(p) * F.col("_all"), F.col("latency_ms")))
+    return ranked.groupBy("endpoint").agg(at(0.5).alias("p50_ms"), at(0.95).alias("p95_ms"), F.sum("_n").alias("calls"))
 
 
 def sessions(events: DataFrame) -> DataFrame:

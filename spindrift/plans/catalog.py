@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import conversation, evaluation, feedback, landscape, merge, reports, retrieval, versions
+from ..sources import events
 from ..streaming import sessions as streams
+from .engine import fingerprint, totals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,14 +48,9 @@ WITH d AS (SELECT *, regexp_matches(lower(text), 'licen[sc]ed|released') AS pop
 SELECT section, label, n AS count FROM t UNION ALL SELECT * FROM s UNION ALL SELECT * FROM o
 """)
 def landscape_report(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter(F.lower("text").rlike("licen[sc]ed|released")).select("lang", "source")
-    heads = landscape.totals(docs, F.lit(True), F.col("lang") == "en").select(F.expr("stack(2, 'population_total', population_total, 'total', total) AS (label, count)"))
-    parts = [
-        heads.select(F.lit("totals").alias("section"), "label", "count"),
-        landscape.distribution(docs, landscape.named_or_unspecified(F.col("lang"))).select(F.lit("status").alias("section"), "label", "count"),
-        landscape.distribution(docs, landscape.named_or_unspecified(F.col("source")), top=10).select(F.lit("sponsor").alias("section"), "label", "count"),
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    docs = table(spark, sf_dir, "documents").filter(F.lower("text").rlike("licen[sc]ed|released"))
+    named = {"status": landscape.named_or_unspecified(F.col("lang")), "sponsor": landscape.named_or_unspecified(F.col("source"))}
+    return landscape.sections(docs, named, F.col("lang") == "en", {"sponsor": 10})
 
 
 @query("SELECT count(*) FILTER (regexp_matches(lower(text), 'licen')) AS population_total, count(*) FILTER (regexp_matches(lower(text), 'licen') AND lang = 'en') AS total FROM documents")
@@ -161,12 +158,11 @@ def extract_filters(spark, sf_dir):
 
 
 @query("""
-SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'licensed under') AND NOT contains(lower(text), 'permissive') THEN 'x permissive' ELSE 'x' END AS widened FROM documents
+SELECT doc_id, CASE WHEN regexp_matches(lower(text), '\\blicensed under\\b') AND NOT contains(lower(text), 'permissive') THEN text || ' permissive' ELSE text END AS widened FROM documents
 """)
 def alias_expand(spark, sf_dir):
     aliases = F.array(F.struct(F.lit("licensed under").alias("alias"), F.lit("permissive").alias("canonical")))
-    rows = table(spark, sf_dir, "documents").withColumn("q", X.with_aliases(F.col("text"), aliases))
-    return rows.select("doc_id", F.when(F.length("q") > F.length("text"), "x permissive").otherwise("x").alias("widened"))
+    return table(spark, sf_dir, "documents").select("doc_id", X.with_aliases(F.col("text"), aliases).alias("widened"))
 
 
 @query("SELECT p_brand AS canonical, string_agg(DISTINCT p_type, ', ' ORDER BY p_type) AS aliases FROM part GROUP BY 1")
@@ -206,9 +202,7 @@ def _index(spark, sf_dir):
 
 @query(f"WITH {_WEIGHTS_SQL} SELECT doc_id, round(norm, 6) AS norm FROM nrm")
 def tfidf_doc_norms(spark, sf_dir):
-    counts, terms = _index(spark, sf_dir)
-    raw = counts.join(terms, "term").withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-    return raw.groupBy("doc_id").agg(F.round(F.sqrt(F.sum(F.col("w") * F.col("w"))), 6).alias("norm"))
+    return retrieval.norms(*_index(spark, sf_dir)).select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 @query(f"""
@@ -244,9 +238,7 @@ def dense_topk(spark, sf_dir):
 def _ranked(spark, sf_dir, k):
     """Every fiftieth vector is a query, against all others."""
     docs, queries = _vectors(spark, sf_dir)
-    asked = F.broadcast(queries.filter("qid % 50 = 0").select("qid", "q"))
-    scores = retrieval.dense_scores(asked, docs).filter("qid <> doc_id").withColumn("score", F.round("score", 6))
-    return retrieval.top_k(scores, k), docs, queries
+    return retrieval.dense_top_k(queries.filter("qid % 50 = 0").select("qid", "q"), docs, k), docs, queries
 
 
 _RANKED_SQL = f"""
@@ -282,11 +274,11 @@ def filter_ladder_fallback(spark, sf_dir):
     top, docs, _ = _ranked(spark, sf_dir, 50)
     pool = top.join(docs.select("doc_id", "label"), "doc_id")
     own, even, other = F.col("label") == 3, F.col("doc_id") % 2 == 0, F.col("doc_id") % 17 == 0
-    return retrieval.filter_ladder(pool, own & even, own | other, "qid").select("qid", "doc_id", "rank")
+    return retrieval.filter_ladder(pool, own & even, own | other, by="qid").select("qid", "doc_id", "rank")
 
 
 @query(f"""
-WITH {_RANKED_SQL}, p AS (SELECT *, max(doc_id % 7 = 0) OVER (PARTITION BY qid) AS hit FROM r WHERE rank <= 100 AND score > 0),
+WITH {_RANKED_SQL}, p AS (SELECT *, max(doc_id % 7 = 0) OVER (PARTITION BY qid) AS hit FROM r WHERE rank <= 200 AND score > 0),
 k AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM p WHERE doc_id % 7 = 0 OR NOT hit)
 SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place FROM k WHERE place <= 5
 """)
@@ -295,7 +287,7 @@ def filter_pool_then_filter(spark, sf_dir):
     top, _, _ = _ranked(spark, sf_dir, retrieval.pool_size(k, attribute_filters=True, other_filters=False, with_feedback=False))
     wanted = F.col("doc_id") % 7 == 0
     place = F.row_number().over(Window.partitionBy("qid").orderBy("rank"))
-    return retrieval.filter_ladder(top, wanted, wanted, "qid").withColumn("place", place).filter(F.col("place") <= k).select("qid", "doc_id", "rank", "place")
+    return retrieval.filter_ladder(top, wanted, by="qid").withColumn("place", place).filter(F.col("place") <= k).select("qid", "doc_id", "rank", "place")
 
 
 @query()
@@ -340,7 +332,7 @@ def feedback_decayed_scores(spark, sf_dir):
 
 @query(f"""
 WITH {_VOTES_SQL} SELECT CAST(p_partkey AS VARCHAR) AS doc_id, round(p_retailprice / 100000 + 0.05 * tanh(coalesce(net, 0)), 6) AS score
-FROM part LEFT JOIN net ON net.doc_id = CAST(p_partkey AS VARCHAR) WHERE p_partkey < 200
+FROM part LEFT JOIN net ON net.doc_id = CAST(p_partkey AS VARCHAR)
 """)
 def feedback_rerank(spark, sf_dir):
     ranked = table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("doc_id"), (F.col("p_retailprice") / 100000).alias("score"), F.col("p_partkey").alias("rank"))
@@ -354,21 +346,20 @@ def feedback_stats(spark, sf_dir):
 
 
 @query("""
-WITH e AS (SELECT doc_id, trim(substr(text, 1, 60)) AS query FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND length(text) >= 200),
-t AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(query), '[\\p{L}\\p{N}_]{2,}')) AS term FROM e), n AS (SELECT doc_id, count(*) AS n FROM t GROUP BY 1),
-q AS (SELECT DISTINCT item_id AS qid, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark), m AS (SELECT qid, count(*) AS m FROM q GROUP BY 1),
-s AS (SELECT qid, doc_id, round(count(*) / sqrt(n * m), 6) AS score FROM t JOIN q USING (term) JOIN n USING (doc_id) JOIN m USING (qid) GROUP BY qid, doc_id, n, m),
-r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s)
+WITH e AS (SELECT doc_id, text FROM documents JOIN labels USING (doc_id) WHERE quality = 1 AND toxic = 0 AND length(text) >= 200),
+tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM e) GROUP BY 1, 2),
+v AS (SELECT term, ln((1.0 + (SELECT count(*) FROM e)) / (1 + count(*))) + 1 AS idf, sum(tf) AS cf FROM tf GROUP BY 1 ORDER BY cf DESC, term LIMIT 4096),
+d AS (SELECT doc_id, term, tf * idf AS w FROM tf JOIN v USING (term)), dn AS (SELECT doc_id, sqrt(sum(w * w)) AS norm FROM d GROUP BY 1),
+q AS (SELECT item_id AS qid, term, count(*) * any_value(idf) AS w FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}')) AS term FROM benchmark) JOIN v USING (term) GROUP BY 1, 2),
+qn AS (SELECT qid, sqrt(sum(w * w)) AS norm FROM q GROUP BY 1),
+s AS (SELECT qid, doc_id, round(sum(d.w / dn.norm * q.w / qn.norm), 6) AS score FROM q JOIN qn USING (qid) JOIN d USING (term) JOIN dn USING (doc_id) GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
 SELECT qid, doc_id, score FROM r WHERE rank <= 2 AND score >= 0.15
 """)
 def fewshot_pick(spark, sf_dir):
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     good = docs.join(labels.filter("quality = 1 AND toxic = 0"), "doc_id").filter((F.length("text") >= 200) & (X.cleaned(F.col("text")) != ""))
-    own = retrieval.term_counts(good, "doc_id", "text")
-    asked = retrieval.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    terms = retrieval.vocabulary(own, good.count(), most=4096)
-    scores = retrieval.sparse_scores(retrieval.weighted(asked, terms, sublinear=False), retrieval.weighted(own, terms, sublinear=False))
-    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 2).filter("score >= 0.15").select("qid", "doc_id", "score")
+    return feedback.nearest_examples(good, table(spark, sf_dir, "benchmark").withColumnRenamed("item_id", "qid"))
 
 
 # Conversations.
@@ -433,10 +424,11 @@ e AS (SELECT ts, event_type, CAST(user_id AS VARCHAR) AS user_id, CAST(user_id A
 """
 
 
-@query("SELECT event_id, event_type, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, json_extract_string(props, '$.missing') AS missing FROM events WHERE event_type IS NOT NULL")
+@query("SELECT ts AS timestamp, event_type, CAST(user_id AS VARCHAR) AS user_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS num_sources, CAST(NULL AS VARCHAR) AS kind FROM events WHERE event_type IS NOT NULL")
 def events_typed_view(spark, sf_dir):
-    get = lambda f: F.get_json_object("props", f"$.{f}")
-    return table(spark, sf_dir, "events").filter("event_type IS NOT NULL").select("event_id", "event_type", get("k").try_cast("bigint").alias("k"), get("missing").alias("missing"))
+    payload = F.to_json(F.struct("event_type", F.col("user_id").cast("string").alias("user_id"), F.get_json_object("props", "$.k").alias("num_sources")))
+    log = table(spark, sf_dir, "events").select(F.col("ts").alias("timestamp"), payload.alias("text_payload"))
+    return events.typed(log).select("timestamp", "event_type", "user_id", "num_sources", "kind")
 
 
 @query(f"""WITH {_EVENTS_SQL} SELECT count(DISTINCT user_id) FILTER (ts >= now - INTERVAL 7 DAY) AS wau_this, count(DISTINCT user_id) FILTER (ts BETWEEN now - INTERVAL 14 DAY AND now - INTERVAL 7 DAY) AS wau_prev,
@@ -490,10 +482,9 @@ def session_rollup(spark, sf_dir):
 def stream_sessions_available_now(spark, sf_dir):
     import uuid
 
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).parquet(path.rsplit("/", 1)[0] + "/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.run_once(streams.user_rollup(stream), f"sessions_{uuid.uuid4().hex}")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    out = streams.upsert_by_user(stream, streams.shared_folder(spark, f"sessions-{uuid.uuid4().hex}"))
     return out.withColumn("started_at", F.col("started_at").cast("timestamp_ntz")).withColumn("last_active_at", F.col("last_active_at").cast("timestamp_ntz"))
 
 
@@ -576,23 +567,60 @@ def _found_by_item(spark, sf_dir):
     """The documents found for each benchmark item, whole, with its first five words as keywords; and those of all items."""
     words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(retrieval.tokens(F.col("text")), 1, 5).alias("keywords"))
     top = tfidf_topk_benchmark(spark, sf_dir).withColumnRenamed("qid", "item_id")
-    return top.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id").join(words, "item_id"), words
+    return top.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").join(words, "item_id"), words
 
 
-@query("""
-WITH k AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]{2,}'), 1, 5) AS words FROM benchmark),
-s AS (SELECT doc_id, item_id, len(list_filter(words, lambda w: contains(lower(text), w))) AS n, len(words) AS m FROM documents JOIN k ON doc_id % 40 = item_id)
+_FOUND_SQL = f"""
+{_WEIGHTS_SQL}, d AS (SELECT doc_id, term, w / norm AS w FROM raw JOIN nrm USING (doc_id)),
+qtf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_TOKENS_SQL} AS term FROM benchmark) GROUP BY 1, 2),
+qraw AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN df USING (term)), qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qraw GROUP BY 1),
+sc AS (SELECT item_id, doc_id, round(sum(d.w * qraw.w / qn.norm), 6) AS score FROM qraw JOIN qn USING (item_id) JOIN d USING (term) GROUP BY 1, 2),
+rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
+k AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1, 5) AS words FROM benchmark),
+f AS (SELECT rk.item_id, rk.doc_id, rk.rank, lower(text) AS low, words, lang, source FROM rk JOIN documents USING (doc_id) JOIN k USING (item_id) WHERE rk.rank <= 5 AND rk.score > 0)
+"""
+
+
+@query(f"""
+WITH {_FOUND_SQL}, s AS (SELECT doc_id, item_id, len(list_filter(words, lambda w: contains(low, w))) AS n, len(words) AS m FROM f)
 SELECT doc_id, item_id, CAST(n AS INTEGER) AS n_keywords, n >= greatest(1, m // 2) AS relevant FROM s
 """)
 def keyword_relevance(spark, sf_dir):
     return evaluation.keyword_relevance(_found_by_item(spark, sf_dir)[0], F.col("text")).select("doc_id", "item_id", "n_keywords", "relevant")
 
 
-@query()
-def keyword_eval_hit_mrr_p(spark, sf_dir):
+def _judged(spark, sf_dir, expected):
     found, words = _found_by_item(spark, sf_dir)
-    scored = words.select("item_id").join(evaluation.keyword_by_query(found, F.col("text"), ["item_id"]), "item_id", "left").fillna(0, ["hit", "rr", "precision"])
-    return evaluation.macro(scored.withColumn("category", F.lit("benchmark")))
+    meta = F.to_json(F.struct("lang", "source"))
+    scored = evaluation.judged_by_query(found.withColumn("expected_ids", expected), ["item_id"], F.col("text"), meta)
+    every = words.select("item_id").join(scored, "item_id", "left").fillna(0, ["hit", "rr", "precision"])
+    return evaluation.macro(every.withColumn("category", F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string"))))
+
+
+_JUDGED_SQL = """
+g AS (SELECT item_id, rank, doc_id, list_filter(list_distinct(words), lambda w: contains(low || chr(10) || '{"lang":"' || lang || '","source":"' || source || '"}', w)) AS hits, len(words) AS m FROM f),
+h AS (SELECT item_id, max(m) AS m, count(*) AS n, len(list_distinct(flatten(list(hits)))) AS kw, min(rank) FILTER (len(hits) > 0) AS first_kw, count(*) FILTER (len(hits) > 0) AS with_kw FROM g GROUP BY 1)
+"""
+_MACRO_SQL = "SELECT category, count(*) AS n, round(avg(hit), 6) AS hit_rate, round(avg(rr), 6) AS mrr, round(avg(precision), 6) AS precision FROM a GROUP BY ROLLUP (category)"
+
+
+@query(f"""
+WITH {_FOUND_SQL}, {_JUDGED_SQL}, a AS (SELECT 'c' || CAST(b.item_id % 4 AS VARCHAR) AS category, CASE WHEN coalesce(kw, 0) >= greatest(1, coalesce(m, 0) // 2) THEN 1 ELSE 0 END AS hit,
+  coalesce(1.0 / first_kw, 0) AS rr, coalesce(with_kw * 1.0 / h.n, 0) AS precision FROM benchmark b LEFT JOIN h USING (item_id)) {_MACRO_SQL}
+""")
+def keyword_eval_hit_mrr_p(spark, sf_dir):
+    """Items have keywords alone."""
+    return _judged(spark, sf_dir, F.array().cast("array<bigint>"))
+
+
+@query(f"""
+WITH {_FOUND_SQL}, {_JUDGED_SQL}, i AS (SELECT item_id, min(rank) FILTER (doc_id % 3 = 0) AS first_id FROM g GROUP BY 1),
+a AS (SELECT 'c' || CAST(b.item_id % 4 AS VARCHAR) AS category, CASE WHEN first_id IS NOT NULL THEN 1 ELSE 0 END AS hit, coalesce(1.0 / first_id, 1.0 / first_kw, 0) AS rr,
+  coalesce(with_kw * 1.0 / h.n, 0) AS precision FROM benchmark b LEFT JOIN h USING (item_id) LEFT JOIN i USING (item_id)) {_MACRO_SQL}
+""")
+def judged_eval_hit_mrr_p(spark, sf_dir):
+    """Items have keywords and expected ids: here the multiples of three among what is found, and one that is not."""
+    return _judged(spark, sf_dir, F.array(F.when(F.col("doc_id") % 3 == 0, F.col("doc_id")).otherwise(F.lit(-1)), F.lit(-1).cast("bigint")))
 
 
 @query("""
@@ -608,7 +636,7 @@ def judge_means(spark, sf_dir):
 @query("SELECT count(*) AS n, bit_xor(CAST('0x' || substr(sha256(CAST(doc_id AS VARCHAR) || ':' || text), 1, 15) AS BIGINT)) AS digest FROM documents")
 def corpus_fingerprint(spark, sf_dir):
     head = F.substring(F.sha2(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("text")), 256), 1, 15)
-    return table(spark, sf_dir, "documents").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.conv(head, 16, 10).cast("bigint")).alias("digest"))
+    return fingerprint(table(spark, sf_dir, "documents"), F.conv(head, 16, 10).cast("bigint"))
 
 
 @query(f"""
@@ -664,10 +692,10 @@ s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED
 SELECT user_id, min(ts) AS started_at, count(*) AS event_count FROM s GROUP BY user_id, n
 """)
 def session_windows(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id", F.session_window("ts", "30 minutes").alias("w")).agg(F.count(F.lit(1)).alias("event_count"))
-    return rows.select("user_id", F.col("w.start").cast("timestamp_ntz").alias("started_at"), "event_count")
+    rows = streams.session_windows(table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp")))
+    return rows.select("user_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "event_count")
 
 
-@query("SELECT coalesce(lang, 'all') AS corpus, count(*) AS trial_count FROM documents GROUP BY ROLLUP (lang)")
+@query("SELECT CASE WHEN grouping(lang) = 1 THEN 'all' ELSE lang END AS corpus, count(*) AS trial_count FROM documents GROUP BY ROLLUP (lang)")
 def ingest_summary(spark, sf_dir):
-    return table(spark, sf_dir, "documents").rollup("lang").agg(F.count(F.lit(1)).alias("trial_count")).select(F.coalesce("lang", F.lit("all")).alias("corpus"), "trial_count")
+    return totals(table(spark, sf_dir, "documents"), "lang")

@@ -7,12 +7,12 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
-from ..operators import documents, feedback, landscape, retrieval, versions
+from ..operators import documents, evaluation, feedback, landscape, merge, reports, retrieval, versions
 
 
 @dataclass
@@ -83,14 +83,16 @@ class Engine:
         """k documents with score and rank. The pool is scored, then filtered; filters that leave nothing are dropped."""
         if not 1 <= k <= CHAT_MOST:
             raise ValueError(f"k must be 1 to {CHAT_MOST}")
+        return self._retrieved(query, k, scores)
+
+    def _retrieved(self, query: str, k: int, scores: DataFrame | None) -> DataFrame:
+        """The k best of a pool that meet all filters of the query; classes all, else any, else the other filters alone; the whole pool if nothing meets those."""
         want, widened = wanted(self.spark, query)
         pool = self._scored(widened if want.any() else query, retrieval.pool_size(k, want.attributes(), want.any(), scores is not None))
         if want.any():
-            # rows that pass the plain filters form the ladder's pool; if none does, the whole pool stays
             own = want.predicate()
-            pool = retrieval.filter_ladder(pool, own, own)
-            if want.classes:
-                pool = retrieval.filter_ladder(pool, X.has_all(F.col("drug_classes"), want.classes), X.has_any(F.col("drug_classes"), want.classes))
+            classes = [X.has_all(F.col("drug_classes"), want.classes), X.has_any(F.col("drug_classes"), want.classes)] if want.classes else []
+            pool = retrieval.filter_ladder(pool, *[own & c for c in classes], own)
         return self._ordered(pool, scores).limit(k)
 
     @staticmethod
@@ -99,22 +101,50 @@ class Engine:
 
     def chat(self, query: str, filters: dict[str, str | None], k: int = 5, with_landscape: bool = True, aliases: DataFrame | None = None, scores: DataFrame | None = None) -> DataFrame:
         """Documents of a chat turn: a wide pool spread over drug classes when a population is known, else search; industry and recruiting trials first."""
+        asked = self.spark.range(1).select(X.with_population(F.lit(query), F.lit(filters.get("disease") or "")).alias("q"))
         if aliases is not None:
-            pairs = F.array(*[F.struct(F.lit(r["alias"]).alias("alias"), F.lit(r["canonical"]).alias("canonical")) for r in aliases.collect()])  # a dictionary kept by hand
-            query = self.spark.range(1).select(X.with_aliases(F.lit(query), pairs)).head()[0]
+            pairs = aliases.agg(F.collect_list(F.struct("alias", "canonical")).alias("aliases"))  # one row: a dictionary kept by hand
+            asked = asked.crossJoin(F.broadcast(pairs)).select(X.with_aliases(F.col("q"), F.col("aliases")).alias("q"))
+        query = asked.head()[0]
         if with_landscape and filters.get("disease"):
-            pool = self._scored(query, K.CHAT_POOL)
+            pool = self._retrieved(query, K.CHAT_POOL, scores)
             keep = F.lit(True)
             if filters.get("phase"):
                 keep &= X.cleaned(F.col("phases")) == filters["phase"]
             if filters.get("status"):
                 keep &= X.cleaned(F.col("status")) == filters["status"]
-            pool = retrieval.filter_ladder(pool, keep, keep).withColumn("qid", F.lit(0)).withColumnRenamed("drug_classes", "classes")
-            found = retrieval.diversified(pool, K.CHAT_BUDGET).drop("qid").withColumnRenamed("classes", "drug_classes")
+            pool = retrieval.filter_ladder(pool, keep).withColumn("qid", F.lit(0)).withColumnRenamed("drug_classes", "classes")
+            place = F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("score"), "rank")).alias("rank")
+            found = retrieval.diversified(pool.select(*[c for c in pool.columns if c != "rank"], place), K.CHAT_BUDGET).drop("qid").withColumnRenamed("classes", "drug_classes")
         else:
-            found = self.search(query, k, scores)
+            found = self._retrieved(query, k, scores)
         tiers = [F.when(X.cleaned(F.col("sponsorClass")) == "INDUSTRY", 0).otherwise(1), F.when(X.cleaned(F.col("status")) == "RECRUITING", 0).otherwise(1)]
-        return found.orderBy(*tiers, "rank")
+        return found.orderBy(*tiers, F.desc("score"), "rank")
+
+    def evaluate(self, cases: DataFrame, k: int = 10) -> DataFrame:
+        """Means by category and overall of cases (query_id, query, category, keywords, expected_ids), searched as one batch without filters."""
+        asked = retrieval.term_counts(cases, "query_id", "query", **self.how)
+        top = retrieval.top_k(retrieval.sparse_scores(retrieval.weighted(asked, self.terms), self.postings), k)
+        rows = top.join(self.docs.drop("score", "rank"), "doc_id").join(cases.select(F.col("query_id").alias("qid"), "keywords", "expected_ids"), "qid")
+        scored = evaluation.judged_by_query(rows, ["qid"], F.col("text"), F.to_json(F.struct("title", "conditions", "interventionName", "phases", "status", "sponsorName", "locationCountries")))
+        every = cases.select(F.col("query_id").alias("qid"), "category").join(scored, "qid", "left").fillna(0, ["hit", "rr", "precision"])
+        return evaluation.macro(every)
+
+    @staticmethod
+    def report(events: DataFrame, now: Column) -> dict[str, DataFrame]:
+        """The weekly report's sections by name."""
+        steps = {"searched": "query_received", "reached_chat": "chat_message", "generated": "protocol_generated", "refined": "protocol_refined"}
+        return {
+            "headline": reports.headline(events, now), "users": reports.new_and_returning(events, now), "funnel": reports.funnel(events, now, steps), "quality": reports.quality(events, now),
+            "zero_results": reports.top_texts(events, now, (F.col("event_type") == "query_received") & (F.col("num_sources") == 0), "occurrences"),
+            "bad_answers": reports.top_texts(events, now, (F.col("event_type") == "feedback_submitted") & (F.col("kind") == "rating_down"), "thumbs_down_count"),
+            "latency": reports.latency(events, now),
+        }
+
+    @staticmethod
+    def ingest(stored: DataFrame, incoming: DataFrame, key: str = "nctId") -> tuple[DataFrame, DataFrame]:
+        """(the snapshot after an update, how many rows are new and updated, and all): the last incoming row of each key counts."""
+        return merge.upserted(stored, incoming, key), merge.change_counts(merge.changes(stored, merge.last_by_key(incoming, key), key))
 
     def landscape(self, filters: dict[str, str | None]) -> DataFrame:
         pattern = dict(K.DISEASES).get(filters.get("disease") or "")
@@ -146,8 +176,14 @@ class ProtocolStore:
             return self.spark.createDataFrame([], self.schema)
 
     def save(self, rows: DataFrame, must_exist: bool = False) -> None:
-        """Append rows as the next version of their protocols."""
-        made = versions.next_versions(self.read(), rows.drop("version"), ["user_id", "protocol_id"])
+        """Append rows as the next version of their protocols. Only the folders of the rows' users are read; a new title "Untitled protocol" keeps the one before."""
+        users = [r["user_id"] for r in rows.select("user_id").distinct().collect()]  # those of one request
+        stored = self.read().filter(F.col("user_id").isin(users))
+        made = versions.next_versions(stored, rows.drop("version"), ["user_id", "protocol_id"])
+        if "title" in made.columns:
+            before = versions.latest(stored, ["user_id", "protocol_id"]).select("user_id", "protocol_id", F.col("title").alias("_title"))
+            kept = F.when(F.col("title") == "Untitled protocol", F.coalesce("_title", "title")).otherwise(F.col("title"))
+            made = made.join(before, ["user_id", "protocol_id"], "left").withColumn("title", kept).drop("_title")
         if must_exist and made.filter("version = 1").head(1):
             raise KeyError("unknown protocol")
         made.select(*[f.name for f in self.spark.createDataFrame([], self.schema).schema.fields]).write.mode("append").partitionBy("user_id").parquet(self.path)
@@ -172,9 +208,14 @@ class ProtocolStore:
         return scored.orderBy(F.desc("score"), F.desc("ts"), "protocol_id").limit(most)
 
 
-def fingerprint(docs: DataFrame) -> DataFrame:
-    """n and a digest of a corpus that doesn't depend on the order of its rows: per-row hashes are combined before they are shuffled."""
-    return docs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text")).alias("digest"))
+def fingerprint(docs: DataFrame, row_hash: Column | None = None) -> DataFrame:
+    """n and a digest of a corpus that doesn't depend on the order of its rows: per-row hashes (longs) are combined before they are shuffled."""
+    return docs.agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("doc_id", "text") if row_hash is None else row_hash).alias("digest"))
+
+
+def totals(rows: DataFrame, corpus: str = "corpus") -> DataFrame:
+    """corpus, trial_count: of each corpus, and of all."""
+    return rows.rollup(corpus).agg(F.count(F.lit(1)).alias("trial_count"), F.grouping(corpus).alias("_all")).select(F.when(F.col("_all") == 1, "all").otherwise(F.col(corpus)).alias("corpus"), "trial_count")
 
 
 class FeedbackStore:
@@ -195,6 +236,14 @@ class FeedbackStore:
         log = self.spark.read.schema(self.FIELDS).option("mode", "DROPMALFORMED").json(self.path)
         return feedback.latest_status(log).orderBy(F.desc("created_at"), "id")
 
+    def promote(self, id_: str, aliases: DataFrame, now: str) -> DataFrame | None:
+        """aliases with the alias of a feedback row, which is resolved; None if there is no such row or it names none."""
+        row = self.read().filter((F.col("id") == id_) & (X.cleaned(F.col("alias")) != "") & (X.cleaned(F.col("canonical")) != "")).head()
+        if row is None:
+            return None
+        self.set_status(id_, "resolved", now)
+        return feedback.upserted_alias(aliases, row["alias"], row["canonical"])
+
     def set_status(self, id_: str, status: str, now: str) -> bool:
         """False if there is no such id."""
         if status not in ("open", "resolved", "dismissed"):

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 
+# Fixed values. Columns of a trial row, in order.
 COLUMNS = (
     "nctId orgID acronym bTitle oTitle sponsorName sponsorClass collaborators responsiblePartyType oStatus statusBTS startDate startDateType "
     "primaryCompletionDate primaryCompletionDateType completionETA completionETAType studyFST lastUpdateDate summary description conditions keywords "
@@ -18,7 +19,7 @@ COLUMNS = (
 ).split()
 COUNTS = {"enrollmentCont", "locationCount"}
 TRIAL = T.StructType([T.StructField(c, T.IntegerType() if c in COUNTS else T.StringType()) for c in COLUMNS])
-#: Texts that count as missing in delimited files.
+# Fixed values. Texts that count as missing in delimited files.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 STUDY = """

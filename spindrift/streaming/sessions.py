@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -15,14 +15,61 @@ def user_rollup(events: DataFrame) -> DataFrame:
     return events.groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_active_at"), F.count(F.lit(1)).alias("event_count"), F.array_sort(F.collect_set("event_type")).alias("features_used"))
 
 
+def merged(parts: DataFrame) -> DataFrame:
+    """Roll-ups of one user from several micro-batches as one."""
+    return parts.groupBy("user_id").agg(
+        F.min("started_at").alias("started_at"), F.max("last_active_at").alias("last_active_at"), F.sum("event_count").alias("event_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("features_used")))).alias("features_used"),
+    )
+
+
+def upsert_by_user(events: DataFrame, path: str) -> DataFrame:
+    """The stream's roll-up by user in a folder below path: each micro-batch is rolled up by itself, merged with the table so far and written as its next version; no state is kept in the stream.
+
+    A batch that is run again after a failure writes the same version again, from the one before it.
+    """
+
+    def write(batch: DataFrame, n: int) -> None:
+        own = user_rollup(batch)
+        if n > 0:
+            own = merged(own.unionByName(batch.sparkSession.read.parquet(f"{path}/table/version={n - 1}")))
+        own.write.mode("overwrite").parquet(f"{path}/table/version={n}")
+
+    query = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
+    query.awaitTermination()
+    table = events.sparkSession.read.parquet(f"{path}/table")
+    last = table.agg(F.max("version")).head()[0]
+    return table.filter(F.col("version") == last).drop("version")
+
+
+def overlapping(rows: DataFrame, since: Column, overlap: str = "1 day") -> DataFrame:
+    """Rows (with ts) that a micro-batch takes up again: those since the last one, less an overlap for late ones."""
+    return rows.filter(F.col("ts") >= since - F.expr(f"INTERVAL {overlap}"))
+
+
 def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 hour") -> DataFrame:
     """Sessions that end after a gap; state older than the watermark is dropped, and so are rows later than it."""
     own = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap).alias("w")).agg(F.count(F.lit(1)).alias("event_count"))
     return own.select("user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "event_count")
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder that driver and executors share, below spark.checkpoint.dir."""
+    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not top:
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return f"{top.rstrip('/')}/{name}"
+
+
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
-    """All input that there is, then stop; the result as a table."""
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+    """All input that there is, then stop; the result as a table in the shared folder. Each micro-batch writes it whole (complete) or its own rows (append, update)."""
+    path = shared_folder(stream.sparkSession, name)
+
+    def write(batch: DataFrame, n: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table/version={n}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    table = stream.sparkSession.read.parquet(f"{path}/table")
+    if mode == "complete":
+        table = table.filter(F.col("version") == table.agg(F.max("version")).head()[0])
+    return table.drop("version")

@@ -209,7 +209,34 @@ def test_events_and_latest(spark):
 def test_session_windows_stream(spark, tmp_path):
     rows = [(1, dt.datetime(2024, 1, 1, 10, 0)), (1, dt.datetime(2024, 1, 1, 10, 20)), (1, dt.datetime(2024, 1, 1, 12, 0)), (2, dt.datetime(2024, 1, 1, 10, 0))]
     df = spark.createDataFrame(rows, "user_id long, ts timestamp")
-    df.write.parquet(str(tmp_path / "e"))
+    df.coalesce(1).write.parquet(str(tmp_path / "e"))  # in one file: rows of later files may come after the watermark
     stream = sessions.session_windows(sessions.read_events(spark, str(tmp_path / "e"), df.schema))
     got = sessions.run_once(stream, "windows_test").collect()
     assert sorted((r["user_id"], r["event_count"]) for r in got) == [(1, 1), (1, 2), (2, 1)]
+
+
+def test_upsert_stream_over_several_batches(spark, tmp_path):
+    rows = [(1, dt.datetime(2024, 1, 1, 10, 0), "a"), (1, dt.datetime(2024, 1, 1, 12, 0), "b"), (2, dt.datetime(2024, 1, 1, 11, 0), "a"), (1, dt.datetime(2024, 1, 2, 9, 0), "a")]
+    df = spark.createDataFrame(rows, "user_id long, ts timestamp, event_type string")
+    df.repartition(3).write.parquet(str(tmp_path / "e"))
+    stream = sessions.read_events(spark, str(tmp_path / "e"), df.schema)
+    want = sorted(map(tuple, sessions.user_rollup(df).collect()))
+    assert sorted(map(tuple, sessions.upsert_by_user(stream, str(tmp_path / "t")).collect())) == want
+    again = sessions.upsert_by_user(sessions.read_events(spark, str(tmp_path / "e"), df.schema), str(tmp_path / "t"))  # nothing new
+    assert sorted(map(tuple, again.collect())) == want
+    late = sessions.overlapping(df, F.lit("2024-01-02").cast("timestamp"), "13 hours")
+    assert late.count() == 3
+
+
+def test_retrieval_without_broadcast_and_in_blocks(spark):
+    rng = __import__("numpy").random.default_rng(2)
+    vectors = spark.createDataFrame([(i, rng.normal(size=5).tolist()) for i in range(60)], "doc_id long, e array<double>").select("doc_id", retrieval.normalised(F.col("e")).alias("v"))
+    queries = vectors.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
+    plain = retrieval.top_k(retrieval.dense_scores(queries, vectors).filter("qid <> doc_id").withColumn("score", F.round("score", 6)), 4)
+    want = sorted((r["qid"], r["rank"], r["doc_id"]) for r in plain.collect())
+    for block in (3, 2048):
+        assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in retrieval.dense_top_k(queries, vectors, 4, block=block).collect()) == want
+    postings = spark.createDataFrame([("d1", "a", 0.5), ("d1", "b", 0.5), ("d2", "a", 1.0)], "doc_id string, term string, w double")
+    asked = spark.createDataFrame([("q", "a", 1.0)], "doc_id string, term string, w double")
+    both = [sorted(map(tuple, retrieval.sparse_scores(asked, postings, few=n).collect())) for n in (0, 100)]
+    assert both[0] == both[1] == [("q", "d1", 0.5), ("q", "d2", 1.0)]
