@@ -12,9 +12,9 @@ n-gram and packed as arrays. Each block is multiplied on its own, and the counts
    pairs. Then nodes are discarded again, by the columns they share with nodes of other components and fitting sizes;
    the least of these sizes bounds a link's overlap from below.
 3. What is left is multiplied in full: columns from rare to frequent, each node posts the prefix that this bound
-   leaves; the pairs of different components that meet there are counted, and discarded where the count and
-   all columns that are not posted stay below the bound; the exact overlaps of the rest are added up over the
-   blocks of a last product. So no link between components is lost.
+   leaves. Pairs of different components that meet there are discarded where the bits of their sets' parities differ in
+   more places than a link leaves, or where what is counted and all columns behind it stay below the bound; the exact
+   overlaps of the rest are added up over the blocks of a last product. So no link between components is lost.
 
 Step 2 only saves work for step 3; step 3 alone would find all components. In step 1 a column that many nodes of one
 Arrow batch hold is folded before the shuffle: its cells are counted there and one entry is sent for them. In step 2 a
@@ -26,6 +26,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -45,6 +46,7 @@ FOLDED = 16  # nodes of a batch that share a column before it is folded
 BATCH_BYTES = 6 << 20
 BLOCK_CELLS = 1_000_000
 SPLIT = 200_000  # nodes of a column in one block
+PARITY_WORDS = 8
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -315,7 +317,7 @@ def _product(shift: float, blocks: int):
 def multiplied(texts: DataFrame, blocks: int, seed: int, total: int, shift: float | None = None, split: int = SPLIT) -> DataFrame:
     """a, b, n, w, na, nb summed over the blocks: see _counted, and with a shift _product."""
     matrix = incidence(texts, blocks, seed, "count" if shift is None else "star", total, split)
-    parts = matrix.groupBy("block").applyInArrow(_counted if shift is None else _product(shift, blocks), SUMS)
+    parts = matrix.repartition(blocks, "block").groupBy("block").applyInArrow(_counted if shift is None else _product(shift, blocks), SUMS)
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nw"], *[F.max(c).alias(c) for c in ("na", "nb")])
 
 
@@ -355,10 +357,29 @@ def overlaps(texts: DataFrame, pairs: DataFrame, blocks: int, seed: int) -> Data
     asks = both.select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("partner"))
     lists = ends.select("node").join(asks.groupBy("node").agg(F.collect_list("partner").alias("partners")), "node", "left")
     rows = texts.select("node", "text").join(lists.hint("merge"), "node")
-    parts = incidence(rows, blocks, seed, "pairs").groupBy("block").applyInArrow(_pair_product, SUMS)
+    parts = incidence(rows, blocks, seed, "pairs").repartition(blocks, "block").groupBy("block").applyInArrow(_pair_product, SUMS)
     return parts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
 
 
+def parities(texts: DataFrame) -> DataFrame:
+    """node, p0, p1, …: for each of 512 hash classes of shingles, whether the node's set holds an odd number of them."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = text_bytes(batch.column("text"))
+            for i, j in W.chunks(offsets):
+                grams, bounds = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1])
+                row, bit = np.repeat(np.arange(j - i), np.diff(bounds)), grams % np.uint64(64 * PARITY_WORDS)
+                out = np.zeros((j - i, PARITY_WORDS), np.uint64)
+                np.bitwise_xor.at(out, (row, (bit >> np.uint64(6)).astype(np.int64)), np.uint64(1) << (bit & np.uint64(63)))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("node").slice(i, j - i), *(pa.array(np.ascontiguousarray(out[:, k]).view(np.int64)) for k in range(PARITY_WORDS))],
+                    names=["node", *(f"p{k}" for k in range(PARITY_WORDS))],
+                )
+
+    return map_arrow(texts.select("node", "text"), of, "node bigint, " + ", ".join(f"p{k} bigint" for k in range(PARITY_WORDS)))
+
+
 def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int, seed: int) -> DataFrame:
     """Links (a, b) between live nodes (node, least: the least overlap of a link) of different components, all of them; texts has node, n, text."""
 
@@ -384,14 +405,20 @@ def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int
         F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
     ).filter("kinds > 1")
     known = posts.join(main.select("gram", "main"), "gram")
-    left = known.filter("component <> main").select("gram", F.col("node").alias("x"), F.col("component").alias("cx"), F.col("n").alias("nx"), F.col("from_last").alias("rx"))
-    right = known.select("gram", F.col("node").alias("y"), F.col("component").alias("cy"), F.col("n").alias("ny"), F.col("from_last").alias("ry"), (F.col("component") == F.col("main")).alias("of_main"))
+    known = known.join(parities(texts), "node")
+    words = [f"p{i}" for i in range(PARITY_WORDS)]
+    of_side = lambda s, *more: ["gram", *(F.col(c).alias(f"{s}_{c}") for c in words), *(F.col(c).alias(f"{k}{s}") for c, k in (("component", "c"), ("n", "n"), ("from_last", "r"))), F.col("node").alias(s), *more]
+    left = known.filter("component <> main").select(*of_side("x"))
+    right = known.select(*of_side("y", (F.col("component") == F.col("main")).alias("of_main")))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
     once = (F.col("cx") != F.col("cy")) & (F.col("of_main") | (F.col("x") < F.col("y")))
     # a link's overlap is SHARE / (100 + SHARE) of both sizes together. The rarest column that both hold has all others that
     # they share behind it, on both sides; a column with fewer behind it can't be that one
     needed = (F.col("nx") + F.col("ny")) * SHARE
     sized &= (F.col("rx") * (100 + SHARE) >= needed) & (F.col("ry") * (100 + SHARE) >= needed)
+    # bits in which two parities differ are at most the shingles that one of the sets lacks, of which a link leaves few
+    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in words])
+    sized &= differ * (100 + SHARE) <= (F.col("nx") + F.col("ny")) * (100 - SHARE)
     met = left.join(right, "gram").filter(once & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.least("rx", "ry").alias("behind"))
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("behind").alias("tail"), F.first("sum").alias("sum"))
     # what they share is what is counted and, at most, all that stands behind the most frequent column counted
