@@ -13,7 +13,8 @@ suffixes of that method are kept and the rest is induced from them, as Spark shu
 3. Each document gets its matched runs and windows back, and drops the bytes they cover.
 
 Windows and runs are compared by 64-bit hashes. A block's size follows from the number of blocks, which
-grows with the corpus; a sample or window that many documents share is one entry for each of them.
+grows with the corpus, as does the number of tasks. Of a run or window that many documents of an Arrow batch share, the
+first and the last document's entries are dealt and the others are matched at once, so a common one sends two of a batch.
 """
 
 from __future__ import annotations
@@ -24,17 +25,18 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _substrings as S
 from . import _words as W
 from ._common import map_arrow, staged
+from ._packing import packed, text_bytes
 
 BATCH_BYTES = 6 << 20
 NO_ID = np.int64(2**63 - 1)
-BLOCK = "block int, docs binary, refs binary, keys binary, contents binary"
+BLOCK = "block int, docs binary, refs binary, keys binary, contents binary, settled binary"
+SETTLED = np.dtype([("doc", np.int64), ("content", np.uint64)])
 
 
 def _ids(batch: pa.RecordBatch, i: int, j: int) -> np.ndarray:
@@ -50,32 +52,13 @@ def _contents(data: np.ndarray, start: np.ndarray, last: np.ndarray) -> np.ndarr
     return W.mix((sums[last + S.LENGTH] - sums[start]) * W._power("down", W._BASE_INVERSE, n)[start] + (last - start).astype(np.uint64))
 
 
-def packed(docs: DataFrame) -> DataFrame:
-    """doc_id, text compressed: half of what a shuffle's own compression leaves of prose, and texts are shuffled twice."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        squeeze = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            texts = [t.as_buffer() if t.is_valid else None for t in batch.column("text").cast(pa.large_string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([None if t is None else squeeze.compress(t) for t in texts], pa.binary())], names=["doc_id", "text"])
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return map_arrow(docs.select("doc_id", "text"), of, f"doc_id {kind}, text binary")
-
-
-def _texts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-    column = batch.column("text")
-    if pa.types.is_binary(column.type):
-        grow = zstandard.ZstdDecompressor()
-        column = pa.array([grow.decompress(t.as_buffer()) if t.is_valid else b"" for t in column], pa.large_binary())
-    return W.text_bytes(column)
-
-
 def _dealt(entries: Callable, blocks: int) -> Callable:
     """A mapInArrow function that packs entries(batch, i, j, data, offsets) -> (row, key, content) into blocks by key."""
 
     def pack(parts: list) -> Iterator[pa.RecordBatch]:
         key, content, ref, docs = (np.concatenate([p[k] for p in parts]) for k in range(4))
+        stay, settled = _folded(key, content, docs[ref])
+        key, content, ref = key[stay], content[stay], ref[stay]
         block = ((key >> np.uint64(32)) * np.uint64(blocks)) >> np.uint64(32)
         order = np.argsort(block.astype(np.uint16 if blocks < 65536 else np.int64), kind="stable")
         cuts = np.searchsorted(block[order], np.arange(blocks + 1, dtype=np.uint64))
@@ -84,17 +67,19 @@ def _dealt(entries: Callable, blocks: int) -> Callable:
             own = order[cuts[b] : cuts[b + 1]]
             if len(own):
                 used, refs = np.unique(ref[own], return_inverse=True)
-                rows.append((b, docs[used].tobytes(), refs.astype(np.uint16).tobytes(), key[own].astype(np.uint32).tobytes(), content[own].tobytes()))
+                rows.append([b, docs[used].tobytes(), refs.astype(np.uint16).tobytes(), key[own].astype(np.uint32).tobytes(), content[own].tobytes(), None])
         if rows:
+            if len(settled):  # any block may carry these
+                rows[int(settled["content"][0] % np.uint64(len(rows)))][-1] = settled.tobytes()
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 5))],
-                names=["block", "docs", "refs", "keys", "contents"],
+                [pa.array([r[0] for r in rows], pa.int32()), *(pa.array([r[i] for r in rows], pa.binary()) for i in range(1, 6))],
+                names=["block", "docs", "refs", "keys", "contents", "settled"],
             )
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, held, rows = [], 0, 0
         for batch in batches:
-            data, offsets = _texts(batch)
+            data, offsets = text_bytes(batch.column("text"))
             for i, j in W.chunks(offsets):
                 for a in range(i, j, 30_000):  # references are 16 bits wide
                     z = min(a + 30_000, j)
@@ -111,6 +96,28 @@ def _dealt(entries: Callable, blocks: int) -> Callable:
     return of
 
 
+def _folded(key: np.ndarray, content: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which entries stay, the others) of a batch: of equal entries those of its first and of its last document stay, the others are matched by the first one already."""
+    order = np.lexsort((doc, content, key))
+    new = np.ones(len(order), bool)
+    new[1:] = (key[order][1:] != key[order][:-1]) | (content[order][1:] != content[order][:-1])
+    start = np.flatnonzero(new)
+    size = np.diff(np.append(start, len(order)))
+    own = doc[order]
+    between = (own > np.repeat(own[start], size)) & (own < np.repeat(own[start + size - 1], size))
+    settled = np.zeros(int(between.sum()), SETTLED)
+    settled["doc"], settled["content"] = own[between], content[order][between]
+    stay = np.ones(len(order), bool)
+    stay[order[between]] = False
+    return stay, settled
+
+
+def _with_settled(table: pa.Table, doc: np.ndarray, content: np.ndarray, *masks: np.ndarray) -> tuple[np.ndarray, ...]:
+    """doc, content and masks with the entries that batches have matched themselves, for which the first mask holds."""
+    more = np.concatenate([np.frombuffer(x.as_py(), SETTLED) if x.is_valid else np.zeros(0, SETTLED) for x in table.column("settled")])
+    return np.concatenate([doc, more["doc"]]), np.concatenate([content, more["content"]]), *(np.concatenate([m, np.full(len(more), i == 0)]) for i, m in enumerate(masks))
+
+
 def _sorted(table: pa.Table) -> tuple[np.ndarray, ...]:
     """(document, key, content, starts of equal keys with equal content), sorted by key, content and document."""
     docs, keys, contents = [], [], []
@@ -155,6 +162,7 @@ def _run_owners(table: pa.Table) -> pa.Table:
     np.minimum.at(low, group, doc)
     np.maximum.at(high, group, doc)
     opened = ~matched & ((kinds > 1) & (low < high))[group]
+    doc, content, matched, opened = _with_settled(table, doc, content, matched, opened)
     return pa.table(dict(zip(("doc", "runs", "opened"), _lists(doc, (matched, content), (opened, content)), strict=True)))
 
 
@@ -162,6 +170,7 @@ def _window_owners(table: pa.Table) -> pa.Table:
     doc, _, content, new = _sorted(table)
     start = np.flatnonzero(new)
     matched = doc > np.repeat(doc[start], np.diff(np.append(start, len(doc))))
+    doc, content, matched = _with_settled(table, doc, content, matched)
     return pa.table(dict(zip(("doc", "windows"), _lists(doc, (matched, content)), strict=True)))
 
 
@@ -199,12 +208,12 @@ def matches(docs: DataFrame) -> DataFrame:
     n_bytes = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     blocks = max(64, math.ceil(n_bytes / 8_000_000))
     texts = docs.select("doc_id", "text")
-    found = map_arrow(texts, _dealt(_run_entries, blocks), BLOCK).groupBy("block").applyInArrow(_run_owners, "doc bigint, runs array<bigint>, opened array<bigint>")
+    found = map_arrow(texts, _dealt(_run_entries, blocks), BLOCK).repartition(blocks, "block").groupBy("block").applyInArrow(_run_owners, "doc bigint, runs array<bigint>, opened array<bigint>")
     found = staged(found, "dedup-runs")
     # octets of a list are bounded by the document's own length
     opened = found.filter("size(opened) > 0").groupBy("doc").agg(F.flatten(F.collect_list("opened")).alias("opened"))
-    rows = packed(docs).withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(opened, F.col("key") == F.col("doc")).select("doc_id", "text", "opened")
-    windows = map_arrow(rows, _dealt(_window_entries, blocks), BLOCK).groupBy("block").applyInArrow(_window_owners, "doc bigint, windows array<bigint>")
+    rows = packed(docs, "doc_id").withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(opened, F.col("key") == F.col("doc")).select("doc_id", "text", "opened")
+    windows = map_arrow(rows, _dealt(_window_entries, blocks), BLOCK).repartition(blocks, "block").groupBy("block").applyInArrow(_window_owners, "doc bigint, windows array<bigint>")
     none = F.array().cast("array<bigint>")
     both = found.filter("size(runs) > 0").select("doc", "runs", none.alias("windows")).unionByName(windows.select("doc", none.alias("runs"), "windows"))
     return staged(both.groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs"), F.flatten(F.collect_list("windows")).alias("windows")), "dedup-matches")
@@ -234,11 +243,11 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     all others, and null ids don't match each other. Empty tables give no rows.
     """
     found = matches(docs)
-    rows = packed(docs).withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(found, F.col("key") == F.col("doc"), "left")
+    rows = packed(docs, "doc_id").withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(found, F.col("key") == F.col("doc"), "left")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = _texts(batch)
+            data, offsets = text_bytes(batch.column("text"))
             runs, windows = batch.column("runs"), batch.column("windows")
             out = []
             for i in range(batch.num_rows):
