@@ -6,6 +6,9 @@ import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -47,7 +50,24 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    if (made := _made.get(None)) is not None:
+        made.append(out)
+    return out
+
+
+_made: ContextVar[list[DataFrame]] = ContextVar("tables that staged() wrote")
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that staged() writes meanwhile, once what was made of them is written elsewhere."""
+    token = _made.set([])
+    try:
+        yield
+    finally:
+        discard(*_made.get())
+        _made.reset(token)
 
 
 def discard(*tables: DataFrame) -> None:

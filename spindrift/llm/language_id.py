@@ -154,14 +154,14 @@ def train(sample: pd.DataFrame) -> Model:
     return Model(families, languages, weights, pairs)
 
 
-def identify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """All columns of docs, + lang_pred and lang_score (own columns of these names are replaced).
+def identify(docs: DataFrame, model: Model | None, name: str = "lang_pred", score: str = "lang_score") -> DataFrame:
+    """All columns of docs, + the language as `name` and its `score` (own columns of these names are replaced).
 
     `und` with score 0 for null texts and texts without a letter, and for all if there is no model. Each row is handled
     alone: rows may repeat and have any id or none, equal texts have equal results, texts count whole, however long, and an
     empty table gives no rows.
     """
-    kept = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    kept = [c for c in docs.columns if c not in (name, score)]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,11 +179,11 @@ def identify(docs: DataFrame, model: Model | None) -> DataFrame:
                     names[i:j] = np.where(some, found, "und")
                     scores[i:j] = np.where(some, sure, 0.0)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, "lang_pred", "lang_score"]
+                [*(batch.column(c) for c in kept), pa.array(names, pa.string()), pa.array(scores)], names=[*kept, name, score]
             )
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in kept)
-    return map_arrow(docs.select(*kept), of, f"{kinds}, lang_pred string, lang_score double")
+    return map_arrow(docs.select(*kept), of, f"{kinds}, `{name}` string, `{score}` double")
 
 
 def learn(docs: DataFrame) -> Model | None:
