@@ -290,7 +290,18 @@ def filter_pool_then_filter(spark, sf_dir):
     return retrieval.filter_ladder(top, wanted, by="qid").withColumn("place", place).filter(F.col("place") <= k).select("qid", "doc_id", "rank", "place")
 
 
-@query()
+@query(f"""
+WITH RECURSIVE {_RANKED_SQL}, pool AS (SELECT qid, doc_id, CAST(rank AS INTEGER) AS rank, ['c' || CAST(label % 4 AS VARCHAR), 'd' || CAST(doc_id % 3 AS VARCHAR)] AS classes FROM r WHERE rank <= 40 AND score > 0),
+own AS (SELECT qid, rank, unnest(classes) AS class, unnest([1, 2]) AS place FROM pool),
+cls AS (SELECT qid, row_number() OVER (PARTITION BY qid ORDER BY min(rank * 10 + place)) - 1 AS j, list(rank ORDER BY rank) AS ranks FROM own GROUP BY qid, class), n AS (SELECT qid, count(*) AS n FROM cls GROUP BY 1),
+turn AS (
+  SELECT qid, 0 AS step, CAST([] AS INTEGER[]) AS taken FROM n
+  UNION ALL
+  SELECT t.qid, t.step + 1, CASE WHEN len(taken) < 12 THEN list_concat(taken, list_slice(list_filter(ranks, lambda x: NOT list_contains(taken, x)), 1, 1)) ELSE taken END
+  FROM turn t JOIN n ON n.qid = t.qid JOIN cls ON cls.qid = t.qid AND cls.j = t.step % n.n WHERE t.step < 12 * n.n
+), done AS (SELECT t.qid, unnest(taken) AS rank FROM turn t JOIN n ON n.qid = t.qid WHERE t.step = 12 * n.n)
+SELECT pool.* FROM pool JOIN done USING (qid, rank)
+""")
 def diversify_round_robin(spark, sf_dir):
     top, docs, _ = _ranked(spark, sf_dir, 40)
     classes = F.array(F.concat(F.lit("c"), (F.col("label") % 4).cast("string")), F.concat(F.lit("d"), (F.col("doc_id") % 3).cast("string")))
