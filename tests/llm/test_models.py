@@ -188,10 +188,3 @@ def test_pages(spark, sf_dir):
         parts = re.split(r"<[^>]*>", re.sub(r"</?b>", "", body.replace("<br>", " ")))
         want = "\n".join(x for x in (" ".join(html.unescape(p).split()) for p in parts) if x)
         assert H.main_text(r["html"], H.trained()) == want
-
-
-@pytest.mark.parametrize("name", ["op1", "op2", "op3", "op4", "op6", "op7", "op8", "op9", "op10"])
-def test_registered(name):
-    from spindrift.llm import queries
-
-    assert [q for q in queries.QUERIES if q.startswith(f"{name}_")]
