@@ -46,7 +46,7 @@ FOLDED = 16  # nodes of a batch that share a column before it is folded
 BATCH_BYTES = 6 << 20
 BLOCK_CELLS = 1_000_000
 SPLIT = 200_000  # nodes of a column in one block
-PARITY_WORDS = 8
+PARITY_WORDS = 16
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -362,7 +362,7 @@ def overlaps(texts: DataFrame, pairs: DataFrame, blocks: int, seed: int) -> Data
 
 
 def parities(texts: DataFrame) -> DataFrame:
-    """node, p0, p1, …: for each of 512 hash classes of shingles, whether the node's set holds an odd number of them."""
+    """node, p0, p1, …: for each of 1,024 hash classes of shingles, whether the node's set holds an odd number of them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
