@@ -80,6 +80,24 @@ def discard(*tables: DataFrame) -> None:
             path.getFileSystem(hadoop).delete(path, True)
 
 
+def ranked(rows: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
+    """All rows with their place in the whole order, from 1 on, as column `name`; staged.
+
+    Rows are dealt by ranges of the order and sorted there; the rows of earlier ranges are added to a row's place in its
+    own. The driver gets one number per partition. Rows that are equal in `order` come in any order.
+    """
+    part, at = fresh(rows, "range_part"), fresh(rows, "range_at")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    held = staged(dealt.withColumn(at, F.monotonically_increasing_id()).withColumn(part, F.shiftright(at, 33).cast("int")), label)
+    before, offsets = 0, []
+    for r in sorted(held.groupBy(part).count().collect()):
+        offsets.append((r[0], before))
+        before += r[1]
+    known = rows.sparkSession.createDataFrame(offsets, f"{part} int, range_before long")
+    place = F.col("range_before") + F.col(at).bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return held.join(F.broadcast(known), part).withColumn(name, place).drop(part, at, "range_before")
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
