@@ -6,13 +6,16 @@ import re
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from contextvars import ContextVar
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +48,31 @@ def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
     return df.mapInArrow(function, schema)
 
 
+def map_rows(df: DataFrame, function: Callable[[Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """A function from a partition's rows, one after another, to rows of schema; Arrow batches carry both."""
+    kinds = to_arrow_schema(StructType.fromDDL(schema))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            yield from zip(*(c.to_pylist() for c in batch.columns), strict=True)
+
+    def batch_of(some: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*some, strict=True), kinds, strict=True)], schema=kinds)
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some, size = [], 0
+        for row in function(rows(batches)):
+            some.append(row)
+            size += 100 + sum(len(v) for v in row if isinstance(v, str))
+            if size > 1 << 22:
+                yield batch_of(some)
+                some, size = [], 0
+        if some:
+            yield batch_of(some)
+
+    return map_arrow(df, of, schema)
+
+
 def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     """Write df once as Parquet in the shared folder and read it again: later reads survive lost executors."""
     spark = df.sparkSession

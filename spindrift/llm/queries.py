@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, exact_dedup, html_extract, importance, language_id, license_scan, ngram_join, quality, source_mix, substring_dedup, token_counts
+from . import chat_format, conversation_repair, decontamination, exact_dedup, html_extract, importance, language_id, license_scan, ngram_join, quality, source_mix, substring_dedup, token_counts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_source_mix": source_mix.op1_source_mix,
@@ -20,5 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_license_scan": license_scan.op9_license_scan,
     "op10_decontamination": decontamination.op10_decontamination,
     "op11_importance": importance.op11_importance,
+    "op12_chat_format": chat_format.op12_chat_format,
+    "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
 ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE, "op11_importance": importance.ORACLE}

@@ -16,6 +16,8 @@ COLUMNS = {
     "op9_license_scan": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     "op10_decontamination": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
     "op11_importance": ["doc_id", "n_features", "weight", "score", "rank"],
+    "op12_chat_format": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+    "op13_conversation_repair": ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"],
 }
 
 
@@ -27,6 +29,8 @@ def test_all_are_registered():
 def test_rows_and_columns(spark, sf_dir, name):
     out = queries.QUERIES[name](spark, sf_dir)
     assert set(COLUMNS[name]) <= set(out.columns)
-    table = spark.read.parquet(f"{sf_dir}/{'pages' if name.startswith('op2') else 'documents'}.parquet")
+    of = {"op2_html_extract": "pages", "op12_chat_format": "conversations", "op13_conversation_repair": "conversations"}.get(name, "documents")
+    ids = spark.read.parquet(f"{sf_dir}/{of}.parquet").select(out.columns[0])
+    want = [r[0] for r in (ids.distinct() if of == "conversations" else ids).collect()]
     rows = out.collect()
-    assert sorted(r[out.columns[0]] for r in rows) == sorted(r[0] for r in table.select(out.columns[0]).collect())
+    assert sorted(r[out.columns[0]] for r in rows) == sorted(want + [-1] * (name == "op12_chat_format"))
