@@ -27,8 +27,8 @@ def searched(spark, tmp_path):
     """45 items, each with a word of its own that one document holds; the last item finds nothing."""
     items = [(i, f"word{i} common other{i}") for i in range(44)] + [(44, "nowhere")]
     spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    docs = [(1000 + i, f"Word{i} and OTHER{i}") for i in range(44)] + [(2000, "common")]
-    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    docs = [(1000 + i, f"Word{i} and OTHER{i}", "en", "web") for i in range(44)] + [(2000, "common", "en", "web")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
     return str(tmp_path)
 
 
@@ -46,9 +46,12 @@ def test_judged_pairs_are_the_search_results(spark):
 
 
 def test_keywords_of_a_query_count_over_its_results(spark):
-    rows = [(1, 1, "none", ["a1", "b1", "c1", "d1"]), (1, 2, "A1", ["a1", "b1", "c1", "d1"]), (1, 3, "b1 x", ["a1", "b1", "c1", "d1"]), (2, 1, "x", ["a1"])]
-    got = evaluation.keyword_by_query(spark.createDataFrame(rows, "q long, rank int, text string, keywords array<string>"), catalog.F.col("text"), ["q"])
-    assert {r["q"]: (r["hit"], r["rr"], round(r["precision"], 6)) for r in got.collect()} == {1: (1, 0.5, 0.666667), 2: (0, 0.0, 0.0)}
+    words = ["a1", "b1", "c1", "d1"]
+    rows = [(1, 1, "none", words, 10, []), (1, 2, "A1", words, 11, []), (1, 3, "b1 x", words, 12, []), (2, 1, "x", ["a1"], 10, []), (3, 1, "A1 b1", words, 10, [12]), (3, 2, "none", words, 12, [12])]
+    made = spark.createDataFrame(rows, "q long, rank int, text string, keywords array<string>, doc_id long, expected_ids array<long>")
+    got = evaluation.judged_by_query(made, ["q"], catalog.F.col("text"))
+    # two of four keywords in different rows are a hit; expected ids come before keywords
+    assert {r["q"]: (r["hit"], r["rr"], round(r["precision"], 6)) for r in got.collect()} == {1: (1, 0.5, 0.666667), 2: (0, 0.0, 0.0), 3: (1, 0.5, 0.5)}
 
 
 def test_pool_reaches_rank_200(spark, tmp_path):
