@@ -42,12 +42,14 @@ NOISE = set(
 )
 #: Words that may stand beside those in a name (ad-slot, site-footer, sidebar-right).
 BESIDE = set("area bar block body bottom box col column container content first global group holder inner item items last left links list main outer page panel primary right secondary section site slot small text top unit wrap wrapper".split())
-COMMENT = re.compile(r"(?:div-)?comments?(?:-(?:area|body|content|item|list|section|thread|wrapper|\d+))?|commentlist|disqus-thread|replies|reply|respond")
+#: A part of a name that says readers' comments, alone or grown together with a word beside it; and the parts that may stand with it (post-comments, comments__list, reader-comments).
+COMMENT = re.compile(r"(?:user|reader|post|article|page|blog|site|entry|all)?s?comments?(?:list|section|area|thread|wrapper|container|box|block|body|item|content|text)?|disqus|replies|reply|respond")
+WITH_COMMENT = BESIDE | set("all area article author blog body discussion div entry facebook fb latest more new news page post posts public reader readers recent section site story thread user users view visitor visitors wp your".split())
 OPEN = re.compile(r"<(?=[a-zA-Z/!?])")
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 END = re.compile(r">|=\s*([\"'])")
 ATTRIBUTE = re.compile(r"(?:^|[\s\"'/])(class|id|role|hidden|aria-hidden|style|name|href|data-main)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+))|(?=[\s/>]|$))", re.I)
-#: apart: 2 in a part that is set apart, 1 in a form; region: 2 in an article or main, 1 on a page without one, 0 beside one.
+#: apart: 2 in a part that is set apart or beside an article, 1 in a form; region: 2 in an article or main, 1 on a page without one, 0 beside one.
 FEATURES = ("apart", "region", "named", "words", "link_density", "words_before", "link_density_before", "words_after", "link_density_after")
 
 _WORDS = "most of what pages of this kind have to say stands in paragraphs like this one which go on for some lines have a few commas and hardly ever a link".split()
@@ -84,7 +86,7 @@ _PAGES = [
     """<body><main><nav><ul><li><a href=/1>part one</a><li><a href=/2>part two</a></ul></nav><h1 data-main>Parts</h1><p data-main>LONG <a href=/r>link</a></p><form><a href=/f>Forgot it</a></form><aside><p>MID <a href=/4>so</a></p></aside><ul data-main><li><a href=/k>kept</a></ul></main></body>""",
     """<body><article><p data-main>LONG</p><div class=ad>Buy this</div><p data-main>LONG LONG</p><div class=promo-box><p>MID</p></div><p data-main>LONG</p><div class=ad-slot>LONG</div><p data-main>LONG MID</p></article></body>""",
     """<body><main><h1 data-main>Top</h1><div class=share>Share it</div><p data-main>LONG LONG</p><div class=newsletter-box>MID</div><p data-main>LONG</p><div class=related>MID</div><p data-main>LONG MID LONG</p></main></body>""",
-    """<body><div><a href=/a>Home</a> <a href=/b>News</a></div><table><tr><td data-main>LONG LONG</td></tr></table></body>""",
+    """<body><div><a href=/a>Home</a> <a href=/b>News</a></div><table data-main><tr><td>LONG LONG</td></tr></table></body>""",
     """<body><p><a href=/a>Back to the start</a></p><p data-main>LONG</p></body>""",
     """<body><p><a href=/a>Home</a></p><div data-main>LONG MID</div><p><a href=/b>Next</a></p></body>""",
     """<body><article data-main><p>LONG</p><p>Yes.</p></article></body>""",
@@ -100,6 +102,17 @@ _PAGES = [
     """<body><div><a href=/1>first</a> | <a href=/2>second</a></div><h2 data-main>Heading of a part</h2><p data-main>LONG</p><blockquote data-main>LONG LONG</blockquote><p data-main>LONG</p><div>page of the site</div></body>""",
     """<body><div data-main>LONG LONG LONG<br>LONG</div><div><a href=/>top</a></div></body>""",
     """<body><article><p data-main>LONG</p><div class=ad>LONG</div><p data-main>MID</p><div class=related-links>MID</div><ul class=share-links><li><a href=/f>On this site</a><li>or that</ul></article></body>""",
+    """<body><div data-main><p>LONG</p><p>LONG MID</p></div><div>Popular today</div><ul><li><a href=/1>what the people of this town have said about it so far</a><li><a href=/2>why the old bridge was closed and what comes in its place</a></ul><div>More of this</div>
+    <ul><li><a href=/3>the ten best places to see before the summer ends here</a><li><a href=/4>one more of those</a></ul></body>""",
+    """<body><div><a href=/a>first page of the whole long list of pages</a></div><div>Latest news</div><div><a href=/b>another one of the pages that are listed here today</a></div><div>Read next</div><div><a href=/c>and the last one of them which is about the sea</a></div>
+    <h1 data-main>What is new</h1><p data-main>LONG</p><p data-main>Yes.</p><p data-main>LONG MID</p></body>""",
+    """<body><div data-main><h1>Two words</h1><p>MID</p><p>No.</p><p>MID</p><h2>Next part</h2><p>MID</p><p>LONG</p></div><div>You may like</div><div><a href=/1>the story of a house which stood for three hundred years</a></div><div>Also here</div><div><a href=/2>how to read a map when there is no sun to be seen</a></div></body>""",
+    """<body><div data-main><p>MID</p><p>LONG</p></div><div><a href=/1>a page that tells the same story as it was seen from the other side</a></div><div data-main><p>MID LONG</p></div><ul><li><a href=/2>what else was said on that day in the town</a></ul><p data-main>MID</p>
+    <div><a href=/3>the whole list of all of the pages on this site</a></div><p data-main>LONG</p><p data-main>MID MID</p><div><a href=/4>back to the first of the pages we have on it</a></div></body>""",
+    """<body><p data-main>MID</p><nav><a href=/1>all the pages there are on the rivers of this land</a></nav><p data-main>LONG</p><aside><a href=/2>a page on the longest of these rivers and its towns</a></aside><p data-main>MID LONG</p><footer><a href=/3>who wrote these pages and why it was done at all</a></footer></body>""",
+    """<body><article><p data-main>MID</p><nav><a href=/1>all the pages there are on the rivers of this land</a></nav><p data-main>LONG</p><p data-main>Yes.</p><aside><a href=/2>a page on the longest of these rivers and its towns</a></aside><h2 data-main>Next part</h2><aside><a href=/2>a page on some of these rivers and its towns</a></aside><p data-main>MID LONG</p></article></body>""",
+    """<body><article data-main><h1>One</h1><p>LONG</p><p>It was so then</p><p>MID</p><p>And that is all</p><p>LONG</p><p>They all went home</p></article><footer>All rights reserved</footer></body>""",
+    """<body><div data-main><p>LONG</p><p>It was so then</p><p>MID</p><p>Not one of them</p><p>LONG</p><p>They all went home</p><p>MID</p></div></body>""",
     """<body><div class=banner data-main><p>LONG</p><p>LONG LONG</p><p>LONG</p></div><p data-main>LONG</p><div class=widget>MID</div><div class=legal>LONG</div><p><a href=/>back</a></p></body>""",
 ]
 
@@ -155,10 +168,17 @@ def grow(x: np.ndarray, y: np.ndarray, depth: int = 7, leaf: int = 3) -> Tree:
     return Tree(best[1], best[2], grow(x[low], y[low], depth - 1, leaf), grow(x[~low], y[~low], depth - 1, leaf))
 
 
+def _says_comments(word: str, first: bool) -> bool:
+    """Whether a class or id names readers' comments; first: only if it begins so, as an article's name may tell of its own comments."""
+    parts = [p for p in word.split("-") if p and not p.isdigit()]
+    found = [bool(COMMENT.fullmatch(p)) for p in parts]
+    return any(found) and (found[0] or not first) and all(f or p in WITH_COMMENT for f, p in zip(found, parts, strict=True))
+
+
 def _hints(name: str, named: dict[str, str]) -> tuple[bool, bool]:
     """(whether class or id names boilerplate, whether they name readers' comments)."""
     words = f"{named.get('class', '')} {named.get('id', '')}".replace("_", "-").split()
-    comment = name not in ("html", "body", "main") and any(COMMENT.fullmatch(w) for w in words)
+    comment = name not in ("html", "body", "main") and any(_says_comments(w, name == "article") for w in words)
     hint = name in NAMED and any((parts := set(w.split("-"))) & NOISE and parts <= NOISE | BESIDE for w in words)
     return hint, comment
 
@@ -266,6 +286,7 @@ def blocks(page: str) -> tuple[list[str], np.ndarray, list[bool]]:
     own = np.array([(f[0], 0, f[2], f[4], f[5]) for f in facts], float).reshape(-1, 5)
     article = np.array([f[1] and f[0] == 0 for f in facts], bool)
     own[:, 1] = np.where([f[1] for f in facts], 2, 0) if article.any() else 1
+    own[own[:, 1] == 0, 0] = 2  # what stands beside an article is set apart, whatever its length
     near = np.zeros((len(own) + 2, 2))
     near[1:-1] = own[:, 3:]
     return texts, np.hstack([own, near[:-2], near[2:]]), [f[3] for f in facts]

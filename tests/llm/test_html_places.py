@@ -86,3 +86,28 @@ def test_links_within_paragraphs():
     """Without an article, a paragraph with some links stays."""
     para = f"{LONG} and <a href=/x>two words</a> more, {LONG}"
     assert text_of(f"<body><div><a href=/>Home</a></div><div><p>{para}</p><p>{LONG}</p><p>{para}</p></div></body>") == "\n".join([para.replace("<a href=/x>", "").replace("</a>", ""), LONG, para.replace("<a href=/x>", "").replace("</a>", "")])
+
+
+@pytest.mark.parametrize("name", ["post-comments", "comments__list", "reader-comments", "userComments", "comment-list", "commentlist", "fb-comments", "entry_comments comments-3", "replies"])
+def test_readers_comments_go(name):
+    said = f"<p>{LONG} says a reader</p>"
+    assert text_of(f'<body><article><p>{LONG}</p><section class="{name}">{said}</section></article></body>') == LONG
+    assert text_of(f'<body><main><p>{LONG}</p><div class="{name}"><article class="comment">{said}</article></div></main></body>') == LONG
+    assert text_of(f'<body><p>{LONG}</p><p>{LONG}</p><div id="{name}">{said}</div></body>') == f"{LONG}\n{LONG}"
+
+
+@pytest.mark.parametrize("name", ["post has-comments", "post-4 comments-open", "entry post-comments", "commentary", "comment-policy-explained"])
+def test_names_that_only_speak_of_comments(name):
+    assert text_of(f'<body><article class="{name}"><p>{LONG}</p></article></body>') == LONG
+
+
+@pytest.mark.parametrize("bar", [f'<div class="cookie-bar"><p>{LONG}</p></div>', f"<div><p>{LONG}</p><p>{LONG}</p></div>", f"<section class=notice>{LONG}</section>"])
+def test_nothing_beside_an_article_is_kept(bar):
+    assert text_of(f"<body>{bar}<article><p>{LONG}</p></article></body>") == LONG
+    assert text_of(f"<body><main><p>{LONG}</p></main>{bar}</body>") == LONG
+
+
+def test_labels_of_link_lists_go():
+    """Short blocks tell nothing by themselves: what follows them is links, or the text's next paragraph."""
+    links = "<ul><li><a href=/1>what the people of that town have said about it</a><li><a href=/2>why the bridge was closed for so long a time</a></ul>"
+    assert text_of(f"<body><div><p>{LONG}</p><p>No.</p><p>{LONG}</p></div><div>Read more</div>{links}</body>") == f"{LONG}\nNo.\n{LONG}"
