@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -27,6 +27,32 @@ def source_scores(votes: DataFrame, now: Column) -> DataFrame:
     return shown.filter("doc_id <> ''").groupBy("doc_id").agg(F.sum("w").alias("net"))
 
 
+def score_parts(votes: DataFrame) -> DataFrame:
+    """doc_id, top, mass: votes as sums that merge in any order, without a `now`.
+
+    A vote of weight w at time t counts w * 2 ** (t / half-life - top), where top is the largest such exponent of the id's votes; so
+    a sum is at most the number of votes, whatever the times. One pass: sums are taken to the largest exponent of all rows
+    here and moved to the id's own.
+    """
+    weight = F.when(F.col("type") == "rating_up", K.VOTE_UP).when(F.col("type") == "rating_down", K.VOTE_DOWN)
+    age = F.unix_micros("ts") / (86_400e6 * K.HALF_LIFE_DAYS)
+    shown = votes.filter(F.col("type").isin("rating_up", "rating_down")).select(weight.alias("mass"), age.alias("top"), F.explode("ids").alias("doc_id"))
+    return merged_parts(shown.filter("doc_id <> ''"))
+
+
+def merged_parts(parts: DataFrame) -> DataFrame:
+    """doc_id, top, mass: parts of one id as one. Exponents go to the id's largest one first, so nothing overflows and only what is negligible underflows."""
+    top = F.max("top").over(Window.partitionBy("doc_id"))
+    scaled = parts.select("doc_id", top.alias("most"), F.col("mass"), F.col("top")).withColumn("mass", F.col("mass") * F.pow(F.lit(2.0), F.col("top") - F.col("most")))
+    return scaled.groupBy("doc_id").agg(F.max("most").alias("top"), F.sum("mass").alias("mass"))
+
+
+def scores_at(parts: DataFrame, now: Column) -> DataFrame:
+    """doc_id, net at a time that no vote is later than: equal to source_scores() of all votes."""
+    age = F.unix_micros(now) / (86_400e6 * K.HALF_LIFE_DAYS)
+    return parts.select("doc_id", (F.col("mass") * F.pow(F.lit(2.0), F.col("top") - age)).alias("net"))
+
+
 def reranked(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     """ranked (doc_id, score, rank) with scores moved by at most 0.05, in the new order; equal scores keep theirs."""
     net = F.coalesce("net", F.lit(0.0))

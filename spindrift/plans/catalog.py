@@ -489,16 +489,6 @@ def session_rollup(spark, sf_dir):
     return reports.sessions(_events(spark, sf_dir))
 
 
-@query("SELECT user_id, min(ts) AS started_at, max(ts) AS last_active_at, count(*) AS event_count, list_sort(list(DISTINCT event_type)) AS features_used FROM events GROUP BY 1")
-def stream_sessions_available_now(spark, sf_dir):
-    import uuid
-
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/events*.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
-    out = streams.upsert_by_user(stream, streams.shared_folder(spark, f"sessions-{uuid.uuid4().hex}"))
-    return out.withColumn("started_at", F.col("started_at").cast("timestamp_ntz")).withColumn("last_active_at", F.col("last_active_at").cast("timestamp_ntz"))
-
-
 # Snapshots: documents as stored, and as they come in with changed, new and missing rows.
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+
+from ..sources.files import shared_folder
+from .keyed import KeyedTable, last_wins
 
 
 def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> DataFrame:
@@ -11,35 +15,86 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def user_rollup(events: DataFrame) -> DataFrame:
-    return events.groupBy("user_id").agg(F.min("ts").alias("started_at"), F.max("ts").alias("last_active_at"), F.count(F.lit(1)).alias("event_count"), F.array_sort(F.collect_set("event_type")).alias("features_used"))
-
+SESSION = "user_id string, user_at long, started_at long, last_active_at long, event_count long, features_used array<string>"
 
-def merged(parts: DataFrame) -> DataFrame:
-    """Roll-ups of one user from several micro-batches as one."""
-    return parts.groupBy("user_id").agg(
-        F.min("started_at").alias("started_at"), F.max("last_active_at").alias("last_active_at"), F.sum("event_count").alias("event_count"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("features_used")))).alias("features_used"),
-    )
 
+class SessionState(StatefulProcessor):
+    """One session per key as a value of keyed state: input rows (key, of_user, at in microseconds, event_type) update it, and the updated session goes out.
 
-def upsert_by_user(events: DataFrame, path: str) -> DataFrame:
-    """The stream's roll-up by user in a folder below path: each micro-batch is rolled up by itself, merged with the table so far and written as its next version; no state is kept in the stream.
+    A timer in event time drops a session's state `keep` after its last event; what comes later than the watermark Spark drops
+    before it gets here.
+    """
 
-    A batch that is run again after a failure writes the same version again, from the one before it.
+    def __init__(self, key: str, keep_ms: int):
+        self.keep_ms = keep_ms
+        self.made = Row(key, "user", "started_at", "last_active_at", "event_count", "features_used")
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle, self.held = handle, handle.getValueState("session", SESSION)
+
+    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
+        known = self.held.get() if self.held.exists() else None
+        user, user_at, first, last, n, kinds = known or (None, None, None, None, 0, [])
+        kinds = set(kinds)
+        for r in rows:
+            n += 1
+            if r["event_type"] is not None:
+                kinds.add(r["event_type"])
+            if r["at"] is None:
+                continue
+            first, last = (r["at"], r["at"]) if first is None else (min(first, r["at"]), max(last, r["at"]))
+            if r["of_user"] is not None and (user_at is None or r["at"] >= user_at):
+                user, user_at = r["of_user"], r["at"]
+        kinds = sorted(kinds)
+        self.held.update((user, user_at, first, last, n, kinds))
+        if known is None and last is not None:
+            self.handle.registerTimer(last // 1000 + self.keep_ms)
+        yield self.made(*key, user, first, last, n, kinds)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
+        last = self.held.get()[3] if self.held.exists() else None
+        ends = None if last is None else last // 1000 + self.keep_ms
+        if ends is not None and ends > timerValues.getCurrentWatermarkInMs():
+            self.handle.registerTimer(ends)
+        else:
+            self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def with_state_store(spark: SparkSession) -> None:
+    """Arbitrary state needs a store with column families."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+
+
+def updated_sessions(events: DataFrame, key: str, keep_hours: int = 24) -> DataFrame:
+    """The sessions that a micro-batch changes: key, user_id (the last one known), started_at, last_active_at, event_count, features_used.
+
+    events: a stream with a watermark on ts, and user_id, event_type and the key. Keys are shuffled once; a key's rows pass through
+    its state one by one, none is kept.
     """
+    with_state_store(events.sparkSession)
+    kind = events.schema[key].dataType.simpleString()
+    out = f"{key} {kind}, user string, started_at long, last_active_at long, event_count long, features_used array<string>"
+    rows = events.select(F.col(key).alias(key), F.col("user_id").cast("string").alias("of_user"), "event_type", "ts", F.unix_micros("ts").alias("at"))
+    made = rows.groupBy(key).transformWithState(SessionState(key, keep_hours * 3_600_000), out, "Update", "EventTime")
+    times = {c: F.timestamp_micros(c) for c in ("started_at", "last_active_at")}
+    made = made.withColumns(times)
+    return made.drop("user") if key == "user_id" else made.withColumnRenamed("user", "user_id")
 
-    def write(batch: DataFrame, n: int) -> None:
-        own = user_rollup(batch)
-        if n > 0:
-            own = merged(own.unionByName(batch.sparkSession.read.parquet(f"{path}/table/version={n - 1}")))
-        own.write.mode("overwrite").parquet(f"{path}/table/version={n}")
 
-    query = events.writeStream.foreachBatch(write).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    table = events.sparkSession.read.parquet(f"{path}/table")
-    last = table.agg(F.max("version")).head()[0]
-    return table.filter(F.col("version") == last).drop("version")
+def kept_sessions(events: DataFrame, key: str, path: str, keep_hours: int = 24) -> DataFrame:
+    """Sessions of all events that there are, as a table below path that goes on with the next call; a micro-batch writes only the sessions it changed."""
+    table = KeyedTable(events.sparkSession, f"{path}/sessions", last_wins([key]))
+    table.run(updated_sessions(events, key, keep_hours))
+    return table.read()
+
+
+def without_repeats(stream: DataFrame, keys: list[str], delay: str, at: str = "ts") -> DataFrame:
+    """Rows that overlapping micro-batches bring again go: of rows with equal keys whose times are less than `delay` apart the first stays. Spark keeps a key that long only."""
+    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def overlapping(rows: DataFrame, since: Column, overlap: str = "1 day") -> DataFrame:
@@ -53,14 +108,6 @@ def session_windows(events: DataFrame, gap: str = "30 minutes", late: str = "1 h
     return own.select("user_id", F.col("w.start").alias("started_at"), F.col("w.end").alias("ended_at"), "event_count")
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A folder that driver and executors share, below spark.checkpoint.dir."""
-    top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{top.rstrip('/')}/{name}"
-
-
 def run_once(stream: DataFrame, name: str, mode: str = "complete") -> DataFrame:
     """All input that there is, then stop; the result as a table in the shared folder. Each micro-batch writes it whole (complete) or its own rows (append, update)."""
     path = shared_folder(stream.sparkSession, name)
