@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.order import PLACE
+
 
 def changes(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     """key, change: I (new), U (any value differs), S (same), K (kept, not in incoming). Values are compared as texts."""
@@ -14,20 +16,24 @@ def changes(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "full").select(key, change.alias("change"))
 
 
-def last_by_key(rows: DataFrame, key: str) -> DataFrame:
-    """The last row of each key, in the order in which rows are read."""
-    rest = [c for c in rows.columns if c != key]
-    last = rows.withColumn("_order", F.monotonically_increasing_id()).groupBy(key).agg(F.max_by(F.struct(*rest), "_order").alias("_last"))
-    return last.select(key, "_last.*").select(*rows.columns)
+def last_by_key(rows: DataFrame, key: str, by: str = PLACE) -> DataFrame:
+    """The last row of each key by the column `by`, which goes: the place that order.read() gives, or a time. Without it, or among equal ones, the row with the greatest values counts."""
+    rest = [c for c in rows.columns if c not in (key, by)]
+    place = F.col(by) if by in rows.columns else F.lit(0)
+    last = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(place, *[F.col(c).cast("string") for c in rest])).alias("_last"))
+    return last.select(key, "_last.*").select(*[c for c in rows.columns if c != by])
 
 
-def upserted(existing: DataFrame, incoming: DataFrame, key: str) -> DataFrame:
+def upserted(existing: DataFrame, incoming: DataFrame, key: str, by: str = PLACE) -> DataFrame:
     """Existing rows, those that incoming has too replaced, and its new ones; nothing is deleted.
 
-    Of incoming rows with one key the last counts. Incoming values take the stored types; what can't be one becomes null.
+    Of incoming rows with one key that counts which last_by_key() takes.
+    Incoming values take the stored types; what can't be one becomes null.
     """
     kinds = {f.name: f.dataType for f in existing.schema.fields}
-    last = last_by_key(incoming.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in existing.columns]), key)
+    place = [F.col(by).alias("_place")] if by in incoming.columns else []
+    own = incoming.select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in existing.columns], *place)
+    last = last_by_key(own, key, "_place")
     return existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 

@@ -11,7 +11,9 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import feedback, merge
+from ..operators import feedback, landscape, merge
+from ..operators.store import BucketStore, refresh
+from ..sources import order
 from ..sources.files import shared_folder
 from ..streaming import sessions
 from ..streaming.keyed import KeyedTable, latest
@@ -93,6 +95,59 @@ def landed_documents(spark: SparkSession, sf_dir: str, order: list[int]) -> Data
     return kept.read()
 
 
-@query(f"WITH {_REVISED} SELECT doc_id, max(updated) AS updated, substr(sha256(max_by(text, updated)), 1, 16) AS text_hash FROM d GROUP BY 1")
+@query(f"WITH {_REVISED} SELECT doc_id, CAST(max(updated) AS VARCHAR) AS updated, substr(sha256(max_by(text, updated)), 1, 16) AS text_hash FROM d GROUP BY 1")
 def documents_landed_twice(spark, sf_dir):
-    return landed_documents(spark, sf_dir, [0, 1, 2, 3]).select("doc_id", "updated", merge.text_hash(F.col("text")).alias("text_hash"))
+    return landed_documents(spark, sf_dir, [0, 1, 2, 3]).select("doc_id", F.col("updated").cast("string").alias("updated"), merge.text_hash(F.col("text")).alias("text_hash"))
+
+
+# Tables that updates keep.
+
+
+def text_vectors(docs: DataFrame) -> DataFrame:
+    """doc_id, text_hash, embedding of (doc_id, text, text_hash): three plain measures of a text stand for an encoder."""
+    measures = [F.char_length("text"), F.char_length(F.translate("text", " ", "")), F.char_length(F.regexp_replace("text", "[^\\n]", ""))]
+    return docs.select("doc_id", "text_hash", F.array(*[m.cast("float") for m in measures]).alias("embedding"))
+
+
+def stored_vectors(spark: SparkSession, sf_dir: str, path: str, buckets: int = 32) -> tuple[BucketStore, DataFrame]:
+    """(store of the documents but every tenth, which came later; the documents as they are now: one in ten is revised and one in ten is gone)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    before = docs.filter("doc_id % 10 <> 1").withColumn("text_hash", merge.text_hash(F.col("text")))
+    store = BucketStore(spark, path, "doc_id", buckets)
+    store.create(text_vectors(before))
+    text = F.when(F.col("doc_id") % 10 == 3, F.concat("text", F.lit(" (revised)"))).otherwise(F.col("text"))
+    return store, docs.filter("doc_id % 10 <> 5").withColumn("text", text)
+
+
+@query("""
+WITH n AS (SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN text || ' (revised)' ELSE text END AS text FROM documents WHERE doc_id % 10 <> 5)
+SELECT doc_id, substr(sha256(text), 1, 16) AS text_hash, CAST(length(text) AS FLOAT) AS chars, CAST(length(replace(text, ' ', '')) AS FLOAT) AS inked, CAST(length(text) - length(replace(text, chr(10), '')) AS FLOAT) AS lines FROM n
+""")
+def embedding_store_update(spark, sf_dir):
+    """A written store brought up to date: changed and new texts are encoded, vectors of documents that are gone go."""
+    store, now = stored_vectors(spark, sf_dir, shared_folder(spark, f"vectors-{uuid.uuid4().hex}"))
+    refresh(store, now, text_vectors)
+    e = F.col("embedding")
+    return store.read().select("doc_id", "text_hash", e[0].alias("chars"), e[1].alias("inked"), e[2].alias("lines"))
+
+
+@query("""
+WITH i AS (SELECT doc_id // 2 AS key, 'w' || CAST(n_chars AS VARCHAR) AS value, doc_id FROM documents), l AS (SELECT key, max_by(value, doc_id) AS value FROM i GROUP BY key)
+SELECT doc_id AS key, coalesce(value, lang) AS value FROM documents LEFT JOIN l ON key = doc_id
+""")
+def upsert_in_reading_order(spark, sf_dir):
+    """Rows that repeat within what comes in: the last one read counts, however they are dealt out before the upsert."""
+    docs = table(spark, sf_dir, "documents")
+    path = shared_folder(spark, f"incoming-{uuid.uuid4().hex}")
+    docs.select(F.floor(F.col("doc_id") / 2).alias("key"), F.concat(F.lit("w"), F.col("n_chars").cast("string")).alias("value"), "doc_id").repartitionByRange(3, "doc_id").sortWithinPartitions("doc_id").drop("doc_id").write.parquet(path)
+    incoming = order.read(spark, path).repartition(5, "value")
+    return merge.upserted(docs.select(F.col("doc_id").alias("key"), F.col("lang").alias("value")), incoming, "key")
+
+
+@query("""
+SELECT CAST(n_chars % 97 AS VARCHAR) AS label, count(*) AS count FROM (SELECT n_chars, row_number() OVER () AS pos FROM documents) GROUP BY 1 ORDER BY 2 DESC, min(pos) LIMIT 20
+""")
+def landscape_first_seen(spark, sf_dir):
+    """Labels by count; of equally frequent ones those that are read first."""
+    docs = order.read(spark, f"{sf_dir}/documents.parquet")
+    return landscape.distribution(docs.select("n_chars", "pos").repartition(7, "n_chars"), (F.col("n_chars") % 97).cast("string"), top=20, order=F.col("pos"))

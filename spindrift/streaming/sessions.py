@@ -93,8 +93,8 @@ def kept_sessions(events: DataFrame, key: str, path: str, keep_hours: int = 24)
 
 
 def without_repeats(stream: DataFrame, keys: list[str], delay: str, at: str = "ts") -> DataFrame:
-    """Rows that overlapping micro-batches bring again go: of rows with equal keys whose times are less than `delay` apart the first stays. Spark keeps a key that long only."""
-    return stream.withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
+    """Rows that overlapping micro-batches bring again go: of rows with equal keys whose times are less than `delay` apart the first stays. Spark keeps a key that long only, so rows without a time, which never grow old, go."""
+    return stream.filter(F.col(at).isNotNull()).withWatermark(at, delay).dropDuplicatesWithinWatermark(keys)
 
 
 def overlapping(rows: DataFrame, since: Column, overlap: str = "1 day") -> DataFrame:

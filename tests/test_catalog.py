@@ -1,7 +1,7 @@
 import pytest
 from comparing import of_sql, rows
 
-from spindrift.plans import catalog, samples  # noqa: F401  samples adds its queries to the catalog
+from spindrift.plans import catalog, kept, samples  # noqa: F401  these add their queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
