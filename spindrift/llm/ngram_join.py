@@ -12,7 +12,8 @@ n-gram and packed as arrays. Each block is multiplied on its own, and the counts
    pairs. Then nodes are discarded again, by the columns they share with nodes of other components and fitting sizes;
    the least of these sizes bounds a link's overlap from below.
 3. What is left is multiplied in full: columns from rare to frequent, each node posts the prefix that this bound
-   leaves. Pairs of different components that meet there are discarded where the bits of their sets' parities differ in
+   leaves. Each post is first tried with a few nodes of its column's largest component, as one link with that joins it.
+   Then pairs of different components and fitting sizes that meet in a post are discarded where the bits of their sets' parities differ in
    more places than a link leaves, or where what is counted and all columns behind it stay below the bound; the exact
    overlaps of the rest are added up over the blocks of a last product. So no link between components is lost.
 
@@ -46,7 +47,9 @@ FOLDED = 16  # nodes of a batch that share a column before it is folded
 BATCH_BYTES = 6 << 20
 BLOCK_CELLS = 1_000_000
 SPLIT = 200_000  # nodes of a column in one block
-PARITY_WORDS = 16
+PARITY_WORDS = 8
+MOST_PARTITIONS = 16_384  # a task may get several blocks, one after another
+TRIED, TRIALS = 4, 4  # nodes of a large component that a post is tried with first, and how often at most
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -207,12 +210,12 @@ def incidence(texts: DataFrame, blocks: int, seed: int, how: str, total: int = 1
         ids = 2 * blocks
         order = np.argsort(block.astype(np.uint16 if ids < 65536 else np.int64), kind="stable")
         grams, ref = grams[order], ref[order]
-        edges = np.arange(ids + 1, dtype=np.uint64)
-        cuts = np.searchsorted(block[order], edges)
-        mark_cuts = np.searchsorted(_block_of(whole, blocks), edges)
+        held_by, marked = block[order], _block_of(whole, blocks)
+        found = np.union1d(held_by, marked)  # only the blocks that the batch has something for
+        places = zip(found.tolist(), *(np.searchsorted(x, found, side) for x in (held_by, marked) for side in ("left", "right")), strict=True)
         rows = []
-        for b in np.flatnonzero(np.diff(cuts) + np.diff(mark_cuts)).tolist():
-            own, held = slice(cuts[b], cuts[b + 1]), marks[mark_cuts[b] : mark_cuts[b + 1]]
+        for b, first_cell, last_cell, first_mark, last_mark in places:
+            own, held = slice(first_cell, last_cell), marks[first_mark:last_mark]
             used, counts = np.unique(ref[own], return_counts=True)
             if how == "star":
                 more = facts[used].tobytes()
@@ -255,6 +258,10 @@ def incidence(texts: DataFrame, blocks: int, seed: int, how: str, total: int = 1
     return map_arrow(texts.select("text", *needed), of, BLOCK)
 
 
+def _by_block(matrix: DataFrame, blocks: int) -> DataFrame:
+    return matrix.repartition(min(blocks, MOST_PARTITIONS), "block")
+
+
 def _read(table: pa.Table, name: str, dtype) -> list[np.ndarray]:
     return [np.frombuffer(x.as_py(), dtype) if x.is_valid else np.zeros(0, dtype) for x in table.column(name)]
 
@@ -317,7 +324,7 @@ def _product(shift: float, blocks: int):
 def multiplied(texts: DataFrame, blocks: int, seed: int, total: int, shift: float | None = None, split: int = SPLIT) -> DataFrame:
     """a, b, n, w, na, nb summed over the blocks: see _counted, and with a shift _product."""
     matrix = incidence(texts, blocks, seed, "count" if shift is None else "star", total, split)
-    parts = matrix.repartition(blocks, "block").groupBy("block").applyInArrow(_counted if shift is None else _product(shift, blocks), SUMS)
+    parts = _by_block(matrix, blocks).groupBy("block").applyInArrow(_counted if shift is None else _product(shift, blocks), SUMS)
     return parts.groupBy("a", "b").agg(*[F.sum(c).alias(c) for c in "nw"], *[F.max(c).alias(c) for c in ("na", "nb")])
 
 
@@ -357,12 +364,12 @@ def overlaps(texts: DataFrame, pairs: DataFrame, blocks: int, seed: int) -> Data
     asks = both.select(F.when(by_a, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(by_a, F.col("b")).otherwise(F.col("a")).alias("partner"))
     lists = ends.select("node").join(asks.groupBy("node").agg(F.collect_list("partner").alias("partners")), "node", "left")
     rows = texts.select("node", "text").join(lists.hint("merge"), "node")
-    parts = incidence(rows, blocks, seed, "pairs").repartition(blocks, "block").groupBy("block").applyInArrow(_pair_product, SUMS)
+    parts = _by_block(incidence(rows, blocks, seed, "pairs"), blocks).groupBy("block").applyInArrow(_pair_product, SUMS)
     return parts.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.sum("n").alias("n"))
 
 
 def parities(texts: DataFrame) -> DataFrame:
-    """node, p0, p1, …: for each of 1,024 hash classes of shingles, whether the node's set holds an odd number of them."""
+    """node, p0, p1, …: for each of 512 hash classes of shingles, whether the node's set holds an odd number of them."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -401,30 +408,72 @@ def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "gram"))
     posts = shared.withColumn("from_last", rank).filter("from_last >= least")
     posts = staged(posts.groupBy("gram", "node", "component", "n", "least").agg(F.max("from_last").alias("from_last")), "join-posts")
-    main = posts.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m")).groupBy("gram").agg(
-        F.max_by("component", F.struct("m", "component")).alias("main"), F.count(F.lit(1)).alias("kinds")
-    ).filter("kinds > 1")
-    known = posts.join(main.select("gram", "main"), "gram")
-    known = known.join(parities(texts), "node")
-    words = [f"p{i}" for i in range(PARITY_WORDS)]
-    of_side = lambda s, *more: ["gram", *(F.col(c).alias(f"{s}_{c}") for c in words), *(F.col(c).alias(f"{k}{s}") for c, k in (("component", "c"), ("n", "n"), ("from_last", "r"))), F.col("node").alias(s), *more]
-    left = known.filter("component <> main").select(*of_side("x"))
-    right = known.select(*of_side("y", (F.col("component") == F.col("main")).alias("of_main")))
+    known = staged(posts.join(parities(texts), "node"), "join-known")
+    early = None
+    for i in range(TRIALS):
+        found = staged(_tried(texts, known, blocks, seed, i), "join-tried")
+        early = found if early is None else early.unionByName(found)
+        if found.isEmpty():
+            break
+        # components that those links join are one from here on
+        merged = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), "label")
+        known = known.join(merged, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
+        known = staged(known, "join-known")
+    known = known.join(_main(known, 0, ["node"], i).select("gram", "main"), "gram")
+    of_side = lambda s, *more: ["gram", *(F.col(c).alias(f"{s}_{c}") for c in PARITIES), *(F.col(c).alias(f"{k}{s}") for c, k in (("component", "c"), ("n", "n"), ("from_last", "r"))), F.col("node").alias(s), *more]
+    # sizes that allow a link are of one class or of neighbouring ones, so a column's posts meet by class
+    kind = F.floor(F.log("n") / math.log(100 / SHARE)).cast("int")
+    left = known.filter("component <> main").select(*of_side("x", F.explode(F.array(kind - 1, kind, kind + 1)).alias("kind")))
+    right = known.select(*of_side("y", (F.col("component") == F.col("main")).alias("of_main"), kind.alias("kind")))
     sized = (F.col("nx") * 100 >= F.col("ny") * SHARE) & (F.col("ny") * 100 >= F.col("nx") * SHARE)
     once = (F.col("cx") != F.col("cy")) & (F.col("of_main") | (F.col("x") < F.col("y")))
     # a link's overlap is SHARE / (100 + SHARE) of both sizes together. The rarest column that both hold has all others that
     # they share behind it, on both sides; a column with fewer behind it can't be that one
     needed = (F.col("nx") + F.col("ny")) * SHARE
     sized &= (F.col("rx") * (100 + SHARE) >= needed) & (F.col("ry") * (100 + SHARE) >= needed)
-    # bits in which two parities differ are at most the shingles that one of the sets lacks, of which a link leaves few
-    differ = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x_{c}").bitwiseXOR(F.col(f"y_{c}"))) for c in words])
-    sized &= differ * (100 + SHARE) <= (F.col("nx") + F.col("ny")) * (100 - SHARE)
-    met = left.join(right, "gram").filter(once & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.least("rx", "ry").alias("behind"))
+    sized &= _near_parities(lambda c: F.col(f"x_{c}"), lambda c: F.col(f"y_{c}"))[1] <= (F.col("nx") + F.col("ny")) * (100 - SHARE)
+    met = left.join(right, ["gram", "kind"]).filter(once & sized).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("nx") + F.col("ny")).alias("sum"), F.least("rx", "ry").alias("behind"))
     counted = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.min("behind").alias("tail"), F.first("sum").alias("sum"))
     # what they share is what is counted and, at most, all that stands behind the most frequent column counted
     pairs = staged(counted.filter((F.col("m") + F.col("tail") - 1) * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b", "sum"), "join-pairs")
     found = overlaps(texts, pairs.select("a", "b"), blocks, seed).join(pairs, ["a", "b"])
-    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b")
+    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b").unionByName(early.select("a", "b"))
+
+
+PARITIES = [f"p{i}" for i in range(PARITY_WORDS)]
+
+
+def _near_parities(x, y) -> tuple[Column, Column]:
+    """(bits in which the parities of x and y differ, the same as a link bounds it): they are at most the shingles that one of the sets lacks, of which a link leaves few."""
+    differ = reduce(lambda a, b: a + b, [F.bit_count(x(c).bitwiseXOR(y(c))) for c in PARITIES])
+    return differ, differ * (100 + SHARE)
+
+
+def _main(posts: DataFrame, few: int, columns: list[str], trial: int) -> DataFrame:
+    """gram, main (the component with most posts), and `few` of its posts by a hash, as array few of the columns; only of grams that several components post."""
+    some = F.array(*[F.min_by(F.struct(*columns), F.xxhash64("node", "gram", F.lit(few * trial + i))) for i in range(few)])
+    by_component = posts.groupBy("gram", "component").agg(F.count(F.lit(1)).alias("m"), some.alias("few"))
+    best = F.max_by(F.struct("component", "few"), F.struct("m", "component"))
+    return by_component.groupBy("gram").agg(best.alias("p"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram", F.col("p.component").alias("main"), F.col("p.few").alias("few"))
+
+
+def _tried(texts: DataFrame, known: DataFrame, blocks: int, seed: int, trial: int) -> DataFrame:
+    """Links a, b between components ca, cb, found by trying each post with a few of its column's main component.
+
+    What links with one member of a large component needs no other of its pairs, so a few tries spare the join most of them:
+    of all that a node meets in its columns, the one whose parities differ least is added up in full.
+    """
+    met = known.join(_main(known, TRIED, ["node", "n", *PARITIES], trial), "gram").filter("component <> main").withColumn("y", F.explode(F.array_distinct("few")))
+    sized = (F.col("n") * 100 >= F.col("y.n") * SHARE) & (F.col("y.n") * 100 >= F.col("n") * SHARE)
+    differ, bounded = _near_parities(F.col, lambda c: F.col(f"y.{c}"))
+    near = met.filter(sized & (bounded <= (F.col("n") + F.col("y.n")) * (100 - SHARE)))
+    best = near.groupBy("node", "main").agg(F.min(F.struct(differ.alias("differ"), F.col("y.node").alias("y"), "component", (F.col("n") + F.col("y.n")).alias("sum"))).alias("p"))
+    first = F.col("node") < F.col("p.y")
+    ends = {"a": ("node", "p.y"), "b": ("p.y", "node"), "ca": ("p.component", "main"), "cb": ("main", "p.component")}
+    tries = best.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in ends.items()), F.col("p.sum").alias("sum")).distinct()
+    tries = staged(tries, "join-tries")
+    found = overlaps(texts, tries.select("a", "b"), blocks, seed).join(tries, ["a", "b"])
+    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b", "ca", "cb")
 
 
 def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -459,7 +508,7 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     cells, n_alive = alive.agg(F.sum("n"), F.count(F.lit(1))).head()
     if texts.count() > n_alive:  # rows that repeat with their id
         texts = staged(texts.dropDuplicates(["node"]), "join-texts", "uncompressed")
-    blocks = max(64, math.ceil((cells or 0) / BLOCK_CELLS))
+    blocks = max(16, math.ceil((cells or 0) / BLOCK_CELLS))  # a pair is summed up from a row per block
     links, label, live = None, None, None
     sure = F.col("n") * (100 + SHARE) >= (F.col("na") + F.col("nb")) * SHARE
     for i in range(ROUNDS):
