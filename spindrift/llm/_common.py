@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import weakref
 import zipfile
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
@@ -79,11 +80,15 @@ def staged(df: DataFrame, label: str, compression: str = "zstd") -> DataFrame:
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
     if (made := _made.get(None)) is not None:
         made.append(out)
     return out
 
 
+#: Folders of staged tables by their frame.
+_paths: dict[int, str] = {}
 _made: ContextVar[list[DataFrame]] = ContextVar("tables that staged() wrote")
 
 
@@ -101,11 +106,12 @@ def scratch() -> Iterator[None]:
 def discard(*tables: DataFrame) -> None:
     """Delete the folders of tables that staged() wrote and nothing reads any more."""
     for df in tables:
-        spark = df.sparkSession
-        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(hadoop).delete(path, True)
+        spark, path = df.sparkSession, _paths.pop(id(df), None)
+        if path is None:  # a frame made elsewhere: its first file tells the folder
+            path = next(iter(df.inputFiles()), "").rpartition("/")[0]
+        if path:
+            there = spark._jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def ranked(rows: DataFrame, order: list[Column], name: str, label: str) -> DataFrame:
@@ -142,11 +148,7 @@ def without_ids(docs: DataFrame, ids: DataFrame, null_too: bool = False) -> Data
 
 
 def ascii_words(text: Column) -> Column:
-    """Number of words `[^\\x20\\x09-\\x0D]+`; null counts 0.
-
-    Every white-space character becomes a blank, runs of non-blanks are then counted from the blanks
-    that precede them: one translate and one split-free regexp instead of an array of words.
-    """
+    """Number of words `[^\\x20\\x09-\\x0D]+`, counted by one regular expression without an array of words; null counts 0."""
     return F.coalesce(F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0)).cast("long")
 
 

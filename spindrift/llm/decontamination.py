@@ -27,6 +27,8 @@ from ._common import map_arrow, staged, without_ids
 SPAN, K = 10, 5
 SIDE = SPAN - K  # words that a window may hold on one side of its fingerprint
 PRINTS = "array<struct<print:bigint,at:int,len:int,left:array<bigint>,right:array<bigint>>>"
+#: The least number of words that every span of SPAN words has on one side of a fingerprint of K.
+BESIDE = (SPAN - K + 1) // 2
 CONTEXT = ["print", "len", "left", "right"]
 
 
@@ -120,16 +122,31 @@ def _extent(own: Column, its: Column) -> Column:
     return F.when(other > 0, other - 1).otherwise(F.size(equal)).cast("int")
 
 
+def _beside_one(side: str) -> Column:
+    return F.xxhash64(F.lit(side), *[F.get(side, i) for i in range(BESIDE)])
+
+
+def _beside() -> Column:
+    """What a fingerprint and its partner must share besides itself: the words next to it on one side.
+
+    A span of SPAN words around K reaches at least BESIDE words to one side, so rows meet by those to the left or by those to the
+    right: a phrase that many texts share in otherwise different surroundings doesn't meet itself. Whole windows need nothing.
+    """
+    sides = [F.when((F.col("len") == 0) & (F.size(side) >= BESIDE), _beside_one(side)) for side in ("left", "right")]
+    return F.array_compact(F.array(*sides, F.when(F.col("len") > 0, F.col("len").cast("long"))))
+
+
 def extended(prints: DataFrame, contexts: DataFrame) -> DataFrame:
     """text_key, at, len, items: fingerprints of texts joined by their hash with those of items, extended; what stays below SPAN words is no hit.
 
     prints: text_key, print, at, len, left, right; contexts: print, len, left, right, items (one row for each surrounding of a
     fingerprint, with all items that have it, so a passage of many items is joined once).
     """
-    its = contexts.select("print", F.col("len").alias("its_len"), F.col("left").alias("its_left"), F.col("right").alias("its_right"), "items")
-    met = prints.join(its, "print").filter("len = its_len")
+    its = contexts.select("print", F.explode(_beside()).alias("beside"), F.col("left").alias("its_left"), F.col("right").alias("its_right"), "items")
+    met = prints.select("*", F.explode(_beside()).alias("beside")).join(its, ["print", "beside"])
     met = met.withColumn("l", _extent(F.col("left"), F.col("its_left"))).withColumn("r", _extent(F.col("right"), F.col("its_right")))
     whole = F.col("len") > 0
+    met = met.filter(whole | (F.col("beside") == _beside_one("left")) | (F.col("l") < BESIDE))  # what both sides tell counts once
     size = F.when(whole, F.col("len")).otherwise(F.col("l") + K + F.col("r"))
     return met.select("text_key", (F.col("at") - F.when(whole, 0).otherwise(F.col("l"))).alias("at"), size.alias("size"), whole.alias("whole"), "items").filter(
         f"whole OR size >= {SPAN}"

@@ -18,6 +18,7 @@ from ._common import discard, staged
 from ._common import fresh as fresh_name
 
 WHITE_SPACE = " \t\n\x0b\x0c\r"
+ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 2_000_000, 16, 65_536
 INDEX_SCHEMA = "digest binary, keep_id long, keep_chars long, copies long"
 
 
@@ -46,11 +47,12 @@ def groups(digests: DataFrame) -> DataFrame:
 class DigestIndex:
     """Catalog table with the digests seen so far.
 
-    `buckets` fixes the number of buckets and with it the partitions of the anti-join; take about one per
-    128 MB of index. Appends add sorted files to each bucket.
+    `buckets` fixes the number of buckets and with it the partitions of the anti-join, when the table is made. Unless it is told,
+    the first ingest sets it from the rows it counts: one per ROWS_PER_BUCKET, about 128 MB of index. Appends add sorted
+    files to each bucket.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = 64):
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None):
         self.spark, self.buckets = spark, buckets
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
 
@@ -67,10 +69,19 @@ class DigestIndex:
         """Rows of `new` (one per digest) whose digest the index lacks; the index side needs no exchange."""
         return new.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
 
+    def expects(self, rows: int) -> None:
+        """Set the number of buckets of a table that isn't there yet; of one that is, read it."""
+        if self.exists():
+            told = {r["col_name"]: r["data_type"] for r in self.spark.sql(f"DESCRIBE FORMATTED {self.table}").collect()}
+            self.buckets = int(told.get("Num Buckets", self.buckets or LEAST_BUCKETS))
+        elif self.buckets is None:
+            self.buckets = min(max(LEAST_BUCKETS, -(-rows // ROWS_PER_BUCKET)), MOST_BUCKETS)
+
     def append(self, new: DataFrame) -> None:
         self._write(new.select("digest", "keep_id", "keep_chars", "copies").repartition(self.buckets, "digest"))
 
     def _write(self, rows: DataFrame) -> None:
+        self.expects(0)
         rows.write.mode("append").format("parquet").bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.table)
 
     def drop(self) -> None:
@@ -87,7 +98,9 @@ def ingest(docs: DataFrame, index: DigestIndex) -> DataFrame:
     table gives an empty result. Other columns of docs are ignored, whatever their names.
     """
     light = staged(digested(docs), "digests")
-    middle = light.agg(F.percentile_approx("n_chars", 0.5)).head()[0] or 0  # any number gives the same rows
+    middle, total = light.agg(F.percentile_approx("n_chars", 0.5), F.count(F.lit(1))).head()
+    middle = middle or 0  # any number gives the same rows
+    index.expects(total)
     folded, fresh = [], []
     for part in (light.filter(F.col("n_chars") >= middle), light.filter(F.col("n_chars") < middle)):
         folded.append(staged(groups(part), "digest-groups"))

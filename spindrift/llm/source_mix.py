@@ -51,9 +51,10 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = (5, 2, 1), total_shar
     cap = F.col("source_size") * F.lit(float(most))
     fill = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
     before = fill.rowsBetween(Window.unboundedPreceding, -1)
-    after = fill.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(Window.partitionBy()) * F.lit(float(total_share))
-    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)
+    # weights from here on are all weights less those before: a frame that only grows is summed once, not for each row anew
+    rest = F.sum("weight").over(Window.partitionBy()) - F.coalesce(F.sum("weight").over(before), F.lit(0.0))
+    level = (total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / rest
     everything = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last()).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
@@ -121,27 +122,28 @@ def _walks(b: Column, mode: Column) -> Column:
 
 
 def split_tree(quotas: DataFrame, shards: int) -> DataFrame:
-    """One row (quotas array<long>, by source) -> shard, quotas: a composition for each of `shards` outputs.
+    """One row (quotas array<struct<s, n>>, sources with draws) -> shard, quotas: a composition for each of `shards` outputs.
 
-    Each level halves a node's range of shards; rows double and are dealt out anew once there are enough.
+    Each level halves a node's range of shards; rows double and are dealt out anew once there are enough. A node holds only the
+    sources that it has draws of, so what a level holds is bounded by the number of draws, and a node near the shards is short.
     """
-    nodes = quotas.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), "quotas")
+    nodes = quotas.select(F.lit(0).alias("first"), F.lit(shards).alias("n"), F.filter("quotas", lambda q: q["n"] > 0).alias("quotas"))
     for level in range(math.ceil(math.log2(max(shards, 1)))):
-        held = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x)
+        held = F.aggregate("quotas", F.lit(0).cast("long"), lambda a, x: a + x["n"])
         nodes = nodes.withColumn("half", F.floor(F.col("n") / 2).cast("int")).withColumn("held", held)
         nodes = nodes.withColumn("room", F.floor(F.col("held") * F.col("half").cast("double") / F.col("n")).cast("long"))
         given = F.aggregate(
-            F.arrays_zip("quotas", F.sequence(F.lit(1), F.size("quotas")).alias("i")),
+            "quotas",
             F.struct(F.col("held").alias("total"), F.col("room").alias("draws"), F.array().cast("array<long>").alias("out")),
-            lambda s, x: _give(s, x["quotas"], _uniform(F.col("first"), F.col("n"), x["i"])),
+            lambda s, x: _give(s, x["n"], _uniform(F.col("first"), F.col("n"), x["s"])),
         )["out"]
         nodes = nodes.withColumn("left", F.when(F.col("half") > 0, given))
-        right = F.zip_with("quotas", "left", lambda q, x: q - x)
+        some = lambda count: F.filter(F.zip_with("quotas", "left", lambda q, x: F.struct(q["s"].alias("s"), count(q["n"], x).alias("n"))), lambda q: q["n"] > 0)
         both = F.when(
             F.col("half") > 0,
             F.array(
-                F.struct("first", F.col("half").alias("n"), F.col("left").alias("quotas")),
-                F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("n") - F.col("half")).alias("n"), right.alias("quotas")),
+                F.struct("first", F.col("half").alias("n"), some(lambda n, x: x).alias("quotas")),
+                F.struct((F.col("first") + F.col("half")).alias("first"), (F.col("n") - F.col("half")).alias("n"), some(lambda n, x: n - x).alias("quotas")),
             ),
         ).otherwise(F.array(F.struct("first", "n", "quotas")))
         nodes = nodes.select(F.explode(both).alias("node")).select("node.*")
@@ -207,12 +209,11 @@ def shard_draws(plan_: dict[str, DataFrame], shards: int) -> DataFrame:
     """draws + shard: the splitting tree's counts are laid along each source's permuted draws."""
     draws = staged(plan_["draws"].withColumn("i", F.row_number().over(Window.partitionBy("s").orderBy("pass", "key", "block"))), "mix-draws")
     counts = draws.groupBy("s").agg(F.count(F.lit(1)).alias("n"))
-    all_of = plan_["sources"].select("s").join(counts, "s", "left").select("s", F.coalesce("n", F.lit(0)).alias("n"))
-    quotas = all_of.agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("q")).select(F.expr("transform(q, x -> x.n)").alias("quotas"))
-    shares = split_tree(quotas, shards).select("shard", F.posexplode("quotas").alias("s0", "n")).filter("n > 0")
+    quotas = counts.agg(F.array_sort(F.collect_list(F.struct("s", "n"))).alias("quotas"))
+    shares = split_tree(quotas, shards).select("shard", F.explode("quotas").alias("q")).select("shard", F.col("q.s").alias("s0"), F.col("q.n").alias("n"))
     run = Window.partitionBy("s0").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
     places = shares.withColumn("end", F.sum("n").over(run)).select(
-        (F.col("s0") + 1).cast("int").alias("s"), "shard", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("i")
+        F.col("s0").alias("s"), "shard", F.explode(F.sequence(F.col("end") - F.col("n") + 1, F.col("end"))).alias("i")
     )
     return staged(draws.join(places, ["s", "i"]).drop("i"), "mix-shards")
 
@@ -256,7 +257,9 @@ def mix(docs: DataFrame, shards: int | None = None, **settings) -> DataFrame:
 def taken(plan_: dict[str, DataFrame], draws: DataFrame) -> DataFrame:
     """The rows of sizes with `shares` (shard, pass, words: what each output shard takes of the row) and `taken`, their sum.
 
-    draws: of shard_draws(); a draw counts in the shard that the splitting tree gave it to. Only cut blocks are shuffled.
+    draws: of shard_draws(); a draw counts in the shard that the splitting tree gave it to. Only cut blocks are shuffled. Rows
+    without words (null and empty texts) take part with no shares and 0 taken, as do rows of blocks that are not drawn;
+    rows that repeat and rows without an id count each; an empty table gives no rows. There are no other columns than those of sizes.
     """
     per_block = draws.groupBy("s", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "shard", "part"))).alias("drawn"), F.max("part").alias("part"))
     rows = plan_["sizes"].join(_few(staged(per_block, "mix-drawn")), ["s", "block"], "left")

@@ -240,7 +240,8 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and kept_text, with broken characters replaced); one row per row of docs.
 
     Null and empty texts have no bytes. Rows with one doc_id don't match each other; a null id stands after
-    all others, and null ids don't match each other. Empty tables give no rows.
+    all others, and null ids don't match each other. Texts count whole, however long: they are packed once and matched in
+    pieces. Other columns of docs are ignored, whatever their names. Empty tables give no rows.
     """
     found = matches(docs)
     rows = packed(docs, "doc_id").withColumn("key", F.coalesce("doc_id", F.lit(int(NO_ID)))).join(found, F.col("key") == F.col("doc"), "left")

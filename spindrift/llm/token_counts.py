@@ -130,7 +130,7 @@ def spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(docs: DataFrame, automaton: Automaton) -> DataFrame:
-    """doc_id, n_words, n_tokens; one row per row of docs, each on its own, however long. Null and empty texts have 0 of both; other columns are ignored."""
+    """doc_id, n_words, n_tokens; one row per row of docs, each on its own, however long. Null and empty texts have 0 of both; other columns are ignored; an empty table gives no rows."""
     shipped(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(automaton)
 

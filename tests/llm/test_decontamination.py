@@ -86,3 +86,20 @@ def test_a_window_that_many_items_share(spark, frame, rows):
     data = [(i, f"begin{i} {passage} go", "en", "a", 0) for i in range(20)] + [(50, "zero one two three four", None, None, 0)]
     out = D.contamination(frame(data), spark.createDataFrame(items, "item_id long, text string"))
     assert sorted(map(tuple, out.collect()), key=str) == sorted(brute(data, items), key=str)
+
+
+def test_a_stock_phrase_does_not_meet_itself(spark, frame):
+    """Texts and items that share five words in otherwise different surroundings: no hit, and no row for a pair of them."""
+    from pyspark.sql import functions as F
+
+    phrase = "all of this was written down"
+    words = lambda kind, i, n: " ".join(f"{kind}{i}x{j}" for j in range(n))
+    docs = frame([(i, f"{words('a', i, 12)} {phrase} {words('b', i, 12)}", "en", "s", 0) for i in range(300)])
+    items = spark.createDataFrame([(i, f"{words('c', i, 12)} {phrase} {words('d', i, 12)}") for i in range(300)], "item_id long, text string")
+    assert D.contamination(docs, items).filter("contaminated").count() == 0
+    made = D.fingerprinted(items, "item_id", None, {}).select(F.explode("prints").alias("p")).select("p.*").withColumn("items", F.array())
+    prints = D.fingerprinted(docs, "doc_id", None, {}).select("text_key", F.explode("prints").alias("p")).select("text_key", "p.*")
+    beside = D._beside()
+    met = prints.select("print", F.explode(beside).alias("k")).join(made.select("print", F.explode(beside).alias("k")), ["print", "k"])
+    # fingerprints within the phrase whose neighbours on one side are the phrase's own words; all others part
+    assert met.count() < 300 * 300 * 0.02 + 1

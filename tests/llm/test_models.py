@@ -27,6 +27,68 @@ def test_language_odd_rows(frame, rows, odd_rows):
     assert L.learn(frame([])) is None and L.identify(frame(rows[:3]), None).filter("lang_pred = 'und'").count() == 3
 
 
+def plain_vector(text):
+    """Square roots of trigram shares of one text, byte by byte, as half floats."""
+    raw = bytes(b + 32 if 65 <= b <= 90 else b for b in (text or "").encode())
+    raw = bytes(b if 97 <= b <= 122 or b >= 128 else 32 for b in raw)
+    counts = np.zeros(L.DIM)
+    for a, b, c in zip(raw, raw[1:], raw[2:], strict=False):
+        if b != 32 and (a, c) != (32, 32):
+            counts[((a * 0x9E3779B1 & 0xFFFFFFFF) ^ (b * 0x85EBCA77 & 0xFFFFFFFF) ^ (c * 0xC2B2AE3D & 0xFFFFFFFF)) >> 21] += 1
+    return np.sqrt(counts / max(counts.sum(), 1))
+
+
+def plain_machine(x, y, steps=60, ridge=1e-3):
+    """Squared hinge loss with both classes weighing one half, by accelerated descent in double precision."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    share = np.where(y > 0, 0.5 / (y > 0).sum(), 0.5 / (y < 0).sum())
+    w, z, t = np.zeros(x.shape[1]), np.zeros(x.shape[1]), 1.0
+    for _ in range(steps):
+        slope = ridge * z - 2 * sum(s * k * max(0.0, 1 - k * float(row @ z)) * row for row, k, s in zip(x, y, share, strict=True))
+        new, t_new = z - slope / (4 + ridge), (1 + np.sqrt(1 + 4 * t * t)) / 2
+        w, z, t = new, new + (t - 1) / t_new * (new - w), t_new
+    return w
+
+
+def test_language_against_plain_machines(spark, sf_dir):
+    """Families first, then pairs of languages within the family that wins; all labelled rows are few enough to be learnt from."""
+    import zlib
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang").collect()
+    learnt = [r for r in docs if r["text"] is not None and r["lang"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5]
+    x = np.stack([plain_vector(r["text"]).astype(np.float16).astype(float) for r in learnt])
+    lang = np.array([r["lang"] for r in learnt])
+    family = np.array([L._FAMILY_OF.get(n, n) for n in lang])
+    soft = lambda m: np.exp(3 * (m - m.max())) / np.exp(3 * (m - m.max())).sum()
+    families = sorted(set(family))
+    told = [plain_machine(x, np.where(family == f, 1, -1)) for f in families]
+    pairs = {}
+    for f in families:
+        own = sorted(set(lang[family == f]))
+        for i, a in enumerate(own):
+            for b in own[i + 1 :]:
+                rows = (lang == a) | (lang == b)
+                pairs[a, b] = plain_machine(x[rows], np.where(lang[rows] == a, 1, -1))
+    got = {r["doc_id"]: r for r in L.op8_language_id(spark, sf_dir).collect()}
+    for r in docs:
+        if not any(c.isalpha() for c in r["text"] or ""):
+            assert got[r["doc_id"]]["lang_pred"] == "und"
+            continue
+        v = np.append(plain_vector(r["text"]), 1.0)
+        p_family = soft(np.array([v @ w for w in told]))
+        own = sorted(set(lang[family == families[p_family.argmax()]]))
+        votes, margins = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0)
+        for (a, b), w in pairs.items():
+            if a in votes and b in votes:
+                m = float(v @ w)
+                votes[a if m > 0 else b] += 1
+                margins[a] += min(3, max(-3, m))
+                margins[b] -= min(3, max(-3, m))
+        p = soft(np.array([margins[n] for n in own]) / max(1, len(own) - 1))
+        best = int(np.argmax([votes[n] + q / 2 for n, q in zip(own, p, strict=True)]))
+        assert got[r["doc_id"]]["lang_pred"] == own[best] and abs(got[r["doc_id"]]["score"] - p_family.max() * p[best]) < 1e-4
+
+
 def test_one_language(frame):
     model = L.learn(frame([(i, "some english words", "en", "a", 0) for i in range(20)]))
     assert L.identify(frame([(1, "words", None, None, 0)]), model).head()["lang_pred"] == "en"

@@ -54,9 +54,8 @@ def test_the_tree_decides(frame, rows):
     made = M.plan(frame(rows), block_words=300)
     draws = M.shard_draws(made, 5)
     counts = {r["s"]: r["count"] for r in made["draws"].groupBy("s").count().collect()}
-    n = made["sources"].count()
-    quotas = frame([]).sparkSession.createDataFrame([([counts.get(s, 0) for s in range(1, n + 1)],)], "quotas array<bigint>")
-    dealt = {(r["shard"], s + 1): k for r in M.split_tree(quotas, 5).collect() for s, k in enumerate(r["quotas"]) if k}
+    quotas = frame([]).sparkSession.createDataFrame([(sorted(counts.items()),)], "quotas array<struct<s: int, n: bigint>>")
+    dealt = {(r["shard"], q["s"]): q["n"] for r in M.split_tree(quotas, 5).collect() for q in r["quotas"]}
     got = M.taken(made, draws).select("s", "block", F.explode("shares").alias("x")).select("s", "block", "x.*").groupBy("shard", "s").agg(F.count_distinct("block", "pass").alias("n"))
     assert {(r["shard"], r["s"]): r["n"] for r in got.collect()} == dealt
     fewer = draws.filter("shard <> 2")
@@ -95,5 +94,7 @@ def test_hypergeometric(spark):
 
 def test_tree_keeps_quotas(spark):
     quotas = [100, 7, 0, 33, 1234]
-    got = np.stack(M.split_tree(spark.createDataFrame([(quotas,)], "quotas array<bigint>"), 7).toPandas().quotas)
+    made = M.split_tree(spark.createDataFrame([(list(enumerate(quotas)),)], "quotas array<struct<s: int, n: bigint>>"), 7).collect()
+    assert all(q["n"] > 0 for r in made for q in r["quotas"])
+    got = np.stack([[dict(map(tuple, r["quotas"])).get(i, 0) for i in range(5)] for r in made])
     assert got.sum(0).tolist() == quotas and got.min() >= 0 and np.ptp(got.sum(1)) <= 3
