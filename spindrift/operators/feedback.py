@@ -53,11 +53,15 @@ def scores_at(parts: DataFrame, now: Column) -> DataFrame:
     return parts.select("doc_id", (F.col("mass") * F.pow(F.lit(2.0), F.col("top") - age)).alias("net"))
 
 
+def moved(score: Column, net: Column) -> Column:
+    """A score moved by its net feedback, by at most 0.05; without feedback it stays."""
+    return score + F.tanh(F.coalesce(net, F.lit(0.0))) * K.RERANK_CAP
+
+
 def reranked(ranked: DataFrame, scores: DataFrame) -> DataFrame:
     """ranked (doc_id, score, rank) with scores moved by at most 0.05, in the new order; equal scores keep theirs."""
-    net = F.coalesce("net", F.lit(0.0))
-    moved = ranked.join(scores, "doc_id", "left").withColumn("score", F.col("score") + F.tanh(net) * K.RERANK_CAP).drop("net")
-    return moved.orderBy(F.desc("score"), "rank")
+    out = ranked.join(scores, "doc_id", "left").withColumn("score", moved(F.col("score"), F.col("net"))).drop("net")
+    return out.orderBy(F.desc("score"), "rank")
 
 
 def stats(rows: DataFrame) -> DataFrame:
@@ -100,6 +104,13 @@ def upserted_alias(aliases: DataFrame, alias: str, canonical: str) -> DataFrame:
     return aliases.filter(F.col("alias") != alias).unionByName(aliases.sparkSession.createDataFrame([(alias, canonical)], "alias string, canonical string"))
 
 
+def upserted_aliases(aliases: DataFrame, new: DataFrame, by: str = "pos") -> DataFrame:
+    """aliases (alias, canonical) with new entries in place of those of the same alias; the last of an alias by `by` counts, blank ones go."""
+    told = new.select(F.lower(X.cleaned(F.col("alias"))).alias("alias"), X.cleaned(F.col("canonical")).alias("canonical"), by).filter("alias <> '' AND canonical <> ''")
+    last = told.groupBy("alias").agg(F.max_by("canonical", F.struct(by, "canonical")).alias("canonical"))
+    return aliases.join(last.select("alias"), "alias", "left_anti").unionByName(last)
+
+
 def latest_status(log: DataFrame) -> DataFrame:
     """id and the fields of its last entry: updates are appended, never written in place."""
     return log.groupBy("id").agg(F.max_by(F.struct(*[c for c in log.columns if c != "id"]), F.col("created_at")).alias("r")).select("id", "r.*")

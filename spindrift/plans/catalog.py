@@ -214,10 +214,8 @@ r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id)
 SELECT qid, doc_id, score, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5 AND score > 0
 """)
 def tfidf_topk_benchmark(spark, sf_dir):
-    counts, terms = _index(spark, sf_dir)
-    asked = retrieval.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
-    scores = retrieval.sparse_scores(retrieval.weighted(asked, terms), retrieval.weighted(counts, terms))
-    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), 5)
+    index = retrieval.indexed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return retrieval.pruned_top_k(index.asked(table(spark, sf_dir, "benchmark"), "item_id", "text"), index, 5)
 
 
 _COSINE = "round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6)"
@@ -253,6 +251,16 @@ def dense_topk_batch(spark, sf_dir):
     return _ranked(spark, sf_dir, 10)[0]
 
 
+@query()
+def dense_topk_lists(spark, sf_dir):
+    """The ten nearest of every fiftieth vector by inverted lists, with `exact`: whether the search of all vectors finds the pair too. Approximate, so without SQL; recall is tested."""
+    docs, queries = _vectors(spark, sf_dir)
+    asked = queries.filter("qid % 50 = 0").select("qid", "q")
+    found = retrieval.in_lists(docs.select("doc_id", "v")).top_k(asked, 10)
+    exact = retrieval.dense_top_k(asked, docs, 10).select("qid", "doc_id", F.lit(True).alias("exact"))
+    return found.join(exact, ["qid", "doc_id"], "left").withColumn("exact", F.coalesce("exact", F.lit(False)))
+
+
 @query(f"""
 WITH {_RANKED_SQL}, k AS (SELECT *, q_label = label AS rel FROM r WHERE rank <= 10 AND score > 0),
 q AS (SELECT qid, q_label, max(CAST(rel AS INTEGER)) AS hit, coalesce(1.0 / min(rank) FILTER (rel), 0) AS rr, avg(CAST(rel AS DOUBLE)) AS p FROM k GROUP BY 1, 2)

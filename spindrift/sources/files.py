@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,10 +42,21 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     """A folder that driver and executors share, below spark.checkpoint.dir."""
     top = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not top:
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        top = tempfile.mkdtemp(prefix="spindrift-")  # a local session has one machine
+        spark.sparkContext.setCheckpointDir(top)
+        top = spark.sparkContext.getCheckpointDir()
     return f"{top.rstrip('/')}/{name}"
 
 
+def staged(rows: DataFrame, label: str) -> DataFrame:
+    """rows, written once as Parquet in the shared folder and read again: what several plans use is computed once, and lost executors don't lose it."""
+    path = shared_folder(rows.sparkSession, f"{label}-{uuid.uuid4().hex}")
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def facts(spark: SparkSession, path: str) -> DataFrame:
     """path, name, size, modified of the files at a path (a file, a folder or a pattern); their content isn't read."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -1,17 +1,24 @@
-"""Queries over rows that are written out here: expressions over query texts, trial records and replies, each with the values that must result.
-
-The tables of a corpus have no such texts; the expressions are the same that `Engine` and the batch operators run over whole tables.
-"""
+"""Rows that are written out here, with the values that must result: expressions over query texts, trial records and replies."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import constants as K
-from ..functions import text as X
-from ..operators import conversation, documents, feedback, landscape, merge, versions
-from ..sources import trials
-from .catalog import query
+from spindrift.functions import constants as K
+from spindrift.functions import text as X
+from spindrift.operators import conversation, documents, feedback, landscape, merge, versions
+from spindrift.sources import trials
+
+QUERIES, EXPECTED = {}, {}
+
+
+def query(sql):
+    def add(f):
+        QUERIES[f.__name__], EXPECTED[f.__name__] = f, sql
+        return f
+
+    return add
+
 
 EMPTY = ""
 
@@ -279,7 +286,7 @@ def next_versions(spark, sf_dir):
 
 @query(expected("corpus, display_name, trial_count, loaded", [(k, name, 2 if k == "melanoma" else 0, k == "melanoma") for k, name, _ in K.CORPORA]))
 def corpora_loaded(spark, sf_dir):
-    from .engine import Engine
+    from spindrift.plans.engine import Engine
 
     return Engine.corpora(spark, spark.createDataFrame([("melanoma",), ("melanoma",)], "corpus string")).select("corpus", "display_name", F.coalesce("trial_count", F.lit(0)).alias("trial_count"), "loaded")
 
@@ -299,7 +306,7 @@ _SEARCHES = [
 @query(expected("query, k, ids", [(q, k, i) for q, k, i in _SEARCHES if i]))
 def filtered_search(spark, sf_dir):
     """Search with structured filters: classes all, else any, else the other filters alone; the pool if those leave nothing."""
-    from .engine import Engine
+    from spindrift.plans.engine import Engine
 
     engine = Engine(_documents(spark))
     found = [engine.search(q, k).agg(F.array_sort(F.collect_list("doc_id")).alias("ids")).select(F.lit(q).alias("query"), F.lit(k).alias("k"), "ids") for q, k, i in _SEARCHES if i]

@@ -1,7 +1,8 @@
+import expected_rows
 import pytest
 from comparing import of_sql, rows
 
-from spindrift.plans import catalog, kept, samples  # noqa: F401  these add their queries to the catalog
+from spindrift.plans import catalog, kept, registry, texts, trees  # noqa: F401  these add their queries to the catalog
 
 
 @pytest.mark.parametrize("name", sorted(catalog.QUERIES))
@@ -14,6 +15,12 @@ def test_query_equals_its_sql(spark, sf_dir, name):
         assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", sorted(expected_rows.QUERIES))
+def test_written_out_rows(spark, sf_dir, name):
+    got, want = expected_rows.QUERIES[name](spark, sf_dir).toPandas(), of_sql(expected_rows.EXPECTED[name], sf_dir)
+    assert sorted(got.columns) == sorted(want.columns) and rows(got) == rows(want)
+
+
 def test_entry(spark):
     import __spark_entry__
 

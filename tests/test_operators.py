@@ -227,8 +227,8 @@ def test_retrieval_without_broadcast_and_in_blocks(spark):
     queries = vectors.filter("doc_id % 5 = 0").select(F.col("doc_id").alias("qid"), F.col("v").alias("q"))
     plain = retrieval.top_k(retrieval.dense_scores(queries, vectors).filter("qid <> doc_id").withColumn("score", F.round("score", 6)), 4)
     want = sorted((r["qid"], r["rank"], r["doc_id"]) for r in plain.collect())
-    for block in (3, 2048):
-        assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in retrieval.dense_top_k(queries, vectors, 4, block=block).collect()) == want
+    for pack, at_once in ((3, 2), (5, 1), (2048, 16)):
+        assert sorted((r["qid"], r["rank"], r["doc_id"]) for r in retrieval.dense_top_k(queries, vectors, 4, query_pack=pack, at_once=at_once).collect()) == want
     postings = spark.createDataFrame([("d1", "a", 0.5), ("d1", "b", 0.5), ("d2", "a", 1.0)], "doc_id string, term string, w double")
     asked = spark.createDataFrame([("q", "a", 1.0)], "doc_id string, term string, w double")
     both = [sorted(map(tuple, retrieval.sparse_scores(asked, postings, few=n).collect())) for n in (0, 100)]
