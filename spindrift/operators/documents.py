@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import constants as K
@@ -80,11 +80,23 @@ def change_log_entry(rows: DataFrame) -> DataFrame:
     return rows.select("protocol_id", "version", cut("user_request", 600), cut("assistant_note", 1500), F.coalesce("changed_fields", F.array().cast("array<string>")).alias("changed_fields"), "ts")
 
 
-def context(ranked: DataFrame, fields: dict[str, str], rank: str = "rank") -> DataFrame:
-    """One row: the documents' fields as numbered blocks, in order; values "", "0" and "False" are left out. For the few rows of an answer."""
+def context(ranked: DataFrame, fields: dict[str, str], rank: str = "rank", by: str | None = None) -> DataFrame:
+    """One row (a row for each `by`): the documents' fields as numbered blocks, in order of rank; values "", "0" and "False" are left out.
+
+    An answer's documents are few, as retrieval bounds them; they are numbered in their own array, without a window.
+    """
     kept = [F.when(~F.coalesce(F.col(c).cast("string"), F.lit("")).isin("", "0", "False"), F.concat(F.lit(f"{label}: "), F.col(c).cast("string"))) for c, label in fields.items()]
-    numbered = ranked.withColumn("_i", F.row_number().over(Window.orderBy(rank, "doc_id")))
-    block = F.concat_ws("\n", F.concat(F.lit("<trial id="), F.col("_i").cast("string"), F.lit(">")), F.concat(F.lit("NCT ID: "), F.col("doc_id")), *kept, F.lit("</trial>"))
-    return numbered.select("_i", block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("_i", "block"))).alias("b")).select(
-        F.array_join(F.transform("b", lambda x: x["block"]), "\n\n").alias("context")
-    )
+    body = F.concat_ws("\n", F.concat(F.lit("NCT ID: "), F.col("doc_id")), *kept)
+    rows = ranked.groupBy(*([by] if by else [])).agg(F.array_sort(F.collect_list(F.struct(F.col(rank).alias("rank"), "doc_id", body.alias("body")))).alias("b"))
+    blocks = F.transform("b", lambda x, i: F.concat(F.lit("<trial id="), (i + 1).cast("string"), F.lit(">\n"), x["body"], F.lit("\n</trial>")))
+    return rows.select(*([by] if by else []), F.array_join(blocks, "\n\n").alias("context"))
+
+
+def feedback_context(turns: DataFrame, sources: DataFrame) -> DataFrame:
+    """conv_id, query, assistant_message, source_nct_ids: what a vote on a conversation's last answer is stored with.
+
+    turns: conv_id, turn, role, text; sources: conv_id, ids. The last user text that is not blank, the last answer, and the first 25 ids that aren't blank.
+    """
+    last = lambda role, keep=None: F.max_by(F.when((F.col("role") == role) & (F.lit(True) if keep is None else keep), F.col("text")), F.when((F.col("role") == role) & (F.lit(True) if keep is None else keep), F.col("turn")))
+    said = turns.groupBy("conv_id").agg(F.coalesce(last("user", X.cleaned(F.col("text")) != ""), F.lit("")).alias("query"), F.coalesce(last("assistant"), F.lit("")).alias("assistant_message"))
+    return said.join(sources, "conv_id", "left").select("conv_id", "query", "assistant_message", X.kept_ids(F.coalesce("ids", F.array().cast("array<string>"))).alias("source_nct_ids"))

@@ -52,3 +52,11 @@ def judged(rows: DataFrame, column: str = "verdict") -> DataFrame:
     got = F.from_json(column, "faithfulness int, relevance int, completeness int")
     cols = {n: F.coalesce(got[n], F.lit(0)) for n in ("faithfulness", "relevance", "completeness")}
     return rows.agg(*[F.round(F.avg(c), 6).alias(n) for n, c in cols.items()], F.round(F.avg(sum(cols.values()) / 3.0), 6).alias("overall"))
+
+
+def report_json(scored: DataFrame, category: str = "category") -> DataFrame:
+    """report: one row of JSON with the means of all queries and, by name, those of each category; scored: category, hit, rr, precision of every query."""
+    figures = F.struct("n", "hit_rate", "mrr", "precision")
+    rows = macro(scored, category)
+    named = F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col(category).isNotNull(), F.struct(F.col(category), figures.alias("figures"))))))
+    return rows.agg(F.to_json(F.struct(F.max(F.when(F.col(category).isNull(), figures)).alias("overall"), named.alias("by_category"))).alias("report"))

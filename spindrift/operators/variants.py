@@ -10,7 +10,7 @@ DEPTH = 8
 
 
 def _container(v: Column) -> Column:
-    return F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)<.")
+    return F.schema_of_variant(v).rlike("^(OBJECT|ARRAY)<[^>]")
 
 
 def shown(v: Column) -> Column:
@@ -30,8 +30,9 @@ def leaves(rows: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
     for _ in range(depth):
         inner = F.when(_container(F.col("_v")), F.col("_v"))
         at = at.withColumn("_c", inner).lateralJoin(spark.tvf.variant_explode_outer(F.col("_c").outer()))
-        step = F.when(F.col("_c").isNull(), "").when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-        at = at.select(*keys, F.concat("path", step).alias("path"), F.when(F.col("_c").isNull(), F.col("_v")).otherwise(F.col("value")).alias("_v"))
+        whole = F.col("pos").isNull()  # a plain value, or a list without anything in it
+        step = F.when(whole, "").when(F.col("key").isNotNull(), F.concat(F.lit("."), "key")).otherwise(F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+        at = at.select(*keys, F.concat("path", step).alias("path"), F.when(whole, F.col("_v")).otherwise(F.col("value")).alias("_v"))
     return at.select(*keys, "path", shown(F.col("_v")).alias("value"))
 
 
@@ -54,7 +55,7 @@ def diff(versions: DataFrame, keys: list[str], column: str = "body", version: st
 def field_text(v: Column) -> Column:
     """A field as it is displayed: a list of plain values as lines with bullets, a struct as lines "name: value", a plain value as it is."""
     kind = F.schema_of_variant(v)
-    items = F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array().cast("array<string>")), F.trim), lambda x: x != "")
+    items = F.filter(F.transform(F.coalesce(F.try_variant_get(v, "$", "array<string>"), F.array().cast("array<string>")), lambda x: F.trim(x)), lambda x: x != "")
     pairs = F.map_entries(F.coalesce(F.try_variant_get(v, "$", "map<string, string>"), F.create_map().cast("map<string,string>")))
     told = F.array_sort(F.transform(F.filter(pairs, lambda e: F.coalesce(F.trim(e["value"]), F.lit("")) != ""), lambda e: F.concat(e["key"], F.lit(": "), F.trim(e["value"]))))
     return F.when(kind.startswith("ARRAY"), F.array_join(F.transform(items, lambda x: F.concat(F.lit("• "), x)), "\n")).when(kind.startswith("OBJECT"), F.array_join(told, "\n")).otherwise(F.coalesce(F.try_variant_get(v, "$", "string"), F.lit("")))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import retrieval
+
 
 def next_versions(store: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """new with version = the key's last version + 1 (1 for a new key); one writer is assumed."""
@@ -24,6 +26,35 @@ def listed(store: DataFrame, user: str, most: int = 100) -> DataFrame:
     return latest(store.filter(F.col("user_id") == user), ["user_id", "protocol_id"]).orderBy(F.desc("ts"), "protocol_id").limit(most)
 
 
+def initial(rows: DataFrame, now: str) -> DataFrame:
+    """rows as first versions: protocol_id (drawn), version 1, ts and the change log's first entry; what rows has of these names is replaced."""
+    first = {"protocol_id": F.uuid(), "version": F.lit(1), "ts": F.lit(now), "user_request": F.lit(""), "assistant_note": F.lit("Initial version")}
+    return rows.drop(*first).withColumns(first)
+
+
+def matched(entries: DataFrame, asked: DataFrame, fields: list[str], most: int = 10, vocabulary: int = 2048) -> DataFrame:
+    """user_id, protocol_id, score, place: for each user's query (user_id, query) the `most` nearest of the user's own entries (user_id, protocol_id, ts, fields).
+
+    Weights are fitted for each user on the entries and the query, over the user's most frequent terms; equal scores go by ts, newest first. One
+    plan for all users: everything is counted and ranked by user.
+    """
+    told = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    texts = entries.select("user_id", "protocol_id", told.alias("text"), F.lit(0).alias("own")).unionByName(asked.select("user_id", F.lit(None).cast(entries.schema["protocol_id"].dataType).alias("protocol_id"), F.col("query").alias("text"), F.lit(1).alias("own")))
+    counts = texts.select("user_id", "protocol_id", "own", F.explode(retrieval.tokens(F.col("text"))).alias("term")).groupBy("user_id", "protocol_id", "own", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sizes = texts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    terms = counts.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("cf"), "term"))
+    terms = terms.withColumn("r", rank).filter(F.col("r") <= vocabulary).join(sizes, "user_id").select("user_id", "term", (F.log((F.lit(1.0) + F.col("n")) / (F.col("df") + 1)) + 1).alias("idf"))
+    raw = counts.join(terms, ["user_id", "term"]).withColumn("w", (F.log("tf") + 1) * F.col("idf"))
+    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("user_id", "protocol_id", "own")))
+    unit = raw.withColumn("w", F.col("w") / norm)
+    q = unit.filter("own = 1").select("user_id", "term", F.col("w").alias("wq"))
+    scores = unit.filter("own = 0").join(q, ["user_id", "term"]).groupBy("user_id", "protocol_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
+    found = entries.join(asked.select("user_id"), "user_id", "left_semi").join(scores, ["user_id", "protocol_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("ts"), "protocol_id"))
+    return found.withColumn("place", place).filter(F.col("place") <= most)
+
+
 def with_notes(store: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:
     """All versions with their notes, empty where there is none."""
     return store.join(log, [*keys, "version"], "left").withColumn("user_request", F.coalesce("user_request", F.lit(""))).withColumn("assistant_note", F.coalesce("assistant_note", F.lit("")))

@@ -598,12 +598,16 @@ def keyword_relevance(spark, sf_dir):
     return evaluation.keyword_relevance(_found_by_item(spark, sf_dir)[0], F.col("text")).select("doc_id", "item_id", "n_keywords", "relevant")
 
 
-def _judged(spark, sf_dir, expected):
+def _scored_items(spark, sf_dir, expected):
     found, words = _found_by_item(spark, sf_dir)
     meta = F.to_json(F.struct("lang", "source"))
     scored = evaluation.judged_by_query(found.withColumn("expected_ids", expected), ["item_id"], F.col("text"), meta)
     every = words.select("item_id").join(scored, "item_id", "left").fillna(0, ["hit", "rr", "precision"])
-    return evaluation.macro(every.withColumn("category", F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string"))))
+    return every.withColumn("category", F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string")))
+
+
+def _judged(spark, sf_dir, expected):
+    return evaluation.macro(_scored_items(spark, sf_dir, expected))
 
 
 _JUDGED_SQL = """

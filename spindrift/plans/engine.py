@@ -5,6 +5,7 @@ Text generation is not part of it; answers start from the DataFrames returned he
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from ..functions import constants as K
 from ..functions import text as X
 from ..operators import documents, evaluation, feedback, landscape, merge, reports, retrieval, versions
+from ..operators.dictionary import expanded
+from ..operators.store import BucketStore
+from ..sources.files import staged
+from ..sources.order import PLACE
 
 
 @dataclass
@@ -103,8 +108,7 @@ class Engine:
         """Documents of a chat turn: a wide pool spread over drug classes when a population is known, else search; industry and recruiting trials first."""
         asked = self.spark.range(1).select(X.with_population(F.lit(query), F.lit(filters.get("disease") or "")).alias("q"))
         if aliases is not None:
-            pairs = aliases.agg(F.collect_list(F.struct("alias", "canonical")).alias("aliases"))  # one row: a dictionary kept by hand
-            asked = asked.crossJoin(F.broadcast(pairs)).select(X.with_aliases(F.col("q"), F.col("aliases")).alias("q"))
+            asked = expanded(asked.withColumn("id", F.lit(0)), "id", "q", aliases).select(F.col("widened").alias("q"))
         query = asked.head()[0]
         if with_landscape and filters.get("disease"):
             pool = self._retrieved(query, K.CHAT_POOL, scores)
@@ -142,9 +146,15 @@ class Engine:
         }
 
     @staticmethod
-    def ingest(stored: DataFrame, incoming: DataFrame, key: str = "nctId") -> tuple[DataFrame, DataFrame]:
-        """(the snapshot after an update, how many rows are new and updated, and all): the last incoming row of each key counts."""
-        return merge.upserted(stored, incoming, key), merge.change_counts(merge.changes(stored, merge.last_by_key(incoming, key), key))
+    def ingest(store: BucketStore, incoming: DataFrame, by: str = PLACE) -> dict[str, int]:
+        """Bring a stored snapshot up to date with incoming rows, of which the last of each key by `by` counts: n_new, n_updated, total. Only touched buckets are written."""
+        stored = store.read()
+        last = staged(merge.last_by_key(incoming, store.key, by), "incoming-last")
+        counts = merge.change_counts(merge.changes(stored, last, store.key)).head().asDict()
+        kinds = {f.name: f.dataType for f in stored.schema.fields}
+        told = merge.changes(stored, last, store.key).filter("change IN ('I', 'U')").select(store.key)
+        store.update(staged(last.join(told, store.key, "left_semi").select(*[F.col(c).try_cast(kinds[c]).alias(c) for c in stored.columns]), "incoming-changed"))
+        return counts
 
     def landscape(self, filters: dict[str, str | None]) -> DataFrame:
         pattern = dict(K.DISEASES).get(filters.get("disease") or "")
@@ -157,6 +167,19 @@ class Engine:
         counts = trials.groupBy("corpus").agg(F.count(F.lit(1)).alias("trial_count"))
         return known.join(counts, "corpus", "left").withColumn("loaded", F.col("trial_count").isNotNull())
 
+    @staticmethod
+    def health(corpora: DataFrame) -> DataFrame:
+        """trials of all loaded corpora, and how many corpora are loaded and known."""
+        return corpora.agg(F.coalesce(F.sum("trial_count"), F.lit(0)).alias("trials"), F.count_if("loaded").alias("loaded"), F.count(F.lit(1)).alias("known"))
+
+    @staticmethod
+    def of_enabled(rows: DataFrame, corpora: DataFrame, column: str = "corpus") -> DataFrame:
+        """rows whose corpus is loaded; one that isn't is an error, which names it."""
+        missing = rows.select(column).distinct().join(corpora.filter("loaded").select(F.col("corpus").alias(column)), column, "left_anti").orderBy(column).head(3)
+        if missing:
+            raise ValueError("corpora that are not enabled: " + ", ".join(str(r[0]) for r in missing))
+        return rows
+
 
 CHAT_MOST = 20
 
@@ -197,16 +220,15 @@ class ProtocolStore:
 
     def matching(self, user: str, query: str, fields: list[str], most: int = 10) -> DataFrame:
         """All of a user's protocols, those that share the query's terms first, then the newest."""
-        rows = self.list(user)
-        texts = rows.select("protocol_id", F.concat_ws(" ", *[F.coalesce(F.col(f), F.lit("")) for f in fields]).alias("text"))
-        asked = self.spark.createDataFrame([("\0query", query)], "protocol_id string, text string")
-        counts = retrieval.term_counts(texts.unionByName(asked), "protocol_id", "text")
-        terms = retrieval.vocabulary(counts, texts.count() + 1, 2048)
-        both = retrieval.weighted(counts, terms)
-        near = retrieval.sparse_scores(both.filter("doc_id = '\\0query'"), both.filter("doc_id <> '\\0query'"))
-        scored = rows.join(near.select(F.col("doc_id").alias("protocol_id"), "score"), "protocol_id", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
-        return scored.orderBy(F.desc("score"), F.desc("ts"), "protocol_id").limit(most)
+        asked = self.spark.createDataFrame([(user, query)], "user_id string, query string")
+        return versions.matched(self.list(user), asked, fields, most).orderBy("place")
 
+    def create(self, rows: DataFrame, now: str) -> DataFrame:
+        """Save first versions of new protocols, each with an id of its own and a first entry of its change log; returns the rows with their ids."""
+        made = versions.initial(rows, now)
+        held = staged(made, "protocols-new")  # ids are drawn once
+        self.save(held)
+        return held
 
 def fingerprint(docs: DataFrame, row_hash: Column | None = None) -> DataFrame:
     """n and a digest of a corpus that doesn't depend on the order of its rows: per-row hashes (longs) are combined before they are shuffled."""
@@ -236,13 +258,15 @@ class FeedbackStore:
         log = self.spark.read.schema(self.FIELDS).option("mode", "DROPMALFORMED").json(self.path)
         return feedback.latest_status(log).orderBy(F.desc("created_at"), "id")
 
-    def promote(self, id_: str, aliases: DataFrame, now: str) -> DataFrame | None:
-        """aliases with the alias of a feedback row, which is resolved; None if there is no such row or it names none."""
+    def promote(self, id_: str, aliases: DataFrame, now: str, store: Callable[[DataFrame], None]) -> DataFrame | None:
+        """Store the alias of a feedback row, then resolve the row: a failure between the two leaves it open, and it can be promoted again. The aliases, or None if there is no such row or it names none."""
         row = self.read().filter((F.col("id") == id_) & (X.cleaned(F.col("alias")) != "") & (X.cleaned(F.col("canonical")) != "")).head()
         if row is None:
             return None
+        made = feedback.upserted_alias(aliases, row["alias"], row["canonical"])
+        store(made)
         self.set_status(id_, "resolved", now)
-        return feedback.upserted_alias(aliases, row["alias"], row["canonical"])
+        return made
 
     def set_status(self, id_: str, status: str, now: str) -> bool:
         """False if there is no such id."""

@@ -270,3 +270,41 @@ def corpora_loaded(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select(_pick([c for c, _, _ in K.CORPORA[:9]], F.col("doc_id")).alias("corpus"))
     return Engine.corpora(spark, docs).select("corpus", "trial_count", "loaded")
+
+
+@query(f"""WITH {_SEARCH_SQL}, place AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM kept)
+SELECT qid, string_agg('<trial id=' || CAST(place AS VARCHAR) || '>' || chr(10) || 'NCT ID: ' || nct || chr(10) || 'Title: ' || title || CASE WHEN phases <> '' THEN chr(10) || 'Phase: ' || phases ELSE '' END || chr(10) || 'Status: ' || status ||
+  CASE WHEN coalesce(enrollment, 0) <> 0 THEN chr(10) || 'Enrollment: ' || CAST(enrollment AS VARCHAR) ELSE '' END || chr(10) || '</trial>', chr(10) || chr(10) ORDER BY place) AS context FROM place WHERE place <= 5 GROUP BY 1""")
+def answer_contexts(spark, sf_dir):
+    """What an answer to each question would be told: the documents found, as numbered blocks."""
+    from ..operators import documents as d
+
+    docs, index = trial_index(spark, sf_dir)
+    found = search.retrieved(questions(spark, sf_dir), docs, index)
+    return d.context(found, {"title": "Title", "phases": "Phase", "status": "Status", "enrollmentCont": "Enrollment"}, rank="place", by="qid")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS trials, 9 AS loaded, 13 AS known FROM documents")
+def corpus_health(spark, sf_dir):
+    """Trials of all loaded corpora; every document's corpus is among them, or this is an error."""
+    from .engine import Engine
+
+    docs = table(spark, sf_dir, "documents").select(_pick([c for c, _, _ in K.CORPORA[:9]], F.col("doc_id")).alias("corpus"))
+    corpora = Engine.corpora(spark, docs)
+    Engine.of_enabled(docs, corpora)
+    return Engine.health(corpora)
+
+
+@query("SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id >= (SELECT max(doc_id) * 3 // 4 FROM documents) AND lang IN ('en', 'de') AND source IS NOT NULL")
+def registry_pages(spark, sf_dir):
+    """Documents landed as pages and read back with filters that skip pages."""
+    import uuid
+
+    from ..sources import pages
+    from ..sources.files import shared_folder
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars")
+    path = shared_folder(spark, f"pages-{uuid.uuid4().hex}")
+    pages.land(docs, path, ["doc_id"], 50)
+    least = docs.agg(F.max("doc_id")).head()[0] * 3 // 4
+    return pages.read(spark, path, "doc_id long, lang string, source string, n_chars long").filter(F.col("doc_id") >= least).filter(F.col("lang").isin("en", "de") & F.col("source").isNotNull())

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..operators import conversation, feedback, landscape
+from ..operators import conversation, documents, evaluation, feedback, landscape, variants, versions
 from ..operators.dictionary import expanded
+from ..operators.store import BucketStore
 from ..sources import trials
+from ..sources.files import shared_folder
 from .catalog import NOW, query, table
 
 
@@ -133,3 +137,87 @@ def dictionary_names(spark, sf_dir):
     """The names of a large alias dictionary that the benchmark's texts hold, longest first, a word counting once."""
     items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
     return expanded(items, "qid", "text", _dictionary(spark, sf_dir)).filter(F.size("names") > 0).select("qid", "names")
+
+
+@query(r"""
+WITH q AS (SELECT item_id % 20 AS user_id, max_by(text, item_id) AS text FROM benchmark GROUP BY 1),
+t AS (SELECT doc_id % 20 AS user_id, doc_id, 0 AS own, text FROM documents UNION ALL SELECT user_id, NULL, 1, text FROM q),
+tf AS (SELECT user_id, doc_id, own, term, count(*) AS tf FROM (SELECT user_id, doc_id, own, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]{2,}')) AS term FROM t) GROUP BY ALL),
+n AS (SELECT user_id, count(*) AS n FROM t GROUP BY 1), v AS (SELECT user_id, term, count(*) AS df, sum(tf) AS cf, row_number() OVER (PARTITION BY user_id ORDER BY sum(tf) DESC, term) AS r FROM tf GROUP BY 1, 2),
+i AS (SELECT user_id, term, ln((1.0 + n) / (1 + df)) + 1 AS idf FROM v JOIN n USING (user_id) WHERE r <= 2048), w AS (SELECT tf.*, (1 + ln(tf)) * idf AS w FROM tf JOIN i USING (user_id, term)),
+u AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY user_id, doc_id, own)) AS u FROM w),
+s AS (SELECT a.user_id, a.doc_id, round(sum(a.u * b.u), 6) AS score FROM u a JOIN u b USING (user_id, term) WHERE a.own = 0 AND b.own = 1 GROUP BY 1, 2),
+f AS (SELECT d.doc_id % 20 AS user_id, d.doc_id, coalesce(score, 0) AS score FROM documents d JOIN q ON q.user_id = d.doc_id % 20 LEFT JOIN s ON s.doc_id = d.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, doc_id DESC) AS place FROM f)
+SELECT CAST(user_id AS VARCHAR) AS user_id, doc_id AS protocol_id, score, CAST(place AS INTEGER) AS place FROM r WHERE place <= 10
+""")
+def user_matches(spark, sf_dir):
+    """Every user's query against the user's own entries, weights fitted by user, in one plan."""
+    user = lambda c: (F.col(c) % 20).cast("string").alias("user_id")
+    entries = table(spark, sf_dir, "documents").select(user("doc_id"), F.col("doc_id").alias("protocol_id"), F.col("doc_id").alias("ts"), "text")
+    asked = table(spark, sf_dir, "benchmark").groupBy(user("item_id")).agg(F.max_by("text", "item_id").alias("query"))
+    return versions.matched(entries, asked, ["text"]).select("user_id", "protocol_id", "score", "place")
+
+
+@query(r"""
+WITH c AS (SELECT conv_id, coalesce(max_by(text, turn) FILTER (role = 'user' AND trim(text) <> ''), '') AS query, coalesce(max_by(text, turn) FILTER (role = 'assistant'), '') AS assistant_message FROM conversations GROUP BY 1)
+SELECT conv_id, query, assistant_message, list_transform(range(1, least(conv_id % 30, 25) + 1), lambda i: 'NCT' || CAST(i AS VARCHAR)) AS source_nct_ids FROM c
+""")
+def feedback_contexts(spark, sf_dir):
+    """What a vote on each conversation's last answer is stored with; of the ids shown every second is blank."""
+    c = table(spark, sf_dir, "conversations")
+    ids = F.flatten(F.transform(F.sequence(F.lit(1), F.col("conv_id") % 30), lambda i: F.array(F.lit(" "), F.concat(F.lit(" NCT"), i.cast("string")))))
+    sources = c.select("conv_id").distinct().select("conv_id", F.when(F.col("conv_id") % 30 > 0, ids).alias("ids"))
+    return documents.feedback_context(c, sources)
+
+
+@query("""
+SELECT o_orderkey, 'F: ' || o_orderstatus || chr(10) || 'P: ' || o_orderpriority AS of_struct, '• ' || o_orderstatus || chr(10) || '• x' AS of_list, CAST(o_custkey AS VARCHAR) AS of_number, o_orderpriority AS of_text, '' AS of_null FROM orders
+""")
+def protocol_fields(spark, sf_dir):
+    """Fields of any shape as they are displayed."""
+    body = F.struct(
+        F.struct(F.col("o_orderstatus").alias("F"), F.concat("o_orderpriority", F.lit(" ")).alias("P"), F.lit(" ").alias("Q")).alias("of_struct"), F.array("o_orderstatus", F.lit(" "), F.lit(" x ")).alias("of_list"),
+        F.col("o_custkey").alias("of_number"), F.col("o_orderpriority").alias("of_text"), F.lit(None).cast("string").alias("of_null"),
+    )
+    v = F.parse_json(F.to_json(body, {"ignoreNullFields": "false"}))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", v.alias("v"))
+    names = ["of_struct", "of_list", "of_number", "of_text", "of_null"]
+    return rows.select("o_orderkey", *[variants.field_text(F.try_variant_get("v", f"$.{n}", "variant")).alias(n) for n in names])
+
+
+@query("SELECT c_custkey, 1 AS version, c_mktsegment AS title, '' AS user_request, 'Initial version' AS assistant_note, true AS has_id FROM customer")
+def first_versions(spark, sf_dir):
+    """A new protocol for every customer, saved and read again."""
+    from .engine import ProtocolStore
+
+    schema = "user_id string, protocol_id string, version int, ts string, title string, c_custkey bigint, user_request string, assistant_note string"
+    store = ProtocolStore(spark, shared_folder(spark, f"protocols-{uuid.uuid4().hex}"), schema)
+    made = store.create(table(spark, sf_dir, "customer").select((F.col("c_custkey") % 10).cast("string").alias("user_id"), F.col("c_mktsegment").alias("title"), "c_custkey"), NOW)
+    read = store.read().join(made.select("protocol_id"), "protocol_id", "left_semi")
+    return read.select("c_custkey", "version", "title", "user_request", "assistant_note", (F.length("protocol_id") == 36).alias("has_id"))
+
+
+@query("""
+WITH i AS (SELECT doc_id // 2 * 2 AS k, max_by(lang || ' new', doc_id) AS lang, max_by(n_chars, doc_id) AS n FROM documents WHERE doc_id % 10 >= 6 GROUP BY 1), o AS (SELECT doc_id, lang, n_chars FROM documents WHERE doc_id % 3 <> 0)
+SELECT count(*) FILTER (o.doc_id IS NULL) AS n_new, count(*) FILTER (o.doc_id IS NOT NULL AND i.k IS NOT NULL) AS n_updated, count(*) AS total, CAST(sum(coalesce(i.n, o.n_chars)) AS BIGINT) AS chars, count(*) FILTER (coalesce(i.lang, o.lang) LIKE '% new') AS renewed FROM o FULL JOIN i ON i.k = o.doc_id
+""")
+def ingested_snapshot(spark, sf_dir):
+    """A stored snapshot after an incremental update whose rows repeat: counts, and the table that was written."""
+    from .engine import Engine
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    store = BucketStore(spark, shared_folder(spark, f"snapshot-{uuid.uuid4().hex}"), "doc_id", 32)
+    store.create(docs.filter("doc_id % 3 <> 0"))
+    incoming = docs.filter("doc_id % 10 >= 6").select((F.floor(F.col("doc_id") / 2) * 2).alias("doc_id"), F.concat("lang", F.lit(" new")).alias("lang"), "n_chars", F.col("doc_id").alias("pos"))
+    counts = Engine.ingest(store, incoming)
+    written = store.read().agg(F.sum("n_chars").alias("chars"), F.count_if(F.col("lang").endswith(" new")).alias("renewed"))
+    return written.select(*[F.lit(n).cast("bigint").alias(c) for c, n in counts.items()], "chars", "renewed")
+
+
+@query()
+def evaluation_report(spark, sf_dir):
+    """The evaluation of all items as one nested report; its figures are those of keyword_eval_hit_mrr_p, so tests compare with them."""
+    from .catalog import _scored_items
+
+    return evaluation.report_json(_scored_items(spark, sf_dir, F.array().cast("array<bigint>")))

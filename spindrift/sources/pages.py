@@ -10,26 +10,35 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import (
     DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual,
 )
 from pyspark.sql.types import StructType
 
+from .files import staged
+
 NAME = "landed_pages"
 
 
 def land(rows: DataFrame, path: str, order: list[str], per_page: int, first_page: int = 0) -> None:
-    """Write rows as pages of `per_page` in this order, numbered from first_page on, with their index. For tests and for what a download job lands."""
-    place = F.row_number().over(Window.orderBy(*order)) - 1
-    told = rows.withColumn("page", (F.floor(place / per_page) + first_page).cast("int"))
+    """Write rows as pages of at most `per_page` in this order, numbered from first_page on, with their index, as a download job lands them.
+
+    Rows are dealt by ranges of the order; each range has pages of its own, so the last one of a range may be shorter.
+    """
+    at = F.monotonically_increasing_id()
+    held = staged(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": F.shiftright(at, 33).cast("int"), "_chunk": F.floor(at.bitwiseAND(F.lit((1 << 33) - 1)) / per_page).cast("int")}), "landed-rows")
+    before, offsets = first_page, []
+    for part, chunks in sorted(map(tuple, held.groupBy("_part").agg(F.max("_chunk") + 1).collect())):  # a row per range
+        offsets.append((part, before))
+        before += chunks
+    told = held.join(F.broadcast(rows.sparkSession.createDataFrame(offsets, "_part int, _before int")), "_part").withColumn("page", F.col("_before") + F.col("_chunk")).drop("_part", "_chunk", "_before")
     plain = [f.name for f in rows.schema.fields if f.dataType.typeName() in ("string", "long", "integer", "double", "date")]
     studies = F.sort_array(F.collect_list(F.struct(*order, *[c for c in rows.columns if c not in order])))
-    pages = told.groupBy("page").agg(studies.alias("studies"))
-    more = F.lead("page").over(Window.orderBy("page"))
-    body = F.to_json(F.struct("studies", F.concat(F.lit("token-"), more.cast("string")).alias("nextPageToken")))
-    pages.select("page", body.alias("value")).repartition("page").write.mode("append").partitionBy("page").text(f"{path}/pages")
+    more = F.when(F.col("page") < before - 1, F.concat(F.lit("token-"), (F.col("page") + 1).cast("string")))
+    pages = told.groupBy("page").agg(studies.alias("studies")).select("page", F.to_json(F.struct("studies", more.alias("nextPageToken"))).alias("value"))
+    pages.repartition("page").write.mode("append").partitionBy("page").text(f"{path}/pages")
     bounds = [f(F.col(c)).alias(f"{kind}_{c}") for c in plain for kind, f in (("least", F.min), ("most", F.max))]
     told.groupBy("page").agg(F.count(F.lit(1)).alias("n"), *bounds).write.mode("append").json(f"{path}/index")
 

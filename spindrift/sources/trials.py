@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as X
+from .files import exists
 
 # Fixed values. Columns of a trial row, in order.
 COLUMNS = (
@@ -140,3 +141,10 @@ def read_studies(spark: SparkSession, path: str) -> DataFrame:
 def write_csv(trials: DataFrame, path: str) -> None:
     """All 55 columns in their order, other columns left out."""
     trials.select(*COLUMNS).write.mode("overwrite").option("escape", '"').csv(path, header=True)
+
+
+def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A registry's JSON (one object a file or a line); no rows where nothing is stored yet."""
+    if not exists(spark, path):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
