@@ -2,124 +2,132 @@
 
 from __future__ import annotations
 
-# Fixed values. Country names as they stand in the data, with the words that name them in a query.
-COUNTRY_WORDS = {
-    "United States": ("united states", "usa", "u.s.a.", "u.s.", "us", "america", "american"),
-    "United Kingdom": ("united kingdom", "uk", "britain", "england"),
-    "China": ("china", "chinese"),
-    "Canada": ("canada", "canadian"),
-    "France": ("france", "french"),
-    "Germany": ("germany", "german"),
-    "Japan": ("japan", "japanese"),
-    "South Korea": ("south korea", "korea", "korean"),
-    "Australia": ("australia", "australian"),
-    "Italy": ("italy", "italian"),
-    "Spain": ("spain", "spanish"),
-    "Netherlands": ("netherlands", "dutch"),
-    "Belgium": ("belgium",),
-    "Switzerland": ("switzerland", "swiss"),
-    "India": ("india", "indian"),
-    "Brazil": ("brazil", "brazilian"),
-    "Mexico": ("mexico", "mexican"),
-    "Turkey (Türkiye)": ("turkey", "turkish"),
-}
+# Fixed values. Words that name a country in a query, with its name as it stands in the data.
+COUNTRIES = [
+    ("united states", "United States"), ("usa", "United States"), ("u.s.a.", "United States"), ("u.s.", "United States"), ("us", "United States"),
+    ("america", "United States"), ("american", "United States"),
+    ("united kingdom", "United Kingdom"), ("uk", "United Kingdom"), ("britain", "United Kingdom"), ("england", "United Kingdom"),
+    ("china", "China"), ("chinese", "China"),
+    ("canada", "Canada"), ("canadian", "Canada"),
+    ("france", "France"), ("french", "France"),
+    ("germany", "Germany"), ("german", "Germany"),
+    ("japan", "Japan"), ("japanese", "Japan"),
+    ("south korea", "South Korea"), ("korea", "South Korea"), ("korean", "South Korea"),
+    ("australia", "Australia"), ("australian", "Australia"),
+    ("italy", "Italy"), ("italian", "Italy"),
+    ("spain", "Spain"), ("spanish", "Spain"),
+    ("netherlands", "Netherlands"), ("dutch", "Netherlands"),
+    ("belgium", "Belgium"),
+    ("switzerland", "Switzerland"), ("swiss", "Switzerland"),
+    ("india", "India"), ("indian", "India"),
+    ("brazil", "Brazil"), ("brazilian", "Brazil"),
+    ("mexico", "Mexico"), ("mexican", "Mexico"),
+    ("turkey", "Turkey (Türkiye)"), ("turkish", "Turkey (Türkiye)"),
+]
 
-# Fixed values. States with the words that name them.
-STATE_WORDS = {
-    "Alabama": ("alabama",),
-    "Alaska": ("alaska",),
-    "Arizona": ("arizona",),
-    "Arkansas": ("arkansas",),
-    "California": ("california",),
-    "Colorado": ("colorado",),
-    "Connecticut": ("connecticut",),
-    "Delaware": ("delaware",),
-    "Florida": ("florida",),
-    "Georgia": ("georgia",),
-    "Hawaii": ("hawaii",),
-    "Idaho": ("idaho",),
-    "Illinois": ("illinois",),
-    "Indiana": ("indiana",),
-    "Iowa": ("iowa",),
-    "Kansas": ("kansas",),
-    "Kentucky": ("kentucky",),
-    "Louisiana": ("louisiana",),
-    "Maine": ("maine",),
-    "Maryland": ("maryland",),
-    "Massachusetts": ("massachusetts",),
-    "Michigan": ("michigan",),
-    "Minnesota": ("minnesota",),
-    "Mississippi": ("mississippi",),
-    "Missouri": ("missouri",),
-    "Montana": ("montana",),
-    "Nebraska": ("nebraska",),
-    "Nevada": ("nevada",),
-    "New Hampshire": ("new hampshire",),
-    "New Jersey": ("new jersey",),
-    "New Mexico": ("new mexico",),
-    "New York": ("new york",),
-    "North Carolina": ("north carolina",),
-    "North Dakota": ("north dakota",),
-    "Ohio": ("ohio",),
-    "Oklahoma": ("oklahoma",),
-    "Oregon": ("oregon",),
-    "Pennsylvania": ("pennsylvania",),
-    "Rhode Island": ("rhode island",),
-    "South Carolina": ("south carolina",),
-    "South Dakota": ("south dakota",),
-    "Tennessee": ("tennessee",),
-    "Texas": ("texas",),
-    "Utah": ("utah",),
-    "Vermont": ("vermont",),
-    "Virginia": ("virginia",),
-    "Washington": ("washington",),
-    "West Virginia": ("west virginia",),
-    "Wisconsin": ("wisconsin",),
-    "Wyoming": ("wyoming",),
-    "District of Columbia": ("district of columbia", "washington dc", "washington, d.c."),
-}
+# Fixed values. Words that name a state, with its name.
+STATES = [
+    ("alabama", "Alabama"),
+    ("alaska", "Alaska"),
+    ("arizona", "Arizona"),
+    ("arkansas", "Arkansas"),
+    ("california", "California"),
+    ("colorado", "Colorado"),
+    ("connecticut", "Connecticut"),
+    ("delaware", "Delaware"),
+    ("florida", "Florida"),
+    ("georgia", "Georgia"),
+    ("hawaii", "Hawaii"),
+    ("idaho", "Idaho"),
+    ("illinois", "Illinois"),
+    ("indiana", "Indiana"),
+    ("iowa", "Iowa"),
+    ("kansas", "Kansas"),
+    ("kentucky", "Kentucky"),
+    ("louisiana", "Louisiana"),
+    ("maine", "Maine"),
+    ("maryland", "Maryland"),
+    ("massachusetts", "Massachusetts"),
+    ("michigan", "Michigan"),
+    ("minnesota", "Minnesota"),
+    ("mississippi", "Mississippi"),
+    ("missouri", "Missouri"),
+    ("montana", "Montana"),
+    ("nebraska", "Nebraska"),
+    ("nevada", "Nevada"),
+    ("new hampshire", "New Hampshire"),
+    ("new jersey", "New Jersey"),
+    ("new mexico", "New Mexico"),
+    ("new york", "New York"),
+    ("north carolina", "North Carolina"),
+    ("north dakota", "North Dakota"),
+    ("ohio", "Ohio"),
+    ("oklahoma", "Oklahoma"),
+    ("oregon", "Oregon"),
+    ("pennsylvania", "Pennsylvania"),
+    ("rhode island", "Rhode Island"),
+    ("south carolina", "South Carolina"),
+    ("south dakota", "South Dakota"),
+    ("tennessee", "Tennessee"),
+    ("texas", "Texas"),
+    ("utah", "Utah"),
+    ("vermont", "Vermont"),
+    ("virginia", "Virginia"),
+    ("washington", "Washington"),
+    ("west virginia", "West Virginia"),
+    ("wisconsin", "Wisconsin"),
+    ("wyoming", "Wyoming"),
+    ("district of columbia", "District of Columbia"), ("washington dc", "District of Columbia"), ("washington, d.c.", "District of Columbia"),
+]
 
-# Fixed values. What a sponsor's name must hold, with the words that name the sponsor in a query.
-SPONSOR_WORDS = {
-    "astrazeneca": ("astrazeneca",),
-    "merck": ("merck", "msd"),
-    "pfizer": ("pfizer",),
-    "roche": ("roche", "hoffmann-la roche"),
-    "genentech": ("genentech",),
-    "novartis": ("novartis",),
-    "lilly": ("eli lilly", "lilly"),
-    "janssen": ("janssen", "johnson & johnson", "j&j"),
-    "glaxosmithkline": ("gsk", "glaxosmithkline"),
-    "gilead": ("gilead",),
-    "bristol": ("bristol-myers squibb", "bristol myers squibb", "bms"),
-    "daiichi sankyo": ("daiichi sankyo", "daiichi"),
-    "sanofi": ("sanofi",),
-    "bayer": ("bayer",),
-    "takeda": ("takeda",),
-    "abbvie": ("abbvie",),
-    "amgen": ("amgen",),
-    "regeneron": ("regeneron",),
-    "seagen": ("seagen", "seattle genetics"),
-    "incyte": ("incyte",),
-    "moderna": ("moderna",),
-    "biontech": ("biontech",),
-}
+# Fixed values. Words that name a sponsor in a query, with what the sponsor's name must hold.
+SPONSORS = [
+    ("astrazeneca", "astrazeneca"),
+    ("merck", "merck"), ("msd", "merck"),
+    ("pfizer", "pfizer"),
+    ("roche", "roche"), ("hoffmann-la roche", "roche"),
+    ("genentech", "genentech"),
+    ("novartis", "novartis"),
+    ("eli lilly", "lilly"), ("lilly", "lilly"),
+    ("janssen", "janssen"), ("johnson & johnson", "janssen"), ("j&j", "janssen"),
+    ("gsk", "glaxosmithkline"), ("glaxosmithkline", "glaxosmithkline"),
+    ("gilead", "gilead"),
+    ("bristol-myers squibb", "bristol"), ("bristol myers squibb", "bristol"), ("bms", "bristol"),
+    ("daiichi sankyo", "daiichi sankyo"), ("daiichi", "daiichi sankyo"),
+    ("sanofi", "sanofi"),
+    ("bayer", "bayer"),
+    ("takeda", "takeda"),
+    ("abbvie", "abbvie"),
+    ("amgen", "amgen"),
+    ("regeneron", "regeneron"),
+    ("seagen", "seagen"), ("seattle genetics", "seagen"),
+    ("incyte", "incyte"),
+    ("moderna", "moderna"),
+    ("biontech", "biontech"),
+]
 
-# Fixed values. Drug classes with the words that name them in a query.
-CLASS_NAMED_BY = {
-    "ADC (antibody-drug conjugate)": ("adc", "adcs", "antibody-drug conjugate", "antibody drug conjugate", "antibody-drug conjugates", "antibody drug conjugates"),
-    "PD-(L)1 / immune checkpoint": ("checkpoint inhibitor", "checkpoint inhibitors", "immune checkpoint", "immune checkpoint inhibitor", "ici", "pd-1 inhibitor", "pd-l1 inhibitor", "pd1 inhibitor", "pdl1 inhibitor", "pd-1", "pd-l1", "anti-pd-1", "anti-pd-l1"),
-    "PARP inhibitor": ("parp inhibitor", "parp inhibitors", "parpi"),
-    "CDK4/6 inhibitor": ("cdk4/6 inhibitor", "cdk4/6", "cdk inhibitor"),
-    "HER2-targeted therapy": ("her2-targeted therapy", "her2-targeted", "her2 targeted", "anti-her2"),
-    "AKT / PI3K / mTOR inhibitor": ("pi3k inhibitor", "akt inhibitor", "mtor inhibitor"),
-    "Endocrine / SERD / aromatase": ("serd", "endocrine therapy", "aromatase inhibitor"),
-    "AR-directed (LAR-TNBC)": ("ar inhibitor", "androgen receptor inhibitor"),
-    "VEGF / anti-angiogenic": ("vegf inhibitor", "anti-angiogenic", "anti angiogenic"),
-    "Taxane chemotherapy": ("taxane", "taxanes"),
-    "Platinum chemotherapy": ("platinum", "platinum chemotherapy"),
-    "Anthracycline chemotherapy": ("anthracycline", "anthracyclines"),
-}
+# Fixed values. Words that name a drug class in a query, with the class.
+CLASS_WORDS = [
+    ("adc", "ADC (antibody-drug conjugate)"), ("adcs", "ADC (antibody-drug conjugate)"), ("antibody-drug conjugate", "ADC (antibody-drug conjugate)"),
+    ("antibody drug conjugate", "ADC (antibody-drug conjugate)"), ("antibody-drug conjugates", "ADC (antibody-drug conjugate)"),
+    ("antibody drug conjugates", "ADC (antibody-drug conjugate)"),
+    ("checkpoint inhibitor", "PD-(L)1 / immune checkpoint"), ("checkpoint inhibitors", "PD-(L)1 / immune checkpoint"),
+    ("immune checkpoint", "PD-(L)1 / immune checkpoint"), ("immune checkpoint inhibitor", "PD-(L)1 / immune checkpoint"),
+    ("ici", "PD-(L)1 / immune checkpoint"), ("pd-1 inhibitor", "PD-(L)1 / immune checkpoint"), ("pd-l1 inhibitor", "PD-(L)1 / immune checkpoint"),
+    ("pd1 inhibitor", "PD-(L)1 / immune checkpoint"), ("pdl1 inhibitor", "PD-(L)1 / immune checkpoint"), ("pd-1", "PD-(L)1 / immune checkpoint"),
+    ("pd-l1", "PD-(L)1 / immune checkpoint"), ("anti-pd-1", "PD-(L)1 / immune checkpoint"), ("anti-pd-l1", "PD-(L)1 / immune checkpoint"),
+    ("parp inhibitor", "PARP inhibitor"), ("parp inhibitors", "PARP inhibitor"), ("parpi", "PARP inhibitor"),
+    ("cdk4/6 inhibitor", "CDK4/6 inhibitor"), ("cdk4/6", "CDK4/6 inhibitor"), ("cdk inhibitor", "CDK4/6 inhibitor"),
+    ("her2-targeted therapy", "HER2-targeted therapy"), ("her2-targeted", "HER2-targeted therapy"), ("her2 targeted", "HER2-targeted therapy"),
+    ("anti-her2", "HER2-targeted therapy"),
+    ("pi3k inhibitor", "AKT / PI3K / mTOR inhibitor"), ("akt inhibitor", "AKT / PI3K / mTOR inhibitor"), ("mtor inhibitor", "AKT / PI3K / mTOR inhibitor"),
+    ("serd", "Endocrine / SERD / aromatase"), ("endocrine therapy", "Endocrine / SERD / aromatase"), ("aromatase inhibitor", "Endocrine / SERD / aromatase"),
+    ("ar inhibitor", "AR-directed (LAR-TNBC)"), ("androgen receptor inhibitor", "AR-directed (LAR-TNBC)"),
+    ("vegf inhibitor", "VEGF / anti-angiogenic"), ("anti-angiogenic", "VEGF / anti-angiogenic"), ("anti angiogenic", "VEGF / anti-angiogenic"),
+    ("taxane", "Taxane chemotherapy"), ("taxanes", "Taxane chemotherapy"),
+    ("platinum", "Platinum chemotherapy"), ("platinum chemotherapy", "Platinum chemotherapy"),
+    ("anthracycline", "Anthracycline chemotherapy"), ("anthracyclines", "Anthracycline chemotherapy"),
+]
 
 # Fixed values. Drugs that stand for a class in a widened query.
 CLASS_DRUGS = {
@@ -300,11 +308,3 @@ TEXT_LABELS = [
 VOTE_UP, VOTE_DOWN, HALF_LIFE_DAYS, RERANK_CAP = 1.0, -1.5, 30.0, 0.05
 EXAMPLES_PICKED, EXAMPLE_LEAST_ANSWER, EXAMPLE_SHOWN, EXAMPLE_LEAST_SIMILARITY = 2, 200, 1200, 0.15
 CHAT_POOL, CHAT_BUDGET = 80, 12
-
-
-def _words(names: dict[str, tuple[str, ...]]) -> list[tuple[str, str]]:
-    """(word, name) pairs."""
-    return [(word, name) for name, words in names.items() for word in words]
-
-
-COUNTRIES, STATES, SPONSORS, CLASS_WORDS = map(_words, (COUNTRY_WORDS, STATE_WORDS, SPONSOR_WORDS, CLASS_NAMED_BY))

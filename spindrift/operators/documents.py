@@ -11,12 +11,13 @@ from ..functions import text as X
 # Metadata names that differ from the trial columns', and lengths of those that are cut for display.
 RENAMED = {"bTitle": "title", "oTitle": "officialTitle", "oStatus": "status"}
 CUT = {"armGroups": 500, "primaryOutcomes": 500, "secondaryOutcomes": 500, "locationInfo": 500, "contactInfo": 300}
-METADATA = (
-    "nctId bTitle oTitle acronym phases oStatus studyType startDate primaryCompletionDate completionETA lastUpdateDate conditions keywords meshTermsCondition "
-    "allocation interventionModel primaryPurpose masking enrollmentCont enrollmentType interventionName interventionType interventionOtherNames armGroups sex "
-    "minimumAge maximumAge healthyVolunteers primaryOutcomes secondaryOutcomes sponsorName sponsorClass piName piAffiliation locationInfo locationCountries "
-    "locationCount contactInfo isFdaRegulatedDrug"
-).split()
+METADATA = [
+    "nctId", "bTitle", "oTitle", "acronym", "phases", "oStatus", "studyType", "startDate", "primaryCompletionDate", "completionETA", "lastUpdateDate",
+    "conditions", "keywords", "meshTermsCondition", "allocation", "interventionModel", "primaryPurpose", "masking", "enrollmentCont", "enrollmentType",
+    "interventionName", "interventionType", "interventionOtherNames", "armGroups", "sex", "minimumAge", "maximumAge", "healthyVolunteers", "primaryOutcomes",
+    "secondaryOutcomes", "sponsorName", "sponsorClass", "piName", "piAffiliation", "locationInfo", "locationCountries", "locationCount", "contactInfo",
+    "isFdaRegulatedDrug",
+]
 
 
 # Fixed values. Fields of a result's card, in order, with the document columns that they show.

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..operators import conversation, evaluation, feedback, landscape, merge, reports, retrieval, versions
 from ..sources import events
+from ..sources.files import staged
 from ..streaming import sessions as streams
 from .engine import fingerprint, totals
 
@@ -573,9 +574,13 @@ def version_diff(spark, sf_dir):
 
 
 def _found_by_item(spark, sf_dir):
-    """The documents found for each benchmark item, whole, with its first five words as keywords; and those of all items."""
-    words = table(spark, sf_dir, "benchmark").select("item_id", F.slice(retrieval.tokens(F.col("text")), 1, 5).alias("keywords"))
-    top = tfidf_topk_benchmark(spark, sf_dir).withColumnRenamed("qid", "item_id")
+    """The documents found for each benchmark item, whole, with its five best-weighted terms as keywords; and those of all items."""
+    index = retrieval.indexed(table(spark, sf_dir, "documents"), "doc_id", "text")
+    asked = index.asked(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.round("w", 9)).alias("w"), "term"))), 1, 5)
+    told = asked.groupBy(F.col("doc_id").alias("item_id")).agg(F.transform(best, lambda x: x["term"]).alias("keywords"))
+    words = staged(table(spark, sf_dir, "benchmark").select("item_id").join(told, "item_id", "left").withColumn("keywords", F.coalesce("keywords", F.array().cast("array<string>"))), "item-keywords")
+    top = retrieval.pruned_top_k(asked, index, 5).withColumnRenamed("qid", "item_id")
     return top.join(table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source"), "doc_id").join(words, "item_id"), words
 
 
@@ -585,7 +590,7 @@ qtf AS (SELECT item_id, term, count(*) AS tf FROM (SELECT item_id, {_TOKENS_SQL}
 qraw AS (SELECT item_id, term, (1 + ln(tf)) * idf AS w FROM qtf JOIN df USING (term)), qn AS (SELECT item_id, sqrt(sum(w * w)) AS norm FROM qraw GROUP BY 1),
 sc AS (SELECT item_id, doc_id, round(sum(d.w * qraw.w / qn.norm), 6) AS score FROM qraw JOIN qn USING (item_id) JOIN d USING (term) GROUP BY 1, 2),
 rk AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM sc),
-k AS (SELECT item_id, list_slice(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]{{2,}}'), 1, 5) AS words FROM benchmark),
+k AS (SELECT item_id, list_slice(list(term ORDER BY round(w / norm, 9) DESC, term), 1, 5) AS words FROM qraw JOIN qn USING (item_id) GROUP BY 1),
 f AS (SELECT rk.item_id, rk.doc_id, rk.rank, lower(text) AS low, words, lang, source FROM rk JOIN documents USING (doc_id) JOIN k USING (item_id) WHERE rk.rank <= 5 AND rk.score > 0)
 """
 

@@ -10,14 +10,15 @@ from ..functions import text as X
 from .files import exists
 
 # Fixed values. Columns of a trial row, in order.
-COLUMNS = (
-    "nctId orgID acronym bTitle oTitle sponsorName sponsorClass collaborators responsiblePartyType oStatus statusBTS startDate startDateType "
-    "primaryCompletionDate primaryCompletionDateType completionETA completionETAType studyFST lastUpdateDate summary description conditions keywords "
-    "meshTermsCondition meshTermsIntervention studyType phases allocation interventionModel primaryPurpose masking enrollmentCont enrollmentType "
-    "armGroups interventionName interventionType interventionDescription interventionOtherNames includeCriteria excludeCriteria sex minimumAge "
-    "maximumAge healthyVolunteers stdAges primaryOutcomes secondaryOutcomes piName piAffiliation contactInfo locationInfo locationCount "
-    "locationCountries isFdaRegulatedDrug isFdaRegulatedDevice"
-).split()
+COLUMNS = [
+    "nctId", "orgID", "acronym", "bTitle", "oTitle", "sponsorName", "sponsorClass", "collaborators", "responsiblePartyType", "oStatus", "statusBTS",
+    "startDate", "startDateType", "primaryCompletionDate", "primaryCompletionDateType", "completionETA", "completionETAType", "studyFST", "lastUpdateDate",
+    "summary", "description", "conditions", "keywords", "meshTermsCondition", "meshTermsIntervention", "studyType", "phases", "allocation",
+    "interventionModel", "primaryPurpose", "masking", "enrollmentCont", "enrollmentType", "armGroups", "interventionName", "interventionType",
+    "interventionDescription", "interventionOtherNames", "includeCriteria", "excludeCriteria", "sex", "minimumAge", "maximumAge", "healthyVolunteers",
+    "stdAges", "primaryOutcomes", "secondaryOutcomes", "piName", "piAffiliation", "contactInfo", "locationInfo", "locationCount", "locationCountries",
+    "isFdaRegulatedDrug", "isFdaRegulatedDevice",
+]
 COUNTS = {"enrollmentCont", "locationCount"}
 TRIAL = T.StructType([T.StructField(c, T.IntegerType() if c in COUNTS else T.StringType()) for c in COLUMNS])
 # Fixed values. Texts that count as missing in delimited files.
