@@ -315,3 +315,57 @@ def damaged(convs: DataFrame) -> DataFrame:
 
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+#: The recursion over rows carries a state's least (cost, audit) as a struct; inserts are written out, at most two behind each row.
+ORACLE = r"""
+WITH RECURSIVE crc_table AS (
+  SELECT list(c ORDER BY i) AS tab
+  FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), source AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS told FROM conversations
+), harm AS (
+  SELECT conv_id, turn, role, text, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(told, ''), lambda x: CAST(ord(x) AS BIGINT))), lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 20 AS harm
+  FROM source, crc_table
+), damaged AS (
+  SELECT conv_id, turn, CASE WHEN harm = 4 THEN 'user' ELSE role END AS role, CASE harm WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM harm, range(2) r(i) WHERE harm <> 0 AND (i = 0 OR harm = 3)
+), placed AS (
+  SELECT *, row_number() OVER w AS k, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS ink FROM damaged WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)
+), seen AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k) AS again FROM placed
+), flawed AS (
+  SELECT *, CASE WHEN ink = '' THEN 'blank' WHEN again > 1 THEN 'duplicate' WHEN right(ink, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault, left(role, 1) AS initial,
+    left(lag(role) OVER (PARTITION BY conv_id ORDER BY k), 1) AS past FROM seen
+), moves(i, j) AS (VALUES ('', 'u'), ('s', 'u'), ('a', 'u'), ('u', 'a')), states(i) AS (VALUES (''), ('s'), ('u'), ('a')),
+inserts AS (
+  SELECT i, i AS j, 0 AS cost, '' AS letters FROM states UNION ALL SELECT i, j, 5, 'I' FROM moves UNION ALL SELECT a.i, b.j, 10, 'II' FROM moves a JOIN moves b ON a.j = b.i
+), edits AS (
+  SELECT i, i AS j, 2 AS cost, 'D' AS letter, NULL AS needs FROM states UNION ALL SELECT i, j, 1, 'R', NULL FROM moves UNION ALL SELECT i, j, 0, 'K', j FROM moves UNION ALL SELECT '', 's', 0, 'K', 's'
+), steps AS (
+  SELECT e.i, n.j, e.cost + n.cost AS cost, letter, letter || letters AS letters, needs FROM edits e JOIN inserts n ON n.i = e.j
+), best AS (
+  SELECT conv_id, 0::BIGINT AS k, j AS state, min({'cost': cost, 'audit': letters}) AS p FROM (SELECT DISTINCT conv_id FROM damaged), inserts WHERE i = '' GROUP BY conv_id, j
+  UNION ALL
+  SELECT b.conv_id, f.k, s.j, min({'cost': p.cost + s.cost + CASE WHEN fault = 'truncated' AND letter <> 'D' THEN 5 ELSE 0 END, 'audit': p.audit || s.letters})
+  FROM best b JOIN flawed f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND f.k = b.k + 1 JOIN steps s ON s.i = b.state AND (letter = 'D' OR fault NOT IN ('blank', 'duplicate')) AND (needs IS NULL OR needs = initial)
+  GROUP BY b.conv_id, f.k, s.j
+), facts AS (
+  SELECT conv_id, count(*) AS rows, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (past IS NOT NULL AND past || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM flawed GROUP BY conv_id
+), solved AS (
+  SELECT f.conv_id, min(p) AS p FROM best b JOIN facts f ON f.conv_id IS NOT DISTINCT FROM b.conv_id AND b.k = f.rows WHERE state IN ('', 'a') GROUP BY f.conv_id
+), letters AS (
+  SELECT conv_id, i, substr(p.audit, CAST(i AS INT), 1) AS letter, sum(CASE WHEN substr(p.audit, CAST(i AS INT), 1) = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY conv_id ORDER BY i) AS k FROM solved, range(1, 4000) r(i) WHERE i <= length(p.audit)
+), stay AS (
+  SELECT l.conv_id, l.i, l.letter, CASE WHEN l.letter = 'I' THEN '' ELSE text END AS text, role, row_number() OVER (PARTITION BY l.conv_id ORDER BY l.i) AS n
+  FROM letters l LEFT JOIN flawed f ON f.conv_id IS NOT DISTINCT FROM l.conv_id AND f.k = l.k AND l.letter <> 'I' WHERE l.letter <> 'D'
+), named AS (
+  SELECT *, first_value(CASE WHEN letter = 'K' AND role LIKE 's%' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY i) AS begun FROM stay
+), repaired AS (
+  SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN (n - begun) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i) AS told FROM named GROUP BY conv_id
+)
+SELECT c.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(p.cost, 0) AS BIGINT) AS cost, coalesce(p.audit, '') AS audit,
+  sha256(coalesce(told, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN facts f ON f.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN solved s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN repaired r ON r.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
