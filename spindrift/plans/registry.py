@@ -263,13 +263,13 @@ def trial_landscape(spark, sf_dir):
     return landscape.landscape(trial_docs(spark, sf_dir), dict(K.DISEASES)["Triple-Negative Breast Cancer (TNBC)"].split("|")[0], None, "RECRUITING").select("section", "label", "count")
 
 
-@query("SELECT c.corpus, CASE WHEN n > 0 THEN n END AS trial_count, coalesce(n, 0) > 0 AS loaded FROM (SELECT unnest(" + _listed([c for c, _, _ in K.CORPORA]) + ") AS corpus) c LEFT JOIN (SELECT " + _pick_sql([c for c, _, _ in K.CORPORA[:9]], "doc_id") + " AS corpus, count(*) AS n FROM documents GROUP BY 1) USING (corpus)")
+@query("SELECT c.corpus, coalesce(n, 0) AS trial_count, coalesce(n, 0) > 0 AS loaded FROM (SELECT unnest(" + _listed([c for c, _, _ in K.CORPORA]) + ") AS corpus) c LEFT JOIN (SELECT " + _pick_sql([c for c, _, _ in K.CORPORA[:9]], "doc_id") + " AS corpus, count(*) AS n FROM documents GROUP BY 1) USING (corpus)")
 def corpora_loaded(spark, sf_dir):
     """Every known corpus with its documents, some of them without any."""
     from .engine import Engine
 
     docs = table(spark, sf_dir, "documents").select(_pick([c for c, _, _ in K.CORPORA[:9]], F.col("doc_id")).alias("corpus"))
-    return Engine.corpora(spark, docs).select("corpus", "trial_count", "loaded")
+    return Engine.corpora(spark, docs).select("corpus", F.coalesce("trial_count", F.lit(0)).alias("trial_count"), "loaded")
 
 
 @query(f"""WITH {_SEARCH_SQL}, place AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rank) AS place FROM kept)

@@ -2,6 +2,7 @@
 
 import duckdb
 import numpy as np
+import pandas as pd
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -9,7 +10,7 @@ TABLES = "region nation customer supplier part orders lineitem events documents
 def _shown(v):
     if isinstance(v, (list, np.ndarray)):
         return "[" + ",".join(map(str, v)) + "]"
-    if v is None or v != v:
+    if v is None or v is pd.NA or v != v:
         return "NULL"
     return repr(round(float(v), 6)) if isinstance(v, (float, np.floating)) else str(v)
 
