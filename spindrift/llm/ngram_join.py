@@ -45,7 +45,7 @@ SHARE = 75  # per cent
 ROUNDS = 2
 FOLDED = 16  # nodes of a batch that share a column before it is folded
 BATCH_BYTES = 6 << 20
-BLOCK_CELLS = 1_000_000
+BLOCK_CELLS = 400_000
 SPLIT = 200_000  # nodes of a column in one block
 PARITY_WORDS = 8
 MOST_PARTITIONS = 16_384  # a task may get several blocks, one after another
@@ -408,18 +408,18 @@ def exact_links(texts: DataFrame, live: DataFrame, label: DataFrame, blocks: int
     rank = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("df"), "gram"))
     posts = shared.withColumn("from_last", rank).filter("from_last >= least")
     posts = staged(posts.groupBy("gram", "node", "component", "n", "least").agg(F.max("from_last").alias("from_last")), "join-posts")
-    known = staged(posts.join(parities(texts), "node"), "join-known")
-    early = None
-    for i in range(TRIALS):
-        found = staged(_tried(texts, known, blocks, seed, i), "join-tried")
-        early = found if early is None else early.unionByName(found)
+    several = posts.groupBy("gram").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("gram")
+    known = staged(posts.join(several, "gram", "left_semi").join(parities(texts), "node"), "join-known")
+    early = staged(_tried(texts, known, None, blocks, seed, 0), "join-tried")
+    for i in range(1, TRIALS):
+        found = staged(_tried(texts, known, early, blocks, seed, i), "join-tried")
+        early = early.unionByName(found)
         if found.isEmpty():
             break
-        # components that those links join are one from here on
-        merged = components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))).select(F.col("node").alias("component"), "label")
-        known = known.join(merged, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label")
-        known = staged(known, "join-known")
-    known = known.join(_main(known, 0, ["node"], i).select("gram", "main"), "gram")
+    # components that those links join are one from here on
+    merged = components(early.select(F.col("own").alias("a"), F.col("main").alias("b"))).select(F.col("node").alias("component"), "label")
+    known = staged(known.join(merged, "component", "left").withColumn("component", F.coalesce("label", "component")).drop("label"), "join-known")
+    known = known.join(_main(known, 0, ["node"], 0).select("gram", "main"), "gram")
     of_side = lambda s, *more: ["gram", *(F.col(c).alias(f"{s}_{c}") for c in PARITIES), *(F.col(c).alias(f"{k}{s}") for c, k in (("component", "c"), ("n", "n"), ("from_last", "r"))), F.col("node").alias(s), *more]
     # sizes that allow a link are of one class or of neighbouring ones, so a column's posts meet by class
     kind = F.floor(F.log("n") / math.log(100 / SHARE)).cast("int")
@@ -457,8 +457,8 @@ def _main(posts: DataFrame, few: int, columns: list[str], trial: int) -> DataFra
     return by_component.groupBy("gram").agg(best.alias("p"), F.count(F.lit(1)).alias("kinds")).filter("kinds > 1").select("gram", F.col("p.component").alias("main"), F.col("p.few").alias("few"))
 
 
-def _tried(texts: DataFrame, known: DataFrame, blocks: int, seed: int, trial: int) -> DataFrame:
-    """Links a, b between components ca, cb, found by trying each post with a few of its column's main component.
+def _tried(texts: DataFrame, known: DataFrame, done: DataFrame | None, blocks: int, seed: int, trial: int) -> DataFrame:
+    """Links a, b between components own and main, found by trying each post with a few of its column's main component; pairs of components that `done` joins already aren't tried.
 
     What links with one member of a large component needs no other of its pairs, so a few tries spare the join most of them:
     of all that a node meets in its columns, the one whose parities differ least is added up in full.
@@ -469,11 +469,12 @@ def _tried(texts: DataFrame, known: DataFrame, blocks: int, seed: int, trial: in
     near = met.filter(sized & (bounded <= (F.col("n") + F.col("y.n")) * (100 - SHARE)))
     best = near.groupBy("node", "main").agg(F.min(F.struct(differ.alias("differ"), F.col("y.node").alias("y"), "component", (F.col("n") + F.col("y.n")).alias("sum"))).alias("p"))
     first = F.col("node") < F.col("p.y")
-    ends = {"a": ("node", "p.y"), "b": ("p.y", "node"), "ca": ("p.component", "main"), "cb": ("main", "p.component")}
-    tries = best.select(*(F.when(first, F.col(x)).otherwise(F.col(y)).alias(c) for c, (x, y) in ends.items()), F.col("p.sum").alias("sum")).distinct()
+    tries = best.select(*(F.when(first, x).otherwise(y).alias(c) for c, x, y in (("a", F.col("node"), F.col("p.y")), ("b", F.col("p.y"), F.col("node")))), F.col("p.component").alias("own"), "main", F.col("p.sum").alias("sum")).distinct()
+    if done is not None:
+        tries = tries.join(done.select("own", "main").distinct(), ["own", "main"], "left_anti")
     tries = staged(tries, "join-tries")
     found = overlaps(texts, tries.select("a", "b"), blocks, seed).join(tries, ["a", "b"])
-    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b", "ca", "cb")
+    return found.filter(F.col("n") * (100 + SHARE) >= F.col("sum") * SHARE).select("a", "b", "own", "main")
 
 
 def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
@@ -574,3 +575,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT DISTINCT doc_id, array_to_string(w[CAST(i AS INT):CAST(i + least(len(w), 5) - 1 AS INT)], ' ') AS gram FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+links AS (SELECT a.doc_id AS a, b.doc_id AS b FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id JOIN n na ON na.doc_id = a.doc_id JOIN n nb ON nb.doc_id = b.doc_id GROUP BY a.doc_id, b.doc_id, na.n, nb.n HAVING 100 * count(*) >= 75 * (na.n + nb.n - count(*))),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT a AS doc_id, a AS other FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON e.a = r.other)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, coalesce(least(d.doc_id, c.low), d.doc_id) AS component_id FROM d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT doc_id, min(other) AS low FROM reach GROUP BY 1) c USING (doc_id)
+"""

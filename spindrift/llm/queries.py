@@ -23,4 +23,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op12_chat_format": chat_format.op12_chat_format,
     "op13_conversation_repair": conversation_repair.op13_conversation_repair,
 }
-ORACLES: dict[str, str] = {"op7_exact_dedup": exact_dedup.ORACLE, "op11_importance": importance.ORACLE, "op12_chat_format": chat_format.ORACLE, "op13_conversation_repair": conversation_repair.ORACLE}
+ORACLES: dict[str, str] = {
+    "op3_ngram_join": ngram_join.ORACLE,
+    "op6_substring_dedup": substring_dedup.ORACLE,
+    "op7_exact_dedup": exact_dedup.ORACLE,
+    "op10_decontamination": decontamination.ORACLE,
+    "op11_importance": importance.ORACLE,
+    "op12_chat_format": chat_format.ORACLE,
+    "op13_conversation_repair": conversation_repair.ORACLE,
+}

@@ -279,3 +279,17 @@ def removals(docs: DataFrame, with_text: bool = False) -> DataFrame:
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removals(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+w AS (SELECT doc_id, i, md5_number(substr(h, CAST(2 * i + 1 AS INT), 100)) AS gram FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 49)) AS i FROM d WHERE length(h) >= 100)),
+f AS (SELECT gram, min(doc_id) AS first FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) > 1),
+hit AS (SELECT doc_id, i FROM w JOIN f USING (gram) WHERE doc_id > first),
+r AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER p + 50 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+runs AS (SELECT doc_id, s, min(i) AS a, max(i) + 50 AS b FROM (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS s FROM r) GROUP BY 1, 2),
+k AS (SELECT doc_id, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends, sum(b - a) AS n_removed, count(*) AS n_spans FROM runs GROUP BY 1)
+SELECT d.doc_id, CAST(length(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN h ELSE array_to_string(list_transform(range(0, len(starts) + 1), lambda i: substr(h, CAST(CASE WHEN i = 0 THEN 1 ELSE 2 * ends[CAST(i AS INT)] + 1 END AS INT), CAST(2 * (CASE WHEN i = len(starts) THEN length(h) // 2 ELSE starts[CAST(i + 1 AS INT)] END - CASE WHEN i = 0 THEN 0 ELSE ends[CAST(i AS INT)] END) AS INT))), '') END)) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
