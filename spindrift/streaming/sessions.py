@@ -33,7 +33,7 @@ class SessionState(StatefulProcessor):
         self.handle, self.held = handle, handle.getValueState("session", SESSION)
 
     def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
-        known = self.held.get() if self.held.exists() else None
+        known = self.held.get()  # one call to the store; none where there is no state yet
         user, user_at, first, last, n, kinds = known or (None, None, None, None, 0, [])
         kinds = set(kinds)
         for r in rows:
@@ -52,7 +52,8 @@ class SessionState(StatefulProcessor):
         yield self.made(*key, user, first, last, n, kinds)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        last = self.held.get()[3] if self.held.exists() else None
+        known = self.held.get()
+        last = known[3] if known is not None else None
         ends = None if last is None else last // 1000 + self.keep_ms
         if ends is not None and ends > timerValues.getCurrentWatermarkInMs():
             self.handle.registerTimer(ends)
