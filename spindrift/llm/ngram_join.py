@@ -44,12 +44,12 @@ K = 5
 SHARE = 75  # per cent
 ROUNDS = 2
 FOLDED = 16  # nodes of a batch that share a column before it is folded
-BATCH_BYTES = 6 << 20
+BATCH_BYTES = 3 << 20
 BLOCK_CELLS = 400_000
 SPLIT = 200_000  # nodes of a column in one block
 PARITY_WORDS = 8
 MOST_PARTITIONS = 16_384  # a task may get several blocks, one after another
-TRIED, TRIALS = 4, 4  # nodes of a large component that a post is tried with first, and how often at most
+TRIED, TRIALS = 4, 3  # nodes of a large component that a post is tried with first, and how often at most
 _LOW = np.uint64((1 << 48) - 1)
 
 
