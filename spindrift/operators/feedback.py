@@ -82,10 +82,8 @@ def examples(feedback: DataFrame) -> DataFrame:
 
 def nearest_examples(examples: DataFrame, asked: DataFrame, k: int = K.EXAMPLES_PICKED, least: float = K.EXAMPLE_LEAST_SIMILARITY) -> DataFrame:
     """qid, doc_id, score: for each asked (qid, text) the k nearest examples (doc_id, text) by cosine of tf * idf over the 4,096 most frequent words, from `least` on."""
-    own, queries = retrieval.term_counts(examples, "doc_id", "text"), retrieval.term_counts(asked, "qid", "text")
-    terms = retrieval.vocabulary(own, examples.count(), most=4096)
-    scores = retrieval.sparse_scores(retrieval.weighted(queries, terms, sublinear=False), retrieval.weighted(own, terms, sublinear=False))
-    return retrieval.top_k(scores.withColumn("score", F.round("score", 6)), k).filter(F.col("score") >= least).select("qid", "doc_id", "score")
+    index = retrieval.indexed(examples, "doc_id", "text", most=4096, sublinear=False)
+    return retrieval.pruned_top_k(index.asked(asked, "qid", "text"), index, k).filter(F.col("score") >= least).select("qid", "doc_id", "score")
 
 
 def grouped_aliases(aliases: DataFrame) -> DataFrame:

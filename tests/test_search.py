@@ -170,3 +170,28 @@ def test_what_queries_ask_for_bounds_their_pools(spark):
     asked = spark.createDataFrame([(1, "PARP inhibitor"), (2, "in Japan"), (3, "anything")], "qid long, text string")
     assert {r["qid"]: r["pool"] for r in search.wanted(asked).collect()} == {1: 200, 2: 50, 3: 5}
     assert {r["qid"]: r["pool"] for r in search.wanted(asked, with_feedback=True).collect()} == {1: 200, 2: 50, 3: 20}
+
+
+def test_a_search_sends_on_its_best_rows_alone(spark):
+    """Rows that tasks send on are those of the result, not all pairs of queries and documents; what a document's terms sum to is found in one task."""
+    draw = random.Random(3)
+    words = [f"w{i}" for i in range(300)]
+    docs = spark.createDataFrame([(f"D{i:05}", " ".join(draw.choices(words, k=30))) for i in range(3000)] + [("D00007", "w1 w1 again"), ("empty", None)], "doc_id string, text string")
+    asked = spark.createDataFrame([(i, " ".join(draw.choices(words, k=20))) for i in range(40)], "qid long, text string")
+    index = retrieval.indexed(docs, "doc_id", "text", most=250, stop_words=["w3"], bigrams=True)
+    q = index.asked(asked, "qid", "text")
+    want = retrieval.top_k(retrieval.sparse_scores(q, index.postings()).withColumn("score", F.round("score", 6)), 7)
+    for pack in (512, 8):
+        found = retrieval.pruned_top_k(q, index, 7, query_pack=pack)
+        assert {(r["qid"], r["doc_id"]): (r["score"], r["rank"]) for r in found.collect()} == {(r["qid"], r["doc_id"]): (r["score"], r["rank"]) for r in want.collect()}
+    assert {r["doc_id"]: sum(c["tf"] for c in r["counts"]) for r in retrieval.counted(docs, "doc_id", "text").collect()}["D00007"] == 33
+    assert index.rows.count() == docs.filter("text IS NOT NULL").select("doc_id").distinct().count()
+
+
+def test_frequent_terms_are_those_of_full_counts(spark):
+    draw = random.Random(4)
+    rows = [(i, f"t{int(draw.paretovariate(0.7))}", draw.randint(1, 3)) for i in range(20_000)]
+    counts = spark.createDataFrame(rows, "doc_id long, term string, tf long").groupBy("doc_id", "term").agg(F.sum("tf").alias("tf")).cache()
+    for most, chunk in ((20, 1000), (50, 5000), (3000, 1000), (100_000, 1000)):  # the last two take all counts
+        got, want = retrieval.frequent(counts, 20_000, most, chunk=chunk), retrieval.vocabulary(counts, 20_000, most)
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
