@@ -195,3 +195,22 @@ def test_frequent_terms_are_those_of_full_counts(spark):
     for most, chunk in ((20, 1000), (50, 5000), (3000, 1000), (100_000, 1000)):  # the last two take all counts
         got, want = retrieval.frequent(counts, 20_000, most, chunk=chunk), retrieval.vocabulary(counts, 20_000, most)
         assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dense_tasks_send_on_their_best_alone():
+    """What a task sends on is at most k rows a query, ties included, over batches of any size; before, all ties of a pack were sent."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    v = rng.normal(size=(900, 8))
+    v[300:700] = v[300]  # copies
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    ids = np.arange(0, 900, 50)
+    batches = [pa.record_batch({"doc_id": pa.array(np.arange(i, min(i + 70, 900))), "v": pa.array(v[i : i + 70].tolist())}) for i in range(0, 900, 70)]
+    for k, at_once in ((5, 512), (20, 16), (100, 64)):
+        got = pa.Table.from_batches(retrieval._best_of_vectors(ids, v[ids], k, 6, at_once)(iter(batches))).to_pydict()
+        want = set()
+        for q in ids:
+            rows = sorted((-round(float(v[d] @ v[q]), 6), d) for d in range(900) if d != q)[:k]
+            want |= {(int(q), int(d), -s) for s, d in rows if s < 0}
+        assert set(zip(got["qid"], got["doc_id"], got["score"], strict=True)) == want and len(got["qid"]) == len(want)
