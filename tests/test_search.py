@@ -214,3 +214,26 @@ def test_dense_tasks_send_on_their_best_alone():
             rows = sorted((-round(float(v[d] @ v[q]), 6), d) for d in range(900) if d != q)[:k]
             want |= {(int(q), int(d), -s) for s, d in rows if s < 0}
         assert set(zip(got["qid"], got["doc_id"], got["score"], strict=True)) == want and len(got["qid"]) == len(want)
+
+
+def test_counts_of_common_terms_stay_where_they_are(spark):
+    """With more terms than are sent to all tasks, counts of the rarer ones alone are shuffled; before, all were. Rows are the same."""
+    draw = random.Random(6)
+    docs = spark.createDataFrame([(f"D{i:04}", " ".join(f"w{int(draw.paretovariate(0.6))}" for _ in range(30))) for i in range(400)] + [("rare", "once upon"), ("empty", "")], "doc_id string, text string")
+    asked = spark.createDataFrame([(i, f"w1 w2 w{i} w{i + 40} once") for i in range(30)], "qid long, text string")
+    counts = retrieval.term_counts(docs, "doc_id", "text").cache()
+    terms = retrieval.vocabulary(counts, 402).cache()
+    common, every = retrieval.often(terms, 100)
+    assert not every and 30 < terms.filter(common).count() <= 100 and retrieval.often(terms, 100_000)[1]
+    shuffled = counts.join(terms.filter(~common), "term").count()
+    assert 0 < shuffled < counts.count() / 2
+    for how in ("inner", "left"):
+        got, want = (retrieval.looked_up(counts, terms.select("term", "df", "idf"), few, how).select("doc_id", "term", "tf", "idf").collect() for few in (100, 100_000))
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+    whole = retrieval.indexed(docs, "doc_id", "text", block_docs=16)
+    for few in (100, 1, 0):
+        index = retrieval.indexed(docs, "doc_id", "text", block_docs=16, few=few)
+        got, want = ({(r["doc_id"], r["term"]): round(r["w"], 9) for r in x.postings().collect()} for x in (index, whole))
+        assert got == want and len(got) == counts.count()
+        got, want = (sorted(map(tuple, retrieval.pruned_top_k(x.asked(asked, "qid", "text"), x, 5).collect())) for x in (index, whole))
+        assert got == want
