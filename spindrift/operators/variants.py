@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: How deep values are taken apart; what is nested deeper counts as one leaf, as JSON.
 DEPTH = 8
+#: Versions whose leaves one task sorts, about.
+VERSIONS_PER_TASK = 50_000
 
 
 def _container(v: Column) -> Column:
@@ -36,20 +38,25 @@ def leaves(rows: DataFrame, column: str, depth: int = DEPTH) -> DataFrame:
     return at.select(*keys, "path", shown(F.col("_v")).alias("value"))
 
 
-def diff(versions: DataFrame, keys: list[str], column: str = "body", version: str = "version", depth: int = DEPTH) -> DataFrame:
+def diff(versions: DataFrame, keys: list[str], column: str = "body", version: str = "version", depth: int = DEPTH, per_task: int = VERSIONS_PER_TASK) -> DataFrame:
     """keys, version, path, change (added, dropped, changed), value_a, value_b: what differs between each version and the one numbered before it.
 
-    Both sides meet by key, version and path in one aggregation, so fields that only one of them has need no list of fields. A
-    version whose predecessor isn't there has no rows.
+    Each version meets its predecessor once, before values are taken apart, and both sides' leaves meet by path where they are, so fields that only
+    one of them has need no list of fields, and leaves are never shuffled. A task sorts the leaves of about `per_task` versions, however many there are.
+    A version whose predecessor isn't there has no rows.
     """
-    found = leaves(versions.select(*keys, version, column), column, depth)
-    now = found.select(*keys, F.col(version), "path", F.lit(None).cast("string").alias("a"), F.col("value").alias("b"), F.lit(0).alias("in_a"), F.lit(1).alias("in_b"))
-    before = found.select(*keys, (F.col(version) + 1).alias(version), "path", F.col("value").alias("a"), F.lit(None).cast("string").alias("b"), F.lit(1).alias("in_a"), F.lit(0).alias("in_b"))
-    both = now.unionByName(before).groupBy(*keys, version, "path").agg(F.max("a").alias("value_a"), F.max("b").alias("value_b"), F.max("in_a").alias("in_a"), F.max("in_b").alias("in_b"))
+    n = -(-versions.count() // per_task)
+    # a join takes the session's number of partitions, merged by their bytes, in place of a smaller one
+    n = max(n, int(versions.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if n > 1 else 1
+    now = versions.select(*keys, version, F.col(column).alias("_b")).repartition(n, *keys, version)
+    before = versions.select(*keys, (F.col(version) + 1).alias(version), F.col(column).alias("_a")).repartition(n, *keys, version)
+    side = lambda name, of: F.struct(F.lit(name).alias("side"), F.col(of).alias("value"))
+    sides = now.join(before, [*keys, version]).select(*keys, version, F.inline(F.array(side("a", "_a"), side("b", "_b")))).withColumnRenamed("value", column)
+    told = leaves(sides, column, depth).groupBy(*keys, version, "path").agg(
+        *[F.max(F.when(F.col("side") == s, F.col("value"))).alias(f"value_{s}") for s in "ab"], *[F.max((F.col("side") == s).cast("int")).alias(f"in_{s}") for s in "ab"]
+    )
     change = F.when(F.col("in_a") == 0, "added").when(F.col("in_b") == 0, "dropped").when(~F.col("value_a").eqNullSafe(F.col("value_b")), "changed")
-    pairs = versions.select(*keys, F.col(version)).join(versions.select(*keys, (F.col(version) + 1).alias(version)), [*keys, version], "left_semi")
-    told = both.withColumn("change", change).filter("change IS NOT NULL").drop("in_a", "in_b")
-    return told.join(pairs, [*keys, version], "left_semi").select(*keys, version, "path", "change", "value_a", "value_b")
+    return told.withColumn("change", change).filter("change IS NOT NULL").select(*keys, version, "path", "change", "value_a", "value_b")
 
 
 def field_text(v: Column) -> Column:
