@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.files import staged
 from . import retrieval
 
 
@@ -36,23 +37,28 @@ def matched(entries: DataFrame, asked: DataFrame, fields: list[str], most: int =
     """user_id, protocol_id, score, place: for each user's query (user_id, query) the `most` nearest of the user's own entries (user_id, protocol_id, ts, fields).
 
     Weights are fitted for each user on the entries and the query, over the user's most frequent terms; equal scores go by ts, newest first. One
-    plan for all users: everything is counted and ranked by user.
+    plan for all users: everything is counted and ranked by user. Texts alone are shuffled by entry, words are counted within rows.
     """
     told = F.concat_ws(" ", *[F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
-    texts = entries.select("user_id", "protocol_id", told.alias("text"), F.lit(0).alias("own")).unionByName(asked.select("user_id", F.lit(None).cast(entries.schema["protocol_id"].dataType).alias("protocol_id"), F.col("query").alias("text"), F.lit(1).alias("own")))
-    counts = texts.select("user_id", "protocol_id", "own", F.explode(retrieval.tokens(F.col("text"))).alias("term")).groupBy("user_id", "protocol_id", "own", "term").agg(F.count(F.lit(1)).alias("tf"))
-    sizes = texts.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    id_of = lambda own, protocol: F.struct("user_id", protocol.alias("protocol_id"), F.lit(own).alias("own")).alias("id")
+    no_one = F.lit(None).cast(entries.schema["protocol_id"].dataType)
+    texts = entries.select(id_of(0, F.col("protocol_id")), told.alias("text")).unionByName(asked.select(id_of(1, no_one), F.col("query").alias("text")))
+    counts = retrieval.listed(staged(retrieval.counted(texts, "id", "text"), "user-counts")).select("doc_id.*", "term", "tf")
+    sizes = texts.groupBy("id.user_id").agg(F.count(F.lit(1)).alias("n"))
     terms = counts.groupBy("user_id", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("cf"))
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("cf"), "term"))
     terms = terms.withColumn("r", rank).filter(F.col("r") <= vocabulary).join(sizes, "user_id").select("user_id", "term", (F.log((F.lit(1.0) + F.col("n")) / (F.col("df") + 1)) + 1).alias("idf"))
-    raw = counts.join(terms, ["user_id", "term"]).withColumn("w", (F.log("tf") + 1) * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("user_id", "protocol_id", "own")))
-    unit = raw.withColumn("w", F.col("w") / norm)
-    q = unit.filter("own = 1").select("user_id", "term", F.col("w").alias("wq"))
-    scores = unit.filter("own = 0").join(q, ["user_id", "term"]).groupBy("user_id", "protocol_id").agg(F.round(F.sum(F.col("w") * F.col("wq")), 6).alias("score"))
-    found = entries.join(asked.select("user_id"), "user_id", "left_semi").join(scores, ["user_id", "protocol_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    terms = staged(terms, "user-terms")
+    weight = (F.log("tf") + 1) * F.col("idf")
+    q = counts.filter("own = 1").join(terms, ["user_id", "term"]).withColumn("w", weight)
+    q = q.select("user_id", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("user_id")))).alias("wq"))
+    told = staged(terms.join(q, ["user_id", "term"], "left"), "user-weights")
+    told = F.broadcast(told) if told.count() <= retrieval.FEW_TERMS else told  # with fewer users counts stay where they are, and a document's sums are made there
+    sums = counts.filter("own = 0").join(told, ["user_id", "term"]).withColumn("w", weight).groupBy("user_id", "protocol_id")
+    scores = sums.agg((F.sum(F.col("w") * F.col("wq")) / F.sqrt(F.sum(F.col("w") * F.col("w")))).alias("score")).select("user_id", "protocol_id", F.round("score", 6).alias("score"))
+    scored = lambda rows: rows.join(scores, ["user_id", "protocol_id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), F.desc("ts"), "protocol_id"))
-    return found.withColumn("place", place).filter(F.col("place") <= most)
+    return scored(entries.join(asked.select("user_id"), "user_id", "left_semi")).withColumn("place", place).filter(F.col("place") <= most)
 
 
 def with_notes(store: DataFrame, log: DataFrame, keys: list[str]) -> DataFrame:

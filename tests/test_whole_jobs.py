@@ -104,3 +104,36 @@ def test_examples_equal_brute_force(spark):
     want = brute_picks(examples, of("SELECT item_id, text FROM benchmark"))
     got = sorted(tuple(r) for r in catalog.fewshot_pick(spark, SF01).collect())
     assert [r[:2] for r in got] == [r[:2] for r in want] and [r[2] for r in got] == pytest.approx([r[2] for r in want], abs=2e-6)
+
+
+def test_words_of_entries_are_not_shuffled_to_match_them(spark):
+    """A match is that of plain Python, also with entries that repeat or are empty; before, every word was shuffled by entry."""
+    import math
+    import re
+    from collections import Counter
+
+    from spindrift.operators import versions
+
+    rows = [(f"u{i % 3}", i // 2 if i % 3 == 1 else i, i, f"word{i % 7} word{i % 5} both both of{i}" if i % 11 else None) for i in range(60)]
+    said = {"u0": "word1 both of3", "u1": "word2 word3 both"}
+    asked = spark.createDataFrame(list(said.items()), "user_id string, query string")
+    found = versions.matched(spark.createDataFrame(rows, "user_id string, protocol_id long, ts long, t string"), asked, ["t"], most=6, vocabulary=15)
+    want = set()
+    words = lambda t: Counter(re.findall(r"\w{2,}", (t or "").lower()))
+    for user, query in said.items():
+        texts = {}
+        for u, p, _, t in rows:
+            if u == user:
+                texts[p] = texts.get(p, Counter()) + words(t)
+        n = 1 + sum(u == user for u, *_ in rows)
+        every = [*texts.values(), words(query)]
+        cf, df = sum(every, Counter()), Counter(w for x in every for w in x)
+        idf = {w: math.log((1 + n) / (df[w] + 1)) + 1 for w in sorted(cf, key=lambda w: (-cf[w], w))[:15]}
+        unit = lambda x: (lambda v: {w: y / math.sqrt(sum(z * z for z in v.values())) for w, y in v.items()})({w: (math.log(c) + 1) * idf[w] for w, c in x.items() if w in idf})  # noqa: E731, B023
+        q = unit(words(query))
+        scores = {p: round(sum(y * q.get(w, 0) for w, y in unit(x).items()), 6) for p, x in texts.items()}
+        ranked = sorted(((-scores[p], -ts, p) for u, p, ts, _ in rows if u == user))[:6]
+        want |= {(user, p, -s + 0.0, i + 1) for i, (s, _, p) in enumerate(ranked)}
+    assert {(r["user_id"], r["protocol_id"], round(r["score"], 6) + 0.0, r["place"]) for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"hashpartitioning\([^)]*protocol_id[^)]*term", plan)
