@@ -13,24 +13,26 @@ from pyspark.sql import functions as F
 
 from ..operators import feedback, landscape, merge
 from ..operators.store import BucketStore, refresh
-from ..sources import order
+from ..sources import files, order
 from ..sources.files import shared_folder
 from ..streaming import sessions
 from ..streaming.keyed import KeyedTable, latest
 from .catalog import _VOTES_SQL, NOW, _votes, query, table
 
 
-def delivered(rows: DataFrame, files: Column, n: int, name: str) -> tuple[str, str]:
-    """(folder of its own, folder below it with rows in n deliveries): files is an array of the numbers of a row's deliveries."""
+def delivered(rows: DataFrame, turns: Column, n: int, name: str) -> tuple[str, str]:
+    """(folder of its own, folder below it with rows in n deliveries): turns is an array of the numbers of a row's deliveries."""
     path = shared_folder(rows.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    told = rows.withColumn("_files", files)
+    told = rows.withColumn("_files", turns)
     for i in range(n):
         told.filter(F.array_contains("_files", i)).drop("_files").write.mode("append").parquet(f"{path}/in")
     return path, f"{path}/in"
 
 
-def streamed(spark: SparkSession, path: str, like: DataFrame, per_batch: int = 2) -> DataFrame:
-    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", per_batch).parquet(path)
+def streamed(spark: SparkSession, path: str, like: DataFrame, n: int, per_batch: int = 2) -> DataFrame:
+    """The n deliveries below path, about `per_batch` of them in a micro-batch, in however many files each came: there are no more micro-batches for a larger table."""
+    landed = sum(x.endswith(".parquet") for x in files.names(spark, path))
+    return spark.readStream.schema(like.schema).option("maxFilesPerTrigger", max(1, -(-landed * per_batch // n))).parquet(path)
 
 
 def _by_time(ts: Column, first: str, days: int, n: int, number: Column) -> Column:
@@ -45,8 +47,8 @@ def _sessions(spark: SparkSession, sf_dir: str, key: str) -> DataFrame:
         "event_id", "user_id", "event_type", F.concat_ws("-", F.col("user_id").cast("string"), F.to_date("ts").cast("string")).alias("session_id"), F.col("ts").cast("timestamp").alias("ts")
     )
     path, landed = delivered(events, _by_time(F.col("ts"), "2024-01-01", 8, 4, F.col("event_id")), 4, f"kept-{key}")
-    stream = sessions.without_repeats(streamed(spark, landed, events), ["event_id"], "20 days")
-    made = sessions.kept_sessions(stream, key, path, keep_hours=24 * 20)
+    stream = sessions.without_repeats(streamed(spark, landed, events, 4), ["event_id"], "20 days")
+    made = sessions.kept_sessions(stream, key, path, keep_hours=24 * 20, late_hours=24 * 20)
     return made.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "last_active_at")})
 
 
@@ -68,7 +70,7 @@ def feedback_scores_kept(spark, sf_dir):
     votes = _votes(spark, sf_dir)
     path, landed = delivered(votes, F.array((F.col("doc_id") % 3).cast("int")), 3, "kept-scores")
     kept = KeyedTable(spark, f"{path}/scores", feedback.merged_parts, compact_every=2)
-    kept.run(streamed(spark, landed, votes, per_batch=1), "append", each=feedback.score_parts)
+    kept.run(streamed(spark, landed, votes, 3, per_batch=1), "append", each=feedback.score_parts)
     return feedback.scores_at(kept.read(), F.lit(NOW).cast("timestamp")).select("doc_id", F.round("net", 6).alias("net"))
 
 
@@ -91,7 +93,7 @@ def landed_documents(spark: SparkSession, sf_dir: str, order: list[int]) -> Data
     places = F.array(*[F.lit(order.index(i)) for i in range(n)])
     path, landed = delivered(rows, F.array_distinct(F.array(places[own], places[next_one])), n, "kept-documents")
     kept = KeyedTable(spark, f"{path}/documents", latest(["doc_id"], "updated"))
-    kept.run(sessions.without_repeats(streamed(spark, landed, rows), ["doc_id", "updated"], "60 days"), "append", each=lambda batch: kept.merge(batch.drop("ts")))
+    kept.run(sessions.without_repeats(streamed(spark, landed, rows, n), ["doc_id", "updated"], "60 days"), "append", each=lambda batch: kept.merge(batch.drop("ts")))
     return kept.read()
 
 

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..sources.files import shared_folder
 from .keyed import KeyedTable, last_wins
@@ -15,82 +14,48 @@ def read_events(spark: SparkSession, path: str, schema, per_batch: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-SESSION = "user_id string, user_at long, started_at long, last_active_at long, event_count long, features_used array<string>"
-
-
-class SessionState(StatefulProcessor):
-    """One session per key as a value of keyed state: input rows (key, of_user, at in microseconds, event_type) update it, and the updated session goes out.
-
-    A timer in event time drops a session's state `keep` after its last event; what comes later than the watermark Spark drops
-    before it gets here.
-    """
-
-    def __init__(self, key: str, keep_ms: int):
-        self.keep_ms = keep_ms
-        self.made = Row(key, "user", "started_at", "last_active_at", "event_count", "features_used")
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle, self.held = handle, handle.getValueState("session", SESSION)
-
-    def handleInputRows(self, key, rows, timerValues):  # noqa: N802, N803  names of the interface
-        known = self.held.get()  # one call to the store; none where there is no state yet
-        user, user_at, first, last, n, kinds = known or (None, None, None, None, 0, [])
-        kinds = set(kinds)
-        for r in rows:
-            n += 1
-            if r["event_type"] is not None:
-                kinds.add(r["event_type"])
-            if r["at"] is None:
-                continue
-            first, last = (r["at"], r["at"]) if first is None else (min(first, r["at"]), max(last, r["at"]))
-            if r["of_user"] is not None and (user_at is None or r["at"] >= user_at):
-                user, user_at = r["of_user"], r["at"]
-        kinds = sorted(kinds)
-        self.held.update((user, user_at, first, last, n, kinds))
-        if known is None and last is not None:
-            self.handle.registerTimer(last // 1000 + self.keep_ms)
-        yield self.made(*key, user, first, last, n, kinds)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):  # noqa: N802, N803
-        known = self.held.get()
-        last = known[3] if known is not None else None
-        ends = None if last is None else last // 1000 + self.keep_ms
-        if ends is not None and ends > timerValues.getCurrentWatermarkInMs():
-            self.handle.registerTimer(ends)
-        else:
-            self.held.clear()
-        return iter([])
-
-    def close(self) -> None:
-        pass
-
-
 def with_state_store(spark: SparkSession) -> None:
-    """Arbitrary state needs a store with column families."""
+    """State on executors' disks, not in their heaps."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def updated_sessions(events: DataFrame, key: str, keep_hours: int = 24) -> DataFrame:
-    """The sessions that a micro-batch changes: key, user_id (the last one known), started_at, last_active_at, event_count, features_used.
+def updated_parts(events: DataFrame, key: str, keep_hours: int = 24) -> DataFrame:
+    """The parts of sessions that a micro-batch changes: key, part (where a stretch of `keep_hours` begins), last_user (at, user_id: the last one known), started_at,
+    last_active_at, event_count, features_used.
 
-    events: a stream with a watermark on ts, and user_id, event_type and the key. Keys are shuffled once; a key's rows pass through
-    its state one by one, none is kept.
+    events: a stream with a watermark on ts, and user_id, event_type and the key. State is one row per key and part, kept by Spark's own
+    aggregation; it goes when the watermark has passed the part, and later rows of that part are dropped.
     """
     with_state_store(events.sparkSession)
-    kind = events.schema[key].dataType.simpleString()
-    out = f"{key} {kind}, user string, started_at long, last_active_at long, event_count long, features_used array<string>"
-    rows = events.select(F.col(key).alias(key), F.col("user_id").cast("string").alias("of_user"), "event_type", "ts", F.unix_micros("ts").alias("at"))
-    made = rows.groupBy(key).transformWithState(SessionState(key, keep_hours * 3_600_000), out, "Update", "EventTime")
-    times = {c: F.timestamp_micros(c) for c in ("started_at", "last_active_at")}
-    made = made.withColumns(times)
-    return made.drop("user") if key == "user_id" else made.withColumnRenamed("user", "user_id")
-
-
-def kept_sessions(events: DataFrame, key: str, path: str, keep_hours: int = 24) -> DataFrame:
-    """Sessions of all events that there are, as a table below path that goes on with the next call; a micro-batch writes only the sessions it changed."""
-    table = KeyedTable(events.sparkSession, f"{path}/sessions", last_wins([key]))
-    table.run(updated_sessions(events, key, keep_hours))
-    return table.read()
+    user = F.col("user_id").cast("string")
+    made = events.groupBy(F.col(key), F.window("ts", f"{keep_hours} hours").alias("_window")).agg(
+        F.max(F.when(user.isNotNull(), F.struct(F.col("ts").alias("at"), user.alias("user_id")))).alias("last_user"), F.min("ts").alias("started_at"),
+        F.max("ts").alias("last_active_at"), F.count(F.lit(1)).alias("event_count"), F.collect_set("event_type").alias("features_used"),
+    )
+    return made.withColumn("part", F.col("_window.start")).drop("_window")
+
+
+def joined_parts(parts: DataFrame, key: str, quiet_hours: int) -> DataFrame:
+    """The last session of each key: its parts since it was last quiet for longer than `quiet_hours`. key, user_id (not if it is the key), started_at, last_active_at, event_count, features_used."""
+    own = Window.partitionBy(key)
+    before = F.lag("last_active_at").over(own.orderBy("part"))
+    begins = before.isNull() | (F.unix_micros("started_at") - F.unix_micros(before) > quiet_hours * 3_600_000_000)
+    told = parts.withColumn("_begins", F.when(begins, F.col("part"))).withColumn("_since", F.max("_begins").over(own)).filter(F.col("part") >= F.col("_since"))
+    user = [] if key == "user_id" else [F.max("last_user")["user_id"].alias("user_id")]
+    return told.groupBy(key).agg(
+        *user, F.min("started_at").alias("started_at"), F.max("last_active_at").alias("last_active_at"), F.sum("event_count").alias("event_count"),
+        F.array_sort(F.array_distinct(F.flatten(F.collect_list("features_used")))).alias("features_used"),
+    )
+
+
+def kept_sessions(events: DataFrame, key: str, path: str, keep_hours: int = 24, late_hours: int = 0) -> DataFrame:
+    """Sessions of all events that there are, as a table below path that goes on with the next call; a micro-batch writes only the parts it changed.
+
+    A key that is quiet for longer than keep_hours and late_hours (how late rows may come) begins a new session.
+    """
+    table = KeyedTable(events.sparkSession, f"{path}/sessions", last_wins([key, "part"]))
+    table.run(updated_parts(events, key, keep_hours))
+    return joined_parts(table.read(), key, keep_hours + late_hours)
 
 
 def without_repeats(stream: DataFrame, keys: list[str], delay: str, at: str = "ts") -> DataFrame:

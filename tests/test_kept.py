@@ -85,6 +85,38 @@ def test_state_goes_after_its_time(spark, tmp_path):
     assert {r["session_id"]: r["event_count"] for r in made.collect()} == {"s": 1, "x": 1, "y": 1}
 
 
+@pytest.mark.parametrize("key", ["session_id", "user_id"])
+def test_sessions_go_on_over_parts_of_state(spark, tmp_path, key):
+    """A key's parts are one session until it is quiet for longer than state and late rows are kept; state is Spark's own, no row of it passes through Python."""
+    draw = random.Random(5)
+    days = {"s0": [1, 2, 3, 4], "s1": [1, 4, 5], "s2": [2, 9, 10], "s3": [10]}
+    events = [(i, int(s[1]), draw.choice(["a", "b", None]), s, at(d, draw.randint(0, 5))) for i, (s, d) in enumerate((s, d) for s, ds in days.items() for d in ds)]
+    landed, made = str(tmp_path / "in"), None
+    for first, last in ((1, 2), (3, 4), (5, 10)):
+        spark.createDataFrame([e for e in events if first <= e[4].day <= last], EVENTS).coalesce(1).write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(EVENTS).parquet(landed).withWatermark("ts", "2 days")
+        made = sessions.kept_sessions(stream, key, str(tmp_path), keep_hours=24, late_hours=60)
+    want = {}
+    for _, user, kind, s, ts in sorted(events, key=lambda e: e[4]):
+        n, a, b, kinds = want.get(s if key == "session_id" else user, (0, ts, ts, set()))
+        n, a, kinds = (0, ts, set()) if ts - b > dt.timedelta(hours=84) else (n, a, kinds)
+        want[s if key == "session_id" else user] = (n + 1, a, ts, kinds | ({kind} if kind else set()))
+    got = {r[key]: (r["event_count"], r["started_at"], r["last_active_at"], r["features_used"]) for r in made.collect()}
+    assert got == {k: (n, a, b, sorted(kinds)) for k, (n, a, b, kinds) in want.items()} and sorted(n for n, *_ in got.values()) == [1, 2, 3, 4]
+    plan = sessions.updated_parts(spark.read.schema(EVENTS).parquet(landed), key)._jdf.queryExecution().toString()
+    assert "Python" not in plan and "TransformWithState" not in plan
+
+
+def test_larger_deliveries_make_no_more_micro_batches(spark, tmp_path):
+    """Four deliveries of five files each are two micro-batches, as those of one file each; before there were ten."""
+    rows_ = spark.range(200).withColumn("ts", F.lit("2024-01-01").cast("timestamp"))
+    for n_files in (1, 5):
+        path, landed = kept.delivered(rows_.repartition(n_files), F.array((F.col("id") % 4).cast("int")), 4, "larger")
+        table = KeyedTable(spark, f"{path}/t", last_wins(["id"]))
+        table.run(kept.streamed(spark, landed, rows_, 4), "append")
+        assert files.names(spark, f"{path}/t") == ["batch=0", "batch=1"] and table.read().count() == 200
+
+
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_scores_do_not_depend_on_batches(spark, tmp_path, seed):
     draw = random.Random(seed)
