@@ -237,3 +237,19 @@ def test_counts_of_common_terms_stay_where_they_are(spark):
         assert got == want and len(got) == counts.count()
         got, want = (sorted(map(tuple, retrieval.pruned_top_k(x.asked(asked, "qid", "text"), x, 5).collect())) for x in (index, whole))
         assert got == want
+
+
+def test_most_frequent_terms_leave_texts_where_they_are(spark):
+    """Rows of one id are one document; before, all texts were shuffled by document and every one's words sorted."""
+    draw = random.Random(8)
+    rows = [(i % 37 if i < 40 else i, " ".join(draw.choice(["ab", "cd", "ef", "gh", f"t{draw.randint(0, 60)}"]) for _ in range(draw.randint(0, 30)))) for i in range(80)] + [(99, None), (98, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    found = retrieval.most_frequent(docs, "doc_id", "text", 12)
+    cf, held = Counter(), {}
+    for d, text in rows:
+        for w in (text or "").split():
+            cf[w] += 1
+            held.setdefault(w, set()).add(d)
+    want = sorted(cf, key=lambda t: (-cf[t], t))[:12]
+    assert {tuple(r) for r in found.collect()} == {(t, len(held[t]), cf[t]) for t in want}
+    assert "text" not in " ".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
