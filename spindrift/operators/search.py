@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as K
 from ..functions import text as X
+from ..sources.files import staged
 from . import documents, feedback, retrieval
 
 WANTED = ["countries", "states", "setting", "study_type", "statuses", "sponsors", "classes"]
@@ -49,8 +50,9 @@ def meets() -> Column:
 
 def _pools(asked: DataFrame, docs: DataFrame, index: retrieval.Index, most: int) -> DataFrame:
     """The pool of each query: its best documents with score, rank and what the query wants."""
-    best = retrieval.pruned_top_k(index.asked(asked.select("qid", "widened"), "qid", "widened"), index, most)
-    return best.join(asked.select("qid", *WANTED, "pool"), "qid").filter(F.col("rank") <= F.col("pool")).join(docs, "doc_id")
+    best = staged(retrieval.pruned_top_k(index.asked(asked.select("qid", "widened"), "qid", "widened"), index, most), "pools")
+    # pools are few rows beside the documents, and go to them
+    return docs.join(best, "doc_id").join(asked.select("qid", *WANTED, "pool"), "qid").filter(F.col("rank") <= F.col("pool"))
 
 
 def filtered(pools: DataFrame) -> DataFrame:

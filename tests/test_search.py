@@ -253,3 +253,14 @@ def test_most_frequent_terms_leave_texts_where_they_are(spark):
     want = sorted(cf, key=lambda t: (-cf[t], t))[:12]
     assert {tuple(r) for r in found.collect()} == {(t, len(held[t]), cf[t]) for t in want}
     assert "text" not in " ".join(x for x in found._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in x)
+
+
+def test_texts_do_not_meet_by_supplier(spark, sf_dir):
+    """All documents have a few suppliers; before, a larger table of suppliers dealt all texts to as many tasks."""
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = registry.studies(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "hashpartitioning(supplier" not in plan
