@@ -137,3 +137,14 @@ def test_words_of_entries_are_not_shuffled_to_match_them(spark):
     assert {(r["user_id"], r["protocol_id"], round(r["score"], 6) + 0.0, r["place"]) for r in found.collect()} == want
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert not re.search(r"hashpartitioning\([^)]*protocol_id[^)]*term", plan)
+
+
+def test_texts_stay_where_they_are_when_documents_are_found(spark, sf_dir):
+    """What is found goes to the documents; before, all texts were shuffled to meet a few rows."""
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "60000")
+    try:
+        plan = catalog._found_by_item(spark, sf_dir)[0]._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "hashpartitioning(doc_id" not in plan
