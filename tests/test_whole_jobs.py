@@ -4,11 +4,14 @@ import math
 import re
 from collections import Counter
 
+import duckdb
+import pandas as pd
 import pytest
 from comparing import of_sql, rows
 
-from spindrift.operators import evaluation
+from spindrift.operators import evaluation, retrieval
 from spindrift.plans import catalog
+from spindrift.sources.files import staged
 
 SF01 = "/root/testdata/sf0.01"
 
@@ -148,3 +151,31 @@ def test_texts_stay_where_they_are_when_documents_are_found(spark, sf_dir):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert "hashpartitioning(doc_id" not in plan
+
+
+@pytest.mark.parametrize("few", [1_000_000, 0])
+@pytest.mark.parametrize("parts", [9, 1])
+def test_texts_are_counted_where_they_are(spark, tmp_path, monkeypatch, parts, few):
+    """Rows of one id (also of none) are one document, and texts of a table in several parts aren't shuffled; before, all were, by id."""
+    docs = [(i if i < 40 else i % 6 or None, f"Word{i % 5} word{i % 7} both, both of{i}" if i % 11 else ["", None][i % 2]) for i in range(60)]
+    spark.createDataFrame(docs, "doc_id long, text string").repartition(parts).write.parquet(str(tmp_path / "documents.parquet"))
+    plans = []
+
+    def noted(df, label):
+        if label == "term-counts":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return staged(df, label)
+
+    monkeypatch.setattr(retrieval, "staged", noted)
+    monkeypatch.setattr(catalog, "staged", noted)
+    monkeypatch.setattr(retrieval, "FEW_TERMS", few)
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")  # a part for each file
+    try:
+        got = catalog.tfidf_doc_norms(spark, str(tmp_path)).toPandas()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    documents = pd.DataFrame(docs, columns=["doc_id", "text"]).astype({"doc_id": "Int64"})  # noqa: F841  the SQL reads it
+    own = lambda frame: rows(frame.astype({"doc_id": "Int64"}))
+    assert own(got) == own(duckdb.sql(catalog.ORACLES["tfidf_doc_norms"]).df())
+    assert ("Exchange" in plans[0]) == (parts == 1)
