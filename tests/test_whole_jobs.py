@@ -179,3 +179,24 @@ def test_texts_are_counted_where_they_are(spark, tmp_path, monkeypatch, parts, f
     own = lambda frame: rows(frame.astype({"doc_id": "Int64"}))
     assert own(got) == own(duckdb.sql(catalog.ORACLES["tfidf_doc_norms"]).df())
     assert ("Exchange" in plans[0]) == (parts == 1)
+
+
+def test_texts_of_examples_are_not_sorted(spark, tmp_path, monkeypatch):
+    """The labelled ids go to the texts and words are counted there; before, a task sorted its share of all texts to join them, and its documents' words again."""
+    spark.read.parquet(f"{SF01}/documents.parquet").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    for t in ("labels", "benchmark"):
+        (tmp_path / f"{t}.parquet").symlink_to(f"{SF01}/{t}.parquet")
+    plans = []
+    monkeypatch.setattr(retrieval, "staged", lambda df, label: plans.append((label, df._jdf.queryExecution().executedPlan().toString())) or staged(df, label))
+    told = {"spark.sql.files.maxPartitionBytes": "1m", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    was = {k: spark.conf.get(k) for k in told}
+    for k, v in told.items():
+        spark.conf.set(k, v)
+    try:
+        got = catalog.fewshot_pick(spark, str(tmp_path)).toPandas()
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+    assert rows(got) == rows(catalog.fewshot_pick(spark, SF01).toPandas())
+    plan = next(p for label, p in plans if label == "term-counts")
+    assert "hashpartitioning" not in plan and "Sort" not in plan and "ObjectHashAggregate" not in plan
